@@ -2,20 +2,82 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .classlm import class_scores
+from .importance import importance
+from .mixing import mixture
 from .neardup import near_duplicates
-from .tables import documents
+from .neighbours import nearest
+from .packing import packed
+from .repeats import repeated_windows
+from .rules import STATISTICS, quality_rules
+from .tables import documents, shared_dir
+from .tokens import read_token_files, write_token_files
+from .urls import url_verdicts
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), width=3, percent=85)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_windows(documents(spark, sf_dir), window=20).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    write_token_files(documents(spark, sf_dir), folder, TOKENIZER, end=1)
+    return read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *STATISTICS, "base_failed", "kept", "anomaly")
+
+
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_scores(documents(spark, sf_dir))
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(table(spark, sf_dir, "pages"), RULES)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(documents(spark, sf_dir), TOKENIZER, end=2, size=4096)
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_minhash_near_dedup": op1_minhash_near_dedup,
-}
+    f.__name__: f
+    for f in (
+        op1_minhash_near_dedup, op2_substring_dedup, op3_quality_classifier, op4_token_ids, op5_quality_rules,
+        op6_lm_scoring, op7_url_filters, op8_packing, op9_mixing, op10_nearest_neighbours,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}

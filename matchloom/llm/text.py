@@ -22,6 +22,8 @@ import pyarrow.compute as pc
 SLICE_BYTES = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -63,7 +65,8 @@ class Words:
     the place of its first word, one more than texts.
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, punctuation: bool = False):
+        """punctuation: runs of ASCII punctuation are words of their own."""
         texts = texts.cast(pa.large_string()).fill_null("")
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         base = int(offsets[0]) if len(texts) else 0
@@ -76,13 +79,20 @@ class Words:
         inside[1:-1] = ~_SPACE[data]
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
+        if punctuation and n:
+            edge[1:n] |= _PUNCTUATION[data[1:]] != _PUNCTUATION[data[:-1]]
         self.starts = np.flatnonzero(inside[1:] & (~inside[:-1] | edge)).astype(np.int64)
         self.ends = np.flatnonzero(inside[:-1] & (~inside[1:] | edge)).astype(np.int64)
         self.first = np.searchsorted(self.starts, offsets)
         up, down = _power_tables(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_byte_codes(lower)[data] * up[:n], out=sums[1:])
-        self.names = mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
+        self._sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_byte_codes(lower)[data] * up[:n], out=self._sums[1:])
+        self._down = down
+        self.names = self.spans(self.starts, self.ends)
+
+    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of any byte ranges."""
+        return mix((self._sums[ends] - self._sums[starts]) * self._down[starts])
 
     def __len__(self) -> int:
         return len(self.starts)
