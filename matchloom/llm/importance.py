@@ -1,7 +1,7 @@
 """Quality by importance resampling.
 
 Two generative models over hashed words and word pairs: the target's, from labelled
-good documents (at most `sample` of them, chosen by a hash), and the raw text's, from
+good documents (at most `sample` of half of them, chosen by a hash; the other half calibrates), and the raw text's, from
 every document.  A document's log weight is its log probability under the target less
 that under the raw text.  Adding a Gumbel draw and taking the k largest keys samples k
 documents without replacement, with chances in proportion to the weights.
@@ -39,12 +39,12 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096) -> float |
     return low
 
 
-def importance(docs: DataFrame, labels: DataFrame, keep: int | None = None, sample: int = 20_000, spare: float = 0.0005, seed: int = 11) -> DataFrame:
+def importance(docs: DataFrame, labels: DataFrame, keep: int | None = None, sample: int = 20_000, spare: float = 0.0002, seed: int = 11) -> DataFrame:
     """Documents -> doc_id, n_tokens, log_weight, key, kept.
 
     keep: how many documents the Gumbel top-k takes (more, if keys tie).  Without it k is
     calibrated: as many as have a key no lower than all but `spare` of the labelled
-    good documents have.  With no labelled good row, everything is kept.
+    good documents outside the target's half have.  With no labelled good row, everything is kept.
 
     A null or empty text has log weight 0.  Rows repeated under one doc_id share the
     draw; rows with a null doc_id are left out; an empty table gives no rows.
@@ -52,7 +52,8 @@ def importance(docs: DataFrame, labels: DataFrame, keep: int | None = None, samp
     source = ids_and_texts(docs)
     good = label_rows(labels).where("quality = 1 and toxic = 0").select("doc_id")
     # at most `sample` ids
-    target_texts = source.join(F.broadcast(drawn_labels(good, sample)), "doc_id", "left_semi")
+    half = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(2))
+    target_texts = source.join(F.broadcast(drawn_labels(good.where(half == 0), sample)), "doc_id", "left_semi")
     target = class_counts(target_texts.withColumn("class", F.lit(0)), 1)[0]
     raw = class_counts(source.withColumn("class", F.lit(0)), 1)[0]
     # the target's model leans on the raw one where it has seen little
@@ -66,7 +67,7 @@ def importance(docs: DataFrame, labels: DataFrame, keep: int | None = None, samp
         .withColumn("key", F.col("log_weight") - F.log(-F.log(uniform))), "weights",
     )
     if keep is None:
-        known = keyed.join(good, "doc_id", "left_semi")
+        known = keyed.join(good.where(half == 1), "doc_id", "left_semi")
         bound = known.agg(F.percentile_approx("key", spare, 100_000)).first()[0]
     else:
         bound = float("inf") if keep < 1 else kth_largest(keyed, "key", keep)

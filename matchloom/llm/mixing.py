@@ -27,7 +27,8 @@ TARGETS = {"clean": 0.96, "low": 0.02, "toxic": 0.02}
 _TEMPERATURES = [1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0]
 
 
-def _softmax(logits: Column) -> Column:
+def _softmax(sums: str, temperature: float) -> Column:
+    logits = F.transform(sums, lambda x: x / temperature)
     high = F.array_max(logits)
     exps = F.transform(logits, lambda x: F.exp(x - high))
     total = F.aggregate(exps, F.lit(0.0), lambda a, x: a + x)
@@ -54,10 +55,10 @@ def posteriors(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> Data
     best = 1.0
     if counts.sum():
         judged = sums.join(known, "doc_id")
-        loss = [F.avg(-F.log(_softmax(F.transform("sums", lambda x, t=t: x / t))[F.col("class")] + 1e-12)) for t in _TEMPERATURES]
+        loss = [F.avg(-F.log(_softmax("sums", t)[F.col("class")] + 1e-12)) for t in _TEMPERATURES]
         found = judged.agg(*loss).first()
         best = min((x, t) for x, t in zip(found, _TEMPERATURES, strict=True))[1] if found[0] is not None else 1.0
-    return sums.select("doc_id", "n_tokens", _softmax(F.transform("sums", lambda x: x / best)).alias("p"))
+    return sums.select("doc_id", "n_tokens", _softmax("sums", best).alias("p"))
 
 
 def _rate(steps: list[list[float]]) -> Column:

@@ -203,5 +203,6 @@ def nearest(
     sent = visits.join(blocks, "leaf").withColumn("block", F.pmod(F.xxhash64("query_id"), "blocks")).drop("blocks").join(parts, "leaf")
     chunked = chunked.join(blocks, "leaf").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     keys = ["leaf", "salt", "part", "block"]
-    found = sent.groupBy(*keys).cogroup(chunked.groupBy(*keys)).applyInPandas(lambda a, b: _searched(a, b, k), schema(_FOUND))
+    chunked = chunked.select("vec_id", "v", *(F.col(c).alias(f"of_{c}") for c in keys))
+    found = sent.groupBy(*keys).cogroup(chunked.groupBy(*(f"of_{c}" for c in keys))).applyInPandas(lambda a, b: _searched(a, b, k), schema(_FOUND))
     return _top(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -42,13 +42,11 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols = np.flatnonzero(np.isin(data, np.frombuffer(b"#*$%&|<>", np.uint8)))
 
         # lines that hold a word, named by text and content
-        cut = np.zeros(len(data) + 1, bool)
-        cut[words.offsets] = True
         newline = np.flatnonzero(data == 10)
         begins = np.unique(np.concatenate([words.offsets[:-1], newline + 1]))
-        stops = np.unique(np.concatenate([words.offsets[1:], newline]))
         begins = begins[begins < len(data)]
-        stop_of = stops[np.minimum(np.searchsorted(stops, begins), max(0, len(stops) - 1))] if len(stops) else begins
+        # a line stops at the next newline from its begin on, or at the end of its text
+        stop_of = np.minimum(np.append(newline, len(data))[np.searchsorted(newline, begins)], words.offsets[np.searchsorted(words.offsets, begins, "right")])
         held = np.searchsorted(words.starts, stop_of) > np.searchsorted(words.starts, begins)
         begins, stop_of = begins[held], stop_of[held]
         text_of = np.searchsorted(words.offsets, begins, "right") - 1
