@@ -4,27 +4,75 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from matchloom.llm.importance import good_documents
+from matchloom.llm.mixing import mixed
 from matchloom.llm.neardup import one_of_each
-from matchloom.llm.tables import documents, written
+from matchloom.llm.packing import packed
+from matchloom.llm.repeats import without_repeats
+from matchloom.llm.tables import DOCUMENT_COLUMNS, documents, drop, drop_written, new_folder
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose importance key is no lower than clean labelled documents' keys are."""
+    drop_written(spark)
+    return good_documents(docs.select(*DOCUMENT_COLUMNS), _labels(spark, sf_dir))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, similarity 0.8) stays."""
+    """One document of each group of near copies (five words, similarity 0.8)."""
+    drop_written(spark)
     return one_of_each(docs, width=5, percent=80)
 
 
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = [
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more stay where they first stand."""
+    drop_written(spark)
+    return without_repeats(docs, window=50)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its fitted rate says, so that expected domain totals meet the target weights."""
+    drop_written(spark)
+    return mixed(docs, _labels(spark, sf_dir))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in windows of 4096 tokens."""
+    drop_written(spark)
+    return packed(docs, TOKENIZER, end=2, size=4096)
+
+
+#: Each stage begins by dropping the tables that the one before it needed while its result was being written.
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", quality_classifier),
     ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("source_mixing", source_mixing),
+    ("packing", packing),
 ]
 
+#: SQL cannot express the hashed models, the fit of the rates or the packing; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = new_folder(spark, f"pipeline-{name}")
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            drop(spark, before)
+        before = path
+    drop_written(spark)
     return docs

@@ -72,3 +72,8 @@ def importance(docs: DataFrame, labels: DataFrame, keep: int | None = None, samp
     else:
         bound = float("inf") if keep < 1 else kth_largest(keyed, "key", keep)
     return keyed.withColumn("kept", F.lit(True) if bound is None else F.col("key") >= F.lit(bound))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
+    """The documents that importance keeps, with their columns."""
+    return docs.join(importance(docs, labels, **settings).where("kept").select("doc_id").distinct(), "doc_id", "left_semi")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -17,7 +16,7 @@ from .neighbours import nearest
 from .packing import packed
 from .repeats import repeated_windows
 from .rules import STATISTICS, quality_rules
-from .tables import documents, shared_dir
+from .tables import documents, new_folder
 from .tokens import read_token_files, write_token_files
 from .urls import url_verdicts
 
@@ -42,7 +41,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "token-files")
     write_token_files(documents(spark, sf_dir), folder, TOKENIZER, end=1)
     return read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 

@@ -24,11 +24,12 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fmindex import FMIndex, window_intervals
-from .tables import ids_and_texts, schema, written
+from .tables import ids_and_texts, one_row_per_id, schema, written
 from .text import Words, grams, mix, slices
 
 RUN, HOT, FILTER_BITS, SHARD_SEGMENTS = 3, 2000, 26, 8000
@@ -182,36 +183,41 @@ def _shard_spans(rows: pd.DataFrame, window: int) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": rows["doc_id"].to_numpy()[segment[new]], "first": word[new].astype(np.int32), "last": (word[stop] + window).astype(np.int32)})
 
 
+def _stayed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Words, removed words and what stays of each text."""
+    words = Words(batch.column("text"))
+    spans = batch.column("spans")
+    flat = spans.flatten()
+    base = np.repeat(words.first[:-1], pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False))
+    cover = np.zeros(len(words) + 1, np.int64)
+    np.add.at(cover, base + flat.field("first").to_numpy(), 1)
+    np.add.at(cover, base + flat.field("last").to_numpy(), -1)
+    gone = np.cumsum(cover)[:-1] > 0
+    removed = np.bincount(words.doc_of()[gone], minlength=batch.num_rows)
+    data, stays = words.data.tobytes(), (~gone).tolist()
+    starts, ends, first = words.starts.tolist(), words.ends.tolist(), words.first.tolist()
+    texts = [b" ".join([data[starts[i] : ends[i]] for i in range(a, b) if stays[i]]) for a, b in zip(first, first[1:], strict=False)]
+    return words.counts(), removed, texts
+
+
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
-        words = Words(batch.column("text"))
-        spans = batch.column("spans")
-        flat = spans.flatten()
-        sizes = np.array([len(x) if x is not None else 0 for x in spans.to_pylist()], np.int64)
-        base = np.repeat(words.first[:-1], sizes)
-        cover = np.zeros(len(words) + 1, np.int64)
-        np.add.at(cover, base + flat.field("first").to_numpy(), 1)
-        np.add.at(cover, base + flat.field("last").to_numpy(), -1)
-        gone = np.cumsum(cover)[:-1] > 0
-        removed = np.bincount(words.doc_of()[gone], minlength=batch.num_rows)
-        stay = ~gone
-        texts = []
-        buffer = words.data.tobytes()
-        starts, ends, first = words.starts.tolist(), words.ends.tolist(), words.first.tolist()
-        stays = stay.tolist()
-        for a, b in zip(first, first[1:], strict=False):
-            texts.append(b" ".join([buffer[starts[i] : ends[i]] for i in range(a, b) if stays[i]]))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(words.counts(), pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())],
-            names=["doc_id", "n_words", "n_removed", "kept"],
-        )
+        counts, removed, texts = _stayed(batch)
+        columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept"])
 
 
-def one_row_per_id(source: DataFrame) -> DataFrame:
-    """Of rows repeated under one doc_id the one with the least text; a table without such rows is not moved."""
-    if source.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return source
-    return source.groupBy("doc_id").agg(F.min("text").alias("text"))
+def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The columns but spans, with the texts that lose words replaced, and dropped if nothing stays."""
+    for batch in slices(batches, "text"):
+        _, removed, texts = _stayed(batch)
+        changed = pa.array(removed > 0)
+        text = pc.if_else(changed, pa.array(texts, pa.binary()).cast(pa.string()), batch.column("text").cast(pa.string()))
+        size = pc.if_else(changed, pc.utf8_length(text).cast(pa.int64()), batch.column("n_chars"))
+        new = {"text": text, "n_chars": size}
+        names = [c for c in batch.schema.names if c != "spans"]
+        out = pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names=names)
+        yield out.filter(pc.invert(pc.and_(changed, pc.fill_null(pc.equal(text, ""), False))))
 
 
 def repeated_spans(source: DataFrame, window: int) -> DataFrame:
@@ -255,9 +261,7 @@ def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
 
 def without_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     """The documents with the repeated words taken out of the texts in which there are any; a text of which
-    nothing stays is dropped."""
-    found = repeated_windows(docs, window).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("kept").alias("_kept"))
-    joined = docs.dropDuplicates(["doc_id"]).join(found, F.col("doc_id") == F.col("_id"), "left").where("_kept is null or _kept <> ''")
-    return joined.withColumn("text", F.coalesce("_kept", "text")).withColumn(
-        "n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept").cast("long"))
-    ).select(*docs.columns)
+    nothing stays is dropped.  Texts without repeats stay as they are.  Needs a long n_chars column."""
+    docs = one_row_per_id(docs)
+    spans = repeated_spans(ids_and_texts(docs), window).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    return docs.join(spans, "doc_id", "left").select(*docs.columns, "spans").mapInArrow(_cleaned, docs.schema)

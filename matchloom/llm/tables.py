@@ -21,11 +21,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+_tables: list[str] = []
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Delete the tables written so far, once nothing reads them any more."""
+    while _tables:
+        drop(spark, _tables.pop())
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: lineage ends here, and a lost executor loses none of it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -38,6 +57,19 @@ def ids_and_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
 
 
+def one_row_per_id(docs: DataFrame) -> DataFrame:
+    """Of rows repeated under one doc_id the one with the least text, then the least other columns; a null doc_id goes.
+
+    A table without such rows is not moved.
+    """
+    docs = docs.where("doc_id is not null")
+    if docs.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").isEmpty():
+        return docs
+    order = ["text", *(c for c in docs.columns if c not in ("text", "doc_id"))]
+    least = docs.groupBy("doc_id").agg(F.min(F.struct(*order)).alias("_row")).select("doc_id", *(F.col("_row")[c].alias(c) for c in order))
+    return least.select(*docs.columns)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
