@@ -41,7 +41,7 @@ def _counted(batches: Iterator[pa.RecordBatch], classes: int) -> Iterator[pa.Rec
 def class_counts(texts: DataFrame, classes: int) -> np.ndarray:
     """text, class -> counts [class, bucket], over all rows; the result has a fixed size."""
     rows = texts.mapInArrow(partial(_counted, classes=classes), schema("class int, bucket int, n long"))
-    got = rows.groupBy("class", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    got = rows.groupBy("class", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     out = np.zeros((classes, BUCKETS))
     out[got["class"], got["bucket"]] = got["n"]
     return out

@@ -175,7 +175,7 @@ def nearest(
     spark = table.sparkSession
     rows = written(sound_vectors(table).groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
     n = rows.count()
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas()
+    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow().to_pandas()
     fit = np.stack(drawn["v"]).astype(float) if len(drawn) else np.zeros((0, 1))
     # leaves of about `leaf` rows of the table, and of 16 of the sample at least
     tree = Tree(fit, max(16, leaf * len(fit) // max(1, n)))
@@ -183,12 +183,12 @@ def nearest(
     placed = written(rows.mapInArrow(partial(_assigned, tree=tree), kinds), "leaves")
 
     asked = placed.where(F.col("vec_id") % every == 0)
-    tried = asked.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(trial).select("vec_id", "v").toPandas()
+    tried = asked.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(trial).select("vec_id", "v").toArrow().to_pandas()
     most = 1
     if len(tried):
         ids, vectors = tried["vec_id"].to_numpy(), np.stack(tried["v"]).astype(float)
         brute = placed.select("vec_id", "v").mapInArrow(partial(_brute, ids=ids, queries=vectors, k=k), schema(_FOUND))
-        truth = _top(brute, k).join(placed.select("vec_id", "leaf"), "vec_id").select("query_id", "leaf").toPandas()
+        truth = _top(brute, k).join(placed.select("vec_id", "leaf"), "vec_id").select("query_id", "leaf").toArrow().to_pandas()
         order = {q: {leaf: i for i, leaf in enumerate(tree.visits(v, len(tree.centres)))} for q, v in zip(ids.tolist(), vectors, strict=True)}
         places = np.sort([order[q][leaf] for q, leaf in zip(truth["query_id"], truth["leaf"], strict=True)])
         most = 1 + int(places[min(len(places) - 1, int(np.ceil(recall * len(places))))]) if len(places) else 1

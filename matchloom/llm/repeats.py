@@ -227,10 +227,10 @@ def repeated_spans(source: DataFrame, window: int) -> DataFrame:
         source.mapInArrow(partial(_routes, window=window), schema("route long, n long")).groupBy("route").agg(F.sum("n").alias("n")).where("n > 1"), "routes"
     )
     total = counts.agg(F.sum("n")).first()[0] or 0
-    hot = counts.where(F.col("n") > max(5000, total // HOT)).select("route").toPandas()["route"].to_numpy(np.int64)
+    hot = counts.where(F.col("n") > max(5000, total // HOT)).select("route").toArrow().to_pandas()["route"].to_numpy(np.int64)
     mask = (1 << FILTER_BITS) - 1
     placed = counts.select(F.explode(F.array(*(F.shiftrightunsigned("route", s).bitwiseAND(mask) for s in (0, 32)))).alias("b"))
-    cells = placed.groupBy(F.shiftright("b", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits")).toPandas()
+    cells = placed.groupBy(F.shiftright("b", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits")).toArrow().to_pandas()
     bits = np.zeros(1 << FILTER_BITS - 6, np.uint64)
     bits[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64).view(np.uint64)
     shared = spark.sparkContext.broadcast(bits)  # 8 MB, whatever the input

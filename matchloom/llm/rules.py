@@ -158,7 +158,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, min_words: int = 50, max_r
     good = label_rows(labels).where("quality = 1 and toxic = 0").select("doc_id")
     sound = stats.where("not base_failed").join(good, "doc_id", "left_semi")
     # the forest's rows: a bounded sample in the order of a hash
-    drawn = sound.select("doc_id", *numbers).orderBy(F.xxhash64("doc_id"), "doc_id", *[f"f{i}" for i in range(len(numbers))]).limit(sample).toPandas()
+    drawn = sound.select("doc_id", *numbers).orderBy(F.xxhash64("doc_id"), "doc_id", *[f"f{i}" for i in range(len(numbers))]).limit(sample).toArrow().to_pandas()
     forest = IsolationForest(drawn[[f"f{i}" for i in range(len(numbers))]].to_numpy(float))
     score = partial(_scored, forest=forest)
     kinds = schema(_SCHEMA + ", anomaly double")
