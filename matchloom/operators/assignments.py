@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ def feasible_assignments(candidates: DataFrame, counts: DataFrame, max_roles: in
     ready = pool.join(right, ["query", "pos", "candidate"], "left").join(left, ["query", "pos", "candidate"], "left")
     ready = ready.where("(pos = 0 or cost_b is not null) and (pos = n_roles - 1 or cost_a is not null)")
     ready = ready.withColumn("cost", F.coalesce("cost_a", F.lit(0.0)) + F.coalesce("cost_b", F.lit(0.0)))
+    # read once for each role below; a lost part is computed again
+    ready = ready.repartition("query").persist(StorageLevel.MEMORY_AND_DISK)
     partial = ready.where("pos = 0").select("query", "n_roles", F.array("candidate").alias("picks"), "cost")
     done = None
     for pos in range(1, max_roles):
