@@ -1,0 +1,113 @@
+"""Operators on small tables written from the rules."""
+
+from pyspark.sql import functions as F
+
+from matchloom.functions import ports as P
+from matchloom.functions import text as X
+from matchloom.functions import vectors as V
+from matchloom.operators import assignments, decoding, geometry, ports, requests
+from matchloom.sources import records
+from matchloom.streaming.resume import content_entries, materialize_new
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first().x
+
+
+def test_size_classes_with_ties_within_the_tolerance(spark):
+    def classes(values):
+        peers = F.array(*map(F.lit, values))
+        return [one(spark, P.size_class(F.lit(v), peers)) for v in values]
+
+    assert classes([1.0]) == ["only"]
+    assert classes([1.0, 1.0 + 1e-9]) == ["medium", "medium"]
+    assert classes([1.0, 2.0, 3.0, 4.0]) == ["smallest", "medium", "medium", "largest"]
+    assert classes([1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0])[1] == "small"
+
+
+def test_support_families(spark):
+    pairs = {("line", "line"): "linear_support", ("circle", "line"): "axial_support", ("plane", "plane"): "planar_support", ("cone", "plane"): "axis_plane_support", ("plane", "torus"): "other"}
+    for (a, b), want in pairs.items():
+        assert one(spark, P.primitive_support(F.lit(a), F.lit(b))) == want
+    assert one(spark, P.decoded_support(F.lit("plane"), F.lit("torus"), F.lit("learned"))) == "learned"
+    assert one(spark, P.shape_support(F.lit("SphereSurfaceType"), F.lit("PlaneSurfaceType"))) == "point_frame_support"
+    assert one(spark, P.other_mobilities(F.lit("fixed"))) == ["revolute", "prismatic", "cylindrical"]
+    assert len(one(spark, P.other_mobilities(F.lit("ball")))) == 6
+
+
+def test_strict_json_and_names(spark):
+    good = lambda t: one(spark, X.strict_object(F.lit(t)).isNotNull())
+    assert good('{"a": 1}') and not any(map(good, ['{"a":1,"a":2}', '{"a":NaN}', "[1]", "", "{"]))
+    assert one(spark, X.safe_name(F.lit("__a b//c.."))) == "a_b_c" and one(spark, X.safe_name(F.lit("é"))) == "assembly"
+    assert one(spark, X.names_identity(F.lit("Use candidate ID 7."))) and not one(spark, X.names_identity(F.lit("Use the shaft.")))
+    assert one(spark, X.sentences(F.lit(" One two.  Three!\nFour"))) == ["One two.", "Three!", "Four"]
+
+
+def test_poses(spark):
+    p = V.pose(F.lit(30.0), F.lit(1.0), F.lit(2.0), F.lit(3.0))
+    unit = one(spark, V.multiplied(p, V.inverse(p)))
+    assert all(abs(x - (i % 5 == 0)) < 1e-12 for i, x in enumerate(unit))
+    assert one(spark, V.pose_status(p)) == "valid"
+    assert abs(one(spark, V.rotation_angle(p, V.pose(F.lit(75.0), F.lit(0.0), F.lit(0.0), F.lit(0.0)))) - 0.7853981) < 1e-6
+    assert one(spark, V.canonical_direction(F.array(F.lit(0.0), F.lit(-2.0), F.lit(1.0))))[1] > 0
+
+
+def test_missing_features_give_no_match(spark):
+    candidates = spark.createDataFrame([(1, "a", c, p, 2) for c, p in ((10, 0), (11, 0))] + [(1, "b", 12, 1, 2), (1, "b", 13, 1, 2)], "query int, role string, candidate int, pos int, n_roles int")
+    found = spark.createDataFrame([(10, "face|cylinder"), (11, "face|box"), (12, "face|box"), (12, "face|box")], "step int, contract string")
+    ends = spark.createDataFrame([(1, 0, "a", "a", "face|cylinder"), (1, 0, "b", "b", None)], "query int, edge int, side string, role string, contract string")
+    counts = ports.match_counts(candidates, ends, found)
+    assert {(r.candidate, r.n) for r in counts.collect()} == {(10, 1), (11, 0), (12, 2), (13, 0)}
+    got = assignments.feasible_assignments(candidates, counts).collect()
+    assert [r.picks for r in got] == [[10, 12]] and abs(got[0].score + 0.6931471805599453) < 1e-12
+    none = assignments.feasible_assignments(candidates, counts.withColumn("n", F.lit(0)))
+    assert {r.status for r in assignments.predictions(candidates, assignments.ranked(none)).collect()} == {"no_candidate"}
+
+
+def test_beam_ties_go_to_the_lesser_picks(spark):
+    unary = spark.createDataFrame([(1, p, 2, c, 5) for p in (0, 1) for c in (1, 2)], "query int, pos int, n_roles int, candidate int, score long")
+    pairs = spark.createDataFrame([(1, 1, a, b, 0) for a in (1, 2) for b in (1, 2) if (a, b) != (1, 1)], "query int, pos int, a int, b int, score long")
+    got = decoding.beam_decode(unary, pairs, beam=2).orderBy("picks").collect()
+    assert [r.picks for r in got] == [[1, 2], [2, 1]]
+
+
+def test_touching_boxes_do_not_overlap(spark):
+    rows = [(1, i, [float(x), 0.0, 0.0], [x + 10.0, 10.0, 10.0]) for i, x in enumerate((0, 10, -10, 5))]
+    boxes = spark.createDataFrame(rows, "assembly int, id int, lo array<double>, hi array<double>")
+    for cell in (3.0, 10.0, 100.0):
+        got = geometry.box_overlaps(boxes, cell).collect()
+        assert {(r.a, r.b, r.volume) for r in got} == {(0, 3, 500.0), (1, 3, 500.0)}
+
+
+def test_missing_predictions_stay_in_the_denominator(spark):
+    kind = "query int, lo string, hi string, value int"
+    want = spark.createDataFrame([(1, "a", "b", 0), (2, "a", "b", 0)], kind)
+    got = requests.evaluated_edges(want, spark.createDataFrame([(1, "a", "b", 0)], kind)).first()
+    assert (got.queries, got.precision, got.recall, got.exact) == (2, 1.0, 0.5, 0.5)
+    none = requests.evaluated_edges(want, spark.createDataFrame([], kind)).first()
+    assert (none.queries, none.recall, none.f1) == (2, 0.0, 0.0)
+
+
+def test_connected(spark):
+    roles = spark.createDataFrame([(q, p) for q in (1, 2) for p in range(4)], "query int, pos int")
+    edges = spark.createDataFrame([(1, 3, 2), (1, 1, 2), (1, 0, 3), (2, 0, 1), (2, 2, 3)], "query int, a int, b int")
+    assert {r.query: r.connected for r in requests.connected(roles, edges).collect()} == {1: True, 2: False}
+
+
+def test_files(spark, tmp_path):
+    (tmp_path / "a").write_bytes(b"x")
+    files = records.read_files(spark, str(tmp_path)).withColumn("declared", F.when(F.lit(True), F.sha2("content", 256)))
+    assert [r.status for r in records.verified(files).collect()] == ["ok"]
+    assert [r.status for r in records.verified(files.withColumn("path", F.lit("a/../b"))).collect()] == ["path"]
+
+
+def test_a_second_run_takes_only_what_is_new(spark, tmp_path):
+    source, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    add = lambda v: spark.createDataFrame([(v,)], "content binary").write.mode("append").parquet(source)
+    add(bytearray(b"a"))
+    add(None)
+    run = lambda: materialize_new(spark, source, spark.read.parquet(source).schema, out, progress, content_entries)
+    assert (run(), run()) == (2, 0)
+    add(bytearray(b"b"))
+    assert run() == 1
+    assert sorted(r.status for r in spark.read.parquet(out).collect()) == ["entry", "entry", "excluded"]
