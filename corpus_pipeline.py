@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -12,47 +13,63 @@ from matchloom.llm.mixing import mixed
 from matchloom.llm.neardup import one_of_each
 from matchloom.llm.packing import packed
 from matchloom.llm.repeats import without_repeats
-from matchloom.llm.tables import DOCUMENT_COLUMNS, documents, drop, drop_written, new_folder
+from matchloom.llm.tables import DOCUMENT_COLUMNS, documents, drop, new_folder, recorded
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_last: list[str] = []
+
+
+def _stage(f: Stage) -> Stage:
+    """Drop the tables that the stage before needed while its result was being written, and note this one's."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _last:
+            drop(spark, _last.pop())
+        with recorded(_last):
+            return f(spark, docs, sf_dir)
+
+    return run_stage
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+@_stage
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose importance key is no lower than clean labelled documents' keys are."""
-    drop_written(spark)
     return good_documents(docs.select(*DOCUMENT_COLUMNS), _labels(spark, sf_dir))
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, similarity 0.8)."""
-    drop_written(spark)
     return one_of_each(docs, width=5, percent=80)
 
 
+@_stage
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words and more stay where they first stand."""
-    drop_written(spark)
     return without_repeats(docs, window=50)
 
 
+@_stage
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its fitted rate says, so that expected domain totals meet the target weights."""
-    drop_written(spark)
     return mixed(docs, _labels(spark, sf_dir))
 
 
+@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in windows of 4096 tokens."""
-    drop_written(spark)
     return packed(docs, TOKENIZER, end=2, size=4096)
 
 
-#: Each stage begins by dropping the tables that the one before it needed while its result was being written.
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("quality_classifier", quality_classifier),
     ("near_dedup", near_dedup),
     ("substring_dedup", substring_dedup),
@@ -74,5 +91,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if before:
             drop(spark, before)
         before = path
-    drop_written(spark)
+    while _last:
+        drop(spark, _last.pop())
     return docs

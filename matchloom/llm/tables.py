@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +27,18 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-_tables: list[str] = []
+_record: list[str] | None = None
+
+
+@contextmanager
+def recorded(paths: list[str]) -> Iterator[None]:
+    """Within this, the paths of written tables are added to the list, for its owner to drop."""
+    global _record
+    before, _record = _record, paths
+    try:
+        yield
+    finally:
+        _record = before
 
 
 def drop(spark: SparkSession, path: str) -> None:
@@ -33,18 +46,13 @@ def drop(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def drop_written(spark: SparkSession) -> None:
-    """Delete the tables written so far, once nothing reads them any more."""
-    while _tables:
-        drop(spark, _tables.pop())
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: lineage ends here, and a lost executor loses none of it."""
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    _tables.append(path)
+    if _record is not None:
+        _record.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
