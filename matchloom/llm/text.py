@@ -24,6 +24,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
+# 1: ASCII letters and digits, 2: ASCII punctuation but the apostrophe
+_KIND = np.array([1 if chr(i).isalnum() and i < 128 else 2 if 32 < i < 127 and i != 39 else 0 for i in range(256)], np.uint8)
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -65,8 +67,9 @@ class Words:
     the place of its first word, one more than texts.
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = False, punctuation: bool = False):
-        """punctuation: runs of ASCII punctuation are words of their own."""
+    def __init__(self, texts: pa.Array, lower: bool = False, punctuation: bool = False, pieces: bool = False):
+        """punctuation: runs of ASCII punctuation are words of their own; pieces: words are cut only
+        between an ASCII letter or digit and ASCII punctuation that is no apostrophe."""
         texts = texts.cast(pa.large_string()).fill_null("")
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         base = int(offsets[0]) if len(texts) else 0
@@ -81,6 +84,8 @@ class Words:
         edge[offsets] = True
         if punctuation and n:
             edge[1:n] |= _PUNCTUATION[data[1:]] != _PUNCTUATION[data[:-1]]
+        if pieces and n:
+            edge[1:n] |= _KIND[data[1:]] * _KIND[data[:-1]] == 2
         self.starts = np.flatnonzero(inside[1:] & (~inside[:-1] | edge)).astype(np.int64)
         self.ends = np.flatnonzero(inside[:-1] & (~inside[1:] | edge)).astype(np.int64)
         self.first = np.searchsorted(self.starts, offsets)

@@ -1,9 +1,8 @@
 """Token ids of whole texts, and their patched frame-of-reference files.
 
-Encoding.  The tokenizers library drops white space and never lets a token cross it,
-so a text's ids are the ids of its words in turn; a task encodes each distinct word
-once and gathers.  `encode_texts` takes only such tokenizers (lower-casing word
-BPE of /opt/tokenizers: word_bpe_49k.json).
+Encoding.  The tokenizers that are meant here (lower-casing BPE with word ends, as
+word_bpe_49k.json) drop white space and never let a token cross it, so a text's ids are the ids
+of its words in turn; a worker encodes each distinct word once and gathers.
 
 File format.  Blocks of 128 ids: their minimum is taken off, and the rest is packed at
 the width that holds PERCENTILE of the block's values.  Values that need more bits
@@ -22,9 +21,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,37 +35,58 @@ from .text import Words, slices
 
 BLOCK, PERCENTILE = 128, 90
 SEGMENT_IDS = 1 << 20
-_CACHED_WORDS = 400_000
+_CACHED_WORDS = 2_000_000
 _SEGMENTS = "part int, seg int, seg_start long, n_ids long, doc_ids array<long>, lengths binary, ids binary"
 
 
 class _Encoder:
-    """Ids by word, kept for the words met so far in this worker."""
+    """Ids by word, kept for the words met so far in this worker: sorted names, and where their ids stand in a pool."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[int, np.ndarray] = {}
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self._clear()
+
+    def _clear(self) -> None:
+        self.names, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _learn(self, names: np.ndarray, texts: list[str]) -> None:
+        """Add words, given in the order of their names."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        stop = self.used + int(size.sum())
+        if stop > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), stop), np.uint32)])
+        self.pool[self.used : stop] = np.fromiter(chain.from_iterable(found), np.uint32, stop - self.used)
+        at = np.searchsorted(self.names, names)
+        self.begin = np.insert(self.begin, at, self.used + np.cumsum(size) - size)
+        self.size = np.insert(self.size, at, size)
+        self.names = np.insert(self.names, at, names)
+        self.used = stop
 
     def __call__(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in turn, each with the end id; number of ids of each)."""
-        words = Words(texts)
+        # white space, and places between a letter or digit and punctuation, are never inside a token, and case does not
+        # count: but apostrophes, marks on what precedes them, and the special strings are left in their words
+        plain = not any(pc.any(pc.match_substring(texts, x)).as_py() for x in self.special)
+        words = Words(texts, lower=plain, pieces=plain)
         names, first, place = np.unique(words.names, return_index=True, return_inverse=True)
-        if len(self.known) > _CACHED_WORDS:
-            self.known.clear()
-        known, keys = self.known, names.tolist()
-        new = [i for i, k in enumerate(keys) if k not in known]
-        if new:
-            fresh = self.tokenizer.encode_batch_fast([words.text(j).decode() for j in first[new].tolist()], add_special_tokens=False)
-            known.update((keys[i], np.array(e.ids, np.uint32)) for i, e in zip(new, fresh, strict=True))
-        found = [known[k] for k in keys]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        pool = np.concatenate([*found, np.zeros(0, np.uint32)])
-        begin = np.cumsum(sizes) - sizes
-        each = sizes[place]
+        if len(self.names) > _CACHED_WORDS:
+            self._clear()
+        at = np.searchsorted(self.names, names)
+        known = at < len(self.names)
+        known[known] = self.names[at[known]] == names[known]
+        if not known.all():
+            data, new = words.data.tobytes(), first[~known]
+            cuts = zip(words.starts[new].tolist(), words.ends[new].tolist(), strict=True)
+            self._learn(names[~known], [data[a:b].decode() for a, b in cuts])
+            at = np.searchsorted(self.names, names)
+        each = self.size[at][place]
         done = np.concatenate([[0], np.cumsum(each)])
-        ids = pool[np.repeat(begin[place] - done[:-1], each) + np.arange(done[-1])]
+        ids = self.pool[np.repeat(self.begin[at][place] - done[:-1], each) + np.arange(done[-1])]
         stops = done[words.first[1:]]
         counts = np.diff(done[words.first])
         return np.insert(ids, stops, np.uint32(end)), counts + 1

@@ -20,7 +20,7 @@ def test_pack_round_trip(ids):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.one_of(st.none(), st.text(max_size=60)), max_size=6))
+@given(st.lists(st.one_of(st.none(), st.text(max_size=60), st.text("aB's.,!é\u0301\u0338 1-='", max_size=40)), max_size=6))
 def test_encoding_by_words_equals_whole_texts(texts):
     check_encoding(texts)
 
