@@ -14,10 +14,10 @@ Pairs with enough collisions are confirmed on the full shingle sets.  At similar
 0.85 a pair misses 40 of 64 collisions with probability about 1e-6.
 
 Copies are one class from the start.  Inside a posting list not all pairs are made:
-first each list's members are compared with its most central member, then members
-of still different components with each component's most central member, and at last
-all pairs of the list that are still apart.  Pairs inside one component cannot change
-the result, so nothing is lost.
+first each list's members are compared with its most central member.  Pairs inside one
+component cannot change the result.  What members of different components differ in from
+their common centre then tells which of them may still be linked (_differing_alike).
+So nothing is lost, and a large group of near copies does not make all its pairs.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .tables import ids_and_texts, schema, written
+from .tables import ids_and_texts, one_row_per_id, schema, written
 from .text import Words, grams, lists, mix, slices
 
 _SIGNATURES = "doc_id long, n_shingles long, key1 long, key2 long, sig array<long>"
@@ -98,6 +98,60 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, match: int, p
     )
 
 
+def _pairs(found: DataFrame) -> DataFrame:
+    return found.select(F.least("rep", "a").alias("a"), F.greatest("rep", "a").alias("b")).distinct()
+
+
+def _still_apart(posts: DataFrame, label: DataFrame) -> DataFrame:
+    """Posts with the label of their component, of the tokens that hold more than one."""
+    known = label.select(F.col("id").alias("rep"), "component")
+    labelled = posts.join(known, "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
+    mixed = labelled.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token")
+    return labelled.join(mixed, "token", "left_semi")
+
+
+def _usable(apart: DataFrame, sets: DataFrame) -> DataFrame:
+    """rep, n_shingles, usable: how many shingles of each set also stand in a set of another component.
+
+    Any link still to be found has that many shingles in common at most.
+    """
+    who = apart.select("rep", "n_shingles", "label").distinct()
+    each = who.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "n_shingles", "label", F.explode("shingles").alias("shingle"))
+    mixed = each.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("shingle")
+    return each.join(mixed, "shingle", "left_semi").groupBy("rep", "n_shingles").agg(F.count("*").alias("usable"))
+
+
+def _differing_alike(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members (a: the centre, rep, label, n_shingles) -> rep, a: members of different components that may be linked.
+
+    Let A and B be what two members x and y differ in from one centre.  x and y differ in |A| + |B| - 2 |A & B| shingles,
+    and are linked if that is at most q / (100 + p) of |x| + |y|, for p percent and q = 100 - p.  If A and B have nothing in
+    common, then both are linked with the centre and are one component by now.  So links between components show in common differences: at least
+    half of |A| + |B| - q / (100 + p) * (|x| + |y|), and one.  Such sets share one of their rarest differences.
+    """
+    p, q = 100 + percent, 100 - percent
+    whole = members.join(sets.select(F.col("doc_id").alias("rep"), F.col("shingles").alias("x")), "rep").join(
+        sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("y")), "a"
+    )
+    apart = F.concat(F.array_except("x", "y"), F.array_except("y", "x"))
+    each = whole.select("a", "rep", "label", "n_shingles", F.size(apart).alias("n_apart"), F.explode(apart).alias("shingle"))
+    found = each.groupBy("a", "shingle").agg(F.count("*").alias("df"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    shared = each.join(found.drop("low", "high"), ["a", "shingle"])
+    of_member = Window.partitionBy("a", "rep")
+    # the least that any partner must have in common; a partner's set has at most |x| * 100 / percent shingles
+    need = lambda n, apart: F.greatest(F.lit(1), F.ceil((apart * p - q * n) / (2 * p)))
+    least = need(F.col("n_shingles") + F.col("n_shingles") * 100 / percent, F.col("n_apart") + 1)
+    posts = (
+        shared.withColumn("n_shared", F.count("*").over(of_member)).where(F.col("n_shared") >= least)
+        .withColumn("place", F.row_number().over(of_member.orderBy("df", "shingle"))).where(F.col("place") <= F.col("n_shared") - least + 1)
+        .select("a", "shingle", "rep", "label", "n_shingles", "n_apart", "n_shared")
+    )
+    other = posts.select("a", "shingle", *[F.col(c).alias(f"{c}_b") for c in ("rep", "label", "n_shingles", "n_apart", "n_shared")])
+    enough = F.least("n_shared", "n_shared_b") >= need(F.col("n_shingles") + F.col("n_shingles_b"), F.col("n_apart") + F.col("n_apart_b"))
+    near = F.least("n_shingles", "n_shingles_b") * 100 >= F.greatest("n_shingles", "n_shingles_b") * percent
+    return posts.join(other, ["a", "shingle"]).where((F.col("label") < F.col("label_b")) & near & enough).select("rep", F.col("rep_b").alias("a"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = 64, match: int | None = None) -> DataFrame:
     """Documents -> doc_id, n_shingles, component_id, kept.
 
@@ -135,30 +189,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
 
     lead = F.struct(F.col("weight").alias("w"), (-F.col("rep")).alias("r"), F.col("n_shingles").alias("n"))
     near = F.least("n_shingles", "n_a") * 100 >= F.greatest("n_shingles", "n_a") * percent
-    links, label = None, None
-    for turn in ("centre", "component centres", "rest"):
-        if label is None:
-            labelled = posts.withColumn("label", F.col("rep"))
-        else:
-            known = label.select(F.col("id").alias("rep"), F.col("component"))
-            labelled = posts.join(known, "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
-            # a list all of whose members are one component has nothing left to say
-            apart = labelled.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token")
-            labelled = labelled.join(apart, "token", "left_semi")
-        if turn == "rest":
-            heads = labelled.select("token", F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), F.col("label").alias("label_a"))
-        else:
-            keys = ["token"] if turn == "centre" else ["token", "label"]
-            heads = labelled.groupBy(*keys).agg(F.max(lead).alias("lead"), F.max_by("label", lead).alias("label_a"))
-            heads = heads.select("token", (-F.col("lead.r")).alias("a"), F.col("lead.n").alias("n_a"), "label_a")
-        apart = F.col("label") < F.col("label_a") if turn == "rest" else F.col("label") != F.col("label_a")
-        pairs = (
-            labelled.join(heads, "token").where(apart & near)
-            .select(F.least("rep", "a").alias("a"), F.greatest("rep", "a").alias("b")).distinct()
-        )
-        found = _confirmed(pairs, reps, sets, match, percent)
-        links = found if links is None else label.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(found)
-        label = written(components(links), "components")
+    heads = posts.groupBy("token").agg(F.max(lead).alias("lead")).select("token", (-F.col("lead.r")).alias("a"), F.col("lead.n").alias("n_a"))
+    pairs = _pairs(posts.join(heads, "token").where((F.col("rep") != F.col("a")) & near))
+    label = written(components(_confirmed(pairs, reps, sets, match, percent)), "components")
+
+    apart = _still_apart(posts, label)
+    usable = written(_usable(apart, sets), "usable").where(F.col("usable") * 100 >= F.col("n_shingles") * percent)
+    left = _still_apart(posts.join(usable.select("rep"), "rep", "left_semi"), label)
+    members = left.join(heads.select("token", "a"), "token").where("rep <> a").select("a", "rep", "label", "n_shingles").distinct()
+    pairs = _pairs(_differing_alike(members, sets, percent))
+    known = label.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    label = written(components(known.unionByName(_confirmed(pairs, reps, sets, match, percent))), "components")
 
     # every row finds its class by the key of its set, and the class its component
     of_class = reps.join(label, reps.rep == label.id, "left").select("key1", "key2", "n_shingles", F.coalesce("component", "rep").alias("found"))
@@ -168,6 +209,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
 
 
 def one_of_each(docs: DataFrame, **settings) -> DataFrame:
-    """The documents that near_duplicates keeps, with their columns; rows repeated under one doc_id stay once."""
-    kept = near_duplicates(docs, **settings).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The documents that near_duplicates keeps, with their columns; of rows repeated under one doc_id the least stays."""
+    docs = one_row_per_id(docs)
+    return docs.join(near_duplicates(docs, **settings).where("kept").select("doc_id"), "doc_id", "left_semi")
