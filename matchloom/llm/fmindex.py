@@ -53,7 +53,7 @@ class FMIndex:
         shorter = np.ones(n, bool)
         shorter[1:] = sorted_less[1:] != sorted_less[:-1]
         self.shorter = Bits(shorter)
-        self.shorter_start = np.append(np.flatnonzero(shorter), n).astype(np.int32)
+        self.shorter_start = np.flatnonzero(shorter).astype(np.int32)
 
         last = symbols[rows - 1].astype(np.int64)
         self.below = np.concatenate([[0], np.cumsum(np.bincount(symbols))])
@@ -80,39 +80,38 @@ class FMIndex:
             place = np.where((symbol >> (self.levels - 1 - k)) & 1, zeros + one, place - one)
         return place
 
-    def extend(self, low: np.ndarray, high: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rows of symbol + pattern, from those of pattern."""
-        base = self.below[symbol] - self.begins[symbol]
-        return base + self._descend(low, symbol), base + self._descend(high, symbol)
+    def extend(self, row: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The first row of symbol + pattern from the first row of pattern, or the row behind the last from that of pattern."""
+        return self.below[symbol] - self.begins[symbol] + self._descend(row, symbol)
 
-    def drop_last(self, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rows of a pattern of depth words without its last, from its first row."""
-        group = self.shorter.rank(low + 1) - 1
-        return self.shorter_start[group].astype(np.int64), self.shorter_start[group + 1].astype(np.int64)
+    def drop_last(self, low: np.ndarray) -> np.ndarray:
+        """The first row of a pattern of depth words without its last, from the pattern's."""
+        return self.shorter_start[self.shorter.rank(low + 1) - 1].astype(np.int64)
 
     def earliest(self, low: np.ndarray) -> np.ndarray:
         """The first place of the text where a pattern of depth words stands."""
         return self.first[self.heads.rank(low + 1) - 1]
 
 
-def window_intervals(index: FMIndex, symbols: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def window_rows(index: FMIndex, symbols: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Matching statistics, cut at depth, of streamed parts symbols[begins:ends] of the indexed text.
 
-    All parts move from their ends to their begins in step.  (place, first row) of each window of
-    depth words, in no order; the windows' intervals are never empty as the index holds them.
+    All parts move from their ends to their begins in step.  (place, first row of its interval) of each window of
+    depth words, in no order.  As the index holds what is streamed, no interval is empty, and
+    the row that begins it says all: where the interval ends is the next head.
     """
     places, rows = [], []
     order = np.argsort(begins - ends, kind="stable")
     begins, ends = begins[order], ends[order]
     sizes = ends - begins
-    low, high = np.zeros(len(begins), np.int64), np.full(len(begins), index.n, np.int64)
+    low = np.zeros(len(begins), np.int64)
     for step in range(int(sizes.max(initial=0))):
         lanes = int(np.searchsorted(-sizes, -step, "left"))  # parts longer than step, as they are in order of size
-        low, high = low[:lanes], high[:lanes]
+        low = low[:lanes]
         if step >= index.depth:
-            low, high = index.drop_last(low)
+            low = index.drop_last(low)
         at = ends[:lanes] - 1 - step
-        low, high = index.extend(low, high, symbols[at])
+        low = index.extend(low, symbols[at])
         if step >= index.depth - 1:
             places.append(at)
             rows.append(low)

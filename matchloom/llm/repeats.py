@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .fmindex import FMIndex, window_intervals
+from .fmindex import FMIndex, window_rows
 from .tables import ids_and_texts, one_row_per_id, schema, written
 from .text import Words, grams, mix, slices
 
@@ -171,7 +171,7 @@ def _shard_spans(rows: pd.DataFrame, window: int) -> pd.DataFrame:
     begins = words.first[:-1] + np.arange(len(rows))
     ends = words.first[1:] + np.arange(len(rows))
     index = FMIndex(symbols, window)
-    place, low = window_intervals(index, symbols, begins, ends)
+    place, low = window_rows(index, symbols, begins, ends)
     again = np.sort(place[index.earliest(low) < place])
     segment = np.searchsorted(begins, again, "right") - 1
     word = rows["start"].to_numpy()[segment] + again - begins[segment]
@@ -183,8 +183,8 @@ def _shard_spans(rows: pd.DataFrame, window: int) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": rows["doc_id"].to_numpy()[segment[new]], "first": word[new].astype(np.int32), "last": (word[stop] + window).astype(np.int32)})
 
 
-def _stayed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Words, removed words and what stays of each text."""
+def _stayed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Words, removed words and what stays of each text, joined by one space."""
     words = Words(batch.column("text"))
     spans = batch.column("spans")
     flat = spans.flatten()
@@ -193,17 +193,24 @@ def _stayed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes]]
     np.add.at(cover, base + flat.field("first").to_numpy(), 1)
     np.add.at(cover, base + flat.field("last").to_numpy(), -1)
     gone = np.cumsum(cover)[:-1] > 0
-    removed = np.bincount(words.doc_of()[gone], minlength=batch.num_rows)
-    data, stays = words.data.tobytes(), (~gone).tolist()
-    starts, ends, first = words.starts.tolist(), words.ends.tolist(), words.first.tolist()
-    texts = [b" ".join([data[starts[i] : ends[i]] for i in range(a, b) if stays[i]]) for a, b in zip(first, first[1:], strict=False)]
-    return words.counts(), removed, texts
+    doc = words.doc_of()
+    removed = np.bincount(doc[gone], minlength=batch.num_rows)
+    doc, starts, sizes = doc[~gone], words.starts[~gone], (words.ends - words.starts)[~gone]
+    spaced = np.zeros(len(doc), np.int64)
+    spaced[:-1] = doc[1:] == doc[:-1]
+    stop = np.cumsum(sizes + spaced)
+    place = np.repeat(starts - (stop - sizes - spaced), sizes + spaced) + np.arange(stop[-1] if len(stop) else 0)
+    out = np.append(words.data, np.uint8(32))[place]
+    out[(stop - 1)[spaced > 0]] = 32
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(doc, sizes + spaced, minlength=batch.num_rows))]).astype(np.int64)
+    texts = pa.Array.from_buffers(pa.large_string(), batch.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+    return words.counts(), removed, texts.cast(pa.string())
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         counts, removed, texts = _stayed(batch)
-        columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())]
+        columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), texts]
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept"])
 
 
@@ -212,7 +219,7 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         _, removed, texts = _stayed(batch)
         changed = pa.array(removed > 0)
-        text = pc.if_else(changed, pa.array(texts, pa.binary()).cast(pa.string()), batch.column("text").cast(pa.string()))
+        text = pc.if_else(changed, texts, batch.column("text").cast(pa.string()))
         size = pc.if_else(changed, pc.utf8_length(text).cast(pa.int64()), batch.column("n_chars"))
         new = {"text": text, "n_chars": size}
         names = [c for c in batch.schema.names if c != "spans"]
