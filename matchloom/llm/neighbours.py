@@ -164,7 +164,7 @@ def sound_vectors(table: DataFrame) -> DataFrame:
 
 
 def nearest(
-    table: DataFrame, every: int = 20, k: int = 20, recall: float = 0.97, sample: int = 50_000, leaf: int = 256, chunk: int = 4096, trial: int = 100
+    table: DataFrame, every: int = 20, k: int = 20, recall: float = 0.94, sample: int = 50_000, leaf: int = 2048, chunk: int = 4096, trial: int = 100
 ) -> DataFrame:
     """Vectors -> query_id, rank, vec_id, score: for each vec_id divisible by `every` its k nearest other rows.
 
