@@ -144,10 +144,11 @@ def _differing_alike(members: DataFrame, sets: DataFrame, percent: int) -> DataF
     posts = (
         shared.withColumn("n_shared", F.count("*").over(of_member)).where(F.col("n_shared") >= least)
         .withColumn("place", F.row_number().over(of_member.orderBy("df", "shingle"))).where(F.col("place") <= F.col("n_shared") - least + 1)
-        .select("a", "shingle", "rep", "label", "n_shingles", "n_apart", "n_shared")
+        .select("a", "shingle", "rep", "label", "n_shingles", "n_apart", (F.col("n_shared") - F.col("place") + 1).alias("behind"))
     )
-    other = posts.select("a", "shingle", *[F.col(c).alias(f"{c}_b") for c in ("rep", "label", "n_shingles", "n_apart", "n_shared")])
-    enough = F.least("n_shared", "n_shared_b") >= need(F.col("n_shingles") + F.col("n_shingles_b"), F.col("n_apart") + F.col("n_apart_b"))
+    other = posts.select("a", "shingle", *[F.col(c).alias(f"{c}_b") for c in ("rep", "label", "n_shingles", "n_apart", "behind")])
+    # at the first difference that two members share, no more than what is behind it can be shared
+    enough = F.least("behind", "behind_b") >= need(F.col("n_shingles") + F.col("n_shingles_b"), F.col("n_apart") + F.col("n_apart_b"))
     near = F.least("n_shingles", "n_shingles_b") * 100 >= F.greatest("n_shingles", "n_shingles_b") * percent
     return posts.join(other, ["a", "shingle"]).where((F.col("label") < F.col("label_b")) & near & enough).select("rep", F.col("rep_b").alias("a"))
 
