@@ -26,23 +26,29 @@ def buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, Words]:
     return (found % np.uint64(BUCKETS)).astype(np.int64), np.concatenate([doc, doc[: len(pairs)][inside]]), words
 
 
-def _counted(batches: Iterator[pa.RecordBatch], classes: int) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((classes, BUCKETS), np.int64)
+def _counted(batches: Iterator[pa.RecordBatch], classes: int, texts: bool) -> Iterator[pa.RecordBatch]:
+    total = np.zeros((2 * classes if texts else classes, BUCKETS), np.int64)
     for batch in slices(batches, "text"):
         bucket, doc, _ = buckets(batch.column("text"))
-        kind = batch.column("class").to_numpy()[doc]
-        total += np.bincount(kind * BUCKETS + bucket, minlength=classes * BUCKETS).reshape(classes, BUCKETS)
+        kinds = batch.column("class").to_numpy().astype(np.int64)
+        total[:classes] += np.bincount(kinds[doc] * BUCKETS + bucket, minlength=classes * BUCKETS).reshape(classes, BUCKETS)
+        if texts:
+            doc, bucket = np.divmod(np.unique(doc * BUCKETS + bucket), BUCKETS)
+            total[classes:] += np.bincount(kinds[doc] * BUCKETS + bucket, minlength=classes * BUCKETS).reshape(classes, BUCKETS)
     kind, bucket = np.nonzero(total)
     yield pa.RecordBatch.from_arrays(
         [pa.array(kind, pa.int32()), pa.array(bucket, pa.int32()), pa.array(total[kind, bucket])], names=["class", "bucket", "n"]
     )
 
 
-def class_counts(texts: DataFrame, classes: int) -> np.ndarray:
-    """text, class -> counts [class, bucket], over all rows; the result has a fixed size."""
-    rows = texts.mapInArrow(partial(_counted, classes=classes), schema("class int, bucket int, n long"))
+def class_counts(docs: DataFrame, classes: int, texts: bool = False) -> np.ndarray:
+    """text, class -> counts [class, bucket], over all rows; the result has a fixed size.
+
+    texts: behind these, as many rows again that count the texts with the n-gram, not its places.
+    """
+    rows = docs.mapInArrow(partial(_counted, classes=classes, texts=texts), schema("class int, bucket int, n long"))
     got = rows.groupBy("class", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
-    out = np.zeros((classes, BUCKETS))
+    out = np.zeros((2 * classes if texts else classes, BUCKETS))
     out[got["class"], got["bucket"]] = got["n"]
     return out
 

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -141,6 +142,14 @@ def label_rows(labels: DataFrame) -> DataFrame:
     )
 
 
+def counted_labels(rows: DataFrame, scale: int) -> pd.DataFrame:
+    """value, good -> value, good, bad: how many rows of each, over all rows, in rising steps of 1 / scale within -40 to 40."""
+    step = F.floor(F.greatest(F.lit(-40.0), F.least(F.lit(40.0), F.col("value"))) * scale)
+    # at most 80 * scale + 1 rows
+    found = rows.groupBy(step.alias("b")).agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")).toArrow().to_pandas().sort_values("b")
+    return found.assign(value=found.b / scale)
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, sample: int = 20_000, spare: float = 0.001) -> DataFrame:
     """Documents -> doc_id, the five counts, anomaly, base_failed, kept.
 

@@ -164,6 +164,27 @@ def test_importance(spark, docs, labels, empty):
     assert importance(empty, labels).isEmpty()
 
 
+def test_importance_reads_both_kinds_of_labels(spark):
+    rng = np.random.default_rng(5)
+    words, insults = [f"word{i}" for i in range(300)], ["dolt", "oaf", "cad"]
+    kind = rng.choice(["clean", "low", "toxic"], 1500, p=[0.7, 0.15, 0.15])
+
+    def text(k):
+        found = rng.choice(words, rng.integers(5, 12) * 8 ** rng.integers(0, 3)).tolist()  # few words or many
+        if k == "toxic":
+            found[len(found) // 2 : 0] = [str(rng.choice(insults))] * (1 + len(found) // 50)
+        return " | ".join(found) if k == "low" else " ".join(found)
+
+    table = spark.createDataFrame([(i, text(k)) for i, k in enumerate(kind)], "doc_id long, text string")
+    some = spark.createDataFrame([(i, int(k != "low"), int(k == "toxic")) for i, k in enumerate(kind) if i % 3], LABELS)
+    kept = np.array([r.kept for r in importance(table, some).orderBy("doc_id").collect()])
+    for k, low, high in (("clean", 0.98, 1), ("low", 0, 0.05), ("toxic", 0, 0.5)):
+        assert low <= kept[kind == k].mean() <= high, k
+    # without a kind of labels, nothing is rejected for it
+    alone = importance(table, some.where("quality = 1 and toxic = 0"))
+    assert alone.where("not kept").isEmpty()
+
+
 def test_kth_largest(spark):
     x = np.random.default_rng(2).normal(size=2000).round(2).tolist()
     df = spark.createDataFrame([(v,) for v in x], "x double")
