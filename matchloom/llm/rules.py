@@ -2,8 +2,7 @@
 
 Every text gets its rule statistics.  A forest is grown on at most `sample` labelled
 good rows; a document's anomaly is 2^(-mean path length / expected length).  The
-threshold is the anomaly that all but `spare` of the labelled good rows stay under, taken over
-all labelled rows.
+threshold makes the least error over all labelled rows, good and bad.
 """
 
 from __future__ import annotations
@@ -150,12 +149,23 @@ def counted_labels(rows: DataFrame, scale: int) -> pd.DataFrame:
     return found.assign(value=found.b / scale)
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, sample: int = 20_000, spare: float = 0.001) -> DataFrame:
+def _threshold(found: pd.DataFrame) -> float | None:
+    """The highest value from which on rejecting leaves the fewest errors; None if it rejects no more bad rows than good ones."""
+    good, bad = found.good.to_numpy(float), found.bad.to_numpy(float)
+    gain = (bad - good)[::-1].cumsum()[::-1]
+    if not len(gain) or gain.max() <= 0:
+        return None
+    return float(found.value.iloc[np.flatnonzero(gain == gain.max())[-1]])
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, sample: int = 20_000) -> DataFrame:
     """Documents -> doc_id, the five counts, anomaly, base_failed, kept.
 
     base_failed: fewer than min_words words, or more than max_repeat_percent of them in
-    repeated windows.  kept: not base_failed, and an anomaly not above the threshold.
-    With no labelled good row there is no threshold and base_failed alone decides.
+    repeated windows.  kept: not base_failed, and an anomaly below the threshold.
+    The threshold is the one with the fewest errors, where a labelled good row rejected and a labelled
+    bad row kept count alike, over all labelled rows that pass the base rules; the highest such one.
+    With no labelled good row there, or if none rejects more bad rows than good ones, base_failed alone decides.
 
     Null and empty texts have no words and fail.  Rows repeated under one doc_id are
     each judged; rows with a null doc_id are left out; an empty table gives no rows.
@@ -164,18 +174,17 @@ def quality_rules(docs: DataFrame, labels: DataFrame, min_words: int = 50, max_r
     stats = written(rule_statistics(docs).withColumn(
         "base_failed", (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
     ), "statistics")
-    good = label_rows(labels).where("quality = 1 and toxic = 0").select("doc_id")
-    sound = stats.where("not base_failed").join(good, "doc_id", "left_semi")
+    known = label_rows(labels).select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
+    passed = stats.where("not base_failed").join(known, "doc_id")
+    sound = passed.where("good")
     # the forest's rows: a bounded sample in the order of a hash
     drawn = sound.select("doc_id", *numbers).orderBy(F.xxhash64("doc_id"), "doc_id", *[f"f{i}" for i in range(len(numbers))]).limit(sample).toArrow().to_pandas()
     forest = IsolationForest(drawn[[f"f{i}" for i in range(len(numbers))]].to_numpy(float))
     score = partial(_scored, forest=forest)
     kinds = schema(_SCHEMA + ", anomaly double")
-    bound = (
-        sound.select("doc_id", *STATISTICS, *numbers).mapInArrow(score, kinds)
-        .agg(F.percentile_approx("anomaly", 1 - spare, 100_000)).first()[0]
-    )
+    judged = passed.select("doc_id", *STATISTICS, *numbers).mapInArrow(score, kinds).join(known, "doc_id")
+    bound = _threshold(counted_labels(judged.select(F.col("anomaly").alias("value"), "good"), 1000)) if len(drawn) else None
     found = stats.select("doc_id", *STATISTICS, *numbers).mapInArrow(score, kinds)
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
-    fine = F.lit(True) if bound is None else F.col("anomaly") <= F.lit(bound)
+    fine = F.lit(True) if bound is None else F.col("anomaly") < F.lit(bound)
     return found.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & fine)

@@ -150,6 +150,17 @@ def test_rules(docs, labels, empty):
     assert all(r.kept != r.base_failed for r in alone)
 
 
+def test_rules_threshold_reads_bad_labels(spark):
+    words = lambda i, mark: " ".join(f"w{i}x{j}{mark if j % 2 else ''}" for j in range(60 + i % 50))
+    # of 300 good rows, ten are full of symbols, as all 60 bad rows are
+    table = spark.createDataFrame([(i, words(i, "##" if i >= 290 else "")) for i in range(360)], "doc_id long, text string")
+    labelled = spark.createDataFrame([(i, int(i < 300), 0) for i in range(360) if i % 2], LABELS)
+    kept = [r.kept for r in quality_rules(table, labelled).orderBy("doc_id").collect()]
+    assert sum(kept[300:]) <= 6 and sum(kept[:290]) >= 280
+    alone = quality_rules(table, labelled.where("quality = 0")).collect()
+    assert all(r.kept for r in alone)
+
+
 def test_importance(spark, docs, labels, empty):
     rows = [(i, ("plain words of a good text number %d and so on " % i) * 5) for i in range(200)]
     rows += [(i, ("$$$ ### buy%d !!! ||| now$$$ " % i) * 8) for i in range(200, 240)]
