@@ -6,8 +6,10 @@ in the order of a priority queue over the tree's open branches, the best inner p
 with a branch's centre first.  How many leaves it visits is widened until the recall
 of `trial` queries against brute force over all rows reaches `recall`.
 
-Leaves are cut into chunks of bounded size, so a leaf with a third of all rows is many
-tasks' work; queries are sent to each chunk of the leaves that they visit.
+Leaves are cut into parts of about `chunk` rows, so a leaf with a third of all rows is many
+tasks' work.  Visits go in rounds, each four times as wide as all before it: a query carries the
+score of its k-th best row so far, and a part answers with nothing below that.  So a query's
+answers grow with the logarithm of the parts it visits, not with their number.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import partitions, schema, written
+from .tables import literal_array, schema, written
 
 _FOUND = "query_id long, vec_id long, score double"
 
@@ -75,17 +77,18 @@ class Tree:
             todo += [(below.start + j, which[near == j]) for j in range(len(below))]
         return out
 
-    def visits(self, query: np.ndarray, most: int) -> list[int]:
-        """The first leaves in best-bin-first order."""
+    def visits(self, query: np.ndarray, most: int, rows: np.ndarray, need: int) -> list[int]:
+        """The first leaves in best-bin-first order: `most` of them, and more while they hold fewer than `need` rows."""
         worth = self.matrix @ query
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < most:
+        queue, out, held = [(0.0, 0)], [], 0
+        while queue and (len(out) < most or held < need):
             node = heapq.heappop(queue)[1]
             if below := self.children[node]:
                 for child in below:
                     heapq.heappush(queue, (-worth[child], child))
             else:
                 out.append(node)
+                held += int(rows[node])
         return out
 
 
@@ -100,31 +103,40 @@ def _assigned(batches: Iterator[pa.RecordBatch], tree: Tree) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(leaf)], names=["vec_id", "v", "leaf"])
 
 
-def _routed(batches: Iterator[pa.RecordBatch], tree: Tree, most: int) -> Iterator[pa.RecordBatch]:
+def _routed(batches: Iterator[pa.RecordBatch], tree: Tree, rows: np.ndarray, parts: np.ndarray, most: int, need: int, start: int, stop: int) -> Iterator[pa.RecordBatch]:
+    """Each query with the leaves' parts at places start to stop of its visits."""
     for batch in batches:
         if batch.num_rows:
-            found = [tree.visits(q, most) for q in _matrix(batch.column("v"))]
-            row = np.repeat(np.arange(batch.num_rows), [len(x) for x in found])
-            columns = [batch.column("vec_id").take(pa.array(row)), batch.column("v").take(pa.array(row)), pa.array(np.concatenate(found), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "q", "leaf"])
-
-
-def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> pd.DataFrame:
-    """Each query's k best rows but itself, ties to the smaller id, in blocks of bounded size."""
+            leaves, part, row = [], [], []
+            for i, q in enumerate(_matrix(batch.column("v"))):
+                seen = np.array(tree.visits(q, most, rows, need), np.int64)
+                n = parts[seen]
+                leaf = np.repeat(seen, n)[start:stop]
+                leaves.append(leaf)
+                part.append((np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))[start:stop])
+                row.append(np.full(len(leaf), i))
+            at = pa.array(np.concatenate(row), pa.int64())
+            columns = [batch.column(c).take(at) for c in ("vec_id", "v", "floor")]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.concatenate(x), pa.int64()) for x in (leaves, part))], names=["query_id", "q", "floor", "leaf", "part"])
+
+
+def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, floor: np.ndarray | None = None) -> pd.DataFrame:
+    """Each query's k best rows but itself, none below its floor, ties to the smaller id, in blocks of bounded size."""
     out = []
     order = np.argsort(ids, kind="stable")
     ids, rows = ids[order], rows[order]
+    floor = np.full(len(queries), -np.inf) if floor is None else np.where(np.isnan(floor), -np.inf, floor)
     step = max(1, 4_000_000 // max(1, len(ids)))
     for a in range(0, len(queries), step):
         score = queries[a : a + step] @ rows.T
         score[query_ids[a : a + step, None] == ids[None, :]] = -np.inf
+        edge = floor[a : a + step]
         if len(ids) > k:
-            edge = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k]
-        else:
-            edge = np.full(len(score), -np.inf)
+            edge = np.maximum(edge, np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k])
         # all that tie with the k-th, less a hair for other orders of summing
-        q, r = np.nonzero((score >= (edge - 1e-12 * np.abs(edge))[:, None]) & (score > -np.inf))
+        q, r = np.nonzero((score >= (edge - 1e-12 * np.where(np.isfinite(edge), np.abs(edge), 0.0))[:, None]) & (score > -np.inf))
         found = pd.DataFrame({"q": q, "vec_id": ids[r], "score": (queries[a + q] * rows[r]).sum(axis=1)})
+        found = found[found["score"].to_numpy() >= floor[a + q]]
         found = found.sort_values(["q", "score", "vec_id"], ascending=[True, False, True]).groupby("q").head(k)
         out.append(pd.DataFrame({"query_id": query_ids[a + found["q"].to_numpy()], "vec_id": found["vec_id"], "score": found["score"]}))
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
@@ -133,14 +145,21 @@ def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.n
 def _searched(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
     if not len(queries) or not len(rows):
         return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype=float)})
-    return best(queries["query_id"].to_numpy(), np.stack(queries["q"]).astype(float), rows["vec_id"].to_numpy(), np.stack(rows["v"]).astype(float), k)
+    return best(
+        queries["query_id"].to_numpy(), np.stack(queries["q"]).astype(float), rows["vec_id"].to_numpy(), np.stack(rows["v"]).astype(float), k,
+        queries["floor"].to_numpy(float),
+    )
 
 
 def _brute(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """The k best of all rows of the task for each of the few queries."""
+    held = None
     for batch in batches:
         if batch.num_rows:
             found = best(ids, queries, batch.column("vec_id").to_numpy(), _matrix(batch.column("v")), k)
-            yield pa.RecordBatch.from_pandas(found.astype({"query_id": "int64", "vec_id": "int64"}), preserve_index=False)
+            held = found if held is None else pd.concat([held, found]).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
+    if held is not None:
+        yield pa.RecordBatch.from_pandas(held.astype({"query_id": "int64", "vec_id": "int64"}), preserve_index=False)
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
@@ -171,38 +190,61 @@ def nearest(
     Nearness is the inner product in double precision, ties to the smaller vec_id.  Vectors
     that are null, zero, or hold a null or a non-finite component take no part.  Of rows
     repeated under one vec_id the least vector counts.  An empty table gives no rows.
+    Columns other than vec_id and embedding are not read.
     """
     spark = table.sparkSession
     rows = written(sound_vectors(table).groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
-    n = rows.count()
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow().to_pandas()
+    n, width = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    # the sample holds 8 million numbers at most
+    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(sample, (1 << 23) // (width or 1))).select("v").toArrow().to_pandas()
     fit = np.stack(drawn["v"]).astype(float) if len(drawn) else np.zeros((0, 1))
     # leaves of about `leaf` rows of the table, and of 16 of the sample at least
     tree = Tree(fit, max(16, leaf * len(fit) // max(1, n)))
     kinds = schema("vec_id long, v array<double>, leaf long")
     placed = written(rows.mapInArrow(partial(_assigned, tree=tree), kinds), "leaves")
-
-    asked = placed.where(F.col("vec_id") % every == 0)
-    tried = asked.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(trial).select("vec_id", "v").toArrow().to_pandas()
+    # one row per leaf, and the sample bounds the leaves
+    sizes = placed.groupBy("leaf").count().toArrow().to_pandas()
+    in_leaf = np.zeros(len(tree.centres), np.int64)
+    in_leaf[sizes["leaf"].to_numpy(np.int64)] = sizes["count"]
+    in_parts = -(-in_leaf // chunk)
+
+    asked = placed.where(F.col("vec_id") % every == 0).select("vec_id", "v")
+    tried = asked.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(trial).toArrow().to_pandas()
     most = 1
     if len(tried):
         ids, vectors = tried["vec_id"].to_numpy(), np.stack(tried["v"]).astype(float)
         brute = placed.select("vec_id", "v").mapInArrow(partial(_brute, ids=ids, queries=vectors, k=k), schema(_FOUND))
         truth = _top(brute, k).join(placed.select("vec_id", "leaf"), "vec_id").select("query_id", "leaf").toArrow().to_pandas()
-        order = {q: {leaf: i for i, leaf in enumerate(tree.visits(v, len(tree.centres)))} for q, v in zip(ids.tolist(), vectors, strict=True)}
+        order = {q: {leaf: i for i, leaf in enumerate(tree.visits(v, len(tree.centres), in_leaf, 0))} for q, v in zip(ids.tolist(), vectors, strict=True)}
         places = np.sort([order[q][leaf] for q, leaf in zip(truth["query_id"], truth["leaf"], strict=True)])
         most = 1 + int(places[min(len(places) - 1, int(np.ceil(recall * len(places))))]) if len(places) else 1
 
-    cut = F.floor(F.row_number().over(Window.partitionBy("leaf", "salt").orderBy("vec_id")) / chunk)
-    salted = placed.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(partitions(spark)))) if n > chunk * partitions(spark) else placed.withColumn("salt", F.lit(0))
-    chunked = salted.withColumn("part", cut)
-    parts = chunked.select("leaf", "salt", "part").distinct()
-    visits = asked.select("vec_id", "v").mapInArrow(partial(_routed, tree=tree, most=most), schema("query_id long, q array<double>, leaf long"))
-    # a leaf's queries are cut into blocks too, and its chunks sent to each block
-    blocks = visits.select("leaf").groupBy("leaf").agg(F.ceil(F.count("*") / chunk).alias("blocks"))
-    sent = visits.join(blocks, "leaf").withColumn("block", F.pmod(F.xxhash64("query_id"), "blocks")).drop("blocks").join(parts, "leaf")
-    chunked = chunked.join(blocks, "leaf").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    keys = ["leaf", "salt", "part", "block"]
-    chunked = chunked.select("vec_id", "v", *(F.col(c).alias(f"of_{c}") for c in keys))
-    found = sent.groupBy(*keys).cogroup(chunked.groupBy(*(f"of_{c}" for c in keys))).applyInPandas(lambda a, b: _searched(a, b, k), schema(_FOUND))
-    return _top(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    in_part = literal_array(in_parts.tolist(), "long")[F.col("leaf").cast("int")]
+    chunked = placed.withColumn("part", F.pmod(F.xxhash64("vec_id"), in_part))
+    found, start, stop = None, 0, 1
+    while found is None or start < in_parts.sum():
+        if found is None:
+            queries = asked.withColumn("floor", F.lit(None).cast("double"))
+        else:
+            floor = found.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+            queries = asked.join(floor, asked.vec_id == floor.query_id, "left").select("vec_id", "v", "floor")
+        route = partial(_routed, tree=tree, rows=in_leaf, parts=in_parts, most=most, need=k + 1, start=start, stop=stop)
+        visits = queries.mapInArrow(route, schema("query_id long, q array<double>, floor double, leaf long, part long"))
+        if found is not None and start >= most and visits.isEmpty():
+            break
+        answers = _searched_parts(visits, chunked, k, chunk)
+        known = answers if found is None else answers.unionByName(found.drop("rank"))
+        found = written(_top(known, k), "found")
+        start, stop = stop, 4 * stop
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _searched_parts(visits: DataFrame, chunked: DataFrame, k: int, chunk: int) -> DataFrame:
+    """What the visited parts answer; a part's queries are cut into blocks of about `chunk`, and its rows sent to each block."""
+    blocks = visits.groupBy("leaf", "part").agg(F.ceil(F.count("*") / chunk).alias("blocks"))
+    sent = visits.join(blocks, ["leaf", "part"]).withColumn("block", F.pmod(F.xxhash64("query_id"), "blocks"))
+    rows = chunked.join(blocks, ["leaf", "part"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keys = ["leaf", "part", "block"]
+    rows = rows.select("vec_id", "v", *(F.col(c).alias(f"of_{c}") for c in keys))
+    ask = sent.select("query_id", "q", "floor", *keys)
+    return ask.groupBy(*keys).cogroup(rows.groupBy(*(f"of_{c}" for c in keys))).applyInPandas(lambda a, b: _searched(a, b, k), schema(_FOUND))

@@ -295,6 +295,26 @@ def test_nearest(spark):
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in few) == [(0, 1, 20, 3.0), (0, 2, 1, 2.0), (20, 1, 1, 6.0), (20, 2, 0, 3.0)]
 
 
+def test_nearest_of_a_hot_leaf_and_any_partition_count(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(1500, 6))
+    v[500:1100] = v[500]
+    table = spark.createDataFrame([(i, x.tolist(), "q", 0.0) for i, x in enumerate(v)], "vec_id long, embedding array<double>, query_id string, floor double")
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in ("1", "4", "31"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append(sorted(tuple(r) for r in nearest(table, leaf=48, chunk=64, recall=1.0).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == found[2] and len(found[0]) == 75 * 20
+    got: dict = {}
+    for q, _, i, _ in found[0]:
+        got.setdefault(q, set()).add(i)
+    order = {q: [i for i in np.lexsort((np.arange(1500), -((v * v[q]).sum(axis=1)))) if i != q][:20] for q in got}
+    assert sum(len(got[q] & set(order[q])) for q in got) >= 0.97 * 1500
+
+
 def test_urls(spark):
     rows = [
         (1, "http://A.Example.NET/en/1?x=1", "net", "example.net/en/"), (2, "https://example.net/fr/", "", "net/"), (3, "http://b.org/fr/x#y", "", "org/fr/"),
