@@ -121,6 +121,18 @@ def _usable(apart: DataFrame, sets: DataFrame) -> DataFrame:
     return each.join(mixed, "shingle", "left_semi").groupBy("rep", "n_shingles").agg(F.count("*").alias("usable"))
 
 
+def _apart(members: DataFrame, sets: DataFrame, block: int = 64) -> DataFrame:
+    """Members with apart: the shingles in which the sets of rep and of the centre a differ.
+
+    A centre's members are dealt into blocks of about `block`, each with its copy of the centre's set, so a large group is many tasks' work.
+    """
+    blocks = members.groupBy("a").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    dealt = members.join(blocks, "a").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks")).drop("blocks")
+    centres = blocks.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("y")), "a").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    whole = dealt.join(sets.select(F.col("doc_id").alias("rep"), F.col("shingles").alias("x")), "rep").join(centres.drop("blocks"), ["a", "block"])
+    return whole.select("a", "rep", "label", "n_shingles", F.concat(F.array_except("x", "y"), F.array_except("y", "x")).alias("apart"))
+
+
 def _differing_alike(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Members (a: the centre, rep, label, n_shingles) -> rep, a: members of different components that may be linked.
 
@@ -128,29 +140,32 @@ def _differing_alike(members: DataFrame, sets: DataFrame, percent: int) -> DataF
     and are linked if that is at most q / (100 + p) of |x| + |y|, for p percent and q = 100 - p.  If A and B have nothing in
     common, then both are linked with the centre and are one component by now.  So links between components show in common differences: at least
     half of |A| + |B| - q / (100 + p) * (|x| + |y|), and one.  Such sets share one of their rarest differences.
+
+    Among the members that share a difference, the component with the most of them is met by the others alone: its own members are not
+    paired with each other.
     """
     p, q = 100 + percent, 100 - percent
-    whole = members.join(sets.select(F.col("doc_id").alias("rep"), F.col("shingles").alias("x")), "rep").join(
-        sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("y")), "a"
-    )
-    apart = F.concat(F.array_except("x", "y"), F.array_except("y", "x"))
-    each = whole.select("a", "rep", "label", "n_shingles", F.size(apart).alias("n_apart"), F.explode(apart).alias("shingle"))
-    found = each.groupBy("a", "shingle").agg(F.count("*").alias("df"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    shared = each.join(found.drop("low", "high"), ["a", "shingle"])
+    # written, as an array that is exploded beside its size would be made anew for each of its elements
+    each = written(_apart(members, sets), "differences").select("a", "rep", "label", "n_shingles", F.size("apart").alias("n_apart"), F.explode("apart").alias("shingle"))
+    by_label = each.groupBy("a", "shingle", "label").agg(F.count("*").alias("n"))
+    found = by_label.groupBy("a", "shingle").agg(F.sum("n").alias("df"), F.max_by("label", F.struct("n", "label")).alias("lead"), F.count("*").alias("labels")).where("labels > 1")
+    shared = each.join(found.drop("labels"), ["a", "shingle"])
     of_member = Window.partitionBy("a", "rep")
     # the least that any partner must have in common; a partner's set has at most |x| * 100 / percent shingles
     need = lambda n, apart: F.greatest(F.lit(1), F.ceil((apart * p - q * n) / (2 * p)))
     least = need(F.col("n_shingles") + F.col("n_shingles") * 100 / percent, F.col("n_apart") + 1)
-    posts = (
+    posts = written(
         shared.withColumn("n_shared", F.count("*").over(of_member)).where(F.col("n_shared") >= least)
         .withColumn("place", F.row_number().over(of_member.orderBy("df", "shingle"))).where(F.col("place") <= F.col("n_shared") - least + 1)
-        .select("a", "shingle", "rep", "label", "n_shingles", "n_apart", (F.col("n_shared") - F.col("place") + 1).alias("behind"))
+        .select("a", "shingle", "rep", "label", "n_shingles", "n_apart", (F.col("label") == F.col("lead")).alias("leads"), (F.col("n_shared") - F.col("place") + 1).alias("behind")),
+        "shared",
     )
-    other = posts.select("a", "shingle", *[F.col(c).alias(f"{c}_b") for c in ("rep", "label", "n_shingles", "n_apart", "behind")])
+    other = posts.where("not leads").select("a", "shingle", *[F.col(c).alias(f"{c}_b") for c in ("rep", "label", "n_shingles", "n_apart", "behind")])
     # at the first difference that two members share, no more than what is behind it can be shared
     enough = F.least("behind", "behind_b") >= need(F.col("n_shingles") + F.col("n_shingles_b"), F.col("n_apart") + F.col("n_apart_b"))
     near = F.least("n_shingles", "n_shingles_b") * 100 >= F.greatest("n_shingles", "n_shingles_b") * percent
-    return posts.join(other, ["a", "shingle"]).where((F.col("label") < F.col("label_b")) & near & enough).select("rep", F.col("rep_b").alias("a"))
+    once = F.col("leads") | (F.col("label") < F.col("label_b"))
+    return posts.join(other, ["a", "shingle"]).where((F.col("label") != F.col("label_b")) & once & near & enough).select("rep", F.col("rep_b").alias("a"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = 64, match: int | None = None) -> DataFrame:
@@ -161,19 +176,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     their sets' similarity is at least percent / 100.  component_id is the least doc_id
     reachable; kept marks it.
 
-    A null or empty text has the empty set, is linked with nothing and is kept.  Copies
-    and rows repeated under one doc_id share a component.  An empty table gives no rows.
+    A null or empty text has the empty set, is linked with nothing and is kept.  Copies share a
+    component.  Of rows repeated under one doc_id the one with the least text counts, so a doc_id
+    gives one row.  An empty table gives no rows.
     Rows with a null doc_id are left out, other columns are not read.  Long texts are
-    taken whole.
+    taken whole: a text longer than a slice of 1 MB makes a slice of its own.
     """
     match = match or int(k * percent / 100 - 5 * (k * percent / 100 * (1 - percent / 100)) ** 0.5)
-    source = ids_and_texts(docs)
+    source = one_row_per_id(ids_and_texts(docs))
     signed = written(source.mapInArrow(partial(_signatures, width=width, k=k), schema(_SIGNATURES)), "signatures")
     full = signed.where("n_shingles > 0")
     reps = written(full.groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
 
-    spread = F.count("*").over(Window.partitionBy("token"))
-    shared = reps.select("rep", "n_shingles", F.explode("sig").alias("token")).withColumn("df", spread).where("df > 1")
+    tokens = reps.select("rep", "n_shingles", F.explode("sig").alias("token"))
+    shared = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "token")
     of_rep = Window.partitionBy("rep")
     posts = written(
         shared.withColumn("n_shared", F.count("*").over(of_rep))
@@ -186,7 +202,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     )
     wanted = posts.select(F.col("rep").alias("doc_id")).distinct()
     texts = source.join(wanted, "doc_id", "left_semi")
-    sets = written(texts.mapInArrow(partial(_full_sets, width=width), schema(_SETS)).dropDuplicates(["doc_id"]), "sets")
+    sets = written(texts.mapInArrow(partial(_full_sets, width=width), schema(_SETS)), "sets")
 
     lead = F.struct(F.col("weight").alias("w"), (-F.col("rep")).alias("r"), F.col("n_shingles").alias("n"))
     near = F.least("n_shingles", "n_a") * 100 >= F.greatest("n_shingles", "n_a") * percent

@@ -65,6 +65,34 @@ def test_near_duplicates_of_a_hot_group(spark):
     assert got == brute.near_duplicates(rows, 3, 85)
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Of rows under one doc_id the least text counts, whatever the order of rows."""
+    base = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, base + " z"), (1, base + " a"), (2, base + " a"), (3, None), (3, "x"), (3, None), (4, base + " z")]
+    least = {1: base + " a", 2: base + " a", 3: None, 4: base + " z"}
+    for table in (rows, rows[::-1]):
+        got = near_duplicates(spark.createDataFrame(table, "doc_id long, text string"), 3, 85).collect()
+        assert len(got) == 4
+        assert {r[0]: tuple(r)[1:] for r in got} == brute.near_duplicates(sorted(least.items()), 3, 85)
+
+
+def test_near_duplicates_of_many_components_round_one_template(spark):
+    """Families of near copies that differ from a common template alike, by too much to be linked with it."""
+    rng = np.random.default_rng(12)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for family in range(12):
+        own = list(base)
+        for at in rng.choice(190, 6 + family, replace=False):
+            own[at] = f"f{family}-{at}"
+        for member in range(30):
+            w = list(own)
+            for at in rng.choice(190, member % 4, replace=False):
+                w[at] = f"m{family}-{member}-{at}"
+            rows.append((len(rows), " ".join(w)))
+    assert by_id(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85)) == brute.near_duplicates(rows, 3, 85)
+
+
 def test_one_of_each(docs, empty):
     kept = one_of_each(docs)
     want = [i for i, x in brute.near_duplicates(DOCS, 5, 80).items() if x[2]]
