@@ -1,8 +1,8 @@
 """Connected components by alternating large-star and small-star joins.
 
 Every step takes minima by groupBy (combined before the shuffle) and joins them
-back, so that no vertex's neighbours are ever gathered in one row or task; a hot
-vertex is an ordinary skewed join, which adaptive execution splits.
+back, so that no vertex's neighbours are ever gathered in one row or task: the minima are copied to SALTS
+blocks of each vertex, and its neighbours dealt over them.
 """
 
 from __future__ import annotations
@@ -12,16 +12,24 @@ from pyspark.sql import functions as F
 
 from .tables import written
 
+SALTS = 16
+
+
+def _joined(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges with the minimum of their u."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    return salted.join(least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["u", "salt"]).drop("salt")
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _joined(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = _joined(edges, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return least.select("u", F.col("m").alias("v")).unionByName(moved)
 
 
