@@ -7,8 +7,8 @@ Routing.  A window's route is the least hash of its three-word runs, so equal wi
 routes.  Neighbouring windows of a document with one route make a segment, and segments go to shards by route.
 Routes whose run of words the corpus has once cannot repeat; a Bloom filter of fixed size over the
 routes that it has more often keeps the others off the network.  It only lets too much through.
-A route with more than 1/HOT of all segments (so there are at most HOT) is split: its windows
-travel one by one, routed by all their words.
+A route with more than HOT segments is split: its windows travel one by one, routed by all their words.  Such routes
+are known by a Bloom filter too, which splits a few others with them, everywhere alike.
 
 Shards.  Before the shuffle a task settles the segments of which it has met the same words earlier
 in the corpus' order: all their windows are repeats.  What is left of one shard is sorted by (doc_id, start) and
@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fmindex import FMIndex, window_rows
-from .tables import ids_and_texts, one_row_per_id, schema, written
+from .tables import free_name, ids_and_texts, one_row_per_id, schema, written
 from .text import Words, grams, mix, slices
 
-RUN, HOT, FILTER_BITS, SHARD_SEGMENTS = 3, 2000, 26, 8000
+RUN, HOT, FILTER_BITS, SHARD_SEGMENTS = 3, 5000, 26, 8000
 _SEGMENTS = "route long, doc_id long, start int, windows int, words string"
 _SPANS = "doc_id long, first int, last int"
 _ODD = 0xD1342543DE82EF95
@@ -84,11 +84,8 @@ class Segments:
         return np.add.reduceat((self.runs[place] == np.repeat(self.route, sizes)).astype(np.int64), begins)
 
     def split(self, hot: np.ndarray) -> None:
-        """Windows with a hot route get segments and routes of their own."""
-        if not len(hot) or not len(self.least):
-            return
-        place = np.minimum(np.searchsorted(hot, self.least), len(hot) - 1)
-        single = hot[place] == self.least
+        """Windows with a hot route, by the filter's bits, get segments and routes of their own."""
+        single = _passes(self.least, hot)
         if single.any():
             self._cut(self.doc, self.whole, np.where(single, self.contents(np.arange(len(self.least)), self.window), self.least), single)
 
@@ -127,13 +124,24 @@ def _passes(route: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return out
 
 
-def _shipped(batches: Iterator[pa.RecordBatch], window: int, shared, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _filter(routes: DataFrame) -> np.ndarray:
+    """The bits of a Bloom filter over the routes, made by Spark: at most 2^FILTER_BITS of them, in words of 64."""
+    mask = (1 << FILTER_BITS) - 1
+    placed = routes.select(F.explode(F.array(*(F.shiftrightunsigned("route", s).bitwiseAND(mask) for s in (0, 32)))).alias("b"))
+    cells = placed.groupBy(F.shiftright("b", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits")).toArrow().to_pandas()
+    bits = np.zeros(1 << FILTER_BITS - 6, np.uint64)
+    bits[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64).view(np.uint64)
+    return bits
+
+
+def _shipped(batches: Iterator[pa.RecordBatch], window: int, shared, hot) -> Iterator[pa.RecordBatch]:
     bits = shared.value
     seen: dict[int, tuple[int, int]] = {}
     for batch in slices(batches, "text"):
         words = Words(batch.column("text"))
         found = Segments(words, window)
-        found.split(hot)
+        if hot is not None:
+            found.split(hot.value)
         # windows with a route of their own passed the filter by their hot route
         go = np.flatnonzero(_passes(found.least[found.at], bits)) if len(found.at) else found.at
         if not len(go):
@@ -183,10 +191,10 @@ def _shard_spans(rows: pd.DataFrame, window: int) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": rows["doc_id"].to_numpy()[segment[new]], "first": word[new].astype(np.int32), "last": (word[stop] + window).astype(np.int32)})
 
 
-def _stayed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+def _stayed(batch: pa.RecordBatch, spans_in: str = "spans") -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Words, removed words and what stays of each text, joined by one space."""
     words = Words(batch.column("text"))
-    spans = batch.column("spans")
+    spans = batch.column(spans_in)
     flat = spans.flatten()
     base = np.repeat(words.first[:-1], pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False))
     cover = np.zeros(len(words) + 1, np.int64)
@@ -214,15 +222,15 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept"])
 
 
-def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The columns but spans, with the texts that lose words replaced, and dropped if nothing stays."""
+def _cleaned(batches: Iterator[pa.RecordBatch], spans_in: str) -> Iterator[pa.RecordBatch]:
+    """The columns but the spans, with the texts that lose words replaced, and dropped if nothing stays."""
     for batch in slices(batches, "text"):
-        _, removed, texts = _stayed(batch)
+        _, removed, texts = _stayed(batch, spans_in)
         changed = pa.array(removed > 0)
         text = pc.if_else(changed, texts, batch.column("text").cast(pa.string()))
         size = pc.if_else(changed, pc.utf8_length(text).cast(pa.int64()), batch.column("n_chars"))
         new = {"text": text, "n_chars": size}
-        names = [c for c in batch.schema.names if c != "spans"]
+        names = [c for c in batch.schema.names if c != spans_in]
         out = pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names=names)
         yield out.filter(pc.invert(pc.and_(changed, pc.fill_null(pc.equal(text, ""), False))))
 
@@ -233,15 +241,10 @@ def repeated_spans(source: DataFrame, window: int) -> DataFrame:
     counts = written(
         source.mapInArrow(partial(_routes, window=window), schema("route long, n long")).groupBy("route").agg(F.sum("n").alias("n")).where("n > 1"), "routes"
     )
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    hot = counts.where(F.col("n") > max(5000, total // HOT)).select("route").toArrow().to_pandas()["route"].to_numpy(np.int64)
-    mask = (1 << FILTER_BITS) - 1
-    placed = counts.select(F.explode(F.array(*(F.shiftrightunsigned("route", s).bitwiseAND(mask) for s in (0, 32)))).alias("b"))
-    cells = placed.groupBy(F.shiftright("b", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits")).toArrow().to_pandas()
-    bits = np.zeros(1 << FILTER_BITS - 6, np.uint64)
-    bits[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64).view(np.uint64)
-    shared = spark.sparkContext.broadcast(bits)  # 8 MB, whatever the input
-    hot = np.sort(hot.view(np.uint64))
+    # 8 MB each, whatever the input
+    shared = spark.sparkContext.broadcast(_filter(counts))
+    busy = counts.where(F.col("n") > HOT)
+    hot = None if busy.isEmpty() else spark.sparkContext.broadcast(_filter(busy))
     segments = written(source.mapInArrow(partial(_shipped, window=window, shared=shared, hot=hot), schema(_SEGMENTS)), "segments")
     settled = segments.where("words is null").select("doc_id", F.col("start").alias("first"), (F.col("start") + F.col("windows") + window - 1).cast("int").alias("last"))
     open_rows = segments.where("words is not null")
@@ -259,7 +262,8 @@ def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
     earlier in the document.  Windows are judged on the input.
 
     Null and empty texts have no words.  Of rows repeated under one doc_id the one with the least
-    text counts; rows with a null doc_id are left out; an empty table gives no rows.
+    text counts; rows with a null doc_id are left out; other columns are not read; an empty table gives no rows.
+    Long texts are taken whole: a text longer than a slice of 1 MB makes a slice of its own, of some 50 bytes for each of its own.
     """
     source = one_row_per_id(ids_and_texts(docs))
     spans = repeated_spans(source, window).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
@@ -268,7 +272,9 @@ def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
 
 def without_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     """The documents with the repeated words taken out of the texts in which there are any; a text of which
-    nothing stays is dropped.  Texts without repeats stay as they are.  Needs a long n_chars column."""
+    nothing stays is dropped.  Texts without repeats stay as they are, null and empty ones too.  Needs a long n_chars column;
+    other columns are kept, whatever they are called."""
     docs = one_row_per_id(docs)
-    spans = repeated_spans(ids_and_texts(docs), window).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    return docs.join(spans, "doc_id", "left").select(*docs.columns, "spans").mapInArrow(_cleaned, docs.schema)
+    spans_in = free_name(docs, "spans")
+    spans = repeated_spans(ids_and_texts(docs), window).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias(spans_in))
+    return docs.join(spans, "doc_id", "left").select(*docs.columns, spans_in).mapInArrow(partial(_cleaned, spans_in=spans_in), docs.schema)
