@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .hashed import BUCKETS, class_counts, drawn_labels, summed
 from .rules import label_rows
-from .tables import ids_and_texts, literal_array, written
+from .tables import free_name, ids_and_texts, written
 
 DOMAINS = ["clean", "low", "toxic"]
 TARGETS = {"clean": 0.96, "low": 0.02, "toxic": 0.02}
@@ -70,44 +70,55 @@ def _rate(steps: list[list[float]]) -> Column:
     return rate
 
 
-def fitted_rates(mass: DataFrame, targets: list[float], steps: int = 12, tolerance: float = 1e-6) -> Column:
-    """The rate column for rows of n_tokens and p, under which domain totals come nearest to targets."""
+def fitted_rates(mass: DataFrame, targets: list[float], steps: int = 60, tolerance: float = 1e-6) -> tuple[Column, float]:
+    """The rate column for rows of n_tokens and p, under which domain totals come nearest to targets, and how
+    far the farthest of them stays off, as a share of all.
+
+    Steps are taken until that share is within the tolerance, or the sum of squares falls no more: then no rates meet the targets
+    (a domain that no document may belong to, say), or `steps` are done.
+    """
     taken: list[list[float]] = []
     n, goal = len(targets), np.array(targets, float)
-    for _ in range(steps):
+    best: tuple[float, int, float] | None = None
+    while True:
         rate = _rate(taken)
         mine = [F.col("p")[d] for d in range(n)]
         sums = [F.sum(rate * F.col("n_tokens") * x) for x in mine]
         gram = [F.sum(F.when(rate > 0, F.col("n_tokens") * mine[a] * mine[b])) for a in range(n) for b in range(n)]
         got = [float(x or 0) for x in mass.agg(*sums, *gram).first()]
         off = np.array(got[:n]) - goal
-        if np.abs(off).max() <= tolerance * max(1.0, goal.sum()):
-            break
+        worst, square = float(np.abs(off).max() / max(1.0, goal.sum())), float((off**2).sum())
+        if worst <= tolerance or len(taken) == steps:
+            return _rate(taken), worst
+        if best and square >= best[0] * (1 - 1e-9):
+            return _rate(taken[: best[1]]), best[2]
+        best = (square, len(taken), worst)
         matrix = np.array(got[n:]).reshape(n, n)
         taken.append(np.linalg.lstsq(matrix + 1e-9 * max(1.0, np.trace(matrix)) * np.eye(n), off, rcond=None)[0].tolist())
-    return _rate(taken)
 
 
 def mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = TARGETS, tokens: float | None = None, sample: int = 20_000, seed: int = 5) -> DataFrame:
-    """Documents -> doc_id, n_tokens, p, rate, copies.
+    """Documents -> doc_id, n_tokens, p, rate, copies, residual.
 
     weights: the share of each domain in the mixture, scaled to sum 1; tokens: its size,
     by default that of the documents.  copies is the rate rounded up or down by a hash
-    of doc_id, with its mean at the rate.
+    of doc_id, with its mean at the rate.  residual, one number for all rows, is how far the farthest domain's total stays off
+    its target, as a share of all tokens: over 1e-6 only if no rates meet the targets.
 
-    Null and empty texts have no tokens and even posteriors.  Rows repeated under one
-    doc_id each get the rate; rows with a null doc_id are left out; an empty table gives no rows.
+    Null and empty texts have no tokens and even posteriors; long texts are taken whole, in slices.  Rows repeated under one
+    doc_id each get the rate; rows with a null doc_id are left out; other columns are not read; an empty table gives no rows.
+    Of temperatures that fit alike the lower one is taken.  Words that share one of the 65,536 hash buckets count as one word.
     """
     mass = written(posteriors(docs, labels, sample), "posteriors")
     total = tokens if tokens is not None else float(mass.agg(F.sum("n_tokens")).first()[0] or 0)
     scale = sum(weights.values()) or 1.0
-    rate = fitted_rates(mass, [total * weights.get(d, 0.0) / scale for d in DOMAINS])
+    rate, residual = fitted_rates(mass, [total * weights.get(d, 0.0) / scale for d in DOMAINS])
     uniform = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    return mass.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + uniform).cast("long"))
+    return mass.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + uniform).cast("long")).withColumn("residual", F.lit(residual))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
-    """The documents, each as often as its copies say."""
-    times = mixture(docs, labels, **settings).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    repeated = F.explode(F.sequence(F.lit(1), F.col("_copies")))
-    return docs.join(times.withColumnRenamed("copies", "_copies"), "doc_id").withColumn("_copy", repeated).select(*docs.columns)
+    """The documents, each as often as its copies say, with their columns, whatever these are called; a row without a doc_id goes."""
+    copies, copy = free_name(docs, "copies"), free_name(docs, "copy")
+    times = mixture(docs, labels, **settings).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias(copies))
+    return docs.join(times, "doc_id").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
