@@ -118,8 +118,9 @@ def importance(docs: DataFrame, labels: DataFrame, keep: int | None = None, samp
     labelled rows' draws, where a clean row lost counts as `cost` low or toxic rows kept.  With no labelled
     good row, or none of the others, everything is kept.
 
-    A null or empty text has log weight 0.  Rows repeated under one doc_id share the
-    draw; rows with a null doc_id are left out; an empty table gives no rows.
+    A null or empty text has log weight 0; long texts are taken whole, in slices.  Rows repeated under one doc_id share the
+    draw; rows with a null doc_id are left out; other columns are not read; an empty table gives no rows.
+    Words and pairs that share one of the 65,536 hash buckets count as one.
     """
     source = ids_and_texts(docs)
     known = label_rows(labels).select("doc_id", (F.col("quality") != 1).alias("low"), (F.col("toxic") != 0).alias("toxic"))
@@ -144,8 +145,9 @@ def importance(docs: DataFrame, labels: DataFrame, keep: int | None = None, samp
     if keep is None:
         rows = keyed.join(known, "doc_id").select(F.col("log_weight").alias("value"), (~(F.col("low") | F.col("toxic"))).alias("good"))
         bound = _bound(counted_labels(rows, 100), cost) if odds else None
-    else:
-        bound = float("inf") if keep < 1 else kth_largest(keyed, "key", keep)
+        keep = None if bound is None else keyed.where(F.col("key") >= bound).count()
+    # the Gumbel top-k: everything down to the k-th largest key
+    bound = None if keep is None else float("inf") if keep < 1 else kth_largest(keyed, "key", keep)
     return keyed.withColumn("kept", F.lit(True) if bound is None else F.col("key") >= F.lit(bound))
 
 
