@@ -2,6 +2,10 @@
 
 Everything is column expressions, joins and Spark's own tree learner; no Python runs on
 the executors.  The labelled URLs are those that a rule decides.
+
+Suffix statistics count sites (the last two labels of a host), not pages: how often the labelled sites under a host's
+last label are blocked, without the page's own site, so that one large site, or the rule that
+names it, does not speak for all others under its ending.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from pyspark.sql import functions as F
 from .tables import written
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-FEATURES = ["url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "dash_ratio", "entropy", "parameters", "values", "secure", "suffix_rate", "suffix_pages"]
+FEATURES = ["url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "dash_ratio", "entropy", "parameters", "values", "secure", "suffix_rate", "suffix_sites"]
 
 Rule = tuple[str, str, str]
 
@@ -56,10 +60,25 @@ def lexical_features(pages: DataFrame) -> DataFrame:
         "url_length": F.length(url).cast("double"), "host_length": F.length("_host").cast("double"), "path_length": F.length("_path").cast("double"),
         "depth": _count(F.col("_path"), "/"), "labels": _count(F.col("_host"), "[.]"), "digit_ratio": _count(url, "[0-9]") / size,
         "dash_ratio": _count(url, "[-_]") / size, "entropy": _entropy(url), "parameters": _count(url, "[?&]"), "values": _count(url, "="),
-        "secure": F.lower(url).startswith("https").cast("double"), "suffix": F.substring_index("_host", ".", -1),
+        "secure": F.lower(url).startswith("https").cast("double"), "suffix": F.substring_index("_host", ".", -1), "site": F.substring_index("_host", ".", -2),
     })
 
 
+def suffix_statistics(rows: DataFrame, lean: float = 10.0) -> DataFrame:
+    """Rows (suffix, site, block: 1, 0 or null) with suffix_rate and suffix_sites.
+
+    suffix_rate: the mean over the other labelled sites under the suffix of how often they are blocked, with `lean` sites at the
+    mean of all labelled sites added; suffix_sites: the log of how many sites are under the suffix.
+    """
+    sites = rows.groupBy("suffix", "site").agg(F.avg("block").alias("own"))
+    mean = sites.agg(F.avg("own")).first()[0] or 0.0
+    suffixes = sites.groupBy("suffix").agg(F.coalesce(F.sum("own"), F.lit(0.0)).alias("blocked"), F.count("own").alias("labelled"), F.count("*").alias("sites"))
+    known = rows.join(suffixes, "suffix").join(sites.select("suffix", "site", "own"), ["suffix", "site"])
+    others = F.col("labelled") - F.when(F.col("own").isNull(), 0).otherwise(1)
+    rate = (F.col("blocked") - F.coalesce("own", F.lit(0.0)) + lean * mean) / (others + lean)
+    return known.withColumns({"suffix_rate": rate, "suffix_sites": F.log("sites").cast("double")}).drop("blocked", "sites", "labelled", "own")
+
+
 def url_verdicts(pages: DataFrame, rules: list[Rule], trees: int = 10, depth: int = 4, seed: int = 1) -> DataFrame:
     """Pages -> page_id, host, path, rule, verdict, block_score.
 
@@ -68,7 +87,9 @@ def url_verdicts(pages: DataFrame, rules: list[Rule], trees: int = 10, depth: in
     gets that one verdict.  block_score is null where no trees are grown.
 
     A null URL, or one without ://, has an empty host and path.  Rows repeated under one page_id are
-    each judged; null page_ids stay; an empty table gives no rows.
+    each judged; null page_ids stay; other columns are not read; an empty table gives no rows.  Long URLs are taken whole; the
+    entropy's time grows with their length times their distinct characters.  Rules that fit alike are told apart by length, then by
+    the later in order of their text.
     """
     named = pages.select("page_id", F.col("url").cast("string").alias("_url"))
     host, path = host_and_path(F.col("_url"))
@@ -76,17 +97,15 @@ def url_verdicts(pages: DataFrame, rules: list[Rule], trees: int = 10, depth: in
     rule, verdict = rule_columns(rules)
     ruled = split.withColumns({"rule": rule, "given": verdict})
     rows = written(lexical_features(ruled).withColumn("block", F.when(F.col("given").isNotNull(), (F.col("given") == "block").cast("double"))), "urls")
-    # how often a host's last label is blocked among the labelled, leaning on the mean
     totals = rows.agg(F.count("block"), F.sum("block")).first()
     n, blocked = totals[0], totals[1] or 0.0
     if n == 0 or blocked in (0.0, float(n)):
         rest = "block" if n and blocked else "allow"
         return rows.select("page_id", F.col("_host").alias("host"), F.col("_path").alias("path"), "rule", F.coalesce("given", F.lit(rest)).alias("verdict"), F.lit(None).cast("double").alias("block_score"))
-    suffixes = rows.groupBy("suffix").agg(
-        ((F.sum(F.coalesce("block", F.lit(0.0))) + 10 * blocked / n) / (F.count("block") + 10)).alias("suffix_rate"), F.log1p(F.count("*")).alias("suffix_pages")
-    )
-    full = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows.join(suffixes, "suffix"))
-    learner = GBTClassifier(featuresCol="features", labelCol="block", maxIter=trees, maxDepth=depth, seed=seed, stepSize=0.3, maxBins=32)
+    full = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(suffix_statistics(rows))
+    # both verdicts weigh alike: how many pages the rules happen to fit says nothing about the others
+    full = full.withColumn("weight", F.when(F.col("block") > 0, n / (2 * blocked)).otherwise(n / (2 * (n - blocked))))
+    learner = GBTClassifier(featuresCol="features", labelCol="block", weightCol="weight", maxIter=trees, maxDepth=depth, seed=seed, stepSize=0.3, maxBins=32)
     model = learner.fit(full.where("block is not null"))
     score = F.element_at(_as_array("probability"), 2)
     return model.transform(full).select(
