@@ -1,16 +1,22 @@
 """Language-model scores from Brown class-based bigrams.
 
-Every word has a unit: the `heads` commonest words have one each, the others share
-`tails` units by their last two bytes.  Exchange clustering moves units between classes as
-long as that raises the likelihood of the corpus' class bigrams.  A text's probability is
-the product of P(class | class before) and P(word | class) over its words and its end,
-both smoothed by adding one.
+A text's probability is the product of P(class | class before) and P(word | class) over its words and its end,
+both smoothed by adding one.  Every word has a class, by exchange clustering:
 
-All counts are taken over all training documents.  A word's count reaches the texts by
+* the `heads` commonest words, and `tails` units that hold all other words by their last two
+  bytes, are exchanged one by one between classes as long as that raises the likelihood of the class bigrams;
+* then every other word that stands `least` times or more leaves its unit: in each round all such words go at once to the class under
+  which the classes before and after them are likeliest, and the class counts are made anew, until a round
+  gains no more.  Such a round never lowers the likelihood but for the smoothing.  Neighbours are named by their unit's class meanwhile, so
+  a word's neighbours are one short row of counts that all rounds read;
+* words that stand less often stay in their unit, and so do unseen ones.
+
+So the clustered words grow with the corpus, and the number of classes with the cube root of its vocabulary.
+
+All counts are taken over all training documents.  Words meet their counts and classes by
 chunks: a task names the distinct words of each chunk of texts once, those names are
-joined to the counts, and the chunk's texts are summed where its counts arrive.  So no
-vocabulary is broadcast and nothing is moved once per word of text, but for the `common`
-commonest words, a list of fixed size whose counts tasks hold.
+joined to the words' table, and the chunk's texts are summed where the answers arrive.  So no
+vocabulary is broadcast or gathered, and nothing is moved once per word of text but its place in the chunk's list.
 """
 
 from __future__ import annotations
@@ -25,11 +31,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import ids_and_texts, schema, written
-from .text import Words, slices
+from .tables import ids_and_texts, literal_array, partitions, schema, written
+from .text import Words, lists, mix, slices
 
 END = np.uint64(0x5851F42D4C957F2D)
-CHUNK_WORDS = 2_000_000
+CHUNK_WORDS = 1_000_000
 _MERGE_AT = 3_000_000
 
 
@@ -92,140 +98,275 @@ def _pairs(batches: Iterator[pa.RecordBatch], heads: np.ndarray, tails: int) ->
     yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["pair", "n"])
 
 
-def exchange_clusters(pairs: np.ndarray, classes: int, sweeps: int = 6) -> np.ndarray:
+def _contexts(batches: Iterator[pa.RecordBatch], heads: np.ndarray, tails: int, cls: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """name, code, n of words that are no heads: code is the class before a word, or the number of classes and the class behind it."""
+    classes = int(cls.max()) + 1
+    end = cls[_units(np.array([END]), np.zeros(1, np.int64), heads)[0]]
+    held: list[list[np.ndarray]] = [[], [], []]
+    size = 0
+
+    def rows() -> pa.RecordBatch:
+        names, codes, counts = (np.concatenate(x) for x in held)
+        _, first, place = np.unique(names + mix(codes.astype(np.uint64) + np.uint64(1)), return_index=True, return_inverse=True)
+        total = np.bincount(place, counts).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(names[first].view(np.int64)), pa.array(codes[first], pa.int32()), pa.array(total)], names=["name", "code", "n"])
+
+    for batch in slices(batches, "text"):
+        names, tail, _ = _tokens(batch, tails)
+        unit = _units(names, tail, heads)
+        of = cls[unit]
+        free = np.flatnonzero(unit >= len(heads))
+        before = np.concatenate([[end], of[:-1]])[free] if len(of) else of
+        # a word has its text's end behind it at least
+        codes = np.concatenate([before, classes + of[np.minimum(free + 1, len(of) - 1)]]) if len(of) else of
+        both = np.concatenate([names[free], names[free]])
+        _, first, n = np.unique(both + mix(codes.astype(np.uint64) + np.uint64(1)), return_index=True, return_counts=True)
+        for part, x in zip(held, (both[first], codes[first], n), strict=True):
+            part.append(x)
+        size += len(first)
+        if size > _MERGE_AT:
+            yield rows()
+            held, size = [[], [], []], 0
+    if size:
+        yield rows()
+
+
+def exchange_clusters(pairs: np.ndarray, classes: int, sweeps: int = 30) -> np.ndarray:
     """The class of each unit: units move one by one to the class that raises the sum over class pairs of n log n,
-    less the sums over classes, until a sweep moves none."""
+    less the sums over classes, until a sweep moves none or `sweeps` are done."""
     units = len(pairs)
     order = np.argsort(-pairs.sum(axis=0), kind="stable")
     cls = np.zeros(units, np.int64)
-    cls[order] = np.minimum(np.arange(units), np.arange(units) % classes)
-    one = np.eye(classes)
+    cls[order] = np.arange(units) % classes
+    # how often each unit stands before and behind each class, and the class pairs; kept up to date move by move
+    to, of = pairs @ np.eye(classes)[cls], pairs.T @ np.eye(classes)[cls]
+    m = np.eye(classes)[cls].T @ to
     f = lambda x: x * np.log(np.maximum(x, 1e-300))
     for _ in range(sweeps):
         moved = 0
         for u in order:
-            spread = one[cls]
-            spread[u] = 0
-            rest = spread.T @ pairs @ spread
-            row, column, own = pairs[u] @ spread, spread.T @ pairs[:, u], pairs[u, u]
-            left, right = rest.sum(axis=1), rest.sum(axis=0)
+            old, own = cls[u], pairs[u, u]
+            row, column = to[u].copy(), of[u].copy()
+            row[old] -= own
+            column[old] -= own
+            m[old] -= row
+            m[:, old] -= column
+            m[old, old] -= own
             # what the sum gains when u joins class c: row c, column c, and the totals change
-            gain = f(rest + row[None, :]).sum(axis=1) - f(rest).sum(axis=1)
-            gain += f(rest + column[:, None]).sum(axis=0) - f(rest).sum(axis=0)
-            d = np.diag(rest)
+            base = f(m)
+            gain = (f(m + row[None, :]) - base).sum(axis=1) + (f(m + column[:, None]) - base).sum(axis=0)
+            d, left, right = np.diag(m), m.sum(axis=1), m.sum(axis=0)
             gain += f(d + row + column + own) - f(d + row) - f(d + column) + f(d)
             a, b = row.sum() + own, column.sum() + own
             before_l, before_r = f(left + column).sum() - f(left + column), f(right + row).sum() - f(right + row)
             gain -= before_l + f(left + column + a) + before_r + f(right + row + b)
-            best = int(np.argmax(gain))
-            if best != cls[u] and gain[best] > gain[cls[u]] + 1e-9 * max(1.0, abs(gain[best])):
-                cls[u] = best
+            new = int(np.argmax(gain))
+            if new == old or gain[new] <= gain[old] + 1e-9 * max(1.0, abs(gain[new])):
+                new = old
+            m[new] += row
+            m[:, new] += column
+            m[new, new] += own
+            if new != old:
+                cls[u] = new
+                to[:, old] -= pairs[:, u]
+                to[:, new] += pairs[:, u]
+                of[:, old] -= pairs[u]
+                of[:, new] += pairs[u]
                 moved += 1
         if not moved:
             break
     return cls
 
 
-def _chunked(batches: Iterator[pa.RecordBatch], tails: int, heads: np.ndarray, weight: np.ndarray, cls: np.ndarray, common: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of texts and, for each chunk of texts, the distinct names that the task has no count for.
+def _likelihood(counts: np.ndarray) -> float:
+    """The log likelihood of what stands before and behind, given the classes; counts [class before, and behind; class]."""
+    f = lambda x: x * np.log(np.maximum(x, 1e-300))
+    half = len(counts) // 2
+    return float(f(counts).sum() - f(counts[:half].sum(axis=0)).sum() - f(counts[half:].sum(axis=0)).sum())
+
+
+def _table(counts: np.ndarray) -> np.ndarray:
+    """log P(code | class), each side of its own, smoothed by adding a half."""
+    half = len(counts) // 2
+    sides = (counts[:half] + 0.5, counts[half:] + 0.5)
+    return np.concatenate([np.log(x / x.sum(axis=0)) for x in sides])
+
+
+def _codes(batch: pa.RecordBatch, codes: int) -> np.ndarray:
+    out = np.zeros((batch.num_rows, codes))
+    found = batch.column("found")
+    row = np.repeat(np.arange(batch.num_rows), found.value_lengths().to_numpy())
+    flat = found.flatten()
+    out[row, flat.field("code").to_numpy()] = flat.field("n").to_numpy()
+    return out
+
+
+def _chosen(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Each word's likeliest class, the first of equals."""
+    for batch in batches:
+        best = (_codes(batch, len(table)) @ table).argmax(axis=1) if batch.num_rows else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(best, pa.int32())], names=["name", "class"])
+
+
+def _changed(batches: Iterator[pa.RecordBatch], table: np.ndarray, of_tail: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """What the counts [code, class] change by, as one row of numbers, when the task's words leave their units for the likeliest classes."""
+    total = np.zeros(table.shape)
+    one = np.eye(table.shape[1])
+    for batch in batches:
+        if batch.num_rows:
+            codes = _codes(batch, len(table))
+            total += codes.T @ (one[(codes @ table).argmax(axis=1)] - one[of_tail[batch.column("tail").to_numpy()]])
+    yield pa.RecordBatch.from_arrays([lists(total.ravel(), np.array([0, total.size]), pa.float64())], names=["change"])
+
+
+def word_classes(vectors: DataFrame, counts: np.ndarray, of_tail: np.ndarray, rounds: int = 10, tolerance: float = 1e-5) -> DataFrame:
+    """Words (name, tail, found: their codes and numbers) -> name, class, from the counts [code, class] with all of them in their tails' classes."""
+    table, now, best = _table(counts), counts, _likelihood(counts)
+    for _ in range(rounds):
+        parts = vectors.mapInArrow(partial(_changed, table=table, of_tail=of_tail), schema("change array<double>"))
+        summed = parts.select(F.posexplode("change").alias("place", "x")).groupBy("place").agg(F.sum("x").alias("x")).toArrow().to_pandas()
+        change = np.zeros(counts.size)
+        change[summed["place"]] = summed["x"]
+        now = np.maximum(0.0, counts + change.reshape(counts.shape))
+        value = _likelihood(now)
+        if value <= best + tolerance * abs(best):
+            break
+        table, best = _table(now), value
+    return vectors.mapInArrow(partial(_chosen, table=table), schema("name long, class int"))
 
-    weight[class before, class]: log10 of the transition less log10 of the class' size.
-    """
+
+def _chunked(batches: Iterator[pa.RecordBatch], tails: int) -> Iterator[pa.RecordBatch]:
+    """Rows of texts with the places of their words in the chunk's list, and for each chunk of texts that list: distinct names and tails."""
     part, chunk, held = TaskContext.get().partitionId(), 0, 0
-    names_of = ["chunk", "doc_id", "n_tokens", "n_common", "sum_common", "sum_class", "rare"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64())]
-    end = int(_units(np.array([END]), np.zeros(1, np.int64), heads)[0])
+    names_of = ["chunk", "doc_id", "words", "names", "tails"]
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
     seen: dict[int, int] = {}
+    listed: list[np.ndarray] = []
 
     def row(columns: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x, k) if not isinstance(x, pa.Array) else x for x, k in zip(columns, kinds, strict=True)], names=names_of)
 
     def names_row() -> pa.RecordBatch:
-        listed = np.fromiter(seen, np.uint64, len(seen)).view(np.int64)
-        return row([[part << 32 | chunk], [None], [None], [None], [None], [None], [listed]])
+        names = np.fromiter(seen, np.uint64, len(seen)).view(np.int64)
+        return row([[part << 32 | chunk], [None], [None], [names], [np.concatenate(listed)]])
 
     for batch in slices(batches, "text"):
         names, tail, first = _tokens(batch, tails)
-        unit = cls[_units(names, tail, heads)]
-        before = np.concatenate([[cls[end]], unit[:-1]])
-        at = np.minimum(np.searchsorted(common, names), max(0, len(common) - 1))
-        known = common[at] == names if len(common) else np.zeros(len(names), bool)
-        logs = np.where(known, np.log10(counts[at] + 1.0) if len(common) else 0.0, 0.0)
-        rare_names, place = np.unique(names[~known], return_inverse=True)
-        local = np.fromiter((seen.setdefault(x, len(seen)) for x in rare_names.tolist()), np.int64, len(rare_names))
-        rare_at = np.concatenate([[0], np.cumsum(~known)])[first]
-        rare = pa.ListArray.from_arrays(pa.array(rare_at, pa.int32()), pa.array(local[place], pa.int64()))
-        sums = [np.add.reduceat(x, first[:-1]) for x in (known.astype(np.int64), logs, weight[before, unit])]
+        every, at, place = np.unique(names, return_index=True, return_inverse=True)
+        known = len(seen)
+        local = np.fromiter((seen.setdefault(x, len(seen)) for x in every.tolist()), np.int64, len(every))
+        listed.append(tail[at][local >= known])
         held += len(names)
-        yield row([np.full(len(first) - 1, part << 32 | chunk), batch.column("doc_id"), np.diff(first), *sums, rare])
+        n = batch.num_rows
+        yield row([np.full(n, part << 32 | chunk), batch.column("doc_id"), lists(local[place], first, pa.int32()), [None] * n, [None] * n])
         if held > CHUNK_WORDS:
             yield names_row()
-            chunk, held, seen = chunk + 1, 0, {}
+            chunk, held, seen, listed = chunk + 1, 0, {}, []
     if seen:
         yield names_row()
 
 
-def _summed(texts: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-    sizes = texts["rare"].map(len).to_numpy()
-    places = np.concatenate([*texts["rare"], np.zeros(0, np.int64)]).astype(np.int64)
-    # a name without a count is one that no training text has
-    n = np.zeros(int(max(places.max(initial=-1), counts["place"].max() if len(counts) else -1)) + 1, np.int64)
-    n[counts["place"]] = counts["n"]
-    found = n[places]
-    doc = np.repeat(np.arange(len(texts)), sizes)
-    logs = np.bincount(doc, np.log10(found + 1.0), minlength=len(texts))
-    known = np.bincount(doc, found > 0, minlength=len(texts)).astype(np.int64)
-    return pd.DataFrame({
-        "doc_id": texts["doc_id"].astype("int64"), "n_tokens": texts["n_tokens"].astype("int64"), "n_known": texts["n_common"].astype("int64") + known,
-        "sum_word": texts["sum_common"] + logs, "sum_class": texts["sum_class"],
-    })
+def _looked_up(texts: pd.DataFrame, words: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts and classes of all words of the texts, and where texts begin, one more than texts."""
+    first = np.concatenate([[0], np.cumsum(texts["words"].map(len).to_numpy())]).astype(np.int64)
+    places = np.concatenate([*texts["words"], np.zeros(0, np.int32)]).astype(np.int64)
+    n, cls = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+    n[words["place"]], cls[words["place"]] = words["n"], words["class"]
+    return n[places], cls[places], first
+
+
+def _before(cls: np.ndarray, first: np.ndarray, end: int) -> np.ndarray:
+    out = np.roll(cls, 1)
+    out[first[:-1]] = end
+    return out
+
+
+def _moves(texts: pd.DataFrame, words: pd.DataFrame, classes: int, end: int) -> pd.DataFrame:
+    """How often each class follows each class in the chunk's texts."""
+    if not len(texts):
+        return pd.DataFrame({"move": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64")})
+    _, cls, first = _looked_up(texts, words)
+    total = np.bincount(_before(cls, first, end) * classes + cls, minlength=classes * classes)
+    found = np.flatnonzero(total)
+    return pd.DataFrame({"move": found, "n": total[found]})
+
+
+def _summed(texts: pd.DataFrame, words: pd.DataFrame, weight: np.ndarray, end: int) -> pd.DataFrame:
+    """weight[class before, class]: log10 of the transition less log10 of the class' size."""
+    n, cls, first = _looked_up(texts, words)
+    moves = weight[_before(cls, first, end), cls]
+    sums = [np.add.reduceat(x, first[:-1]) if len(texts) else x for x in (n > 0, np.log10(n + 1.0), moves)]
+    return pd.DataFrame({"doc_id": texts["doc_id"].astype("int64"), "n_tokens": np.diff(first), "n_known": sums[0].astype(np.int64), "sum_word": sums[1], "sum_class": sums[2]})
 
 
-def class_scores(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 7 = 2", heads: int = 400, tails: int = 112, classes: int = 40, common: int = 20_000) -> DataFrame:
+def class_scores(
+    docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 7 = 2", heads: int = 1000, tails: int = 256, least: int = 5, classes: int | None = None
+) -> DataFrame:
     """Documents -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     Words are lowered in A-Z; a text's end is one more token.  Documents for which held_out
     is true are scored but not learned from.  base_score: the sum of log10((c + 1) /
     (N + V + 1)) over unigrams; score: the class model's log10 probability of the text.
+    classes: by default the cube root of the number of distinct words, within 16 to 256.
 
     Null and empty texts are an end alone.  Rows repeated under one doc_id are each
-    counted and scored; rows with a null doc_id are left out; an empty table gives no rows.
+    counted and scored; rows with a null doc_id are left out; other columns are not read; an empty table gives no rows.
+    Long texts are taken whole, as a slice and, beyond a chunk's words, a chunk of their own.  Among words equally common
+    the one with the lesser hash is a head first; among equally likely classes a word takes the first.
     """
     source = ids_and_texts(docs)
+    spark = docs.sparkSession
     train = source.where(f"not ({held_out})").select("text")
     per_task = train.mapInArrow(partial(_counted, tails=tails), schema("name long, tail int, n long"))
     counts = written(per_task.groupBy("name").agg(F.sum("n").alias("n"), F.min("tail").alias("tail")), "counts")
     n_tokens, n_words = counts.agg(F.sum("n"), F.count("*")).first()
     n_tokens = n_tokens or 0
-    top = counts.orderBy(F.desc("n"), "name").limit(common).toArrow().to_pandas()
-    top_names, top_n = top["name"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
-    head_names = np.sort(top_names[:heads])
+    # at most `heads` words
+    top = counts.orderBy(F.desc("n"), "name").limit(heads).select("name").toArrow().to_pandas()["name"].to_numpy(np.int64).view(np.uint64)
+    top = np.unique(np.append(top, END))
+    units = len(top) + tails
+    classes = min(units, classes or int(np.clip(round(n_words ** (1 / 3)), 16, 256)))
 
-    units = len(head_names) + tails
-    paired = train.mapInArrow(partial(_pairs, heads=head_names, tails=tails), schema("pair long, n long")).groupBy("pair").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    paired = train.mapInArrow(partial(_pairs, heads=top, tails=tails), schema("pair long, n long")).groupBy("pair").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     pairs = np.zeros(units * units)
     pairs[paired["pair"]] = paired["n"]
     pairs = pairs.reshape(units, units)
-    cls = exchange_clusters(pairs, min(classes, units))
-    spread = np.eye(min(classes, units))[cls]
+    cls = exchange_clusters(pairs, classes)
+    cls = np.unique(cls, return_inverse=True)[1]
+    classes = int(cls.max()) + 1
+    of_tail, end = cls[len(top) :], int(cls[np.searchsorted(top, END)])
+
+    # the other words: their neighbours' classes, a row of at most 2 * classes numbers each
+    found = train.mapInArrow(partial(_contexts, heads=top, tails=tails, cls=cls), schema("name long, code int, n long")).repartition(partitions(spark), "name")
+    found = found.groupBy("name", "code").agg(F.sum("n").alias("n")).groupBy("name").agg(F.collect_list(F.struct("code", "n")).alias("found"))
+    vectors = written(found.join(counts.where(F.col("n") >= least).select("name", "tail"), "name"), "contexts")
+    spread = np.eye(classes)[cls]
     moves = spread.T @ pairs @ spread
-    # how many tokens and how many words each class has
-    by_tail = counts.join(F.broadcast(counts.sparkSession.createDataFrame([(int(x),) for x in head_names.view(np.int64)], "name long")), "name", "left_anti")
-    sizes = np.zeros(units)
-    sizes[: len(head_names)] = 1
-    for r in by_tail.groupBy("tail").count().collect():
-        sizes[len(head_names) + r["tail"]] = r["count"]
-    transition = np.log10((moves + 1) / (moves.sum(axis=1, keepdims=True) + len(moves)))
-    weight = transition - np.log10(moves.sum(axis=0) + spread.T @ sizes + 1)
-
-    order = np.argsort(top_names)
-    work = partial(_chunked, tails=tails, heads=head_names, weight=weight, cls=cls, common=top_names[order], counts=top_n[order])
-    rows = written(source.mapInArrow(work, schema("chunk long, doc_id long, n_tokens long, n_common long, sum_common double, sum_class double, rare array<long>")), "chunks")
-    asked = rows.where("doc_id is null").select("chunk", F.posexplode("rare").alias("place", "name"))
-    found = asked.join(counts.select("name", "n"), "name").select(F.col("chunk").alias("of_chunk"), "place", "n")
-    texts = rows.where("doc_id is not null")
-    scored = texts.groupBy("chunk").cogroup(found.groupBy("of_chunk")).applyInPandas(
-        _summed, schema("doc_id long, n_tokens long, n_known long, sum_word double, sum_class double")
+    placed = word_classes(vectors, np.concatenate([moves, moves.T]), of_tail)
+    kept = F.broadcast(spark.createDataFrame(list(zip(top.view(np.int64).tolist(), cls[: len(top)].tolist(), strict=True)), "name long, head int"))
+    by_tail = literal_array(of_tail.tolist(), "int")[F.col("tail")]
+    words = counts.join(placed, "name", "left").join(kept, "name", "left").select("name", "n", F.coalesce("head", "class", by_tail).alias("class"))
+    words = written(words, "words")
+
+    rows = written(source.mapInArrow(partial(_chunked, tails=tails), schema("chunk long, doc_id long, words array<int>, names array<long>, tails array<int>")), "chunks")
+    asked = rows.where("doc_id is null").select("chunk", F.posexplode(F.arrays_zip("names", "tails")).alias("place", "x")).select("chunk", "place", F.col("x.names").alias("name"), F.col("x.tails").alias("tail"))
+    known = asked.join(words, "name", "left").select(F.col("chunk").alias("of_chunk"), "place", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("class", by_tail).alias("class"))
+    known = written(known, "known").groupBy("of_chunk")
+    texts = rows.where("doc_id is not null").select("chunk", "doc_id", "words")
+    moved = texts.where(f"not ({held_out})").groupBy("chunk").cogroup(known).applyInPandas(partial(_moves, classes=classes, end=end), schema("move long, n long"))
+    moved = moved.groupBy("move").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    moves = np.zeros(classes * classes)
+    moves[moved["move"]] = moved["n"]
+    moves = moves.reshape(classes, classes)
+    # how many words each class has
+    sizes = np.zeros(classes)
+    for r in words.groupBy("class").count().collect():
+        sizes[r["class"]] = r["count"]
+    transition = np.log10((moves + 1) / (moves.sum(axis=1, keepdims=True) + classes))
+    weight = transition - np.log10(moves.sum(axis=0) + sizes + 1)
+
+    scored = texts.groupBy("chunk").cogroup(known).applyInPandas(
+        partial(_summed, weight=weight, end=end), schema("doc_id long, n_tokens long, n_known long, sum_word double, sum_class double")
     )
     base = F.col("sum_word") - F.col("n_tokens") * F.lit(float(np.log10(n_tokens + n_words + 1)))
     score = F.col("sum_word") + F.col("sum_class")
