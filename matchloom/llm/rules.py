@@ -1,7 +1,8 @@
 """Quality rules: an isolation forest on rule statistics.
 
 Every text gets its rule statistics.  A forest is grown on at most `sample` labelled
-good rows; a document's anomaly is 2^(-mean path length / expected length).  The
+good rows with a small share of bad ones among them: its splits then reach as far as the bad rows do, and these
+stay rare enough to stand apart.  A document's anomaly is 2^(-mean path length / expected length).  The
 threshold makes the least error over all labelled rows, good and bad.
 """
 
@@ -76,8 +77,9 @@ def rule_statistics(docs: DataFrame) -> DataFrame:
 
 
 def features() -> list:
+    """Logs, as most rates are 0 or near it and a random split falls evenly over their range."""
     n = F.greatest(F.col("n_words"), F.lit(1))
-    return [F.log1p("n_words"), *(F.col(c) / n for c in STATISTICS[1:])]
+    return [F.log1p("n_words"), F.log1p(F.col("word_chars") / n), *(F.log1p(100 * F.col(c) / n) for c in STATISTICS[2:])]
 
 
 def _expected(n: np.ndarray) -> np.ndarray:
@@ -89,7 +91,7 @@ def _expected(n: np.ndarray) -> np.ndarray:
 class IsolationForest:
     """Trees of random splits, as arrays (tree, node); a leaf has feature -1."""
 
-    def __init__(self, rows: np.ndarray, trees: int = 100, per_tree: int = 256, seed: int = 7):
+    def __init__(self, rows: np.ndarray, trees: int = 200, per_tree: int = 512, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.per_tree = min(per_tree, max(1, len(rows)))
         depth = max(1, int(np.ceil(np.log2(max(2, self.per_tree)))))
@@ -149,26 +151,32 @@ def counted_labels(rows: DataFrame, scale: int) -> pd.DataFrame:
     return found.assign(value=found.b / scale)
 
 
-def _threshold(found: pd.DataFrame) -> float | None:
-    """The highest value from which on rejecting leaves the fewest errors; None if it rejects no more bad rows than good ones."""
+def _threshold(found: pd.DataFrame, cost: float, step: float = 1e-3) -> float | None:
+    """The value from which on rejecting costs least, where a good row rejected counts as `cost` bad ones kept; None if it saves nothing.
+
+    Of equal ones the highest, moved half way down to the next labelled row, which it may reject as little.
+    """
     good, bad = found.good.to_numpy(float), found.bad.to_numpy(float)
-    gain = (bad - good)[::-1].cumsum()[::-1]
+    gain = (bad - cost * good)[::-1].cumsum()[::-1]
     if not len(gain) or gain.max() <= 0:
         return None
-    return float(found.value.iloc[np.flatnonzero(gain == gain.max())[-1]])
+    at = int(np.flatnonzero(gain == gain.max())[-1])
+    value = found.value.to_numpy(float)
+    return float(value[at]) if at == 0 else float(value[at] + value[at - 1] + step) / 2
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, sample: int = 20_000) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, sample: int = 20_000, share: float = 0.02, cost: float = 2.0) -> DataFrame:
     """Documents -> doc_id, the five counts, anomaly, base_failed, kept.
 
     base_failed: fewer than min_words words, or more than max_repeat_percent of them in
     repeated windows.  kept: not base_failed, and an anomaly below the threshold.
-    The threshold is the one with the fewest errors, where a labelled good row rejected and a labelled
-    bad row kept count alike, over all labelled rows that pass the base rules; the highest such one.
-    With no labelled good row there, or if none rejects more bad rows than good ones, base_failed alone decides.
+    The threshold is the one with the least error, where a labelled good row rejected counts as `cost` labelled
+    bad rows kept, over all labelled rows that pass the base rules; of equal ones the highest.
+    With no labelled row of either kind there, or if no threshold saves anything, base_failed alone decides.
+    share: how many bad rows there are for each good one that the forest is grown on.
 
-    Null and empty texts have no words and fail.  Rows repeated under one doc_id are
-    each judged; rows with a null doc_id are left out; an empty table gives no rows.
+    Null and empty texts have no words and fail; long texts are taken whole, in slices.  Rows repeated under one doc_id are
+    each judged; rows with a null doc_id are left out; other columns are not read; an empty table gives no rows.
     """
     numbers = [x.alias(f"f{i}") for i, x in enumerate(features())]
     stats = written(rule_statistics(docs).withColumn(
@@ -176,14 +184,16 @@ def quality_rules(docs: DataFrame, labels: DataFrame, min_words: int = 50, max_r
     ), "statistics")
     known = label_rows(labels).select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
     passed = stats.where("not base_failed").join(known, "doc_id")
-    sound = passed.where("good")
+    names = [f"f{i}" for i in range(len(numbers))]
     # the forest's rows: a bounded sample in the order of a hash
-    drawn = sound.select("doc_id", *numbers).orderBy(F.xxhash64("doc_id"), "doc_id", *[f"f{i}" for i in range(len(numbers))]).limit(sample).toArrow().to_pandas()
-    forest = IsolationForest(drawn[[f"f{i}" for i in range(len(numbers))]].to_numpy(float))
+    rows = passed.select("doc_id", "good", *numbers).orderBy(F.xxhash64("doc_id"), "doc_id", *names)
+    sound = rows.where("good").limit(sample).toArrow().to_pandas()
+    drawn = pd.concat([sound, rows.where("not good").limit(max(1, round(share * len(sound)))).toArrow().to_pandas()])
+    forest = IsolationForest(drawn[names].to_numpy(float))
     score = partial(_scored, forest=forest)
     kinds = schema(_SCHEMA + ", anomaly double")
     judged = passed.select("doc_id", *STATISTICS, *numbers).mapInArrow(score, kinds).join(known, "doc_id")
-    bound = _threshold(counted_labels(judged.select(F.col("anomaly").alias("value"), "good"), 1000)) if len(drawn) else None
+    bound = _threshold(counted_labels(judged.select(F.col("anomaly").alias("value"), "good"), 1000), cost) if len(sound) else None
     found = stats.select("doc_id", *STATISTICS, *numbers).mapInArrow(score, kinds)
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
     fine = F.lit(True) if bound is None else F.col("anomaly") < F.lit(bound)
