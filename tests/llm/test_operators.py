@@ -1,24 +1,29 @@
 import hashlib
+import math
+import re
+import string
 import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from matchloom.llm import queries as Q
-from matchloom.llm.classlm import class_scores, exchange_clusters
-from matchloom.llm.importance import importance, kth_largest
-from matchloom.llm.mixing import mixed, mixture
+from matchloom.llm.classlm import END, class_scores, exchange_clusters, word_classes
+from matchloom.llm.importance import good_documents, importance, kth_largest
+from matchloom.llm.mixing import fitted_rates, mixed, mixture
 from matchloom.llm.neardup import near_duplicates, one_of_each
 from matchloom.llm.neighbours import nearest
 from matchloom.llm.packing import packed
 from matchloom.llm.repeats import repeated_windows, without_repeats
-from matchloom.llm.rules import quality_rules
+from matchloom.llm.rules import IsolationForest, quality_rules
+from matchloom.llm.text import Words
 from matchloom.llm.tokens import read_token_files, write_token_files
-from matchloom.llm.urls import url_verdicts
+from matchloom.llm.urls import host_and_path, lexical_features, suffix_statistics, url_verdicts
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 DOCS = list(enumerate(brute.texts()))
@@ -183,12 +188,57 @@ def test_rules_threshold_reads_bad_labels(spark):
     # of 300 good rows, ten are full of symbols, as all 60 bad rows are
     table = spark.createDataFrame([(i, words(i, "##" if i >= 290 else "")) for i in range(360)], "doc_id long, text string")
     labelled = spark.createDataFrame([(i, int(i < 300), 0) for i in range(360) if i % 2], LABELS)
-    kept = [r.kept for r in quality_rules(table, labelled).orderBy("doc_id").collect()]
-    assert sum(kept[300:]) <= 6 and sum(kept[:290]) >= 280
+    for cost in (1.0, 2.0):
+        rows = quality_rules(table, labelled, cost=cost).orderBy("doc_id").collect()
+        kept, anomaly = np.array([r.kept for r in rows]), np.array([r.anomaly for r in rows])
+        assert kept[:290].sum() >= 280 and kept[300:].sum() <= 30
+        # no threshold on the anomalies makes less error over the labelled rows
+        i = np.arange(360)
+        error = lambda keep: cost * ((i % 2 == 1) & (i < 300) & ~keep).sum() + ((i % 2 == 1) & (i >= 300) & keep).sum()
+        assert error(kept) <= min(error(anomaly < x) for x in np.floor(np.append(anomaly, 2) * 1000) / 1000)
     alone = quality_rules(table, labelled.where("quality = 0")).collect()
     assert all(r.kept for r in alone)
 
 
+def test_forest_against_brute_force():
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(300, 5))
+    forest = IsolationForest(rows, trees=7, per_tree=64)
+
+    def length(t, x, node=0, depth=0):
+        if forest.feature[t, node] < 0:
+            return forest.path[t, node]
+        side = 2 if x[forest.feature[t, node]] > forest.cut[t, node] else 1
+        assert depth <= forest.depth
+        return length(t, x, 2 * node + side, depth + 1)
+
+    def expected(n):
+        return 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else float(n == 2)
+
+    wild = np.vstack([rows[:20], rows[:3] * 50])
+    want = [2 ** -(sum(length(t, x) for t in range(7)) / 7 / expected(64)) for x in wild]
+    assert forest.anomaly(wild) == pytest.approx(want)
+    assert min(want[20:]) > max(want[:20]) - 0.1 and max(want) < 1
+
+
+def test_importance_is_a_gumbel_top_k(spark):
+    """kept are the k documents with the largest keys, and a key is the log weight with a Gumbel draw of the document's own."""
+    rows = [(i, ("plain words of a good text number %d and so on " % i) * (1 + i % 3) if i % 4 else "### buy $$$ now %d" % i) for i in range(300)] + [(7, "again")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    some = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(0, 300, 3)], LABELS)
+    for keep in (None, 1, 40):
+        got = importance(table, some, keep=keep).collect()
+        keys = sorted((r.key for r in got), reverse=True)
+        k = sum(r.kept for r in got)
+        assert k == (keep or k) and all(r.kept == (r.key >= keys[k - 1]) for r in got)
+    draws = {}
+    for r in got:
+        draws.setdefault(r.doc_id, set()).add(round(r.key - r.log_weight, 9))
+    assert all(len(x) == 1 for x in draws.values())
+    mean, spread = np.mean([x for d in draws.values() for x in d]), np.std([x for d in draws.values() for x in d])
+    assert abs(mean - 0.577) < 0.25 and abs(spread - 1.283) < 0.25
+
+
 def test_importance(spark, docs, labels, empty):
     rows = [(i, ("plain words of a good text number %d and so on " % i) * 5) for i in range(200)]
     rows += [(i, ("$$$ ### buy%d !!! ||| now$$$ " % i) * 8) for i in range(200, 240)]
@@ -256,6 +306,79 @@ def test_class_model_beats_unigrams_on_held_out_texts(spark):
     assert score > base * 0.9
 
 
+def test_class_scores_against_brute_force(spark):
+    """Where every word is a head, classes come from the exchange over all pairs; the score is then worked out word by word."""
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join(f"{'ab'[j % 2]}{rng.integers(6)}" for j in range(rng.integers(0, 30)))) for i in range(80)] + [(80, None), (81, "new Words b1")]
+    got = by_id(class_scores(spark.createDataFrame(rows, "doc_id long, text string"), heads=1000, tails=4, classes=5))
+    seqs = {i: [*map(str.lower, (t or "").split()), None] for i, t in rows}
+    train = {i: x for i, x in seqs.items() if zlib.crc32(str(i).encode()) % 7 != 2}
+    counts: dict = {}
+    for x in train.values():
+        for w in x:
+            counts[w] = counts.get(w, 0) + 1
+    name = lambda w: int(END) if w is None else int(Words(pa.array([w]), lower=True).names[0])
+    heads = sorted({name(w): w for w in counts}.items())
+    units = {w: u for u, (_, w) in enumerate(heads)}
+    pairs = np.zeros((len(heads) + 4,) * 2)
+    for x in train.values():
+        for a, b in zip([None, *x], x, strict=False):
+            pairs[units[a], units[b]] += 1
+    cls = np.unique(exchange_clusters(pairs, 5), return_inverse=True)[1]
+    k = int(cls.max()) + 1
+    of = lambda w: cls[units[w]] if w in units else None
+    moves, tokens, words = np.zeros((k, k)), np.zeros(k), np.zeros(k)
+    for x in train.values():
+        for a, b in zip([None, *x], x, strict=False):
+            moves[of(a), of(b)] += 1
+    for w, n in counts.items():
+        tokens[of(w)] += n
+        words[of(w)] += 1
+    for i, x in seqs.items():
+        if all(w in units for w in x):  # an unseen word's class is that of its ending's unit
+            want = sum(
+                math.log10((moves[of(a), of(b)] + 1) / (moves[of(a)].sum() + k)) + math.log10((counts[b] + 1) / (tokens[of(b)] + words[of(b)] + 1))
+                for a, b in zip([None, *x], x, strict=False)
+            )
+            assert got[i][5] == pytest.approx(want), i
+    assert sum(all(w in units for w in x) for x in seqs.values()) > 60
+
+
+def test_word_classes_against_brute_force(spark):
+    """Words in rounds: each goes to the class under which its neighbours' classes are likeliest, and the counts follow."""
+    rng = np.random.default_rng(21)
+    k, of_tail = 4, np.array([0, 2])
+    rows, counts = [], rng.integers(20, 60, (2 * k, k)).astype(float)
+    for w in range(60):
+        found = [(int(c), int(rng.integers(1, 9))) for c in rng.choice(2 * k, rng.integers(1, 6), replace=False)]
+        rows.append((w, w % 2, found))
+        for c, n in found:
+            counts[c, of_tail[w % 2]] += n
+    table = spark.createDataFrame(rows, "name long, tail int, found array<struct<code: int, n: long>>")
+    got = by_id(word_classes(table, counts, of_tail, rounds=2))
+
+    def choose(now):
+        p = [[math.log((now[c][j] + 0.5) / sum(now[x][j] + 0.5 for x in (range(k) if c < k else range(k, 2 * k)))) for j in range(k)] for c in range(2 * k)]
+        return [max(range(k), key=lambda j: (round(sum(n * p[c][j] for c, n in found), 9), -j)) for _, _, found in rows]
+
+    def value(now):
+        f = lambda x: x * math.log(x) if x > 0 else 0
+        return sum(map(f, now.ravel())) - sum(f(x) for half in (now[:k], now[k:]) for x in half.sum(axis=0))
+
+    used, best = counts, value(counts)
+    for _ in range(2):
+        now = counts.copy()
+        for (_, tail, found), j in zip(rows, choose(used), strict=True):
+            for c, n in found:
+                now[c, of_tail[tail]] -= n
+                now[c, j] += n
+        if value(now) <= best + 1e-5 * abs(best):
+            break
+        used, best = now, value(now)
+    assert best > value(counts)
+    assert [got[w][0] for w in range(60)] == choose(used)
+
+
 def test_exchange_never_lowers_the_likelihood():
     rng = np.random.default_rng(5)
     pairs = rng.poisson(1.0, (24, 24)).astype(float) * rng.integers(0, 9, (24, 1))
@@ -297,6 +420,42 @@ def test_mixture(spark, docs, labels, empty):
     assert mixture(docs, labels.limit(0)).count() == len(DOCS)
 
 
+def test_rates_against_brute_force(spark):
+    """The fitted rates solve the nonnegative least squares problem: totals are met where they can be, and else no step along any document's own gradient helps."""
+    rng = np.random.default_rng(9)
+    p = rng.dirichlet([0.4, 0.4, 0.4], 150)
+    n = rng.integers(1, 400, 150)
+    table = spark.createDataFrame([(i, int(t), x.tolist()) for i, (t, x) in enumerate(zip(n, p, strict=True))], "doc_id long, n_tokens long, p array<double>")
+    total = float(n.sum())
+    for goal in ([0.7, 0.2, 0.1], [0.05, 0.9, 0.05], [1.0, 0.0, 0.0]):
+        rate, residual = fitted_rates(table, [total * g for g in goal])
+        r = np.array([x.rate for x in table.select("doc_id", rate.alias("rate")).orderBy("doc_id").collect()])
+        assert (r >= 0).all()
+        off = (r * n) @ p - total * np.array(goal)
+        assert np.abs(off).max() / total == pytest.approx(residual, abs=1e-6)
+        # plain projected gradients, document by document
+        slow, step = np.ones(150), 1 / np.linalg.norm(n[:, None] * p, 2) ** 2
+        for _ in range(20_000):
+            slow = np.maximum(0, slow - step * n * (p @ ((slow * n) @ p - total * np.array(goal))))
+        least = np.abs((slow * n) @ p - total * np.array(goal)).max() / total
+        assert residual <= least + 0.02, (goal, residual, least)
+    assert fitted_rates(table.limit(0), [0.0, 0.0, 0.0])[1] == 0
+
+
+def test_clashing_columns_and_repeated_ids(spark, labels):
+    """Columns that have the operators' own names stay as they are, and rows repeated under one id have a defined result."""
+    long_text = " ".join(f"word{i}" for i in range(70))
+    names = "doc_id long, text string, lang string, source string, n_chars long, spans int, copies int, copy string, _copies int, shard int, key1 int, cls int"
+    rows = [(i % 7, t, None, "s", len(t or ""), i, i, "c", 2, 3, 4, 5) for i, t in enumerate([long_text, None, "", long_text + " more", "a b c", long_text, "x"] * 2)]
+    table = spark.createDataFrame(rows, names)
+    first = {i: min((r[1] for r in rows if r[0] == i), key=lambda t: (t is not None, t or "")) for i in range(7)}
+    for out in (one_of_each(table), without_repeats(table, 50), mixed(table, labels), good_documents(table, labels)):
+        assert out.columns == table.columns and {r.doc_id for r in out.collect()} <= set(range(7))
+    assert by_id(repeated_windows(table, 20)) == brute.repeats(sorted(first.items()), 20)
+    assert importance(table, labels).count() == 14 and quality_rules(table, labels).count() == 14 and class_scores(table).count() == 14
+    assert mixture(table, labels).count() == 14 and packed(table, PATH, 2).select("doc_id").distinct().count() == 7
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(7)
     centres = rng.normal(size=(12, 8))
@@ -364,6 +523,36 @@ def test_urls(spark):
     assert {r.verdict for r in url_verdicts(table.where("rule <> '' or page_id = 7"), Q.RULES).collect()} == {"allow"}
 
 
+def test_url_features_against_brute_force(spark):
+    urls = ["http://a.b.com/x/y?q=1&r=2#f", "https://A.org", None, "", "none", "http://b.com/" + "d" * 30_000, "x://é.net/é-1_2"]
+    pages = spark.createDataFrame([(i if i else None, u) for i, u in enumerate(urls)] + [(1, urls[1])], "page_id long, url string")
+    host, path = host_and_path(F.col("_url"))
+    rows = lexical_features(pages.select("page_id", F.col("url").alias("_url")).withColumns({"_host": host, "_path": path})).collect()
+    assert len(rows) == 8
+    for r in rows:
+        u = r._url or ""
+        rest = u.split("://", 1)[1] if "://" in u else ""
+        host = re.split("[/?#]", rest)[0]
+        path = re.split("[?#]", rest[len(host) :])[0]
+        assert (r._host, r._path) == (host.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)), path)
+        share = [u.count(c) / len(u) for c in set(u)]
+        want = {
+            "url_length": len(u), "host_length": len(host), "path_length": len(path), "depth": path.count("/"), "labels": host.count("."), "digit_ratio": sum(c in string.digits for c in u) / max(1, len(u)),
+            "dash_ratio": sum(c in "-_" for c in u) / max(1, len(u)), "entropy": -sum(x * math.log2(x) for x in share), "parameters": sum(c in "?&" for c in u), "values": u.count("="), "secure": float(u.lower().startswith("https")),
+        }
+        for name, x in want.items():
+            assert r[name] == pytest.approx(x, abs=1e-9), (name, u[:40])
+
+
+def test_suffix_statistics_leave_the_own_site_out(spark):
+    rows = [("com", "a.com", 1.0), ("com", "a.com", 1.0), ("com", "b.com", 0.0), ("com", "c.com", None), ("net", "d.net", 1.0)]
+    got = {(r.site, r.block): r for r in suffix_statistics(spark.createDataFrame(rows, "suffix string, site string, block double"), lean=1.0).collect()}
+    mean = 2 / 3  # of the labelled sites a.com, b.com and d.net
+    want = {("a.com", 1.0): (0 + mean) / 2, ("b.com", 0.0): (1 + mean) / 2, ("c.com", None): (1 + mean) / 3, ("d.net", 1.0): mean}
+    assert {k: pytest.approx(r.suffix_rate) for k, r in got.items()} == want
+    assert got["d.net", 1.0].suffix_sites == 0 and got["a.com", 1.0].suffix_sites == pytest.approx(math.log(3))
+
+
 @pytest.mark.parametrize("name", sorted(Q.QUERIES))
 def test_queries_run(spark, name):
     df = Q.QUERIES[name](spark, "/root/testdata/sf0.001")
