@@ -36,7 +36,7 @@ from .text import Words, lists, mix, slices
 
 END = np.uint64(0x5851F42D4C957F2D)
 CHUNK_WORDS = 1_000_000
-_MERGE_AT = 3_000_000
+_MERGE_AT = 1_000_000
 
 
 def _tokens(batch: pa.RecordBatch, tails: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,12 +58,10 @@ def _merged(names: list[np.ndarray], others: list[np.ndarray], counts: list[np.n
 
 def _counted(batches: Iterator[pa.RecordBatch], tails: int) -> Iterator[pa.RecordBatch]:
     held: tuple[list, list, list] = ([], [], [])
-    kinds = ["name", "tail", "n"]
 
     def rows() -> pa.RecordBatch:
-        names, others, counts = _merged(*held)
-        columns = [pa.array(names[0].view(np.int64)), pa.array(others[0], pa.int32()), pa.array(counts[0])]
-        return pa.RecordBatch.from_arrays(columns, names=kinds)
+        columns = [pa.array(held[0][0].view(np.int64)), pa.array(held[1][0], pa.int32()), pa.array(held[2][0])]
+        return pa.RecordBatch.from_arrays(columns, names=["name", "tail", "n"])
 
     size = 0
     for batch in slices(batches, "text"):
@@ -73,9 +71,13 @@ def _counted(batches: Iterator[pa.RecordBatch], tails: int) -> Iterator[pa.Recor
             part.append(x)
         size += len(every)
         if size > _MERGE_AT:
-            yield rows()
-            held, size = ([], [], []), 0
+            held = _merged(*held)
+            size = len(held[0][0])
+            if size > _MERGE_AT // 2:
+                yield rows()
+                held, size = ([], [], []), 0
     if size:
+        held = _merged(*held)
         yield rows()
 
 
@@ -105,11 +107,13 @@ def _contexts(batches: Iterator[pa.RecordBatch], heads: np.ndarray, tails: int,
     held: list[list[np.ndarray]] = [[], [], []]
     size = 0
 
-    def rows() -> pa.RecordBatch:
+    def merged() -> list[list[np.ndarray]]:
         names, codes, counts = (np.concatenate(x) for x in held)
         _, first, place = np.unique(names + mix(codes.astype(np.uint64) + np.uint64(1)), return_index=True, return_inverse=True)
-        total = np.bincount(place, counts).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(names[first].view(np.int64)), pa.array(codes[first], pa.int32()), pa.array(total)], names=["name", "code", "n"])
+        return [[names[first]], [codes[first]], [np.bincount(place, counts).astype(np.int32)]]
+
+    def rows() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[1][0], pa.int32()), pa.array(held[2][0], pa.int64())], names=["name", "code", "n"])
 
     for batch in slices(batches, "text"):
         names, tail, _ = _tokens(batch, tails)
@@ -121,13 +125,17 @@ def _contexts(batches: Iterator[pa.RecordBatch], heads: np.ndarray, tails: int,
         codes = np.concatenate([before, classes + of[np.minimum(free + 1, len(of) - 1)]]) if len(of) else of
         both = np.concatenate([names[free], names[free]])
         _, first, n = np.unique(both + mix(codes.astype(np.uint64) + np.uint64(1)), return_index=True, return_counts=True)
-        for part, x in zip(held, (both[first], codes[first], n), strict=True):
+        for part, x in zip(held, (both[first], codes[first].astype(np.int32), n.astype(np.int32)), strict=True):
             part.append(x)
         size += len(first)
         if size > _MERGE_AT:
-            yield rows()
-            held, size = [[], [], []], 0
+            held = merged()
+            size = len(held[0][0])
+            if size > _MERGE_AT // 2:
+                yield rows()
+                held, size = [[], [], []], 0
     if size:
+        held = merged()
         yield rows()
 
 
