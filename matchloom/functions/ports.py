@@ -30,15 +30,13 @@ def port_measure(geometry: Column, size: Column, radius: Column) -> Column:
     return F.when(geometry.isin(ROUND_TYPES) & (radius > 0), radius).otherwise(size)
 
 
-def size_class(measure: Column, peers: Column) -> Column:
-    """Where a measure stands among its peers' measures (an array that holds it too), within the tolerance."""
-    n = F.size(peers)
-    lower = F.size(F.filter(peers, lambda x: x < measure - SIZE_TOLERANCE))
-    upper = F.size(F.filter(peers, lambda x: x > measure + SIZE_TOLERANCE))
-    middle = (lower + (n - lower - upper) * 0.5) / n
+def size_class(peers: Column, smaller: Column, larger: Column) -> Column:
+    """The size class of a primitive from how many peers it has (itself too), and how many of them are smaller and larger."""
+    # twice the mid rank, in thirds of the peers
+    rank = 3 * (peers + smaller - larger)
     return (
-        F.when(n == 1, "only").when((lower == 0) & (upper > 0), "smallest").when((upper == 0) & (lower > 0), "largest")
-        .when(middle < 1.0 / 3.0, "small").when(middle > 2.0 / 3.0, "large").otherwise("medium")
+        F.when(peers == 1, "only").when((smaller == 0) & (larger > 0), "smallest").when((larger == 0) & (smaller > 0), "largest")
+        .when(rank < 2 * peers, "small").when(rank > 4 * peers, "large").otherwise("medium")
     )
 
 
@@ -46,6 +44,11 @@ def symmetry_class(members: Column) -> Column:
     return F.when(members > 1, "repeated").otherwise("single")
 
 
+def adjacent_key(types: Column) -> Column:
+    """The adjacent surface types of a contract as one text; none if there are none."""
+    return F.when(F.size(types) > 0, F.array_join(types, "+")).otherwise("none")
+
+
 def contract_key(*fields: Column) -> Column:
     return F.concat_ws("|", *[F.coalesce(f.cast("string"), F.lit("?")) for f in fields])
 

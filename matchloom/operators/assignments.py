@@ -1,39 +1,68 @@
-"""Feasible assignments of candidates to roles, and their ranking."""
+"""Feasible assignments of candidates to roles, and their ranking.
+
+An edge asks something of each of its ends alone, so whether a candidate may stand at a role, and what it costs there, is known from the role's own edges,
+whatever roles these lead to.  An assignment takes one such candidate for every role.  Requests may have any number of roles and any edges.
+"""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchloom.sources.tables import written
 
-def feasible_assignments(candidates: DataFrame, counts: DataFrame, max_roles: int = 5) -> DataFrame:
-    """query, picks (candidates in the order of roles), score, identity.
 
-    One candidate for each role, so that both ends of every edge have a matching primitive.  Edge i joins the
-    roles at places i and i + 1, so its condition is part of the join that brings in the second role.
-    score is minus the sum of the logs of the match counts; identity a hash of the picks.
-    """
-    ends = counts.where("n > 0").select("query", "edge", "side", "candidate", F.log("n").alias("cost"))
-    left = ends.where("side = 'a'").select("query", F.col("edge").alias("pos"), "candidate", F.col("cost").alias("cost_a"))
-    right = ends.where("side = 'b'").select("query", (F.col("edge") + 1).alias("pos"), "candidate", F.col("cost").alias("cost_b"))
-    pool = candidates.select("query", "pos", "n_roles", "candidate")
-    # what a candidate adds at its role, as the second end of one edge and the first of the next
-    ready = pool.join(right, ["query", "pos", "candidate"], "left").join(left, ["query", "pos", "candidate"], "left")
-    ready = ready.where("(pos = 0 or cost_b is not null) and (pos = n_roles - 1 or cost_a is not null)")
-    ready = ready.withColumn("cost", F.coalesce("cost_a", F.lit(0.0)) + F.coalesce("cost_b", F.lit(0.0)))
-    # read once for each role below; a lost part is computed again
-    ready = ready.repartition("query").persist(StorageLevel.MEMORY_AND_DISK)
-    partial = ready.where("pos = 0").select("query", "n_roles", F.array("candidate").alias("picks"), "cost")
-    done = None
-    for pos in range(1, max_roles):
-        more = ready.where(F.col("pos") == pos).select("query", "candidate", F.col("cost").alias("more"))
-        partial = partial.join(more, "query").select("query", "n_roles", F.concat("picks", F.array("candidate")).alias("picks"), (F.col("cost") + F.col("more")).alias("cost"))
-        full = partial.where(F.col("n_roles") == pos + 1)
-        done = full if done is None else done.unionByName(full)
-        partial = partial.where(F.col("n_roles") > pos + 1)
+def endpoint_costs(candidates: DataFrame, counts: DataFrame) -> DataFrame:
+    """query, pos, n_roles, candidate, cost of candidates with a match (counts: query, edge, side, role, candidate, n) at every edge of their role:
+    the sum of the logs of the match counts.  A role without edges takes all of its candidates at no cost."""
+    ends = counts.groupBy("query", "role", "candidate").agg(F.min("n").alias("least"), F.sum(F.log(F.greatest("n", F.lit(1)))).alias("cost"))
+    found = candidates.select("query", "role", "pos", "n_roles", "candidate").join(ends, ["query", "role", "candidate"], "left")
+    return found.where("least is null or least > 0").select("query", "pos", "n_roles", "candidate", F.coalesce("cost", F.lit(0.0)).alias("cost"))
+
+
+def _most_roles(ready: DataFrame) -> int:
+    return ready.agg(F.max("n_roles")).first()[0] or 0
+
+
+def _named(picked: DataFrame) -> DataFrame:
     text = F.concat(F.lit('["'), F.array_join(F.transform("picks", lambda x: x.cast("string")), '","'), F.lit('"]'))
-    return done.select("query", "picks", (-F.col("cost")).alias("score"), F.sha2(text, 256).alias("identity"))
+    return picked.select("query", "picks", (-F.col("cost")).alias("score"), F.sha2(text, 256).alias("identity"))
+
+
+def _grown(picked: DataFrame, ready: DataFrame, pos: int) -> DataFrame:
+    """Each choice so far with each candidate of the role at a place; a query with fewer roles stays as it is."""
+    more = ready.where(F.col("pos") == pos).select("query", "candidate", F.col("cost").alias("more"))
+    return picked.join(more, "query", "left").where((F.col("n_roles") <= pos) | F.col("candidate").isNotNull()).select(
+        "query", "n_roles", F.when(F.col("candidate").isNull(), F.col("picks")).otherwise(F.concat("picks", F.array("candidate"))).alias("picks"),
+        (F.col("cost") + F.coalesce("more", F.lit(0.0))).alias("cost"),
+    )
+
+
+def feasible_assignments(ready: DataFrame) -> DataFrame:
+    """query, picks (candidates in the order of roles), score, identity of all assignments of endpoint_costs' rows.
+
+    score is minus the sum of the costs; identity a hash of the picks.  This is the full product; best_assignments finds the first without it.
+    """
+    ready = written(ready, "ready")
+    picked = ready.where("pos = 0").select("query", "n_roles", F.array("candidate").alias("picks"), "cost")
+    for pos in range(1, _most_roles(ready)):
+        picked = _grown(picked, ready, pos)
+    return _named(picked)
+
+
+def best_assignments(ready: DataFrame, beam: int = 25, tie: float = 1e-8) -> DataFrame:
+    """As feasible_assignments, but only those that may be among a query's `beam` of the highest scores, all that tie with the last of them too.
+
+    Costs add up role by role, so a choice of the first roles that `beam` others undercut by more than `tie` cannot lead to one of them.
+    """
+    ready = written(ready, "ready")
+    place = F.row_number().over(Window.partitionBy("query").orderBy("cost"))
+    picked = ready.where("pos = 0").select("query", "n_roles", F.array("candidate").alias("picks"), "cost")
+    for pos in range(1, _most_roles(ready) + 1):
+        last = F.max(F.when(F.col("place") <= beam, F.col("cost"))).over(Window.partitionBy("query"))
+        picked = picked.withColumn("place", place).withColumn("last", last).where(F.col("cost") <= F.col("last") + tie).drop("place", "last")
+        picked = _grown(picked, ready, pos)
+    return _named(picked)
 
 
 def ranked(assignments: DataFrame, policy: str = "minimum_port_ambiguity", beam: int = 25) -> DataFrame:
@@ -53,11 +82,16 @@ def predictions(candidates: DataFrame, ranking: DataFrame) -> DataFrame:
     )
 
 
-def ambiguity_audit(candidates: DataFrame, assignments: DataFrame) -> DataFrame:
+def feasible_counts(candidates: DataFrame, ready: DataFrame) -> DataFrame:
+    """query, raw, feasible: how many assignments there are without and with the edges' conditions, as products over roles."""
+    fit = ready.groupBy("query", "pos").agg(F.count("*").alias("fit"))
+    each = candidates.groupBy("query", "pos").agg(F.count("*").alias("n")).join(fit, ["query", "pos"], "left")
+    return each.groupBy("query").agg(F.product("n").alias("raw"), F.product(F.coalesce("fit", F.lit(0))).alias("feasible"))
+
+
+def ambiguity_audit(candidates: DataFrame, ready: DataFrame) -> DataFrame:
     """One row: how many queries have no, one, several assignments, and the spread of raw and feasible counts."""
-    sizes = candidates.groupBy("query", "role").agg(F.count("*").alias("n")).groupBy("query").agg(F.product("n").alias("raw"))
-    found = assignments.groupBy("query").agg(F.count("*").alias("feasible"))
-    each = sizes.join(found, "query", "left").withColumn("feasible", F.coalesce("feasible", F.lit(0)))
+    each = feasible_counts(candidates, ready)
     out = [F.count("*").alias("queries")]
     out += [F.count_if(c).alias(n) for n, c in (("zero", F.col("feasible") == 0), ("unique", F.col("feasible") == 1), ("ambiguous", F.col("feasible") > 1))]
     for c in ("raw", "feasible"):

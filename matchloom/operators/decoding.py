@@ -6,25 +6,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def beam_decode(unary: DataFrame, pairs: DataFrame, beam: int = 25, max_roles: int = 5) -> DataFrame:
+def beam_decode(unary: DataFrame, pairs: DataFrame, beam: int = 25) -> DataFrame:
     """query, n_roles, picks, score: role by role, keeping the best `beam` partial picks of each query.
 
-    unary (query, pos, n_roles, candidate, score) and pairs (query, pos: the later role, a, b, score) of neighbouring
-    roles; a pair that is missing cannot be taken.  Ties go to the lesser picks.
+    unary (query, pos, n_roles, candidate, score) and pairs (query, edge, pos_a, pos_b, a, b, score): any roles may be joined, and an edge counts
+    when the later of its roles is picked; a pair that is missing cannot be taken.  Ties go to the lesser picks.
     """
-    state = unary.where("pos = 0").select("query", "n_roles", F.array("candidate").alias("picks"), "score")
+    late = F.col("pos_a") > F.col("pos_b")
+    closed = pairs.select(
+        "query", "edge", F.least("pos_a", "pos_b").alias("early"), F.greatest("pos_a", "pos_b").alias("pos"),
+        F.when(late, F.col("b")).otherwise(F.col("a")).alias("first"), F.when(late, F.col("a")).otherwise(F.col("b")).alias("next"), F.col("score").alias("p"),
+    )
+    edges = closed.groupBy("query", "pos").agg(F.count_distinct("edge").alias("edges"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "picks")
     keep = lambda df: df.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= beam).drop("turn")
-    state, done = keep(state), None
-    for pos in range(1, max_roles):
-        nxt = unary.where(F.col("pos") == pos).select("query", F.col("candidate").alias("b"), F.col("score").alias("u"))
-        edge = pairs.where(F.col("pos") == pos).select("query", "a", "b", F.col("score").alias("p"))
-        grown = state.withColumn("a", F.element_at("picks", -1)).join(edge, ["query", "a"]).join(nxt, ["query", "b"])
-        state = keep(grown.select("query", "n_roles", F.concat("picks", F.array("b")).alias("picks"), (F.col("score") + F.col("u") + F.col("p")).alias("score")))
-        full = state.where(F.col("n_roles") == pos + 1)
-        done = full if done is None else done.unionByName(full)
-        state = state.where(F.col("n_roles") > pos + 1)
-    return done
+    state = keep(unary.where("pos = 0").select("query", "n_roles", F.array("candidate").alias("picks"), "score"))
+    for pos in range(1, unary.agg(F.max("n_roles")).first()[0] or 0):
+        at = F.col("pos") == pos
+        grown = state.join(unary.where(at).select("query", F.col("candidate").alias("next"), F.col("score").alias("u")), "query", "left")
+        grown = grown.where((F.col("n_roles") <= pos) | F.col("next").isNotNull()).join(edges.where(at).drop("pos"), "query", "left")
+        joined = grown.join(closed.where(at).drop("pos"), ["query", "next"], "left")
+        taken = F.col("first") == F.get("picks", F.col("early").cast("int"))
+        summed = joined.groupBy("query", "n_roles", "picks", "score", "next", "u", "edges").agg(F.sum(F.when(taken, F.col("p"))).alias("p"), F.count(F.when(taken, F.lit(1))).alias("met"))
+        summed = summed.where(F.col("next").isNull() | (F.col("met") == F.coalesce("edges", F.lit(0))))
+        state = keep(summed.select(
+            "query", "n_roles", F.when(F.col("next").isNull(), F.col("picks")).otherwise(F.concat("picks", F.array("next"))).alias("picks"),
+            (F.col("score") + F.coalesce("u", F.lit(0)) + F.coalesce("p", F.lit(0))).alias("score"),
+        ))
+    return state
 
 
 def best_pairs(pairs: DataFrame) -> DataFrame:

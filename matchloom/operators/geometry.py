@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.functions.vectors import multiplied
-
 AXES = range(3)
 
 
@@ -53,17 +51,6 @@ def chamfer(source: DataFrame, target: DataFrame, radius: float) -> DataFrame:
     return there.join(back, "key").select("key", ((F.col("d1") + F.col("d2")) / 2).alias("chamfer"), "precision", "recall", F.when(both == 0, 0.0).otherwise(2 * F.col("precision") * F.col("recall") / both).alias("f_score"))
 
 
-def composed_chains(steps: DataFrame, longest: int = 5) -> DataFrame:
-    """assembly, pos, world: the product of the poses of a chain (assembly, pos from 0, pose) up to each place."""
-    world = steps.where("pos = 0").select("assembly", "pos", F.col("pose").alias("world"))
-    out = world
-    for pos in range(1, longest):
-        step = steps.where(F.col("pos") == pos).select("assembly", F.col("pos").alias("next"), "pose")
-        world = world.join(step, "assembly").select("assembly", F.col("next").alias("pos"), multiplied(F.col("world"), F.col("pose")).alias("world"))
-        out = out.unionByName(world)
-    return out
-
-
 def scheduled(pairs: DataFrame, poses: int, budget: int) -> DataFrame:
     """edge, pair, pose, turn: poses of all pairs of an edge in rounds, until its budget is spent."""
     every = pairs.select("edge", "pair", F.explode(F.sequence(F.lit(0), F.lit(poses - 1))).alias("pose"))

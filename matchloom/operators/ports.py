@@ -5,14 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.functions.ports import contract_key, size_class, symmetry_class
+from matchloom.functions.ports import SIZE_TOLERANCE, adjacent_key, contract_key, size_class, symmetry_class
 
+from .graphs import neighbour_shares
 
-def described_ports(primitives: DataFrame) -> DataFrame:
-    """Primitives with size_class, symmetry and contract.  The peers of a primitive are those of its step and type."""
-    peers = F.collect_list("measure").over(Window.partitionBy("step", "geometry_type"))
-    found = primitives.withColumn("size_class", size_class(F.col("measure"), peers)).withColumn("symmetry", symmetry_class(F.col("members")))
-    return found.withColumn("contract", contract_key(*map(F.col, ["kind", "geometry_type", "size_class", "symmetry"])))
+CONTRACT = ["kind", "geometry_type", "size_class", "adjacent", "symmetry"]
+
+
+def described_ports(primitives: DataFrame, edges: DataFrame, types: list[str]) -> DataFrame:
+    """Primitives with size_class, adjacent, symmetry and contract, the key of all five fields.
+
+    The peers of a primitive are those of its step and type; smaller and larger ones are counted by range frames over their measures, which read no
+    more than the peers in order.  adjacent: the first two of `types` that make up a quarter or so of its neighbours by edges (step, a, b, feature).
+    """
+    of = Window.partitionBy("step", "geometry_type")
+    frame = "count(*) over (partition by step, geometry_type order by measure range between {0})"
+    tolerance = f"{SIZE_TOLERANCE!r}D"
+    smaller = F.expr(frame.format(f"unbounded preceding and {tolerance} preceding"))
+    larger = F.expr(frame.format(f"{tolerance} following and unbounded following"))
+    counted = primitives.withColumns({"_peers": F.count("*").over(of), "_smaller": smaller, "_larger": larger})
+    found = counted.withColumn("size_class", size_class(F.col("_peers"), F.col("_smaller"), F.col("_larger"))).withColumn("symmetry", symmetry_class(F.col("members")))
+    near = neighbour_shares(primitives, edges, types).select("step", "ordinal", adjacent_key(F.col("adjacent")).alias("adjacent"))
+    full = found.drop("_peers", "_smaller", "_larger").join(near, ["step", "ordinal"])
+    return full.withColumn("contract", contract_key(*map(F.col, CONTRACT)))
 
 
 def selected_port(ports: DataFrame, kind: str, geometry: str, size: str) -> DataFrame:

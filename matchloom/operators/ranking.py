@@ -40,11 +40,9 @@ def permutation_status(candidates: DataFrame, rankings: DataFrame) -> DataFrame:
     return out.withColumn("valid", (F.col("missing") == 0) & (F.col("extra") == 0) & (F.col("repeated") == 0))
 
 
-def rank_scored(assignments: DataFrame, rankings: DataFrame) -> DataFrame:
-    """Assignments with score = minus the sum of their picks' places."""
-    each = assignments.select("query", "identity", "picks", F.posexplode("picks").alias("pos", "candidate"))
-    joined = each.join(rankings.select("query", "pos", "candidate", "place"), ["query", "pos", "candidate"])
-    return joined.groupBy("query", "identity", "picks").agg((-F.sum("place")).cast("double").alias("score"))
+def place_costs(ready: DataFrame, rankings: DataFrame) -> DataFrame:
+    """Candidates that may stand at their role (query, pos, n_roles, candidate), with their place in a ranking as the cost."""
+    return ready.drop("cost").join(rankings.select("query", "pos", "candidate", F.col("place").cast("double").alias("cost")), ["query", "pos", "candidate"])
 
 
 def first_queries(candidates: DataFrame, n: int) -> DataFrame:

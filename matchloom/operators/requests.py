@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .assemblies import graph_walk
+
 
 def role_status(roles: DataFrame) -> DataFrame:
     """query, roles, status of (query, role): empty_role, duplicate_role, too_few, else ok."""
@@ -14,14 +16,24 @@ def role_status(roles: DataFrame) -> DataFrame:
     return out.select("query", "roles", status.alias("status"))
 
 
-def connected(roles: DataFrame, edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """query, connected: whether all roles (query, pos) of a query, `rounds` at most, hang together by edges (query, a, b)."""
-    both = edges.select("query", "a", "b").unionByName(edges.select("query", F.col("b").alias("a"), F.col("a").alias("b")))
-    label = roles.select("query", F.col("pos").alias("b"), F.col("pos").alias("label"))
-    for _ in range(rounds - 1):
-        near = both.join(label, ["query", "b"]).groupBy("query", F.col("a").alias("b")).agg(F.min("label").alias("near"))
-        label = label.join(near, ["query", "b"], "left").select("query", "b", F.least("label", "near").alias("label"))
-    return label.groupBy("query").agg((F.count_distinct("label") == 1).alias("connected"))
+def connected(roles: DataFrame, edges: DataFrame) -> DataFrame:
+    """query, connected: whether all roles (query, role) of a query hang together by edges (query, edge, role_a, role_b)."""
+    return graph_walk(roles, edges).select("query", "connected")
+
+
+def graph_response_reasons(roles: DataFrame, said_roles: DataFrame, said: DataFrame, mobilities: list[str]) -> DataFrame:
+    """query, reason: the first rule that a response (said_roles: query, role; said: query, edge, role_a, role_b, mobility) breaks against the roles asked for.
+
+    coverage: there is none; roles: its set of roles is another; mobility: an unknown name; connectivity: its roles do not hang together; else valid.
+    """
+    both = roles.select("query", "role", F.lit(1).alias("w")).join(said_roles.select("query", "role", F.lit(1).alias("g")).distinct(), ["query", "role"], "full_outer")
+    per = both.groupBy("query").agg(F.count("g").alias("given"), F.count_if(F.col("w").isNull() | F.col("g").isNull()).alias("differ"))
+    wrong = said.groupBy("query").agg(F.count_if(~F.coalesce(F.col("mobility").isin(mobilities), F.lit(False))).alias("wrong"))
+    reason = (
+        F.when(F.col("given") == 0, "coverage").when(F.col("differ") > 0, "roles").when(F.coalesce("wrong", F.lit(0)) > 0, "mobility")
+        .when(~F.coalesce("connected", F.lit(False)), "connectivity").otherwise("valid")
+    )
+    return per.join(wrong, "query", "left").join(connected(roles, said), "query", "left").select("query", reason.alias("reason"))
 
 
 def edge_supervision(sides: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from matchloom.functions.ports import port_measure
 from matchloom.operators.ports import described_ports
 
+GEOMETRY = ["plane", "cylinder", "circle"]
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -24,8 +26,19 @@ def primitives(spark: SparkSession, sf: str) -> DataFrame:
     ).withColumn("measure", port_measure(F.col("geometry_type"), F.col("size"), F.col("radius")))
 
 
+def adjacency(spark: SparkSession, sf: str) -> DataFrame:
+    """step, a, b, feature: neighbouring primitives of a step, and its first and last if there are three or more."""
+    p = primitives(spark, sf).select("step", "ordinal", "members")
+    of_step = Window.partitionBy("step").orderBy("ordinal")
+    full = of_step.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = p.withColumn("next", F.lead("members").over(of_step)).withColumn("last", F.max("ordinal").over(full)).withColumn("last_members", F.last("members").over(full))
+    chain = rows.where("next is not null").select("step", F.col("ordinal").alias("a"), (F.col("ordinal") + 1).alias("b"), F.abs(F.col("members") - F.col("next")).alias("feature"))
+    ring = rows.where("ordinal = 0 and last >= 2").select("step", F.col("ordinal").alias("a"), F.col("last").alias("b"), F.abs(F.col("members") - F.col("last_members")).alias("feature"))
+    return chain.unionByName(ring)
+
+
 def ports(spark: SparkSession, sf: str) -> DataFrame:
-    return described_ports(primitives(spark, sf))
+    return described_ports(primitives(spark, sf), adjacency(spark, sf), GEOMETRY)
 
 
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
@@ -40,18 +53,19 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
-    """query, edge, role_a, role_b, status: neighbouring roles of a query are joined; every tenth query states no contracts."""
+    """query, edge, pos_a, pos_b, role_a, role_b, status: neighbouring roles of a query are joined, and its first and last if there are three or more;
+    every tenth query states no contracts."""
     roles = candidates(spark, sf).select("query", "pos", "role", "n_roles").distinct()
-    nxt = F.lead("role").over(Window.partitionBy("query").orderBy("pos"))
-    return roles.withColumn("role_b", nxt).where("role_b is not null").select(
-        "query", F.col("pos").alias("edge"), F.col("role").alias("role_a"), "role_b",
-        F.when(F.col("query") % 10 == 0, "unknown").otherwise("specified").alias("status"),
-    )
+    order = Window.partitionBy("query").orderBy("pos")
+    first = F.first("role").over(order)
+    nxt = roles.withColumn("role_b", F.lead("role").over(order)).withColumn("first", first)
+    chain = nxt.where("role_b is not null").select("query", F.col("pos").alias("edge"), F.col("pos").alias("pos_a"), (F.col("pos") + 1).alias("pos_b"), F.col("role").alias("role_a"), "role_b")
+    ring = nxt.where("pos = n_roles - 1 and pos >= 2").select("query", F.col("pos").alias("edge"), F.lit(0).alias("pos_a"), F.col("pos").alias("pos_b"), F.col("first").alias("role_a"), F.col("role").alias("role_b"))
+    return chain.unionByName(ring).withColumn("status", F.when(F.col("query") % 10 == 0, "unknown").otherwise("specified"))
 
 
-def endpoints(spark: SparkSession, sf: str) -> DataFrame:
-    """query, edge, side, role, contract: the contract is that of the first primitive of the role's target, null if unstated."""
-    found = ports(spark, sf)
+def endpoints(spark: SparkSession, sf: str, found: DataFrame) -> DataFrame:
+    """query, edge, side, role, contract; found: the described ports.  The contract is that of the first primitive of the role's target, null if unstated."""
     has = found.select(F.col("step").alias("candidate")).distinct()
     target = candidates(spark, sf).join(has, "candidate", "left_semi").groupBy("query", "role").agg(F.max("candidate").alias("step"))
     wanted = target.join(found.where("ordinal = 0").select("step", "contract"), "step").select("query", "role", "contract")

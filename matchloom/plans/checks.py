@@ -13,7 +13,7 @@ from matchloom.sources import records as S
 
 from . import bindings as B
 from . import sql as Q
-from .geometry import _BOX, _E, _PLACED, _SIDES, _boxes, _placed, _vectors
+from .geometry import _BOX, _E, _PLACED, _SIDES, _boxes, _sixes, _vectors
 from .graphs import _ADJ, _edges
 from .registry import query
 from .scoring import _micro
@@ -75,25 +75,25 @@ def j14_endpoint_samples(spark, sf):
 
 
 def _frame_pairs(spark, sf):
-    p = _placed(spark, sf).select("user_id", "pos", "value", "event_id", F.when(F.col("event_type").isin("click", "view", "purchase"), "axis").otherwise("plane").alias("role"))
-    left = p.where("pos < 3").select("user_id", F.col("pos").alias("l"), F.col("value").alias("va"), F.col("event_id").alias("ia"), F.col("role").alias("ra"))
-    right = p.where("pos between 3 and 5").select("user_id", F.col("pos").alias("r"), F.col("value").alias("vb"), F.col("event_id").alias("ib"), F.col("role").alias("rb"))
-    return left.join(right, "user_id")
+    p = _sixes(spark, sf).select("edge", "place", "value", "event_id", F.when(F.col("event_type").isin("click", "view", "purchase"), "axis").otherwise("plane").alias("role"))
+    left = p.where("place < 3").select("edge", F.col("place").alias("l"), F.col("value").alias("va"), F.col("event_id").alias("ia"), F.col("role").alias("ra"))
+    right = p.where("place > 2").select("edge", F.col("place").alias("r"), F.col("value").alias("vb"), F.col("event_id").alias("ib"), F.col("role").alias("rb"))
+    return left.join(right, "edge")
 
 
-_FRAMES = f"""{_PLACED}, fr AS (SELECT *, CASE WHEN event_type IN ('click', 'view', 'purchase') THEN 'axis' ELSE 'plane' END AS role FROM pl),
-  fp AS (SELECT a.user_id, a.pos AS l, b.pos AS r, a.value AS va, b.value AS vb, a.event_id AS ia, b.event_id AS ib, a.role AS ra, b.role AS rb FROM fr a JOIN fr b ON a.user_id = b.user_id AND a.pos < 3 AND b.pos BETWEEN 3 AND 5)"""
+_FRAMES = f"""{_PLACED}, fr AS (SELECT *, user_id * 1000000 + pos // 6 AS edge, pos % 6 AS place, CASE WHEN event_type IN ('click', 'view', 'purchase') THEN 'axis' ELSE 'plane' END AS role FROM pl),
+  fp AS (SELECT a.edge, a.place AS l, b.place AS r, a.value AS va, b.value AS vb, a.event_id AS ia, b.event_id AS ib, a.role AS ra, b.role AS rb FROM fr a JOIN fr b ON a.edge = b.edge AND a.place < 3 AND b.place > 2)"""
 
 
-@query(f"WITH {_FRAMES} SELECT user_id, CAST(l AS INTEGER) AS l, CAST(r AS INTEGER) AS r, CASE WHEN ra = 'axis' AND rb = 'axis' THEN 'axial_support' WHEN ra = 'plane' AND rb = 'plane' THEN 'planar_support' ELSE 'axis_plane_support' END AS support FROM fp")
+@query(f"WITH {_FRAMES} SELECT edge, CAST(l AS INTEGER) AS l, CAST(r AS INTEGER) AS r, CASE WHEN ra = 'axis' AND rb = 'axis' THEN 'axial_support' WHEN ra = 'plane' AND rb = 'plane' THEN 'planar_support' ELSE 'axis_plane_support' END AS support FROM fp")
 def j15_frame_compatible(spark, sf):
     roles = F.array_join(F.array_sort(F.array("ra", "rb")), "+")
     support = F.when(roles == "axis+axis", "axial_support").when(roles == "plane+plane", "planar_support").otherwise("axis_plane_support")
-    return _frame_pairs(spark, sf).select("user_id", "l", "r", support.alias("support"))
+    return _frame_pairs(spark, sf).select("edge", "l", "r", support.alias("support"))
 
 
 @query(f"""WITH {_FRAMES}, e AS (SELECT *, f.flip, y.yaw, radians(va + y.yaw + CASE WHEN f.flip = 1 THEN vb ELSE -vb END) AS t FROM fp, (SELECT unnest([0, 1]) AS flip) f, (SELECT unnest([0, 90, 180, 270]) AS yaw) y)
-  SELECT user_id, CAST(l AS INTEGER) AS l, CAST(r AS INTEGER) AS r, flip, yaw, round(cos(t), 4) + 0.0 AS r00, round(va - (cos(t) * vb + CASE WHEN flip = 1 THEN sin(t) ELSE -sin(t) END * (ib % 17)), 3) + 0.0 AS x FROM e""")
+  SELECT edge, CAST(l AS INTEGER) AS l, CAST(r AS INTEGER) AS r, flip, yaw, round(cos(t), 4) + 0.0 AS r00, round(va - (cos(t) * vb + CASE WHEN flip = 1 THEN sin(t) ELSE -sin(t) END * (ib % 17)), 3) + 0.0 AS x FROM e""")
 def j16_pose_candidates(spark, sf):
     zero, one = F.lit(0.0), F.lit(1.0)
     at = lambda v, i: V.pose(F.col(v), F.col(v), (F.col(i) % 17).cast("double"), zero)
@@ -103,7 +103,7 @@ def j16_pose_candidates(spark, sf):
     every = _frame_pairs(spark, sf).select("*", flips).select("*", yaws).withColumns({"f": at("va", "ia"), "g": at("vb", "ib"), "h": turned, "y": V.pose(F.col("yaw").cast("double"), zero, zero, zero)})
     # the frame of the left, its yaw and flip, and the right frame undone
     step = every.withColumn("fy", V.multiplied(F.col("f"), F.col("y"))).withColumn("fyh", V.multiplied(F.col("fy"), F.col("h"))).withColumn("p", V.multiplied(F.col("fyh"), V.inverse(F.col("g"))))
-    return step.select("user_id", "l", "r", "flip", "yaw", (F.round(F.col("p")[0], 4) + 0.0).alias("r00"), (F.round(F.col("p")[3], 3) + 0.0).alias("x"))
+    return step.select("edge", "l", "r", "flip", "yaw", (F.round(F.col("p")[0], 4) + 0.0).alias("r00"), (F.round(F.col("p")[3], 3) + 0.0).alias("x"))
 
 
 @query(f"""WITH {_BOX}, n AS (SELECT *, lead(id) OVER (PARTITION BY label ORDER BY id) AS nxt FROM box) SELECT a.id, round(a.hi[1] - b.lo[1], 6) + 0.0 AS up, round(a.lo[1] - b.hi[1], 6) + 0.0 AS down FROM n a JOIN box b ON b.id = a.nxt""")
@@ -126,13 +126,6 @@ def j19_exact_check_routing(spark, sf):
     return found.select("a", "b", F.when(complex_ & (F.col("volume") / F.least("size_a", "size_b") <= 0.02), "skipped").otherwise("exact").alias("route"))
 
 
-@query(f"""WITH {_PLACED} SELECT user_id AS assembly, count(*) AS edges, count(*) FILTER (WHERE event_type IN ('purchase', 'view')) AS accepted, CASE WHEN count(*) FILTER (WHERE event_type IN ('purchase', 'view')) = count(*) THEN 'complete' ELSE 'unknown_incomplete_pair_execution' END AS status FROM pl WHERE pos < 3 GROUP BY user_id""")
-def j20_accepted_edges(spark, sf):
-    rows = _placed(spark, sf).where("pos < 3")
-    out = rows.groupBy(F.col("user_id").alias("assembly")).agg(F.count("*").alias("edges"), F.count_if(F.col("event_type").isin("purchase", "view")).alias("accepted"))
-    return out.withColumn("status", F.when(F.col("edges") == F.col("accepted"), "complete").otherwise("unknown_incomplete_pair_execution"))
-
-
 @query("""SELECT l.doc_id, CASE WHEN d.doc_id IS NULL THEN 'missing' WHEN d.doc_id % 23 = 0 THEN 'hash' ELSE 'joined' END AS status FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id""")
 def j29_assignment_join(spark, sf):
     pool = B.table(spark, sf, "documents").groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.sha2("text", 256)).alias("sha"))
@@ -147,19 +140,6 @@ def j30_unique_mapping_lookup(spark, sf):
     return rows.select("part", "face", "n", F.when(F.col("n") == 1, F.col("row")).alias("row"), F.when(F.col("n") == 1, "mapped").otherwise("ambiguous").alias("status"))
 
 
-@query(f"WITH {_PLACED} SELECT DISTINCT user_id AS assembly, CASE WHEN user_id % 3 > 0 THEN 'open' WHEN user_id % 2 = 0 THEN 'closed' ELSE 'closure_rejected' END AS status FROM pl")
-def i06_closure_check(spark, sf):
-    """Every third chain has a closing edge, and every other of these a pose that is off by a hair."""
-    pose = V.pose(F.col("value"), F.col("value"), (F.col("event_id") % 17).cast("double"), F.lit(0.0))
-    steps = _placed(spark, sf).where("pos < 5").select(F.col("user_id").alias("assembly"), "pos", pose.alias("pose"))
-    end = G.composed_chains(steps).groupBy("assembly").agg(F.max_by("world", "pos").alias("world"))
-    off = F.when(F.col("assembly") % 2 == 0, 0.0).otherwise(1e-3)
-    closing = F.when(F.col("assembly") % 3 == 0, F.transform("world", lambda x, i: F.when(i == 3, x + off).otherwise(x)))
-    shift = F.sqrt(sum(((F.col("world")[i] - F.col("closing")[i]) ** 2 for i in (3, 7, 11)), F.lit(0.0)))
-    turned = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: F.abs(F.get("world", i) - F.get("closing", i)) * F.when(i % 4 == 3, 0.0).otherwise(1.0)))
-    return end.withColumn("closing", closing).select("assembly", F.when(F.col("closing").isNull(), "open").when((shift <= 1e-5) & (turned <= 1e-6), "closed").otherwise("closure_rejected").alias("status"))
-
-
 @query(f"""WITH {_E}, d AS (SELECT label, vec_id, [e[4], e[5], e[6]] AS a FROM v) SELECT p.vec_id AS plane, count(*) AS holes FROM d p JOIN d h ON h.label = p.label AND p.vec_id % 3 = 0 AND h.vec_id % 3 = 1 WHERE abs(list_cosine_similarity(p.a, h.a)) >= 0.9 GROUP BY p.vec_id HAVING count(*) >= 3""")
 def k05_flange_planes(spark, sf):
     d = _vectors(spark, sf).select("label", "vec_id", F.slice("e", 4, 3).alias("a"))

@@ -146,26 +146,21 @@ def _placed(spark, sf):
     return B.table(spark, sf, "events").withColumn("pos", F.row_number().over(order) - 1)
 
 
-_PLACED = "pl AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events)"
+def _sixes(spark, sf):
+    """Six events of a user in a row are the frames of an edge: three of its left part, three of its right."""
+    return _placed(spark, sf).withColumn("edge", F.col("user_id") * 1_000_000 + F.floor(F.col("pos") / 6)).withColumn("place", F.col("pos") % 6)
 
 
-@query(f"""WITH {_PLACED}, c AS (SELECT *, sum(value) OVER w AS turn, coalesce(sum(value) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pl WHERE pos < 5 WINDOW w AS (PARTITION BY user_id ORDER BY pos)),
-  s AS (SELECT *, cos(radians(before)) * value - sin(radians(before)) * (event_id % 17) AS dx, sin(radians(before)) * value + cos(radians(before)) * (event_id % 17) AS dy FROM c)
-  SELECT user_id AS assembly, CAST(pos AS INTEGER) AS pos, round(cos(radians(turn)), 4) + 0.0 AS cosine, round(sum(dx) OVER (PARTITION BY user_id ORDER BY pos), 4) + 0.0 AS x, round(sum(dy) OVER (PARTITION BY user_id ORDER BY pos), 4) + 0.0 AS y FROM s""")
-def i05_compose_poses(spark, sf):
-    pose = V.pose(F.col("value"), F.col("value"), (F.col("event_id") % 17).cast("double"), F.lit(0.0))
-    steps = _placed(spark, sf).where("pos < 5").select(F.col("user_id").alias("assembly"), "pos", pose.alias("pose"))
-    at = lambda i, n: (F.round(F.col("world")[i], 4) + 0.0).alias(n)
-    return G.composed_chains(steps).select("assembly", "pos", at(0, "cosine"), at(3, "x"), at(7, "y"))
+_PLACED = "pl AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events)"
 
 
-@query(f"""WITH {_PLACED}, f AS (SELECT a.user_id AS edge, a.pos * 3 + b.pos - 3 AS pair FROM pl a JOIN pl b ON a.user_id = b.user_id AND a.pos < 3 AND b.pos BETWEEN 3 AND 5),
+@query(f"""WITH {_PLACED}, six AS (SELECT *, user_id * 1000000 + pos // 6 AS edge, pos % 6 AS place FROM pl), f AS (SELECT a.edge, a.place * 3 + b.place - 3 AS pair FROM six a JOIN six b ON a.edge = b.edge AND a.place < 3 AND b.place > 2),
   e AS (SELECT edge, pair, unnest(range(0, 8)) AS pose FROM f), t AS (SELECT *, row_number() OVER (PARTITION BY edge ORDER BY pose, pair) - 1 AS turn FROM e)
   SELECT edge, CAST(pair AS INTEGER) AS pair, CAST(pose AS INTEGER) AS pose, CAST(turn AS INTEGER) AS turn FROM t WHERE turn < 32""")
 def w11_pose_schedule(spark, sf):
-    p = _placed(spark, sf)
-    left, right = p.where("pos < 3").select("user_id", F.col("pos").alias("l")), p.where("pos between 3 and 5").select("user_id", F.col("pos").alias("r"))
-    pairs = left.join(right, "user_id").select(F.col("user_id").alias("edge"), (F.col("l") * 3 + F.col("r") - 3).alias("pair"))
+    p = _sixes(spark, sf)
+    left, right = p.where("place < 3").select("edge", F.col("place").alias("l")), p.where("place > 2").select("edge", F.col("place").alias("r"))
+    pairs = left.join(right, "edge").select("edge", (F.col("l") * 3 + F.col("r") - 3).alias("pair"))
     return G.scheduled(pairs, poses=8, budget=32)
 
 

@@ -13,26 +13,14 @@ from matchloom.operators import ranking as R
 from . import bindings as B
 from . import sql as S
 from .geometry import _E, _vectors
-from .matching import _assignments
+from .matching import _ready
 from .registry import query
 from .scoring import _SCORES, _scored_pairs, _targets, _unary
 
-_ADJ = S.PRIM + """,
-last_ AS (SELECT step, max(ordinal) AS last FROM prim GROUP BY step),
-adj AS (SELECT a.step, a.ordinal AS a, b.ordinal AS b, abs(a.members - b.members) AS feature FROM prim a JOIN prim b ON a.step = b.step AND b.ordinal = a.ordinal + 1
-  UNION ALL SELECT l.step, 0, l.last, abs(a.members - b.members) FROM last_ l JOIN prim a ON a.step = l.step AND a.ordinal = 0 JOIN prim b ON b.step = l.step AND b.ordinal = l.last WHERE l.last >= 2),
-way AS (SELECT step, a, b, feature FROM adj UNION ALL SELECT step, b, a, feature FROM adj)"""
+_ADJ = S.ADJ
 
 
-def _edges(spark, sf):
-    """Neighbouring primitives of a step, and its first and last if there are three or more."""
-    p = B.primitives(spark, sf).select("step", "ordinal", "members")
-    of_step = Window.partitionBy("step").orderBy("ordinal")
-    full = Window.partitionBy("step").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = p.withColumn("next", F.lead("members").over(of_step)).withColumn("last", F.max("ordinal").over(full)).withColumn("last_members", F.last("members").over(full))
-    chain = rows.where("next is not null").select("step", F.col("ordinal").alias("a"), (F.col("ordinal") + 1).alias("b"), F.abs(F.col("members") - F.col("next")).alias("feature"))
-    ring = rows.where("ordinal = 0 and last >= 2").select("step", F.col("ordinal").alias("a"), F.col("last").alias("b"), F.abs(F.col("members") - F.col("last_members")).alias("feature"))
-    return chain.unionByName(ring)
+_edges = B.adjacency
 
 
 @query(f"""WITH {_ADJ}, n AS (SELECT w.step, w.a AS ordinal, count(*) AS n, count(*) FILTER (WHERE geometry_type = 'plane') AS p, count(*) FILTER (WHERE geometry_type = 'cylinder') AS c, count(*) FILTER (WHERE geometry_type = 'circle') AS r FROM way w JOIN prim q ON q.step = w.step AND q.ordinal = w.b GROUP BY ALL),
@@ -117,10 +105,10 @@ def g17_supervision_summary(spark, sf):
 
 
 def _refine_sql(rounds: int) -> str:
-    out = ["c0 AS (SELECT step, ordinal, sha256(kind || ':' || geometry_type) AS colour FROM prim)"]
+    out = ["c0 AS MATERIALIZED (SELECT step, ordinal, sha256(kind || ':' || geometry_type) AS colour FROM prim)"]
     for i in range(rounds):
-        out.append(f"""n{i} AS (SELECT w.step, w.a AS ordinal, string_agg(w.feature || ':' || c.colour, ',' ORDER BY w.feature || ':' || c.colour) AS seen FROM way w JOIN c{i} c ON c.step = w.step AND c.ordinal = w.b GROUP BY w.step, w.a),
-  c{i + 1} AS (SELECT c.step, c.ordinal, sha256(c.colour || '|' || coalesce(n.seen, '')) AS colour FROM c{i} c LEFT JOIN n{i} n ON n.step = c.step AND n.ordinal = c.ordinal)""")
+        out.append(f"""n{i} AS MATERIALIZED (SELECT w.step, w.a AS ordinal, string_agg(w.feature || ':' || c.colour, ',' ORDER BY w.feature || ':' || c.colour) AS seen FROM way w JOIN c{i} c ON c.step = w.step AND c.ordinal = w.b GROUP BY w.step, w.a),
+  c{i + 1} AS MATERIALIZED (SELECT c.step, c.ordinal, sha256(c.colour || '|' || coalesce(n.seen, '')) AS colour FROM c{i} c LEFT JOIN n{i} n ON n.step = c.step AND n.ordinal = c.ordinal)""")
     return f"WITH {_ADJ}, {', '.join(out)} SELECT step, ordinal, colour FROM c{rounds}"
 
 
@@ -186,9 +174,9 @@ def s08_prediction_ledger(spark, sf):
   scored AS (SELECT l.query, l.identity, CAST(-sum(p.place) AS DOUBLE) AS score FROM long_ l JOIN place p ON p.query = l.query AND p.pos = l.pos AND p.candidate = l.candidate GROUP BY ALL),
   r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, identity) - 1 AS INTEGER) AS rank FROM scored) SELECT query, rank, identity FROM r WHERE rank < 25""")
 def j08_contract_dispatch(spark, sf):
-    found = _assignments(spark, sf)
-    places = R.role_rankings(B.candidates(spark, sf), A.ranked(found))
-    return A.ranked(R.rank_scored(found, places)).select("query", "rank", "identity")
+    ready = _ready(spark, sf)
+    places = R.role_rankings(B.candidates(spark, sf), A.ranked(A.best_assignments(ready)))
+    return A.ranked(A.best_assignments(R.place_costs(ready, places))).select("query", "rank", "identity")
 
 
 @query(f"WITH {S.CAND}, c AS (SELECT unnest(['fixed', 'revolute', 'prismatic']) AS entry) SELECT query, edge, c.entry FROM edge, c")

@@ -9,6 +9,7 @@ from matchloom.functions import ports as P
 from matchloom.operators import assignments as A
 from matchloom.operators import ports as O
 from matchloom.operators import ranking as R
+from matchloom.sources.tables import written
 
 from . import bindings as B
 from . import sql as S
@@ -23,29 +24,30 @@ def p02_port_measure(spark, sf):
     return B.primitives(spark, sf).select("step", "ordinal", "measure")
 
 
-@query(f"WITH {S.PORT} SELECT step, ordinal, size_class, symmetry, contract FROM port")
+@query(f"WITH {S.PORT} SELECT step, ordinal, size_class, adjacent, symmetry, contract FROM port")
 def w01_describe_ports(spark, sf):
-    return B.ports(spark, sf).select("step", "ordinal", "size_class", "symmetry", "contract")
+    return B.ports(spark, sf).select("step", "ordinal", "size_class", "adjacent", "symmetry", "contract")
 
 
 @query(f"""WITH {S.PORT} SELECT step, l.level, kind, CASE WHEN level >= 2 THEN geometry_type END AS geometry_type,
-  CASE WHEN level >= 3 THEN size_class END AS size_class, CASE WHEN level >= 5 THEN symmetry END AS symmetry
+  CASE WHEN level >= 3 THEN size_class END AS size_class, CASE WHEN level >= 4 THEN adjacent END AS adjacent, CASE WHEN level >= 5 THEN symmetry END AS symmetry
   FROM port, (SELECT unnest([1, 2, 3, 4, 5]) AS level) l WHERE ordinal = 0""")
 def p05_project_contract(spark, sf):
     levels = F.explode(F.array(*map(F.lit, range(1, 6)))).alias("level")
     at = lambda n, c: F.when(F.col("level") >= n, F.col(c)).alias(c)
-    return B.ports(spark, sf).where("ordinal = 0").select("*", levels).select("step", "level", "kind", at(2, "geometry_type"), at(3, "size_class"), at(5, "symmetry"))
+    return B.ports(spark, sf).where("ordinal = 0").select("*", levels).select("step", "level", "kind", at(2, "geometry_type"), at(3, "size_class"), at(4, "adjacent"), at(5, "symmetry"))
 
 
 @query(f"""WITH {S.PORT} SELECT q.step, count(*) FILTER (WHERE p.kind = q.kind) AS fields_1, count(*) FILTER (WHERE p.kind = q.kind AND p.geometry_type = q.geometry_type) AS fields_2,
-  count(*) FILTER (WHERE p.kind = q.kind AND p.geometry_type = q.geometry_type AND p.size_class = q.size_class) AS fields_3, count(*) FILTER (WHERE p.contract = q.contract) AS fields_5
+  count(*) FILTER (WHERE p.kind = q.kind AND p.geometry_type = q.geometry_type AND p.size_class = q.size_class) AS fields_3,
+  count(*) FILTER (WHERE p.kind = q.kind AND p.geometry_type = q.geometry_type AND p.size_class = q.size_class AND p.adjacent = q.adjacent) AS fields_4, count(*) FILTER (WHERE p.contract = q.contract) AS fields_5
   FROM port q JOIN port p ON p.step = q.step WHERE q.ordinal = 0 GROUP BY q.step""")
 def p06_contract_matches(spark, sf):
     found = B.ports(spark, sf)
-    fields = ["kind", "geometry_type", "size_class", "symmetry"]
+    fields = O.CONTRACT
     asked = found.where("ordinal = 0").select("step", *[F.col(c).alias(f"want_{c}") for c in fields])
     same = lambda n: F.count_if(F.forall(F.array(*[F.col(c).eqNullSafe(F.col(f"want_{c}")) for c in fields[:n]]), lambda x: x))
-    return found.join(asked, "step").groupBy("step").agg(*[same(n).alias(f"fields_{m}") for n, m in ((1, 1), (2, 2), (3, 3), (4, 5))])
+    return found.join(asked, "step").groupBy("step").agg(*[same(n).alias(f"fields_{n}") for n in range(1, 6)])
 
 
 @query(f"""WITH {S.PORT} SELECT step, ordinal, CASE WHEN size_class <> 'only' THEN size_class || ' ' ELSE '' END || geometry_type || ' ' || kind
@@ -129,11 +131,21 @@ def j01_port_candidate_mask(spark, sf):
 
 
 def _counts(spark, sf):
-    return O.match_counts(B.candidates(spark, sf), B.endpoints(spark, sf), B.ports(spark, sf))
+    ports = written(B.ports(spark, sf), "ports")
+    return O.match_counts(B.candidates(spark, sf), B.endpoints(spark, sf, ports), ports)
+
+
+def _ready(spark, sf):
+    """The candidates that may stand at their roles, once worked out for all that a query does with them."""
+    return written(A.endpoint_costs(B.candidates(spark, sf), _counts(spark, sf)), "ready")
 
 
 def _assignments(spark, sf):
-    return A.feasible_assignments(B.candidates(spark, sf), _counts(spark, sf))
+    return A.feasible_assignments(_ready(spark, sf))
+
+
+def _best(spark, sf):
+    return A.best_assignments(_ready(spark, sf))
 
 
 @query(f"WITH {S.REQ}, a AS (SELECT DISTINCT step FROM prim) SELECT c.query, c.role, c.candidate, a.step IS NOT NULL AS available FROM cand c LEFT JOIN a ON a.step = c.candidate")
@@ -161,15 +173,16 @@ _PICKED = """picked AS (SELECT query, rank, score, unnest([0, 1, 2, 3, 4]) AS po
   p AS (SELECT p.query, p.rank, p.score, p.pos, p.candidate, r.role FROM picked p JOIN role r ON r.query = p.query AND r.pos = p.pos)
   SELECT q.query, CASE WHEN p.rank IS NULL THEN 'no_candidate' ELSE 'predicted' END AS status, CAST(p.rank AS INTEGER) AS rank, p.pos, p.role, p.candidate, round(p.score, 6) + 0.0 AS score FROM q LEFT JOIN p ON p.query = q.query""")
 def j06_symbolic_predictions(spark, sf):
-    out = A.predictions(B.candidates(spark, sf), A.ranked(_assignments(spark, sf)))
+    out = A.predictions(B.candidates(spark, sf), A.ranked(_best(spark, sf)))
     return out.withColumn("score", F.col("score") + 0.0)
 
 
 @query(f"""WITH {S.ASSIGN} SELECT 'minimum_port_ambiguity' AS policy, query, CAST(rank AS INTEGER) AS rank, identity FROM ranking WHERE rank < 25
   UNION ALL SELECT 'deterministic_hash', query, CAST(rank AS INTEGER), identity FROM ranking_h WHERE rank < 25""")
 def w09_rank_policies(spark, sf):
-    found = _assignments(spark, sf)
-    parts = [A.ranked(found, p).select(F.lit(p).alias("policy"), "query", "rank", "identity") for p in ("minimum_port_ambiguity", "deterministic_hash")]
+    ready = _ready(spark, sf)
+    found = {"minimum_port_ambiguity": A.best_assignments(ready), "deterministic_hash": A.feasible_assignments(ready)}
+    parts = [A.ranked(df, p).select(F.lit(p).alias("policy"), "query", "rank", "identity") for p, df in found.items()]
     return parts[0].unionByName(parts[1])
 
 
@@ -177,7 +190,7 @@ def w09_rank_policies(spark, sf):
   SELECT c.query, c.role, c.candidate, CAST(row_number() OVER (PARTITION BY c.query, c.role ORDER BY s.seen IS NULL, s.seen, c.candidate) - 1 AS INTEGER) AS place
   FROM cand c LEFT JOIN seen s ON s.query = c.query AND s.pos = c.pos AND s.candidate = c.candidate""")
 def w10_role_rankings_from_beam(spark, sf):
-    return R.role_rankings(B.candidates(spark, sf), A.ranked(_assignments(spark, sf))).drop("pos")
+    return R.role_rankings(B.candidates(spark, sf), A.ranked(_best(spark, sf))).drop("pos")
 
 
 _PLACED = "place AS (SELECT query, pos, candidate, row_number() OVER (PARTITION BY query, role ORDER BY volume DESC, candidate) - 1 AS place FROM cand)"
@@ -193,7 +206,7 @@ def _by_volume(spark, sf):
   r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, identity) - 1 AS INTEGER) AS rank FROM scored)
   SELECT query, rank, identity, score + 0.0 AS score FROM r WHERE rank < 25""")
 def j07_external_rank_predictions(spark, sf):
-    scored = R.rank_scored(_assignments(spark, sf), _by_volume(spark, sf))
+    scored = A.best_assignments(R.place_costs(_ready(spark, sf), _by_volume(spark, sf)))
     return A.ranked(scored).select("query", "rank", "identity", (F.col("score") + 0.0).alias("score"))
 
 
@@ -203,7 +216,7 @@ def j07_external_rank_predictions(spark, sf):
     round(avg(raw), 6) AS raw_mean, median(raw) AS raw_median, quantile_disc(raw, 0.9) AS raw_p90, max(raw) AS raw_max,
     round(avg(feasible), 6) AS feasible_mean, median(feasible) AS feasible_median, quantile_disc(feasible, 0.9) AS feasible_p90, max(feasible) AS feasible_max FROM e""")
 def j09_ambiguity_audit(spark, sf):
-    return A.ambiguity_audit(B.candidates(spark, sf), _assignments(spark, sf))
+    return A.ambiguity_audit(B.candidates(spark, sf), _ready(spark, sf))
 
 
 @query(f"""WITH {S.CAND}, r AS (SELECT query, role, candidate FROM cand WHERE candidate % 7 <> 0 UNION ALL SELECT query, role, candidate FROM cand WHERE candidate % 11 = 0 UNION ALL SELECT query, role, -candidate FROM cand WHERE candidate % 13 = 0),
@@ -242,9 +255,8 @@ def g10_candidate_summary(spark, sf):
 @query(f"""WITH {S.ASSIGN}, q AS (SELECT DISTINCT query FROM cand) SELECT CASE WHEN a.query IS NULL THEN 'no_candidate' ELSE 'predicted' END AS status, count(*) AS n
   FROM q LEFT JOIN (SELECT DISTINCT query FROM assigned) a ON a.query = q.query GROUP BY 1""")
 def g11_status_counts(spark, sf):
-    every = B.candidates(spark, sf).select("query").distinct()
-    found = _assignments(spark, sf).select("query").distinct().withColumn("has", F.lit(1))
-    return every.join(found, "query", "left").groupBy(F.when(F.col("has").isNull(), "no_candidate").otherwise("predicted").alias("status")).agg(F.count("*").alias("n"))
+    found = A.feasible_counts(B.candidates(spark, sf), _ready(spark, sf))
+    return found.groupBy(F.when(F.col("feasible") > 0, "predicted").otherwise("no_candidate").alias("status")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT o_orderstatus, quantile_disc(CAST(o_totalprice AS DOUBLE), 0.5) AS p50, quantile_disc(CAST(o_totalprice AS DOUBLE), 0.9) AS p90, quantile_disc(CAST(o_totalprice AS DOUBLE), 0.99) AS p99 FROM orders GROUP BY 1")

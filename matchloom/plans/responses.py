@@ -10,6 +10,9 @@ from matchloom.functions.ports import MOBILITIES
 from matchloom.operators import assignments as A
 from matchloom.operators import graphs as G
 
+from matchloom.operators import requests as R
+from matchloom.operators.assemblies import aligned
+
 from . import bindings as B
 from . import sql as S
 from .geometry import _NEXT, _PLACED, _placed
@@ -27,28 +30,18 @@ def r02_target_connections(spark, sf):
     return B.edges(spark, sf).select("query", "edge", reason.alias("reason"), F.when(reason == "ok", m).alias("mobility"))
 
 
-@query(f"""WITH {S.CAND}, q AS (SELECT query, max(n_roles) AS n FROM role GROUP BY query) SELECT query, CASE WHEN query % 9 = 0 THEN 'coverage' WHEN query % 7 = 0 THEN 'roles' WHEN query % 13 = 0 THEN 'mobility' WHEN query % 6 = 0 AND n > 1 THEN 'connectivity' ELSE 'valid' END AS reason FROM q""")
+@query(f"""WITH {S.CAND}, q AS (SELECT query, max(n_roles) AS n FROM role GROUP BY query) SELECT query, CASE WHEN query % 9 = 0 THEN 'coverage' WHEN query % 7 = 0 THEN 'roles' WHEN query % 13 = 0 AND NOT (query % 6 = 0 AND n = 2) THEN 'mobility' WHEN query % 6 = 0 AND n > 1 THEN 'connectivity' ELSE 'valid' END AS reason FROM q""")
 def r06_validate_graph_response(spark, sf):
-    """The first rule that a query's response breaks: coverage, the set of roles, mobility, connectivity."""
-    from matchloom.operators.requests import connected
-
     roles = B.candidates(spark, sf).select("query", "pos", "role").distinct()
-    edges = B.edges(spark, sf)
-    said_roles = roles.where("query % 9 <> 0").withColumn("role", F.when((F.col("query") % 7 == 0) & (F.col("pos") == 0), "other").otherwise(F.col("role")))
-    said = edges.where("query % 9 <> 0 and (query % 6 <> 0 or edge <> 0)").select("query", "edge", F.when(F.col("query") % 13 == 0, "welded").otherwise("fixed").alias("mobility"))
-    both = roles.withColumn("w", F.lit(1)).join(said_roles.select("query", "role").withColumn("g", F.lit(1)), ["query", "role"], "full_outer")
-    per = both.groupBy("query").agg(F.count("g").alias("given"), F.count_if(F.col("w").isNull() | F.col("g").isNull()).alias("differ"))
-    # mobility is judged on every edge of the response, the dropped ones aside
-    bad = said.unionByName(edges.where("query % 9 <> 0 and query % 6 = 0 and edge = 0").select("query", "edge", F.when(F.col("query") % 13 == 0, "welded").otherwise("fixed").alias("mobility")))
-    wrong = bad.groupBy("query").agg(F.count_if(~F.col("mobility").isin(MOBILITIES)).alias("wrong"))
-    whole = connected(roles.select("query", "pos"), said.select("query", F.col("edge").alias("a"), (F.col("edge") + 1).alias("b")))
-    reason = F.when(F.col("given") == 0, "coverage").when(F.col("differ") > 0, "roles").when(F.col("wrong") > 0, "mobility").when(~F.col("connected"), "connectivity").otherwise("valid")
-    return per.join(wrong, "query", "left").join(whole, "query", "left").select("query", reason.alias("reason"))
+    said_roles = roles.where("query % 9 <> 0").select("query", F.when((F.col("query") % 7 == 0) & (F.col("pos") == 0), "other").otherwise(F.col("role")).alias("role"))
+    given = B.edges(spark, sf).where("query % 9 <> 0 and (query % 6 <> 0 or pos_a <> 0)")
+    said = given.select("query", "edge", "role_a", "role_b", F.when(F.col("query") % 13 == 0, "welded").otherwise("fixed").alias("mobility"))
+    return R.graph_response_reasons(roles.select("query", "role"), said_roles, said, MOBILITIES)
 
 
 @query(f"""WITH {S.REQ} SELECT CASE WHEN contract IS NULL THEN 'unknown' WHEN query % 9 = 0 THEN 'missing' ELSE 'predicted' END AS status, count(*) AS sides, count(DISTINCT query) AS queries FROM endpoint GROUP BY 1""")
 def r13_planner_conditioned_protocol(spark, sf):
-    ends = B.endpoints(spark, sf)
+    ends = B.endpoints(spark, sf, B.ports(spark, sf))
     predicted = ends.where("query % 9 <> 0").select("query", "edge", "side", F.col("contract").alias("predicted"))
     joined = ends.join(predicted, ["query", "edge", "side"], "left")
     status = F.when(F.col("contract").isNull(), "unknown").when(F.col("predicted").isNull(), "missing").otherwise("predicted")
@@ -74,16 +67,17 @@ def j28_semantic_commitments(spark, sf):
     return out.withColumn("verified", (F.col("missing") == 0) & (F.col("differing") == 0))
 
 
-@query(f"WITH {_PLACED} SELECT user_id AS assembly, count(*) AS parts, true AS aligned FROM pl WHERE pos < 5 GROUP BY user_id")
+@query(f"""WITH {_PLACED} SELECT user_id * 1000000 + pos // 5 AS query, count(*) AS parts, CASE WHEN max(user_id) % 7 = 0 AND count(*) > 1 THEN 'role_domain' ELSE 'aligned' END AS status FROM pl GROUP BY 1""")
 def j25_anchor_align(spark, sf):
-    """The same assemblies moved by 25 along x and turned come back by the pose of their first part."""
+    """Five parts in a row, moved by 25 along x and turned, come back by the pose of their first; some predictions lack their last part."""
     pose = V.pose(F.col("value"), F.col("value"), (F.col("event_id") % 17).cast("double"), F.lit(0.0))
-    parts = _placed(spark, sf).where("pos < 5").select(F.col("user_id").alias("assembly"), "pos", pose.alias("ref"))
-    moved = parts.withColumn("shift", V.pose(F.lit(40.0), F.lit(25.0), F.lit(0.0), F.lit(0.0))).withColumn("pred", V.multiplied(F.col("shift"), F.col("ref")))
-    gauge = moved.where("pos = 0").select("assembly", F.col("ref").alias("r0"), V.inverse(F.col("pred")).alias("i0")).select("assembly", V.multiplied(F.col("r0"), F.col("i0")).alias("gauge"))
-    back = moved.join(gauge, "assembly").withColumn("back", V.multiplied(F.col("gauge"), F.col("pred")))
-    off = F.array_max(F.zip_with("back", "ref", lambda x, y: F.abs(x - y)))
-    return back.groupBy("assembly").agg(F.count("*").alias("parts"), (F.max(off) < 1e-8).alias("aligned"))
+    parts = _placed(spark, sf).select((F.col("user_id") * 1_000_000 + F.floor(F.col("pos") / 5)).alias("query"), (F.col("pos") % 5).alias("role"), "user_id", pose.alias("world"))
+    last = F.max("role").over(Window.partitionBy("query"))
+    moved = parts.withColumn("last", last).where("user_id % 7 <> 0 or role = 0 or role <> last").select("query", "role", V.multiplied(V.pose(F.lit(40.0), F.lit(25.0), F.lit(0.0), F.lit(0.0)), F.col("world")).alias("world"))
+    back = aligned(moved, parts.select("query", "role", "world"))
+    off = F.array_max(F.zip_with("world", "reference", lambda x, y: F.abs(x - y)))
+    fits = F.bool_and(off < 1e-8)
+    return back.groupBy("query").agg(F.count("*").alias("parts"), F.when(F.max("status") != "aligned", F.max("status")).when(fits, "aligned").otherwise("off").alias("status"))
 
 
 @query(f"""WITH {_NEXT}, w AS (SELECT event_id, sqrt((v2 - v) ** 2 + (y2 - y) ** 2) AS d, abs(v2 - v) - 360 * floor(abs(v2 - v) / 360) AS a FROM n WHERE v2 IS NOT NULL), x AS (SELECT event_id, d, CASE WHEN a > 180 THEN 360 - a ELSE a END AS a FROM w)
@@ -115,7 +109,7 @@ def w08_hypothesis_alternatives(spark, sf):
     roles = B.candidates(spark, sf).select("query", "pos", "role").distinct()
     picked = first.join(roles, ["query", "pos"]).select("query", "role", F.col("candidate").alias("step"))
     found = B.ports(spark, sf).select("step", "ordinal", "kind", F.round("size", 6).alias("size"), F.col("contract").alias("own"))
-    matches = B.endpoints(spark, sf).join(picked, ["query", "role"]).join(found, "step").where("contract is null or contract = own")
+    matches = B.endpoints(spark, sf, found).join(picked, ["query", "role"]).join(found, "step").where("contract is null or contract = own")
     side = lambda s: matches.where(F.col("side") == s).select("query", "edge", *[F.col(c).alias(f"{c}_{s}") for c in ("ordinal", "kind", "size")])
     order = Window.partitionBy("query", "edge").orderBy("kind_a", "size_a", "ordinal_a", "kind_b", "size_b", "ordinal_b")
     pairs = side("a").join(side("b"), ["query", "edge"]).withColumn("rank", F.row_number().over(order) - 1).where("rank < 3")

@@ -30,6 +30,16 @@ def _scored_pairs(spark, sf):
     return a.join(b, ["query", "pos"]).select("query", "pos", "a", "b", _micro("query", "pos", "a", "b").alias("score"))
 
 
+def _joined_pairs(spark, sf):
+    """Pairs of all edges (query, edge, pos_a, pos_b, a, b, score): the neighbours', and those of the first and last role."""
+    near = _scored_pairs(spark, sf).select("query", F.col("pos").alias("edge"), (F.col("pos") - 1).alias("pos_a"), F.col("pos").alias("pos_b"), "a", "b", "score")
+    c = B.candidates(spark, sf)
+    first = c.where("pos = 0").select("query", F.col("candidate").alias("a"))
+    last = c.where("pos = n_roles - 1 and pos >= 2").select("query", "pos", F.col("candidate").alias("b"))
+    ring = last.join(first, "query").select("query", F.lit(0).alias("edge"), F.col("pos").alias("pos_a"), F.lit(0).alias("pos_b"), F.col("b").alias("a"), F.col("a").alias("b"), _micro("query", F.lit(0), "a", "b").alias("score"))
+    return near.unionByName(ring)
+
+
 def _targets(spark, sf):
     return B.candidates(spark, sf).groupBy("query", "pos").agg(F.max("candidate").alias("candidate"))
 
@@ -37,21 +47,24 @@ def _targets(spark, sf):
 _SCORES = S.CAND + f""",
 unary AS (SELECT query, pos, n_roles, candidate, {_HASH.format("query || ':' || role || ':' || candidate")} AS score FROM cand),
 pair AS (SELECT b.query, b.pos, a.candidate AS a, b.candidate AS b, {_HASH.format("b.query || ':' || b.pos || ':' || a.candidate || ':' || b.candidate")} AS score FROM cand a JOIN cand b ON a.query = b.query AND b.pos = a.pos + 1),
+ring AS (SELECT b.query, a.candidate AS a, b.candidate AS b, {_HASH.format("b.query || ':0:' || a.candidate || ':' || b.candidate")} AS score FROM cand a JOIN cand b ON a.query = b.query AND a.pos = 0 AND b.pos = b.n_roles - 1 AND b.pos >= 2),
 target AS (SELECT query, pos, max(candidate) AS candidate FROM cand GROUP BY query, pos)"""
 
 
 def _beam_sql() -> str:
     out = ["s0 AS (SELECT * FROM (SELECT query, n_roles, [candidate] AS picks, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, candidate) AS t FROM unary WHERE pos = 0) x WHERE t <= 25)"]
     for i in range(1, 5):
-        out.append(f"""s{i} AS (SELECT * FROM (SELECT s.query, s.n_roles, list_append(s.picks, p.b) AS picks, s.score + u.score + p.score AS score, row_number() OVER (PARTITION BY s.query ORDER BY s.score + u.score + p.score DESC, list_append(s.picks, p.b)) AS t
-  FROM s{i - 1} s JOIN pair p ON p.query = s.query AND p.pos = {i} AND p.a = s.picks[{i}] JOIN unary u ON u.query = s.query AND u.pos = {i} AND u.candidate = p.b WHERE s.n_roles > {i}) x WHERE t <= 25)""")
+        both = "s.score + u.score + p.score + coalesce(r.score, 0)"
+        out.append(f"""s{i} AS (SELECT * FROM (SELECT s.query, s.n_roles, list_append(s.picks, p.b) AS picks, {both} AS score, row_number() OVER (PARTITION BY s.query ORDER BY {both} DESC, list_append(s.picks, p.b)) AS t
+  FROM s{i - 1} s JOIN pair p ON p.query = s.query AND p.pos = {i} AND p.a = s.picks[{i}] JOIN unary u ON u.query = s.query AND u.pos = {i} AND u.candidate = p.b
+  LEFT JOIN ring r ON r.query = s.query AND s.n_roles = {i + 1} AND r.a = s.picks[1] AND r.b = p.b WHERE s.n_roles > {i}) x WHERE t <= 25)""")
     union = " UNION ALL ".join(f"SELECT query, array_to_string(picks, ',') AS picks, score FROM s{i} WHERE n_roles = {i + 1}" for i in range(1, 5))
     return f"WITH {_SCORES}, {', '.join(out)} {union}"
 
 
 @query(_beam_sql())
 def i09_beam_decode(spark, sf):
-    return D.beam_decode(_unary(spark, sf), _scored_pairs(spark, sf)).select("query", F.array_join(F.transform("picks", lambda x: x.cast("string")), ",").alias("picks"), "score")
+    return D.beam_decode(_unary(spark, sf), _joined_pairs(spark, sf)).select("query", F.array_join(F.transform("picks", lambda x: x.cast("string")), ",").alias("picks"), "score")
 
 
 @query(f"WITH {_SCORES} SELECT query, pos, a, b, score FROM (SELECT *, row_number() OVER (PARTITION BY query, pos ORDER BY score DESC, a, b) AS t FROM pair) x WHERE t = 1")
@@ -114,11 +127,12 @@ def r01_role_rows(spark, sf):
     return R.role_status(roles.select("query", planted.alias("role")))
 
 
-@query(f"""WITH {S.CAND} SELECT query, max(n_roles) <= CASE WHEN query % 6 = 0 THEN 1 ELSE 9 END AS connected FROM role GROUP BY query""")
+@query(f"""WITH {S.CAND} SELECT query, CASE WHEN query % 6 = 0 THEN false WHEN query % 6 = 1 THEN max(n_roles) > 2 ELSE true END AS connected FROM role GROUP BY query""")
 def i01_graph_connected(spark, sf):
-    roles = B.candidates(spark, sf).select("query", "pos").distinct()
-    edges = B.edges(spark, sf).where("query % 6 <> 0 or edge <> 0").select("query", F.col("edge").alias("a"), (F.col("edge") + 1).alias("b"))
-    return R.connected(roles, edges)
+    """Some queries lack their first edge; some of these the one that closes the ring as well."""
+    roles = B.candidates(spark, sf).select("query", "role").distinct()
+    edges = B.edges(spark, sf).where("query % 6 > 1 or edge <> 0").where("query % 6 <> 0 or pos_b = pos_a + 1")
+    return R.connected(roles, edges.select("query", "edge", "role_a", "role_b"))
 
 
 @query(f"""WITH {S.CAND} SELECT query, string_agg('Join ' || role_a || ' and ' || role_b || ' as one rigid connection.', ' ' ORDER BY edge) AS text, count(*) AS edges, count(*) AS pairs, true AS "unique" FROM edge GROUP BY query""")
