@@ -5,10 +5,10 @@ both smoothed by adding one.  Every word has a class, by exchange clustering:
 
 * the `heads` commonest words, and `tails` units that hold all other words by their last two
   bytes, are exchanged one by one between classes as long as that raises the likelihood of the class bigrams;
-* then every other word that stands `least` times or more leaves its unit: in each round all such words go at once to the class under
-  which the classes before and after them are likeliest, and the class counts are made anew, until a round
-  gains no more.  Such a round never lowers the likelihood but for the smoothing.  Neighbours are named by their unit's class meanwhile, so
-  a word's neighbours are one short row of counts that all rounds read;
+* then every other word that stands `least` times or more leaves its unit, by predictive exchange: in each round all such words go at once to the class under
+  which what stands before them is likeliest, and the class counts are made anew, until a round
+  gains no more.  Such a round never lowers the likelihood but for the smoothing.  What stands before a word is named by its unit's group, of
+  NEAR at most, so a word has one short row of counts that all rounds read;
 * words that stand less often stay in their unit, and so do unseen ones.
 
 So the clustered words grow with the corpus, and the number of classes with the cube root of its vocabulary.
@@ -36,6 +36,7 @@ from .text import Words, lists, mix, slices
 
 END = np.uint64(0x5851F42D4C957F2D)
 CHUNK_WORDS = 1_000_000
+NEAR = 48
 _MERGE_AT = 1_000_000
 
 
@@ -100,10 +101,9 @@ def _pairs(batches: Iterator[pa.RecordBatch], heads: np.ndarray, tails: int) ->
     yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["pair", "n"])
 
 
-def _contexts(batches: Iterator[pa.RecordBatch], heads: np.ndarray, tails: int, cls: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """name, code, n of words that are no heads: code is the class before a word, or the number of classes and the class behind it."""
-    classes = int(cls.max()) + 1
-    end = cls[_units(np.array([END]), np.zeros(1, np.int64), heads)[0]]
+def _contexts(batches: Iterator[pa.RecordBatch], heads: np.ndarray, tails: int, near: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """name, code, n of words that are no heads: code is the group (near, by unit) of the word before."""
+    end = near[_units(np.array([END]), np.zeros(1, np.int64), heads)[0]]
     held: list[list[np.ndarray]] = [[], [], []]
     size = 0
 
@@ -118,14 +118,10 @@ def _contexts(batches: Iterator[pa.RecordBatch], heads: np.ndarray, tails: int,
     for batch in slices(batches, "text"):
         names, tail, _ = _tokens(batch, tails)
         unit = _units(names, tail, heads)
-        of = cls[unit]
         free = np.flatnonzero(unit >= len(heads))
-        before = np.concatenate([[end], of[:-1]])[free] if len(of) else of
-        # a word has its text's end behind it at least
-        codes = np.concatenate([before, classes + of[np.minimum(free + 1, len(of) - 1)]]) if len(of) else of
-        both = np.concatenate([names[free], names[free]])
-        _, first, n = np.unique(both + mix(codes.astype(np.uint64) + np.uint64(1)), return_index=True, return_counts=True)
-        for part, x in zip(held, (both[first], codes[first].astype(np.int32), n.astype(np.int32)), strict=True):
+        codes, own = np.concatenate([[end], near[unit[:-1]]])[free] if len(unit) else unit, names[free]
+        _, first, n = np.unique(own + mix(codes.astype(np.uint64) + np.uint64(1)), return_index=True, return_counts=True)
+        for part, x in zip(held, (own[first], codes[first].astype(np.int32), n.astype(np.int32)), strict=True):
             part.append(x)
         size += len(first)
         if size > _MERGE_AT:
@@ -187,17 +183,14 @@ def exchange_clusters(pairs: np.ndarray, classes: int, sweeps: int = 30) -> np.n
 
 
 def _likelihood(counts: np.ndarray) -> float:
-    """The log likelihood of what stands before and behind, given the classes; counts [class before, and behind; class]."""
+    """The log likelihood of what stands before, given the classes; counts [code, class]."""
     f = lambda x: x * np.log(np.maximum(x, 1e-300))
-    half = len(counts) // 2
-    return float(f(counts).sum() - f(counts[:half].sum(axis=0)).sum() - f(counts[half:].sum(axis=0)).sum())
+    return float(f(counts).sum() - f(counts.sum(axis=0)).sum())
 
 
 def _table(counts: np.ndarray) -> np.ndarray:
-    """log P(code | class), each side of its own, smoothed by adding a half."""
-    half = len(counts) // 2
-    sides = (counts[:half] + 0.5, counts[half:] + 0.5)
-    return np.concatenate([np.log(x / x.sum(axis=0)) for x in sides])
+    """log P(code | class), smoothed by adding a half."""
+    return np.log((counts + 0.5) / (counts + 0.5).sum(axis=0))
 
 
 def _codes(batch: pa.RecordBatch, codes: int) -> np.ndarray:
@@ -283,28 +276,46 @@ def _looked_up(texts: pd.DataFrame, words: pd.DataFrame) -> tuple[np.ndarray, np
     return n[places], cls[places], first
 
 
-def _before(cls: np.ndarray, first: np.ndarray, end: int) -> np.ndarray:
-    out = np.roll(cls, 1)
-    out[first[:-1]] = end
-    return out
-
-
-def _moves(texts: pd.DataFrame, words: pd.DataFrame, classes: int, end: int) -> pd.DataFrame:
-    """How often each class follows each class in the chunk's texts."""
-    if not len(texts):
-        return pd.DataFrame({"move": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64")})
-    _, cls, first = _looked_up(texts, words)
-    total = np.bincount(_before(cls, first, end) * classes + cls, minlength=classes * classes)
+def _classed(texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+    """The chunk's texts with the classes of their words, a byte each."""
+    n, cls, first = _looked_up(texts, words)
+    sums = [np.add.reduceat(x, first[:-1]) if len(texts) else x for x in (n > 0, np.log10(n + 1.0))]
+    raw = cls.astype(np.uint8).tobytes()
+    return pd.DataFrame({
+        "doc_id": texts["doc_id"].astype("int64"), "n_tokens": np.diff(first), "n_known": sums[0].astype(np.int64), "sum_word": sums[1],
+        "classes": [raw[a:b] for a, b in zip(first, first[1:], strict=False)],
+    })
+
+
+def _steps(batch: pa.RecordBatch, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class before and class of every word, and where texts begin; every text has its end at least."""
+    column = batch.column("classes").cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    cls = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].astype(np.int64)
+    first = (offsets - offsets[0])[:-1]
+    before = np.roll(cls, 1)
+    before[first] = end
+    return before, cls, first
+
+
+def _moves(batches: Iterator[pa.RecordBatch], classes: int, end: int) -> Iterator[pa.RecordBatch]:
+    """How often each class follows each class."""
+    total = np.zeros(classes * classes, np.int64)
+    for batch in batches:
+        for part in slices([batch], "classes"):
+            before, cls, _ = _steps(part, end)
+            total += np.bincount(before * classes + cls, minlength=classes * classes)
     found = np.flatnonzero(total)
-    return pd.DataFrame({"move": found, "n": total[found]})
+    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["move", "n"])
 
 
-def _summed(texts: pd.DataFrame, words: pd.DataFrame, weight: np.ndarray, end: int) -> pd.DataFrame:
+def _weighed(batches: Iterator[pa.RecordBatch], weight: np.ndarray, end: int) -> Iterator[pa.RecordBatch]:
     """weight[class before, class]: log10 of the transition less log10 of the class' size."""
-    n, cls, first = _looked_up(texts, words)
-    moves = weight[_before(cls, first, end), cls]
-    sums = [np.add.reduceat(x, first[:-1]) if len(texts) else x for x in (n > 0, np.log10(n + 1.0), moves)]
-    return pd.DataFrame({"doc_id": texts["doc_id"].astype("int64"), "n_tokens": np.diff(first), "n_known": sums[0].astype(np.int64), "sum_word": sums[1], "sum_class": sums[2]})
+    names = ["doc_id", "n_tokens", "n_known", "sum_word"]
+    for batch in batches:
+        for part in slices([batch], "classes"):
+            before, cls, first = _steps(part, end)
+            yield pa.RecordBatch.from_arrays([*map(part.column, names), pa.array(np.add.reduceat(weight[before, cls], first))], names=[*names, "sum_class"])
 
 
 def class_scores(
@@ -344,13 +355,13 @@ def class_scores(
     classes = int(cls.max()) + 1
     of_tail, end = cls[len(top) :], int(cls[np.searchsorted(top, END)])
 
-    # the other words: their neighbours' classes, a row of at most 2 * classes numbers each
-    found = train.mapInArrow(partial(_contexts, heads=top, tails=tails, cls=cls), schema("name long, code int, n long")).repartition(partitions(spark), "name")
+    # the other words: what stands before them, a row of at most NEAR numbers each
+    near = np.unique(exchange_clusters(pairs, min(NEAR, classes)), return_inverse=True)[1]
+    found = train.mapInArrow(partial(_contexts, heads=top, tails=tails, near=near), schema("name long, code int, n long")).repartition(partitions(spark), "name")
     found = found.groupBy("name", "code").agg(F.sum("n").alias("n")).groupBy("name").agg(F.collect_list(F.struct("code", "n")).alias("found"))
     vectors = written(found.join(counts.where(F.col("n") >= least).select("name", "tail"), "name"), "contexts")
     spread = np.eye(classes)[cls]
-    moves = spread.T @ pairs @ spread
-    placed = word_classes(vectors, np.concatenate([moves, moves.T]), of_tail)
+    placed = word_classes(vectors, np.eye(int(near.max()) + 1)[near].T @ pairs @ spread, of_tail)
     kept = F.broadcast(spark.createDataFrame(list(zip(top.view(np.int64).tolist(), cls[: len(top)].tolist(), strict=True)), "name long, head int"))
     by_tail = literal_array(of_tail.tolist(), "int")[F.col("tail")]
     words = counts.join(placed, "name", "left").join(kept, "name", "left").select("name", "n", F.coalesce("head", "class", by_tail).alias("class"))
@@ -359,9 +370,11 @@ def class_scores(
     rows = written(source.mapInArrow(partial(_chunked, tails=tails), schema("chunk long, doc_id long, words array<int>, names array<long>, tails array<int>")), "chunks")
     asked = rows.where("doc_id is null").select("chunk", F.posexplode(F.arrays_zip("names", "tails")).alias("place", "x")).select("chunk", "place", F.col("x.names").alias("name"), F.col("x.tails").alias("tail"))
     known = asked.join(words, "name", "left").select(F.col("chunk").alias("of_chunk"), "place", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("class", by_tail).alias("class"))
-    known = written(known, "known").groupBy("of_chunk")
+    # only the answers travel with the texts, and only once
     texts = rows.where("doc_id is not null").select("chunk", "doc_id", "words")
-    moved = texts.where(f"not ({held_out})").groupBy("chunk").cogroup(known).applyInPandas(partial(_moves, classes=classes, end=end), schema("move long, n long"))
+    classed = texts.groupBy("chunk").cogroup(known.groupBy("of_chunk")).applyInPandas(_classed, schema("doc_id long, n_tokens long, n_known long, sum_word double, classes binary"))
+    classed = written(classed, "classed")
+    moved = classed.where(f"not ({held_out})").select("classes").mapInArrow(partial(_moves, classes=classes, end=end), schema("move long, n long"))
     moved = moved.groupBy("move").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     moves = np.zeros(classes * classes)
     moves[moved["move"]] = moved["n"]
@@ -373,9 +386,7 @@ def class_scores(
     transition = np.log10((moves + 1) / (moves.sum(axis=1, keepdims=True) + classes))
     weight = transition - np.log10(moves.sum(axis=0) + sizes + 1)
 
-    scored = texts.groupBy("chunk").cogroup(known).applyInPandas(
-        partial(_summed, weight=weight, end=end), schema("doc_id long, n_tokens long, n_known long, sum_word double, sum_class double")
-    )
+    scored = classed.mapInArrow(partial(_weighed, weight=weight, end=end), schema("doc_id long, n_tokens long, n_known long, sum_word double, sum_class double"))
     base = F.col("sum_word") - F.col("n_tokens") * F.lit(float(np.log10(n_tokens + n_words + 1)))
     score = F.col("sum_word") + F.col("sum_class")
     return scored.select(

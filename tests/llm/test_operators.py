@@ -345,7 +345,7 @@ def test_class_scores_against_brute_force(spark):
 
 
 def test_word_classes_against_brute_force(spark):
-    """Words in rounds: each goes to the class under which its neighbours' classes are likeliest, and the counts follow."""
+    """Words in rounds: each goes to the class under which what stands before it is likeliest, and the counts follow."""
     rng = np.random.default_rng(21)
     k, of_tail = 4, np.array([0, 2])
     rows, counts = [], rng.integers(20, 60, (2 * k, k)).astype(float)
@@ -358,12 +358,12 @@ def test_word_classes_against_brute_force(spark):
     got = by_id(word_classes(table, counts, of_tail, rounds=2))
 
     def choose(now):
-        p = [[math.log((now[c][j] + 0.5) / sum(now[x][j] + 0.5 for x in (range(k) if c < k else range(k, 2 * k)))) for j in range(k)] for c in range(2 * k)]
+        p = [[math.log((now[c][j] + 0.5) / sum(now[x][j] + 0.5 for x in range(2 * k))) for j in range(k)] for c in range(2 * k)]
         return [max(range(k), key=lambda j: (round(sum(n * p[c][j] for c, n in found), 9), -j)) for _, _, found in rows]
 
     def value(now):
         f = lambda x: x * math.log(x) if x > 0 else 0
-        return sum(map(f, now.ravel())) - sum(f(x) for half in (now[:k], now[k:]) for x in half.sum(axis=0))
+        return sum(map(f, now.ravel())) - sum(f(x) for x in now.sum(axis=0))
 
     used, best = counts, value(counts)
     for _ in range(2):
