@@ -75,3 +75,21 @@ def hard_negatives(unary: DataFrame, targets: DataFrame) -> DataFrame:
     order = Window.partitionBy("query", "pos").orderBy(F.desc("score"), "candidate")
     other = scored.where("candidate <> target").withColumn("turn", F.row_number().over(order)).where("turn = 1")
     return other.join(goal, ["query", "pos"]).select("query", "pos", "candidate", (F.col("score") - F.col("goal")).alias("gap"))
+
+
+def linker_metrics(beams: DataFrame, targets: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row over all queries with targets: role_accuracy, edge_accuracy, program_accuracy, recall.
+
+    beams (query, rank, picks), targets (query, pos, candidate), edges (query, edge, pos_a, pos_b).  The first beam is judged: the mean over queries of the share of right roles, the share of
+    edges with both ends right, the share of queries with every role right; recall: that any beam has every role right.  A query without a beam is wrong in all.
+    """
+    want = targets.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("pos", "candidate"))).alias("w")).select("query", F.transform("w", lambda x: x["candidate"]).alias("goal"))
+    first = beams.where("rank = 0").select("query", "picks")
+    hit = beams.join(want, "query").where(F.col("picks") == F.col("goal")).select("query").distinct().withColumn("hit", F.lit(1.0))
+    right = F.size(F.filter(F.zip_with("picks", "goal", lambda x, y: x == y), lambda x: x)) / F.size("goal")
+    rows = want.join(first, "query", "left").join(hit, "query", "left")
+    each = rows.select("query", F.coalesce(right, F.lit(0.0)).alias("r"), F.coalesce((F.col("picks") == F.col("goal")).cast("double"), F.lit(0.0)).alias("p"), F.coalesce("hit", F.lit(0.0)).alias("h"))
+    fits = lambda c: F.get("picks", F.col(c).cast("int")) == F.get("goal", F.col(c).cast("int"))
+    ends = edges.join(rows.select("query", "picks", "goal"), "query").agg(F.avg(F.coalesce((fits("pos_a") & fits("pos_b")).cast("double"), F.lit(0.0))).alias("edge_accuracy"))
+    out = each.agg(F.count("*").alias("queries"), F.avg("r").alias("role_accuracy"), F.avg("p").alias("program_accuracy"), F.avg("h").alias("recall"))
+    return out.crossJoin(ends)  # one row beside one row

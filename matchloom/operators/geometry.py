@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 AXES = range(3)
@@ -72,3 +72,27 @@ def distinct_poses(poses: DataFrame, digits: int = 12) -> DataFrame:
     first = F.row_number().over(Window.partitionBy("assembly", "key").orderBy("place"))
     kept = poses.withColumn("key", key).withColumn("turn", first).where("turn = 1")
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy("assembly").orderBy("place")) - 1).drop("key", "turn")
+
+
+def uniform(*parts) -> Column:
+    """A number from 0 to 1 by the hash of its parts: 32 bits."""
+    return F.conv(F.substring(F.sha2(F.concat_ws(":", *parts), 256), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+def surface_samples(triangles: DataFrame, count: int, seed: str) -> DataFrame:
+    """part, sample, idx, point: points drawn evenly over a part's surface; triangles (part, idx, v0, v1, v2).
+
+    A sample's hash picks the triangle whose stretch of the running area it falls on, and a place in it.  A part without area has no samples.
+    """
+    side = lambda c: F.zip_with(c, "v0", lambda x, y: x - y)
+    cross = lambda u, v: F.array(*[u[(i + 1) % 3] * v[(i + 2) % 3] - u[(i + 2) % 3] * v[(i + 1) % 3] for i in AXES])
+    sized = triangles.withColumn("n", cross(side("v1"), side("v2"))).withColumn("area", 0.5 * F.sqrt(F.aggregate("n", F.lit(0.0), lambda s, x: s + x * x)))
+    of_part = Window.partitionBy("part")
+    ends = sized.withColumn("stop", F.sum("area").over(of_part.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("area").over(of_part))
+    ends = ends.where("area > 0").withColumn("start", F.lag("stop", 1, 0.0).over(of_part.orderBy("idx")))
+    wanted = ends.groupBy("part").agg(F.max("stop").alias("all")).select("part", "all", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("sample"))
+    wanted = wanted.withColumn("at", uniform(F.lit(seed), "part", "sample", F.lit("t")) * F.col("all"))
+    picked = wanted.join(ends, "part").where((F.col("at") >= F.col("start")) & (F.col("at") < F.col("stop")))
+    u, v = F.sqrt(uniform(F.lit(seed), "part", "sample", F.lit("u"))), uniform(F.lit(seed), "part", "sample", F.lit("v"))
+    point = F.array(*[(1 - u) * F.col("v0")[i] + u * (1 - v) * F.col("v1")[i] + u * v * F.col("v2")[i] for i in AXES])
+    return picked.select("part", "sample", "idx", point.alias("point"))

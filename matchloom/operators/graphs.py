@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchloom.sources.tables import written
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """Edges (step, a, b, feature) in both directions."""
@@ -102,3 +104,99 @@ def named_sockets(sockets: DataFrame) -> DataFrame:
     """Sockets (part, face, kind, score) with names kind_00, kind_01, ... from the best score down."""
     order = Window.partitionBy("part", "kind").orderBy(F.desc("score"), "face")
     return sockets.withColumn("name", F.concat_ws("_", "kind", F.lpad((F.row_number().over(order) - 1).cast("string"), 2, "0")))
+
+
+def intrinsic_graph(faces: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(part, face, area_fraction, perimeter, mean_curvature, gaussian_curvature, wires, edges, curvature_known) and (part, source, target, length, cosine, sine), free of scale.
+
+    faces (part, face, area, perimeter, mean_curvature, gaussian_curvature, wires, edges), edges (part, a, b, length, cosine): of these, those between two of the faces.
+    Lengths are in square roots of the part's area, curvatures in its inverse; a part without area has null features.
+    """
+    total = F.sum("area").over(Window.partitionBy("part"))
+    rows = faces.withColumn("total", F.when(total > 0, total)).withColumn("scale", F.sqrt("total"))
+    nodes = rows.select(
+        "part", "face", F.try_divide(F.col("area"), F.col("total")).alias("area_fraction"), F.try_divide(F.col("perimeter"), F.col("scale")).alias("perimeter"),
+        (F.col("mean_curvature") * F.col("scale")).alias("mean_curvature"), (F.col("gaussian_curvature") * F.col("total")).alias("gaussian_curvature"), "wires", "edges",
+        (F.col("mean_curvature").isNotNull() & F.col("gaussian_curvature").isNotNull()).alias("curvature_known"),
+    )
+    ends = rows.select("part", F.col("face").alias("a"), "scale")
+    inside = edges.join(ends, ["part", "a"]).join(ends.select("part", F.col("a").alias("b")), ["part", "b"])
+    cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("cosine")))
+    out = inside.select("part", F.least("a", "b").alias("source"), F.greatest("a", "b").alias("target"), F.try_divide(F.col("length"), F.col("scale")).alias("length"), cosine.alias("cosine"))
+    return nodes, out.withColumn("sine", F.sqrt(F.greatest(F.lit(0.0), 1.0 - F.col("cosine") * F.col("cosine"))))
+
+
+def face_order(nodes: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
+    """step, ordinal, colour, place: nodes in the order of their refined colours, ties by ordinal.
+
+    Colours are ranks of the key, then of the key with the sorted (feature, colour) of the neighbours, until a round changes none, or
+    after as many rounds as a step has nodes, as ranks may go on to change places.
+    """
+    of_step = Window.partitionBy("step")
+    colour = written(nodes.select("step", "ordinal", *key, (F.dense_rank().over(of_step.orderBy(*key)) - 1).alias("colour"), F.count("*").over(of_step).alias("n")), "colours")
+    links = both_ways(edges.where("a <> b"))
+    none = F.array().cast(f"array<struct<feature:{dict(edges.dtypes)['feature']},c:int>>")
+    for i in range(colour.agg(F.max("n")).first()[0] or 0):
+        near = links.join(colour.select("step", F.col("ordinal").alias("b"), F.col("colour").alias("c")), ["step", "b"])
+        seen = near.groupBy("step", F.col("a").alias("ordinal")).agg(F.array_sort(F.collect_list(F.struct("feature", "c"))).alias("seen"))
+        keyed = colour.join(seen, ["step", "ordinal"], "left").withColumn("seen", F.coalesce("seen", none))
+        new = F.when(F.col("n") > i, F.dense_rank().over(of_step.orderBy(*key, "seen")) - 1).otherwise(F.col("colour"))
+        ranked = written(keyed.withColumn("new", new).select("step", "ordinal", *key, "colour", "new", "n"), "colours")
+        colour = ranked.drop("colour").withColumnRenamed("new", "colour")
+        if ranked.where("colour <> new").isEmpty():
+            break
+    place = F.row_number().over(of_step.orderBy("colour", "ordinal")) - 1
+    return colour.select("step", "ordinal", "colour", place.alias("place"))
+
+
+def hops(edges: DataFrame, centres: DataFrame) -> DataFrame:
+    """step, ordinal, hop: the least number of edges from a centre (step, ordinal) to each node that can be reached."""
+    links = both_ways(edges).select("step", "a", "b")
+    found = written(centres.select("step", "ordinal", F.lit(0).alias("hop")).distinct(), "hops")
+    frontier, hop = found, 0
+    while True:
+        hop += 1
+        step = frontier.select("step", F.col("ordinal").alias("a")).join(links, ["step", "a"]).select("step", F.col("b").alias("ordinal")).distinct()
+        frontier = written(step.join(found, ["step", "ordinal"], "left_anti").withColumn("hop", F.lit(hop)), "hops")
+        if frontier.isEmpty():
+            return found
+        found = written(found.unionByName(frontier), "hops")
+
+
+def endpoint_shells(edges: DataFrame, centres: DataFrame, most_hops: int = 4, most_faces: int = 1024, most_edges: int = 4096) -> DataFrame:
+    """One ledger row of each step: how much of what its centres reach is taken, shell by whole shell, while hops, faces and edges keep to the bounds.
+
+    step, faces, edges (of the component), taken_faces, taken_edges, radius, complete, reason, omitted_frontier, omitted_faces.  reason: none, max_hop_radius,
+    face_or_edge_budget, or one_hop_budget where even the first hop does not fit, and nothing is taken.
+    """
+    at = written(hops(edges, centres), "hops")
+    end = lambda c: at.select("step", F.col("ordinal").alias(c), F.col("hop").alias(f"hop_{c}"))
+    inner = edges.where("a <> b").join(end("a"), ["step", "a"]).join(end("b"), ["step", "b"]).groupBy("step", F.greatest("hop_a", "hop_b").alias("hop")).agg(F.count("*").alias("e"))
+    shells = at.groupBy("step", "hop").agg(F.count("*").alias("f")).join(inner, ["step", "hop"], "left").withColumn("e", F.coalesce("e", F.lit(0)))
+    so_far = Window.partitionBy("step").orderBy("hop").rowsBetween(Window.unboundedPreceding, 0)
+    shells = shells.withColumn("cf", F.sum("f").over(so_far)).withColumn("ce", F.sum("e").over(so_far))
+    small = (F.col("cf") <= most_faces) & (F.col("ce") <= most_edges)
+    fails = F.min(F.when((F.col("hop") > most_hops) | ~small, F.col("hop"))).over(Window.partitionBy("step"))
+    rows = shells.withColumn("stop", fails).withColumn("early", F.coalesce((F.col("stop") <= 1) & (F.col("stop") <= most_hops), F.lit(False)))
+    taken = (F.col("stop").isNull() | (F.col("hop") < F.col("stop"))) & ~F.col("early")
+    add = lambda c, when: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0))
+    first = (F.col("hop") == F.col("stop")) & ~F.col("early")
+    out = rows.groupBy("step").agg(
+        F.sum("f").alias("faces"), F.sum("e").alias("edges"), add("f", taken).alias("taken_faces"), add("e", taken).alias("taken_edges"), F.max(F.when(taken, F.col("hop"))).alias("radius"),
+        F.max("stop").alias("stop"), F.bool_or("early").alias("early"), add("f", first).alias("omitted_frontier"),
+    )
+    reason = F.when(F.col("early"), "one_hop_budget").when(F.col("stop").isNull(), "none").when(F.col("stop") > most_hops, "max_hop_radius").otherwise("face_or_edge_budget")
+    return out.select(
+        "step", "faces", "edges", "taken_faces", "taken_edges", F.coalesce("radius", F.lit(-1)).alias("radius"), (F.col("taken_faces") == F.col("faces")).alias("complete"), reason.alias("reason"),
+        "omitted_frontier", (F.col("faces") - F.col("taken_faces")).alias("omitted_faces"),
+    )
+
+
+def model_views(nodes: DataFrame, edges: DataFrame, signature) -> DataFrame:
+    """step, nodes, edges, view: a hash of a part's nodes by ordinal and of its edges, ends in order, sorted with their features; like edges stay apart."""
+    each = nodes.groupBy("step").agg(F.count("*").alias("nodes"), F.array_sort(F.collect_list(F.struct("ordinal", signature.alias("s")))).alias("n"))
+    rows = edges.select("step", F.least("a", "b").alias("source"), F.greatest("a", "b").alias("target"), "feature").groupBy("step").agg(F.count("*").alias("edges"), F.array_sort(F.collect_list(F.struct("source", "target", "feature"))).alias("e"))
+    both = each.join(rows, "step", "left")
+    text = lambda c, f: F.array_join(F.transform(c, f), ",")
+    parts = F.concat_ws("|", text("n", lambda x: x["s"]), F.coalesce(text("e", lambda x: F.concat_ws("-", x["source"], x["target"], x["feature"])), F.lit("")))
+    return both.select("step", "nodes", F.coalesce("edges", F.lit(0)).alias("edges"), F.sha2(parts, 256).alias("view"))

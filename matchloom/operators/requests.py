@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .assemblies import graph_walk
@@ -83,3 +83,28 @@ def whole_requests(edges: DataFrame) -> DataFrame:
 def first_rows(rows: DataFrame, by: str, order: list) -> DataFrame:
     """The first row of each group in an order that names every tie."""
     return rows.withColumn("turn", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where("turn = 1").drop("turn")
+
+
+def two_pass(requests: DataFrame, graph: DataFrame, parsed: DataFrame, sentences: Column) -> DataFrame:
+    """query, status, edge_id, role_a, role_b, instruction, parse, contract_status, port_a, port_b, mobility: topology from one pass, attributes from another.
+
+    requests (query, text), graph (query, role_a, role_b, mobility), parsed (query, role_a, role_b, contract_status, port_a, port_b, mobility, instruction).  A graph's edges are numbered in the
+    order of the first of the text's `sentences` that names both roles, then by the pair; an edge is matched with its parse in either direction, and the ports
+    are swapped with it.  Without a parse an edge keeps the graph's mobility and the sentence, unknown; a request without a graph keeps one error row.
+    """
+    pair = lambda df: df.withColumn("lo", F.least("role_a", "role_b")).withColumn("hi", F.greatest("role_a", "role_b"))
+    rows = pair(graph).join(requests.select("query", sentences.alias("said")), "query")
+    names = F.transform("said", lambda s: F.contains(s, F.col("role_a")) & F.contains(s, F.col("role_b")))
+    at = F.array_position(names, True)
+    rows = rows.withColumn("at", F.when(at > 0, at)).withColumn("natural", F.when(at > 0, F.get("said", (at - 1).cast("int"))))
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.asc_nulls_last("at"), "lo", "hi")) - 1
+    rows = rows.withColumn("edge_id", F.concat(F.lit("edge_"), F.lpad(place.cast("string"), 2, "0")))
+    given = pair(parsed).select("query", "lo", "hi", F.col("role_a").alias("a"), F.col("contract_status").alias("s"), F.col("port_a").alias("pa"), F.col("port_b").alias("pb"), F.col("mobility").alias("m"), F.col("instruction").alias("text"))
+    both = rows.join(given, ["query", "lo", "hi"], "left")
+    same = F.col("a") == F.col("role_a")
+    edges = both.select(
+        "query", "edge_id", "role_a", "role_b", F.when(F.col("a").isNull(), F.col("natural")).otherwise(F.col("text")).alias("instruction"), F.when(F.col("a").isNull(), "missing").otherwise("parsed").alias("parse"),
+        F.coalesce("s", F.lit("unknown")).alias("contract_status"), F.when(same, F.col("pa")).otherwise(F.col("pb")).alias("port_a"), F.when(same, F.col("pb")).otherwise(F.col("pa")).alias("port_b"), F.coalesce("m", "mobility").alias("mobility"),
+    )
+    out = requests.select("query").join(edges, "query", "left")
+    return out.withColumn("status", F.when(F.col("edge_id").isNull(), "error").otherwise("compiled"))

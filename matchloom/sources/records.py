@@ -78,3 +78,24 @@ def fingerprint(hashes: DataFrame) -> DataFrame:
     buckets = hashes.groupBy(F.substring("hash", 1, 4).alias("bucket")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("hash")), ""), 256).alias("part"))
     parts = F.array_sort(F.collect_list(F.struct("bucket", "part")))
     return buckets.agg(F.sha2(F.array_join(F.transform(parts, lambda x: x["part"]), ""), 256).alias("fingerprint"), F.count("*").alias("buckets"))
+
+
+def write_json_lines(rows: DataFrame, folder: str) -> DataFrame:
+    """Rows as JSON lines with sorted keys under folder/data, then one manifest row under folder/manifest: rows, columns and sha256 of their sorted hashes' tree.
+
+    The manifest is written when the data is in place, so a folder with one is whole.  Rows are hashed into 4096 buckets, each bucket's sorted hashes into
+    one, and these into the manifest's: no task and no row holds them all.
+    """
+    spark = rows.sparkSession
+    columns = sorted(rows.columns)
+    rows.select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("value")).write.text(f"{folder}/data")
+    lines = spark.read.text(f"{folder}/data")
+    tree_hash(lines, F.sha2("value", 256)).withColumn("columns", F.lit(",".join(columns))).write.json(f"{folder}/manifest")
+    return spark.read.schema("rows bigint, sha256 string, columns string").json(f"{folder}/manifest")
+
+
+def tree_hash(rows: DataFrame, digest) -> DataFrame:
+    """rows, sha256: a hash of all rows' digests, whatever their order, by 4096 buckets of their first three hex digits."""
+    buckets = rows.select(digest.alias("h")).groupBy(F.substring("h", 1, 3).alias("b")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"])
+    return buckets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sha2(F.array_join(ordered, ""), 256).alias("sha256"))
