@@ -1,4 +1,9 @@
-"""A training corpus from raw documents, in stages that each read what the one before wrote."""
+"""A training corpus from raw documents, in stages that each read what the one before wrote.
+
+Every stage takes the columns of documents and, but for the last, returns them; other columns are left out by the first.  A row without a doc_id
+goes at the first stage that needs it, rows repeated under one doc_id become one at near_dedup, and null and empty texts stay documents
+(they are no near copies, hold no repeats, and pack as their end token).  An empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -41,31 +46,31 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_stage
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose importance key is no lower than clean labelled documents' keys are."""
+    """The k documents with the largest Gumbel keys, k calibrated on the labels so that few clean ones go; a null or empty text has the usual weight of one without words."""
     return good_documents(docs.select(*DOCUMENT_COLUMNS), _labels(spark, sf_dir))
 
 
 @_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, similarity 0.8)."""
+    """One document of each group of near copies (five words, similarity 0.8): the least doc_id.  Null and empty texts stay."""
     return one_of_each(docs, width=5, percent=80)
 
 
 @_stage
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words and more stay where they first stand."""
+    """Passages of 50 words and more stay where they first stand; a text of which nothing stays goes, null and empty ones stay as they are."""
     return without_repeats(docs, window=50)
 
 
 @_stage
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its fitted rate says, so that expected domain totals meet the target weights."""
+    """Each document as often as its fitted rate says, so that expected domain totals meet the target weights; copies keep their doc_id."""
     return mixed(docs, _labels(spark, sf_dir))
 
 
 @_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in windows of 4096 tokens."""
+    """Pieces of the documents in windows of 4096 tokens; rows under one doc_id are packed each."""
     return packed(docs, TOKENIZER, end=2, size=4096)
 
 
