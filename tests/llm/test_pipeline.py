@@ -47,5 +47,25 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert packed.groupby("sequence_id").length.sum().max() <= 4096
 
 
+def test_stages_with_nulls_repeats_and_empty_tables(spark, tmp_path):
+    long_text = " ".join(f"word{i}" for i in range(120))
+    texts = [long_text, long_text, None, "", "x", long_text + " and more", "a b c d e f", None]
+    rows = [(None if i == 4 else i % 6, t, "en", None, None if t is None else len(t), "extra") for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, spans string")
+    spark.createDataFrame([(0, 1, 0), (1, None, 1), (99, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for start, most in ((table, 6), (table.limit(0), 0)):
+        docs = start
+        for name, stage in C.STAGES:
+            stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"{name}{most}"))
+            docs = spark.read.parquet(str(tmp_path / f"{name}{most}"))
+            ids = [r.doc_id for r in docs.select("doc_id").collect()]
+            assert None not in ids and set(ids) <= set(range(6)) and (most or not ids), name
+            if name == "near_dedup" and most:
+                # of the rows under one id the least text counts, and a null is the least
+                assert {r.doc_id: r.text for r in docs.collect()} == {0: "a b c d e f", 1: None, 2: None, 3: "", 5: long_text + " and more"}
+            if name != "packing":
+                assert docs.columns == DOCUMENT_COLUMNS
+
+
 def test_run(spark):
     assert C.run(spark, SF).count() > 0 and C.ORACLE_SQL is None
