@@ -9,18 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .classlm import class_scores
+from .counting import token_counts
 from .importance import importance
 from .mixing import mixture
 from .neardup import near_duplicates
 from .neighbours import nearest
 from .packing import packed
+from .phrases import collocations
 from .repeats import repeated_windows
+from .resampling import resampled
 from .rules import STATISTICS, quality_rules
 from .tables import documents, new_folder
 from .tokens import read_token_files, write_token_files
 from .urls import url_verdicts
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+COUNTED = public_tokenizers.path("byte_bpe_50k.json")
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
@@ -71,11 +75,24 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir), COUNTED, limit=1024)
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir), least=30, top=2000)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), percent=5, least_words=20, seed=42)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup, op2_substring_dedup, op3_quality_classifier, op4_token_ids, op5_quality_rules,
         op6_lm_scoring, op7_url_filters, op8_packing, op9_mixing, op10_nearest_neighbours,
+        op11_token_counts, op12_phrase_collocations, op13_importance_resampling,
     )
 }
 
@@ -100,4 +117,18 @@ d AS (SELECT doc_id, i, row_number() OVER (PARTITION BY words ORDER BY doc_id, i
 g AS (SELECT x.doc_id, x.i, x.word, max(CASE WHEN d.again THEN 1 ELSE 0 END) OVER (PARTITION BY x.doc_id ORDER BY x.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM x LEFT JOIN d ON d.doc_id = x.doc_id AND d.i = x.i),
 t AS (SELECT doc_id, count(*) AS n_words, CAST(sum(gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM g GROUP BY doc_id)
 SELECT d.doc_id, coalesce(t.n_words, 0) AS n_words, coalesce(t.n_removed, 0) AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256 FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id""",
+    "op12_phrase_collocations": f"""
+WITH p AS (SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+total AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+k AS (SELECT unnest([1, 2, 3, 4]) AS k),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM w, k WHERE len(ws) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY lang, k, phrase HAVING count(*) >= 30),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+cut AS (SELECT c.lang, c.phrase, c.a, j.k AS j, x.a AS l, y.a AS r, CAST(2000000 * c.a::HUGEINT // (x.a + y.a) AS BIGINT) AS score FROM c JOIN k j ON j.k < c.k
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:j.k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[j.k + 1:], ' ')),
+low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+part AS (SELECT c.lang, array_to_string(c.ws[s.i:s.i + z.k - 1], ' ') AS phrase, max(c.a) AS most FROM c JOIN k z ON z.k > 1 AND z.k < c.k JOIN (SELECT unnest([1, 2, 3]) AS i) s ON s.i + z.k - 1 <= c.k GROUP BY ALL),
+kept AS (SELECT low.* FROM low LEFT JOIN part ON part.lang = low.lang AND part.phrase = low.phrase WHERE part.most IS NULL OR 100 * part.most < 80 * low.a)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN total ON total.lang = kept.lang QUALIFY rank <= 2000""",
 }
