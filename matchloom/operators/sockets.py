@@ -10,9 +10,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.functions.vectors import dot
+from matchloom.functions.vectors import canonical_direction, dot
+from matchloom.sources.tables import written
 
 from .assemblies import let
+from .graphs import cylinder_kind
 
 # Frame names by kind, and the sign of the end that each stands at.
 END_FRAMES = [("end_plus", 1), ("end_minus", -1)]
@@ -52,6 +54,40 @@ class Likeness:
     radius_share: float = 0.06
 
 
+@dataclass(frozen=True)
+class ExtractionRules:
+    """What a face must meet to make a socket, how candidates are clustered, and how many of a kind a part keeps."""
+
+    area: float = 1e-3
+    plane_share: float = 0.012
+    cylinder_share: float = 0.001
+    radius: float = 0.05
+    radius_share: float = 0.0008
+    plane_edges: int = 18
+    threaded_radius: float = 30.0
+    direction_step: float = 0.18
+    cluster_share: float = 0.08
+    flange_holes: int = 3
+    flange_bonus: float = 0.35
+    planes: int = 12
+    holes: int = 18
+    pins: int = 10
+    threaded_holes: int = 8
+    flange_planes: int = 4
+    guide_slots: int = 6
+    stand_ins: bool = True
+    stand_in_sockets: int = 4
+    stand_in_splines: float = 0.32
+    stand_in_aspect: float = 1.55
+    slots: SlotRules = SlotRules()
+    likeness: Likeness = Likeness()
+
+    def most(self) -> Column:
+        """The cap of a row's kind."""
+        caps = {"plane": self.planes, "hole": self.holes, "pin": self.pins, "threaded_hole": self.threaded_holes, "flange_plane": self.flange_planes, "guide_slot": self.guide_slots}
+        return F.try_element_at(F.create_map(*[F.lit(x) for pair in caps.items() for x in pair]), F.col("kind"))
+
+
 def guide_slots(planes: DataFrame, parts: DataFrame, rules: SlotRules = SlotRules()) -> DataFrame:
     """part, a, b, gap, aspect, origin, axis, score of the slots between a part's largest planes.
 
@@ -113,9 +149,9 @@ def alike(a: Column, b: Column, reach: Column, rules: Likeness = Likeness()) ->
     return (apart <= reach) & ~turned("axis", rules.coaxial) & ~turned("normal", rules.parallel) & ~other
 
 
-def suppressed(sockets: DataFrame, parts: DataFrame, most: int, rules: Likeness = Likeness()) -> DataFrame:
+def suppressed(sockets: DataFrame, parts: DataFrame, most: int | Column, rules: Likeness = Likeness()) -> DataFrame:
     """part, kind, id, place: of the sockets (part, kind, id, origin, axis, normal, radius, score) from the best score down those that are not alike one kept before,
-    `most` of each kind and part; parts (part, diagonal)."""
+    `most` (a number, or a column of part and kind) of each kind and part; parts (part, diagonal).  Ties go to the least id."""
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "id", "origin", "axis", "normal", "radius")))
     groups = sockets.groupBy("part", "kind").agg(ordered.alias("all")).join(parts.select("part", "diagonal"), "part")
     reach = F.greatest(F.lit(rules.origin), F.col("diagonal") * rules.origin_share)
@@ -164,3 +200,130 @@ def world_sockets(sockets: DataFrame, instances: DataFrame) -> DataFrame:
     bound = F.try_element_at("params", F.col("radius_param")) * F.coalesce("radius_scale", F.lit(1.0))
     direction = lambda c: F.when(F.col(c).isNotNull(), unit(F.col(c))).alias(c)
     return rows.select("instance", "id", origin.alias("origin"), direction("axis"), direction("normal"), F.coalesce(bound, F.col("radius")).alias("radius"))
+
+
+def model_frames(faces: DataFrame, intrinsic: bool = False) -> DataFrame:
+    """part, middle, diagonal, lo, hi, faces, splines of faces (part, surface_type, center, extents, area).
+
+    The middle and diagonal of the box around all faces, or, intrinsic, the centroid by area and the root of the area, which turn with the part; then a
+    part without area is left out.  lo and hi are the box's in both.
+    """
+    at = lambda f: F.array(*[f(i) for i in range(3)])
+    reach = lambda sign: lambda i: F.col("center")[i] + sign * 0.5 * F.coalesce(F.col("extents")[i], F.lit(0.0))
+    splines = F.count_if(F.col("surface_type").rlike("spline|bezier|nurbs"))
+    weight = F.when(F.col("area") > 0, F.col("area"))
+    rows = faces.groupBy("part").agg(
+        at(lambda i: F.min(reach(-1)(i))).alias("lo"), at(lambda i: F.max(reach(1)(i))).alias("hi"), F.count("*").alias("faces"), splines.alias("splines"),
+        at(lambda i: F.try_divide(F.sum(weight * F.col("center")[i]), F.sum(weight))).alias("centroid"), F.sum(weight).alias("total"),
+    )
+    off = F.zip_with("hi", "lo", lambda x, y: x - y)
+    middle = F.col("centroid") if intrinsic else F.zip_with("lo", "hi", lambda x, y: (x + y) / 2)
+    size = F.sqrt("total") if intrinsic else F.sqrt(dot(off, off))
+    rows = rows.where("total is not null") if intrinsic else rows
+    return rows.select("part", middle.alias("middle"), F.greatest(size, F.lit(1e-6)).alias("diagonal"), "lo", "hi", "faces", "splines")
+
+
+def mating(edges: int | None = None) -> Column:
+    """Faces that are not helical, no splines, not marked as not mating, and with fewer edges than a bound."""
+    fine = ~F.col("helical") & ~F.col("surface_type").rlike("spline|bezier|nurbs") & ~F.col("non_mating")
+    return fine if edges is None else fine & (F.col("edge_count") < max(8, edges))
+
+
+def centrality(axial: bool) -> Column:
+    """1 at the model's middle, or with the axis through it, 0 from half a diagonal on."""
+    off = F.zip_with("center", "middle", lambda x, y: x - y)
+    if axial:
+        off = let(F.struct(off.alias("off"), dot(off, F.col("axis")).alias("along")), lambda s: F.zip_with(s["off"], "axis", lambda x, a: x - s["along"] * a))
+    return let(off, lambda v: F.greatest(F.lit(0.0), 1 - F.sqrt(dot(v, v)) / F.greatest(0.5 * F.col("diagonal"), F.lit(1e-6))))
+
+
+def cluster_key(rules: ExtractionRules) -> Column:
+    """Cells of a socket's axis, normal, place along the axis and off it, offset along the normal, and radius; zeros where it has none, radius -1."""
+    cell = lambda x, step: F.bround(x / F.greatest(step, F.lit(1e-6))).cast("long")
+    step = F.greatest(F.lit(rules.likeness.origin), F.col("diagonal") * rules.cluster_share)
+    off = F.zip_with("origin", "middle", lambda x, y: x - y)
+    turn = lambda c: F.transform(canonical_direction(F.col(c)), lambda x: cell(x, F.lit(rules.direction_step)))
+    along = lambda c: dot(off, canonical_direction(F.col(c)))
+    rest = let(F.struct(along("axis").alias("a"), canonical_direction(F.col("axis")).alias("u")), lambda s: let(F.zip_with(off, s["u"], lambda x, u: x - s["a"] * u), lambda v: F.sqrt(dot(v, v))))
+    zeros, none = F.array(*[F.lit(0).cast("long")] * 3), F.lit(0).cast("long")
+    width = F.greatest(F.lit(rules.likeness.radius), F.abs("radius") * rules.likeness.radius_share)
+    return F.struct(
+        F.coalesce(turn("axis"), zeros).alias("axis"), F.coalesce(turn("normal"), zeros).alias("normal"), F.coalesce(cell(along("axis"), step), none).alias("axial"),
+        F.coalesce(cell(rest, step), none).alias("radial"), F.coalesce(cell(along("normal"), step), none).alias("offset"), F.coalesce(cell(F.col("radius"), width), F.lit(-1).cast("long")).alias("radius"),
+    )
+
+
+def cluster_best(sockets: DataFrame, rules: ExtractionRules = ExtractionRules()) -> DataFrame:
+    """Of the sockets (part, kind, turn, origin, axis, normal, radius, score, middle, diagonal) in one cluster the best, the first of equals, with the cluster's first turn."""
+    of = Window.partitionBy("part", "kind", "cluster")
+    rows = sockets.withColumn("cluster", cluster_key(rules)).withColumn("best", F.row_number().over(of.orderBy(F.desc("score"), "turn")))
+    return rows.withColumn("turn", F.min("turn").over(of)).where("best = 1").drop("best", "cluster")
+
+
+def compacted(sockets: DataFrame, frames: DataFrame, rules: ExtractionRules, clustered: bool) -> DataFrame:
+    """The sockets that stay, with their place within part and kind: clusters' best first if asked, then no two alike, up to the kind's cap."""
+    rows = sockets.join(frames.select("part", "middle", "diagonal"), "part")
+    rows = (cluster_best(rows, rules) if clustered else rows).drop("middle", "diagonal")
+    rest = [c for c in rows.columns if c not in ("part", "kind", "turn")]
+    shaped = rows.select("part", "kind", F.struct("turn", *rest).alias("id"), "origin", "axis", "normal", "radius", "score")
+    return suppressed(shaped, frames, rules.most(), rules.likeness).select("part", "kind", "place", "id.*")
+
+
+def extracted_sockets(faces: DataFrame, rules: ExtractionRules = ExtractionRules(), intrinsic: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Faces -> (part, name, kind, face, other, origin, axis, normal, radius, quality, mates of every socket; part, name, frame, origin, axis, normal of its frames).
+
+    faces (part, face, surface_type, center, normal, axis, extents, area, radius, concavity, edge_count, helical, thread_hint, non_mating).  In turn: planes and cylinders that
+    are large enough; their kinds and scores; of each kind the best, no two alike; base_plane, the best plane; planes that enough holes point along (flange_plane); slots between
+    parallel planes (guide_slot, with their second face in `other`); stand-ins where few sockets mate or splines prevail; and the frames of all.
+
+    intrinsic: the second frame protocol.  Middle and size of a part do not depend on how it lies, candidates are not clustered by cells, and there are no guide slots, whose axis
+    would be one of the box's.  Threads mate only with a fastener, so they do not count as mating.  A part is a bounded group, as its face count is; null normals, axes, radii and extents are met.
+    """
+    frames = written(model_frames(faces, intrinsic), "model-frames")
+    largest = lambda kind: F.max(F.when(kind, F.col("area"))).over(Window.partitionBy("part"))
+    flat = (F.col("surface_type") == "plane") & F.col("normal").isNotNull() & (F.col("area") >= rules.area) & mating(rules.plane_edges)
+    round_ = (F.col("surface_type") == "cylinder") & F.col("axis").isNotNull() & (F.col("area") >= rules.area)
+    rows = faces.join(frames.select("part", "middle", "diagonal"), "part").withColumns({"flat": flat, "round": round_})
+    rows = rows.withColumns({"top_plane": largest(F.col("flat")), "top_round": largest(F.col("round"))})
+    planes = rows.where(F.col("flat") & (F.col("area") >= F.col("top_plane") * rules.plane_share))
+    wide = F.coalesce(F.col("radius") >= F.greatest(F.lit(rules.radius), F.col("diagonal") * rules.radius_share), F.lit(True))
+    cylinders = rows.where(F.col("round") & (F.col("area") >= F.col("top_round") * rules.cylinder_share) & wide)
+    kind = cylinder_kind(*map(F.col, ["concavity", "helical", "thread_hint", "radius", "edge_count"]), rules.threaded_radius)
+    sharp = (
+        F.when(F.col("kind").isin(HOLE_KINDS), 0.65).otherwise(0.0) + F.when(F.col("kind") == "threaded_hole", 0.6).otherwise(0.0) + F.when(F.col("helical"), 0.35).otherwise(0.0)
+        + F.when(F.col("edge_count").isin(2, 3, 4, 6, 8), 0.2).otherwise(0.0) + F.coalesce(0.2 * F.least(F.col("radius") / F.col("diagonal"), F.lit(1.0)), F.lit(0.0))
+    )
+    no_axis, no_radius, turn = F.lit(None).cast("array<double>"), F.lit(None).cast("double"), F.struct(F.col("face").alias("a"), F.lit(0).cast("long").alias("b"))
+    shape = ["part", "kind", turn.alias("turn"), "face", F.lit(None).cast("long").alias("other"), F.col("center").alias("origin")]
+    flat_rows = planes.withColumn("kind", F.lit("plane")).select(*shape, no_axis.alias("axis"), "normal", no_radius.alias("radius"), "area", "extents", (F.log1p("area") + 0.75 * centrality(False)).alias("score"))
+    round_rows = cylinders.withColumn("kind", kind).select(*shape, "axis", no_axis.alias("normal"), "radius", "area", no_axis.alias("extents"), (F.log1p("area") + 2.1 * centrality(True) + sharp).alias("score"))
+    chosen = written(compacted(flat_rows.unionByName(round_rows), frames, rules, not intrinsic), "chosen-sockets")
+    found = chosen
+    axes = chosen.where(F.col("kind").isin(HOLE_KINDS)).select("part", F.col("axis").alias("hole"))
+    along = chosen.where("kind = 'plane'").join(axes, "part").where(F.abs(dot(F.col("normal"), F.col("hole"))) >= rules.likeness.coaxial)
+    many = along.groupBy("part", "face").agg(F.count("*").alias("holes")).where(F.col("holes") >= rules.flange_holes)
+    flanges = chosen.where("kind = 'plane'").drop("place").join(many, ["part", "face"]).withColumn("kind", F.lit("flange_plane"))
+    flanges = flanges.withColumn("score", F.col("score") + rules.flange_bonus * F.col("holes")).select(*chosen.drop("place").columns)
+    # in the order of the planes they come from
+    first = chosen.where("kind = 'plane'").select("part", "face", F.struct(F.col("place").cast("long").alias("a"), F.lit(0).cast("long").alias("b")).alias("turn"))
+    flanges = flanges.drop("turn").join(first, ["part", "face"])
+    found = found.unionByName(compacted(flanges, frames, rules, not intrinsic))
+    if not intrinsic:
+        slots = guide_slots(planes.where("extents is not null").select("part", "face", "area", "center", "normal", "extents"), frames, rules.slots)
+        normals = planes.select("part", F.col("face").alias("a"), "normal")
+        by_size = planes.select("part", "face", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("area"), "face")).cast("long").alias("n"))
+        slots = slots.join(normals, ["part", "a"]).join(by_size.select("part", F.col("face").alias("a"), F.col("n").alias("na")), ["part", "a"]).join(by_size.select("part", F.col("face").alias("b"), F.col("n").alias("nb")), ["part", "b"])
+        slots = slots.select(
+            "part", F.lit("guide_slot").alias("kind"), F.struct(F.col("na").alias("a"), F.col("nb").alias("b")).alias("turn"), F.col("a").alias("face"), F.col("b").alias("other"), "origin", "axis", "normal",
+            no_radius.alias("radius"), no_radius.alias("area"), no_axis.alias("extents"), "score",
+        )
+        found = found.unionByName(compacted(slots, frames, rules, True))
+    number = F.when(F.col("kind") == "plane", F.col("place") - 1).otherwise(F.col("place"))
+    name = F.when((F.col("kind") == "plane") & (F.col("place") == 0), "base_plane").otherwise(F.concat_ws("_", "kind", F.format_string("%02d", number)))
+    columns = ["part", "name", "kind", "face", "other", "origin", "axis", "normal", "radius", "area", "extents", "quality", "mates"]
+    found = written(found.withColumns({"name": name, "quality": F.col("score"), "mates": F.col("kind") != "threaded_hole"}).select(*columns), "sockets")
+    if rules.stand_ins:
+        extra = proxy_sockets(frames, found.where("mates"), rules.stand_in_sockets, rules.stand_in_splines, rules.stand_in_aspect).withColumn("mates", F.lit(True))
+        found = written(found.unionByName(extra, allowMissingColumns=True), "sockets")
+    views = frame_variants(found.withColumn("id", F.col("name"))).withColumnRenamed("id", "name")
+    return found.drop("area", "extents"), views

@@ -12,12 +12,13 @@ from matchloom.operators import graphs as G
 
 from matchloom.operators import requests as R
 from matchloom.operators.assemblies import aligned
+from matchloom.sources.tables import written
 
 from . import bindings as B
 from . import sql as S
 from .geometry import _NEXT, _PLACED, _placed
 from .graphs import _FACE, _faces
-from .matching import _assignments
+from .matching import _best
 from .registry import query
 
 
@@ -105,11 +106,12 @@ def v12_face_binding_hash(spark, sf):
   SELECT query, edge, a, b, CAST(rank AS INTEGER) AS rank FROM x WHERE rank < 3""")
 def w08_hypothesis_alternatives(spark, sf):
     """For the first assignment of each query: an edge's pairs of matching primitives, the least features first."""
-    first = A.ranked(_assignments(spark, sf), beam=1).select("query", F.posexplode("picks").alias("pos", "candidate"))
+    first = A.ranked(_best(spark, sf), beam=1).select("query", F.posexplode("picks").alias("pos", "candidate"))
     roles = B.candidates(spark, sf).select("query", "pos", "role").distinct()
     picked = first.join(roles, ["query", "pos"]).select("query", "role", F.col("candidate").alias("step"))
-    found = B.ports(spark, sf).select("step", "ordinal", "kind", F.round("size", 6).alias("size"), F.col("contract").alias("own"))
-    matches = B.endpoints(spark, sf, found).join(picked, ["query", "role"]).join(found, "step").where("contract is null or contract = own")
+    ports = written(B.ports(spark, sf), "ports")
+    found = ports.select("step", "ordinal", "kind", F.round("size", 6).alias("size"), F.col("contract").alias("own"))
+    matches = B.endpoints(spark, sf, ports).join(picked, ["query", "role"]).join(found, "step").where("contract is null or contract = own")
     side = lambda s: matches.where(F.col("side") == s).select("query", "edge", *[F.col(c).alias(f"{c}_{s}") for c in ("ordinal", "kind", "size")])
     order = Window.partitionBy("query", "edge").orderBy("kind_a", "size_a", "ordinal_a", "kind_b", "size_b", "ordinal_b")
     pairs = side("a").join(side("b"), ["query", "edge"]).withColumn("rank", F.row_number().over(order) - 1).where("rank < 3")
