@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchloom.sources.tables import written
+
 AXES = range(3)
 
 
@@ -36,9 +38,50 @@ def box_iou(a_lo, a_hi, b_lo, b_hi):
     return F.coalesce(F.try_divide(shared, va + vb - shared), F.lit(0.0))
 
 
-def nearest_distances(source: DataFrame, target: DataFrame) -> DataFrame:
-    """key, id, distance from each source point (key, id, p) to its nearest target point of the same key; sets are bounded samples."""
-    pairs = source.join(target.select("key", F.col("p").alias("q")), "key")
+def _cells(points: DataFrame, boxes: DataFrame, depth: int) -> DataFrame:
+    """points (key, p) with c, their cell (three numbers) in the grid of 2^depth cells along the longest side of their key's box."""
+    place = lambda i: F.greatest(F.lit(0), F.least(F.floor((F.col("p")[i] - F.col("lo")[i]) / F.col("side") * float(1 << depth)), F.lit((1 << depth) - 1))).cast("long")
+    return points.join(boxes, "key").withColumn("c", F.array(*[place(i) for i in AXES])).drop("lo", "side")
+
+
+def _gap(outer: bool) -> Column:
+    """The square of the least distance of p to the box lo, hi, or of its greatest."""
+    p, lo, hi = F.col("p"), F.col("lo"), F.col("hi")
+    each = [F.greatest(F.abs(p[i] - lo[i]), F.abs(p[i] - hi[i])) if outer else F.greatest(lo[i] - p[i], p[i] - hi[i], F.lit(0.0)) for i in AXES]
+    return each[0] * each[0] + each[1] * each[1] + each[2] * each[2]
+
+
+def nearest_distances(source: DataFrame, target: DataFrame, leaf: int = 32, levels: int = 2) -> DataFrame:
+    """key, id, distance from each source point (key, id, p: three numbers) to its nearest target point of the same key; keys without targets go.
+
+    Target points fill a grid that is halved until no cell holds more than `leaf` of them, and each level knows the boxes of its cells' points.  Source points go down it `levels`
+    halvings at a time, and keep of the cells that they reach only those whose box begins no farther than the nearest one ends; the rest cannot hold the nearest
+    point.  So a point meets a few cells of each level and the points of a few leaves, wherever it lies.  Exact.
+    """
+    points = target.select("key", "p").where("p is not null").distinct()
+    low, high = [F.array(*[f(F.col("p")[i]) for i in AXES]) for f in (F.min, F.max)]
+    boxes = points.groupBy("key").agg(low.alias("lo"), high.alias("hi"))
+    side = F.greatest(*[F.col("hi")[i] - F.col("lo")[i] for i in AXES])
+    boxes = written(boxes.select("key", "lo", F.when(side > 0, side).otherwise(1.0).alias("side")), "boxes")
+    depth = levels
+    while depth < 40:
+        fullest = _cells(points, boxes, depth).groupBy("key", "c").count().agg(F.max("count")).first()[0]
+        if (fullest or 0) <= leaf:
+            break
+        depth += levels
+    leaves = written(_cells(points, boxes, depth), "leaves")
+    up = lambda c, n: F.transform(c, lambda x: F.shiftright(x, n))
+    tree, table = [], leaves.groupBy("key", "c").agg(low.alias("lo"), high.alias("hi"))
+    for n in range(depth // levels):
+        tree.append(written(table, "cells"))
+        table = tree[-1].groupBy("key", up("c", levels).alias("c")).agg(*[F.array(*[f(F.col(c)[i]) for i in AXES]).alias(c) for f, c in ((F.min, "lo"), (F.max, "hi"))])
+    state = source.select("key", "id", "p").join(boxes.select("key"), "key").withColumn("c", F.array(*[F.lit(0).cast("long")] * 3))
+    for cells in reversed(tree):
+        below = cells.select("key", up("c", levels).alias("c"), F.col("c").alias("child"), "lo", "hi")
+        met = state.join(below, ["key", "c"]).select("key", "id", "p", F.col("child").alias("c"), _gap(False).alias("least"), _gap(True).alias("most"))
+        bound = F.min("most").over(Window.partitionBy("key", "id"))
+        state = written(met.withColumn("bound", bound).where(F.col("least") <= F.col("bound")).select("key", "id", "p", "c"), "reached")
+    pairs = state.join(leaves.select("key", "c", F.col("p").alias("q")), ["key", "c"])
     square = F.aggregate(F.zip_with("p", "q", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
     return pairs.groupBy("key", "id").agg(F.sqrt(F.min(square)).alias("distance"))
 

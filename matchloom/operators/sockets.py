@@ -327,3 +327,23 @@ def extracted_sockets(faces: DataFrame, rules: ExtractionRules = ExtractionRules
         found = written(found.unionByName(extra, allowMissingColumns=True), "sockets")
     views = frame_variants(found.withColumn("id", F.col("name"))).withColumnRenamed("id", "name")
     return found.drop("area", "extents"), views
+
+
+def flange_planes(planes: DataFrame, holes: DataFrame, least: float = 0.96, holes_least: int = 3, bonus: float = 0.35) -> DataFrame:
+    """part, face, holes, score of the planes (part, face, normal, score) that at least so many holes (part, axis) of their part point along: |cosine| of `least` or more,
+    and for each hole `bonus` to the score.
+
+    Directions count once with their number of holes, and meet only in neighbouring cells of the sphere, as wide as the angle asks for, each under both signs.
+    """
+    reach = (2 - 2 * least) ** 0.5 + 1e-9
+    unit = lambda v: let(F.struct(v.alias("v"), F.sqrt(dot(v, v)).alias("s")), lambda x: F.transform(x["v"], lambda y: F.try_divide(y, x["s"])))
+    cell = lambda v: F.transform(v, lambda x: F.floor(x / reach))
+    axes = holes.select("part", unit(F.col("axis")).alias("a")).groupBy("part", "a").agg(F.count("*").alias("n"))
+    both = axes.select("part", "n", F.explode(F.array(F.col("a"), F.transform("a", lambda x: -x))).alias("a")).select("part", "n", "a", cell(F.col("a")).alias("c"))
+    normals = planes.select("part", unit(F.col("normal")).alias("n0")).distinct()
+    steps = F.array(*[F.array(*[F.lit(x).cast("long") for x in (i, j, k)]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
+    posted = normals.select("part", "n0", F.explode(F.transform(steps, lambda s: F.zip_with(cell(F.col("n0")), s, lambda x, y: x + y))).alias("c"))
+    met = posted.join(both, ["part", "c"]).where(dot(F.col("n0"), F.col("a")) >= least)
+    many = met.groupBy("part", "n0").agg(F.sum("n").alias("holes")).where(F.col("holes") >= holes_least)
+    found = planes.withColumn("n0", unit(F.col("normal"))).join(many, ["part", "n0"])
+    return found.select("part", "face", "holes", (F.col("score") + bonus * F.col("holes")).alias("score"))

@@ -9,6 +9,7 @@ from matchloom.functions import ports as P
 from matchloom.functions import text as X
 from matchloom.functions import vectors as V
 from matchloom.operators import geometry as G
+from matchloom.operators import sockets as K
 from matchloom.sources import records as S
 
 from . import bindings as B
@@ -140,12 +141,12 @@ def j30_unique_mapping_lookup(spark, sf):
     return rows.select("part", "face", "n", F.when(F.col("n") == 1, F.col("row")).alias("row"), F.when(F.col("n") == 1, "mapped").otherwise("ambiguous").alias("status"))
 
 
-@query(f"""WITH {_E}, d AS (SELECT label, vec_id, [e[4], e[5], e[6]] AS a FROM v) SELECT p.vec_id AS plane, count(*) AS holes FROM d p JOIN d h ON h.label = p.label AND p.vec_id % 3 = 0 AND h.vec_id % 3 = 1 WHERE abs(list_cosine_similarity(p.a, h.a)) >= 0.9 GROUP BY p.vec_id HAVING count(*) >= 3""")
+@query(f"""WITH {_E}, d AS (SELECT label, vec_id, [e[4], e[5], e[6]] AS a, round(ln(1 + abs(e[10])), 6) AS score FROM v) SELECT p.label AS part, p.vec_id AS face, count(*) AS holes, round(max(p.score) + 0.35 * count(*), 6) AS score
+  FROM d p JOIN d h ON h.label = p.label AND p.vec_id % 3 = 0 AND h.vec_id % 3 = 1 WHERE abs(list_cosine_similarity(p.a, h.a)) >= 0.96 GROUP BY p.label, p.vec_id HAVING count(*) >= 3""")
 def k05_flange_planes(spark, sf):
-    d = _vectors(spark, sf).select("label", "vec_id", F.slice("e", 4, 3).alias("a"))
-    planes, holes = d.where("vec_id % 3 = 0").select("label", F.col("vec_id").alias("plane"), F.col("a").alias("n")), d.where("vec_id % 3 = 1").select("label", "a")
-    along = planes.join(holes, "label").where(F.abs(V.cosine(F.col("n"), F.col("a"))) >= 0.9)
-    return along.groupBy("plane").agg(F.count("*").alias("holes")).where("holes >= 3")
+    d = _vectors(spark, sf).select(F.col("label").alias("part"), F.col("vec_id").alias("face"), F.slice("e", 4, 3).alias("a"), F.round(F.log1p(F.abs(F.col("e")[9])), 6).alias("score"))
+    planes = d.where("face % 3 = 0").withColumnRenamed("a", "normal")
+    return K.flange_planes(planes, d.where("face % 3 = 1").withColumnRenamed("a", "axis")).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {Q.CAND} SELECT status, count(*) AS edges, count(DISTINCT query) AS queries FROM edge GROUP BY status")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions import ports as P
 from matchloom.functions import text as X
+from matchloom.operators.ordering import ordered_hashes
 from matchloom.sources import records as S
 
 from . import bindings as B
@@ -176,11 +177,12 @@ def v02_self_hash_check(spark, sf):
     return stored.groupBy((F.col("hash") == X.row_hash(*fields)).alias("intact")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT page_id % 50 AS bundle, sha256(string_agg(url || ':' || sha256(html), chr(10) ORDER BY url, sha256(html))) AS hash FROM pages GROUP BY 1")
+@query(f"""WITH f AS (SELECT page_id % 3 AS bundle, url || ':' || sha256(html) AS t, row_number() OVER (PARTITION BY page_id % 3 ORDER BY url, sha256(html)) - 1 AS pos FROM pages), {Q.tree_hashes('f', 'bundle', 64)}
+  SELECT bundle, n AS files, hash FROM tree""")
 def v03_bundle_hash(spark, sf):
-    files = F.array_sort(F.collect_list(F.struct("url", F.sha2("html", 256).alias("sha"))))
-    text = F.array_join(F.transform(files, lambda x: F.concat(x["url"], F.lit(":"), x["sha"])), "\n")
-    return B.table(spark, sf, "pages").groupBy((F.col("page_id") % 50).alias("bundle")).agg(F.sha2(text, 256).alias("hash"))
+    """Three bundles of all pages, in the order of url and file hash."""
+    files = B.table(spark, sf, "pages").select((F.col("page_id") % 3).alias("bundle"), "url", F.sha2("html", 256).alias("sha"))
+    return ordered_hashes(files, ["bundle"], ["url", "sha"], F.concat("url", F.lit(":"), "sha"), fan=64).withColumnRenamed("n", "files")
 
 
 @query("SELECT doc_id, sha256('case' || chr(0) || source || chr(0) || doc_id) AS token FROM documents")

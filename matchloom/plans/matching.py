@@ -9,6 +9,7 @@ from matchloom.functions import ports as P
 from matchloom.operators import assignments as A
 from matchloom.operators import ports as O
 from matchloom.operators import ranking as R
+from matchloom.operators.ordering import quantiles
 from matchloom.sources.tables import written
 
 from . import bindings as B
@@ -261,11 +262,12 @@ def g11_status_counts(spark, sf):
 
 @query("SELECT o_orderstatus, quantile_disc(CAST(o_totalprice AS DOUBLE), 0.5) AS p50, quantile_disc(CAST(o_totalprice AS DOUBLE), 0.9) AS p90, quantile_disc(CAST(o_totalprice AS DOUBLE), 0.99) AS p99 FROM orders GROUP BY 1")
 def g12_nearest_rank_quantile(spark, sf):
-    at = lambda p: F.expr(f"percentile_disc({p}) within group (order by cast(o_totalprice as double))")
-    return B.table(spark, sf, "orders").groupBy("o_orderstatus").agg(at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.99).alias("p99"))
+    rows = B.table(spark, sf, "orders").select("o_orderstatus", F.col("o_totalprice").cast("double").alias("price"))
+    return quantiles(rows, ["o_orderstatus"], "price", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
 
 
 @query("SELECT event_type, round(quantile_cont(CAST(value AS DOUBLE), 0.5), 6) AS p50, round(quantile_cont(CAST(value AS DOUBLE), 0.95), 6) AS p95, max(CAST(value AS DOUBLE)) AS max FROM events GROUP BY 1")
 def g13_linear_percentile(spark, sf):
-    x = F.col("value").cast("double")
-    return B.table(spark, sf, "events").groupBy("event_type").agg(F.round(F.percentile(x, 0.5), 6).alias("p50"), F.round(F.percentile(x, 0.95), 6).alias("p95"), F.max(x).alias("max"))
+    rows = B.table(spark, sf, "events").select("event_type", F.col("value").cast("double").alias("value"))
+    found = quantiles(rows, ["event_type"], "value", {"p50": 0.5, "p95": 0.95}, linear=True)
+    return found.select("event_type", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95")).join(rows.groupBy("event_type").agg(F.max("value").alias("max")), "event_type")

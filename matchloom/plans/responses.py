@@ -12,6 +12,7 @@ from matchloom.operators import graphs as G
 
 from matchloom.operators import requests as R
 from matchloom.operators.assemblies import aligned
+from matchloom.operators.records import face_bindings
 from matchloom.sources.tables import written
 
 from . import bindings as B
@@ -94,10 +95,12 @@ def j26_pose_errors(spark, sf):
     return turned.select("event_id", (F.round(distance, 4) + 0.0).alias("distance"), (F.round(angle, 3) + 0.0).alias("degrees"))
 
 
-@query("SELECT label AS part, count(*) AS faces, sha256('faces' || chr(0) || string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY vec_id)) AS hash FROM embeddings GROUP BY label")
+@query(f"""WITH f AS (SELECT DISTINCT label AS part, vec_id AS face FROM embeddings WHERE vec_id >= 0), p AS (SELECT part, face || ':' || sha256(part || '/' || face) AS t, row_number() OVER (PARTITION BY part ORDER BY face) - 1 AS pos FROM f), {S.tree_hashes('p', 'part', 64)}
+  SELECT part, n AS faces, sha256('faces' || chr(0) || 'label' || chr(0) || n || chr(0) || hash) AS hash FROM tree""")
 def v12_face_binding_hash(spark, sf):
-    indices = F.array_join(F.transform(F.array_sort(F.collect_set("vec_id")), lambda x: x.cast("string")), ",")
-    return B.table(spark, sf, "embeddings").groupBy(F.col("label").alias("part")).agg(F.count("*").alias("faces"), F.sha2(F.concat_ws("\x00", F.lit("faces"), indices), 256).alias("hash"))
+    """A binding of all faces of a label: name space, gauge, how many distinct indices, and their ordered tree with each face's signature."""
+    faces = B.table(spark, sf, "embeddings").select(F.col("label").alias("part"), F.col("vec_id").alias("face"))
+    return face_bindings(faces.withColumn("signature", F.sha2(F.concat_ws("/", "part", "face"), 256)), "faces", "label", fan=64)
 
 
 @query(f"""WITH {S.ASSIGN}, one AS (SELECT query, unnest([0, 1, 2, 3, 4]) AS pos, unnest([p0, p1, p2, p3, p4]) AS candidate FROM ranking WHERE rank = 0),

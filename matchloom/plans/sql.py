@@ -65,3 +65,12 @@ full_ AS (
 assigned AS (SELECT *, sha256('["' || concat_ws('","', p0, p1, p2, p3, p4) || '"]') AS identity FROM full_),
 ranking AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, identity) - 1 AS rank FROM assigned),
 ranking_h AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY identity) - 1 AS rank FROM assigned)"""
+
+
+def tree_hashes(source: str, key: str, fan: int, name: str = "tree", levels: int = 4) -> str:
+    """Expressions that end in `name` (key, n, hash): the ordered hash tree of source (key, pos from 0, t)."""
+    out = [f"{name}1 AS (SELECT {key}, pos // {fan} AS pos, sha256(string_agg(t, chr(10) ORDER BY pos)) AS t, count(*) AS n FROM {source} GROUP BY {key}, pos // {fan})"]
+    for i in range(2, levels + 1):
+        out.append(f"""{name}{i} AS (SELECT {key}, pos // {fan} AS pos, CASE WHEN max(size) = 1 THEN max(t) ELSE sha256(string_agg(t, chr(10) ORDER BY pos)) END AS t, CAST(sum(n) AS BIGINT) AS n
+    FROM (SELECT *, count(*) OVER (PARTITION BY {key}) AS size FROM {name}{i - 1}) x GROUP BY {key}, pos // {fan})""")
+    return ", ".join(out) + f", {name} AS (SELECT {key}, n, t AS hash FROM {name}{levels})"
