@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from matchloom.functions.text import row_hash
 from matchloom.operators import assignments as A
 from matchloom.operators import graphs as G
+from matchloom.operators import losses as L
 from matchloom.operators import ranking as R
+from matchloom.sources.tables import written
 
 from . import bindings as B
 from . import sql as S
 from .geometry import _E, _vectors
 from .matching import _ready
 from .registry import query
-from .scoring import _SCORES, _scored_pairs, _targets, _unary
+from .scoring import _SCORES, _micro, _scored_pairs, _targets, _unary
 
 _ADJ = S.ADJ
 
@@ -186,12 +188,58 @@ def j31_catalog_candidates(spark, sf):
     return B.edges(spark, sf).select("query", "edge", entries)
 
 
-@query(f"""WITH {_SCORES}, x AS (SELECT query, pos, ln(sum(exp(score / 1000000.0))) AS z FROM unary GROUP BY ALL) SELECT x.pos, count(*) AS roles, round(avg(x.z - u.score / 1000000.0), 6) AS loss FROM x JOIN target t ON t.query = x.query AND t.pos = x.pos JOIN unary u ON u.query = t.query AND u.pos = t.pos AND u.candidate = t.candidate GROUP BY x.pos""")
+_LOSS_PARTS = {"mobility": ["fixed", "revolute", "prismatic", "ball"], "support": ["axial", "planar", "mixed"]}
+_H = "CAST(('0x' || substr(sha256({}), 1, 5)) AS BIGINT)"
+
+
+def _entropy_sql(name: str) -> str:
+    """name_l: query and the mean loss over units, of name_s (query, unit, choice, score) and name_t (query, unit, choice)."""
+    return f"""{name}_l AS (SELECT t.query, avg(n.z - s.score) AS {name} FROM {name}_t t JOIN {name}_s s ON s.query = t.query AND s.unit = t.unit AND s.choice = t.choice
+    JOIN (SELECT query, unit, ln(sum(exp(score))) AS z FROM {name}_s GROUP BY query, unit) n ON n.query = t.query AND n.unit = t.unit GROUP BY t.query)"""
+
+
+def _named_sql(name: str) -> str:
+    many = len(_LOSS_PARTS[name])
+    text = f"query || ':{name}:' || unit || ':' || choice"
+    return f"{name}_s AS (SELECT query, unit, choice, {_H.format(text)} / 1e5 AS score FROM (SELECT query, edge AS unit, unnest(range({many})) AS choice FROM edge) x), {name}_t AS (SELECT query, edge AS unit, (query + edge) % {many} AS choice FROM edge)"
+
+
+@query(f"""WITH {_SCORES}, unary_s AS (SELECT query, pos AS unit, candidate AS choice, score / 1e5 AS score FROM unary WHERE (query + pos) % 3 <> 0 OR candidate % 5 <> 0), unary_t AS (SELECT query, pos AS unit, candidate AS choice FROM target),
+  pair_s AS (SELECT query, pos AS unit, a || '/' || b AS choice, score / 1e5 AS score FROM pair), pair_t AS (SELECT b.query, b.pos AS unit, a.candidate || '/' || b.candidate AS choice FROM target a JOIN target b ON b.query = a.query AND b.pos = a.pos + 1),
+  {_named_sql('mobility')}, {_named_sql('support')},
+  interface_s AS (SELECT query, unit, choice, {_H.format("query || ':interface:' || unit || ':' || choice")} / 1e5 AS score FROM (SELECT query, edge AS unit, unnest(range(6)) AS choice FROM edge WHERE query % 3 <> 0) x), interface_t AS (SELECT query, edge AS unit, (query + edge) % 8 AS choice FROM edge WHERE query % 3 <> 0),
+  proposal_s AS (SELECT query, unit, choice, {_H.format("query || ':proposal:' || unit || ':' || choice")} / 1e5 AS score FROM (SELECT query, edge AS unit, unnest(range(4)) AS choice FROM edge) x), proposal_t AS (SELECT query, edge AS unit, (query + edge) % 5 AS choice FROM edge),
+  {', '.join(map(_entropy_sql, ['unary', 'pair', 'mobility', 'support', 'interface', 'proposal']))},
+  wrong AS (SELECT u.query, u.pos, max(u.score) AS score FROM unary u JOIN target t ON t.query = u.query AND t.pos = u.pos AND t.candidate <> u.candidate GROUP BY ALL),
+  structured_l AS (SELECT w.query, avg(ln(1 + exp(1 + w.score / 1e5 - u.score / 1e5))) AS structured FROM wrong w JOIN target t ON t.query = w.query AND t.pos = w.pos JOIN unary u ON u.query = t.query AND u.pos = t.pos AND u.candidate = t.candidate GROUP BY w.query),
+  masked AS (SELECT DISTINCT query FROM target WHERE (query + pos) % 3 = 0 AND candidate % 5 = 0), q AS (SELECT DISTINCT query FROM target),
+  every AS (SELECT q.query, m.query IS NULL AS fine, coalesce(a.unary, 0) AS unary, coalesce(b.pair, 0) AS pair, CASE WHEN q.query % 4 = 0 THEN 0 ELSE coalesce(c.mobility, 0) END AS mobility, coalesce(d.support, 0) AS support, coalesce(e.interface, 0) AS interface, coalesce(f.proposal, 0) AS proposal, coalesce(g.structured, 0) AS structured
+    FROM q LEFT JOIN masked m ON m.query = q.query LEFT JOIN unary_l a ON a.query = q.query LEFT JOIN pair_l b ON b.query = q.query LEFT JOIN mobility_l c ON c.query = q.query LEFT JOIN support_l d ON d.query = q.query LEFT JOIN interface_l e ON e.query = q.query LEFT JOIN proposal_l f ON f.query = q.query LEFT JOIN structured_l g ON g.query = q.query)
+  SELECT query, CASE WHEN fine THEN 'scored' ELSE 'target_unavailable' END AS status, {', '.join(f'CASE WHEN fine THEN round({c}, 5) + 0.0 END AS {c}' for c in ['unary', 'pair', 'mobility', 'support', 'interface', 'proposal', 'structured'])},
+    CASE WHEN fine THEN round(unary + pair + mobility + support + 0.5 * interface + 0.5 * proposal + 0.25 * structured, 5) END AS loss FROM every""")
 def e03_linker_loss(spark, sf):
-    scores = _unary(spark, sf).withColumn("s", F.col("score") / 1e6)
-    norm = scores.groupBy("query", "pos").agg((F.log(F.sum(F.exp("s")))).alias("z"))
-    goal = _targets(spark, sf).join(scores, ["query", "pos", "candidate"])
-    return goal.join(norm, ["query", "pos"]).groupBy("pos").agg(F.count("*").alias("roles"), F.round(F.avg(F.col("z") - F.col("s")), 6).alias("loss"))
+    """All parts of the loss by query, over score tables of roles, edges, names and choices; some targets are masked, and some lie outside the proposals."""
+    scored, goal = written(_unary(spark, sf), "unary-scores"), written(_targets(spark, sf), "targets")
+    edges = written(B.edges(spark, sf).select("query", F.col("edge").alias("unit")), "edge-units")
+    mark = (F.col("query") + F.col("pos")) % 3 != 0
+    unary = scored.select("query", F.col("pos").alias("unit"), F.col("candidate").alias("choice"), (F.col("score") / 1e5).alias("score"), (mark | (F.col("candidate") % 5 != 0)).alias("available"))
+    a, b = goal.select("query", (F.col("pos") + 1).alias("pos"), F.col("candidate").alias("a")), goal.select("query", "pos", F.col("candidate").alias("b"))
+    both = lambda df: df.withColumn("choice", F.concat_ws("/", "a", "b")).withColumnRenamed("pos", "unit")
+
+    def named(name: str, many: int, goal_of: int, units):
+        score = _micro("query", F.lit(name), "unit", "choice") / 1e5
+        return units.select("query", "unit", F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("choice")).withColumn("score", score), units.withColumn("choice", (F.col("query") + F.col("unit")) % goal_of)
+
+    parts = {
+        "unary": (unary, goal.select("query", F.col("pos").alias("unit"), F.col("candidate").alias("choice"))),
+        "pair": (both(_scored_pairs(spark, sf)).withColumn("score", F.col("score") / 1e5), both(a.join(b, ["query", "pos"]))),
+        "mobility": named("mobility", 4, 4, edges), "support": named("support", 3, 3, edges),
+        "interface": named("interface", 6, 8, edges.where("query % 3 <> 0")), "proposal": named("proposal", 4, 5, edges),
+    }
+    right = goal.join(scored, ["query", "pos", "candidate"]).select("query", "pos", "candidate", (F.col("score") / 1e5).alias("positive"))
+    wrong = scored.join(goal.withColumnRenamed("candidate", "goal"), ["query", "pos"]).where("candidate <> goal").groupBy("query", "pos").agg((F.max("score") / 1e5).alias("negative"))
+    out = L.linker_loss(parts, right.join(wrong, ["query", "pos"]), goal.where("query % 4 = 0").select("query"))
+    return out.select("query", "status", *[(F.round(c, 5) + 0.0).alias(c) for c in [*L.PARTS, "structured", "loss"]])
 
 
 @query(f"""WITH {_SCORES}, m AS (SELECT query, pos - 1 AS pos, a AS candidate, max(score) AS m FROM pair GROUP BY ALL UNION ALL SELECT query, pos, b, max(score) FROM pair GROUP BY ALL), s AS (SELECT u.query, u.pos, u.candidate, u.score + sum(m.m) AS total, count(*) + 1 AS degree FROM unary u JOIN m ON m.query = u.query AND m.pos = u.pos AND m.candidate = u.candidate GROUP BY u.query, u.pos, u.candidate, u.score)
