@@ -69,8 +69,11 @@ def ordered_hashes(rows: DataFrame, keys: list[str], order: list, text: Column,
     """keys, n, hash: SHA-256 over each group's texts in order, joined by line ends.
 
     A group of more than `fan` rows is hashed as an ordered tree: blocks of `fan` rows in a row, then blocks of `fan` of their hashes, until one is left.  So a group of up to `fan`
-    rows has the hash of its plain list, and no task and no row holds more than a block.
+    rows has the hash of its plain list, and no task and no row holds more than a block.  Without keys all rows are one group, and no rows give no hash.
     """
+    if not keys:
+        one = ordered_hashes(rows.withColumn("_all", F.lit(0)), ["_all"], order, text, fan, name)
+        return one.drop("_all")
     level = positions(rows.select(*keys, *order, text.alias("_text")), keys, order).select(*keys, "position", "_text", F.lit(1).cast("long").alias("_n"))
     whole = None
     while True:

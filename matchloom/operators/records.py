@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordering import ordered_hashes, positions
@@ -14,3 +14,112 @@ def face_bindings(faces: DataFrame, namespace: str, gauge: str, fan: int = 1024)
     valid = faces.where("face >= 0 and signature is not null").groupBy("part", "face").agg(F.min("signature").alias("signature"))
     tree = ordered_hashes(valid, ["part"], ["face", "signature"], F.concat_ws(":", "face", "signature"), fan)
     return tree.select("part", F.col("n").alias("faces"), F.sha2(F.concat_ws("\x00", F.lit(namespace), F.lit(gauge), "n", "hash"), 256).alias("hash"))
+
+
+def _text(*fields) -> Column:
+    """Fields of one row in a canonical text; null and empty differ."""
+    return F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), f.cast("string")), F.lit("~")) for f in fields])
+
+
+def _lines(rows) -> Column:
+    return F.array_join(F.transform(rows, lambda x: x["text"]), ";")
+
+
+def prediction_ledger(queries: DataFrame, hypotheses: DataFrame, programs: DataFrame, alternatives: DataFrame) -> DataFrame:
+    """query, status, hypotheses, row_text, row_sha256: one nested row of each query, with its hash.
+
+    queries (query), hypotheses (query, rank, score, identity), programs (query, rank, edge, mobility), alternatives (query, rank, edge, place, a, b).  hypotheses: array of rank, score, identity,
+    programs, which have edge, mobility and alternatives, which have place, a, b; each level in its order.  A query without hypotheses is no_candidate.  A query's
+    ledger is a bounded group, by the beam, its edges and the alternatives kept.
+    """
+    leaf = alternatives.withColumn("text", _text(*map(F.col, ["place", "a", "b"])))
+    kept = leaf.groupBy("query", "rank", "edge").agg(F.array_sort(F.collect_list(F.struct("place", "a", "b", "text"))).alias("alternatives"))
+    edges = programs.join(kept, ["query", "rank", "edge"], "left")
+    none = F.array().cast(dict(kept.dtypes)["alternatives"])
+    edges = edges.withColumn("alternatives", F.coalesce("alternatives", none))
+    edges = edges.withColumn("text", F.concat(_text(F.col("edge"), F.col("mobility")), F.lit("("), _lines("alternatives"), F.lit(")")))
+    by_rank = edges.groupBy("query", "rank").agg(F.array_sort(F.collect_list(F.struct("edge", "mobility", "alternatives", "text"))).alias("programs"))
+    found = hypotheses.join(by_rank, ["query", "rank"], "left")
+    found = found.withColumn("programs", F.coalesce("programs", F.array().cast(dict(by_rank.dtypes)["programs"])))
+    found = found.withColumn("text", F.concat(_text(F.col("rank"), F.col("score"), F.col("identity")), F.lit("["), _lines("programs"), F.lit("]")))
+    rows = found.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "score", "identity", "programs", "text"))).alias("hypotheses"))
+    every = queries.select("query").distinct().join(rows, "query", "left").withColumn("hypotheses", F.coalesce("hypotheses", F.array().cast(dict(rows.dtypes)["hypotheses"])))
+    status = F.when(F.size("hypotheses") > 0, "prediction_ready").otherwise("no_candidate")
+    text = F.concat_ws("\n", _text(F.col("query"), F.col("status")), _lines("hypotheses"))
+    return every.withColumn("status", status).withColumn("row_text", text).withColumn("row_sha256", F.sha2("row_text", 256)).select("query", "status", "hypotheses", "row_text", "row_sha256")
+
+
+def ledger_payload(ledger: DataFrame, header: dict[str, str], fan: int = 1024) -> DataFrame:
+    """One row: queries and payload_sha256, over the header's entries by name and the ordered tree of `query:row hash`; an empty ledger has the header's alone."""
+    tree = ordered_hashes(ledger.select("query", "row_sha256"), [], ["query", "row_sha256"], F.concat_ws(":", "query", "row_sha256"), fan)
+    head = F.lit("\n".join(f"{k}={header[k]}" for k in sorted(header)))
+    whole = tree.agg(F.coalesce(F.max("n"), F.lit(0)).alias("queries"), F.coalesce(F.max("hash"), F.lit("")).alias("hash"))
+    return whole.select("queries", F.sha2(F.concat_ws("\n", head, "queries", "hash"), 256).alias("payload_sha256"))
+
+
+def ledger_faults(ledger: DataFrame) -> DataFrame:
+    """query, fault of the rows whose hash, text or status does not follow from what they nest: text (the nested rows say otherwise), hash, or status."""
+    alternative = lambda x: F.struct(x["place"], x["a"], x["b"], _text(x["place"], x["a"], x["b"]).alias("text"))
+    edge = lambda e: F.concat(_text(e["edge"], e["mobility"]), F.lit("("), _lines(F.transform(e["alternatives"], alternative)), F.lit(")"))
+    one = lambda h: F.concat(_text(h["rank"], h["score"], h["identity"]), F.lit("["), F.array_join(F.transform(h["programs"], edge), ";"), F.lit("]"))
+    again = F.concat_ws("\n", _text(F.col("query"), F.col("status")), F.array_join(F.transform("hypotheses", one), ";"))
+    status = F.when(F.size("hypotheses") > 0, "prediction_ready").otherwise("no_candidate")
+    fault = F.when(F.col("status") != status, "status").when(F.col("row_text") != again, "text").when(F.col("row_sha256") != F.sha2(again, 256), "hash")
+    return ledger.select("query", fault.alias("fault")).where("fault is not null")
+
+
+def batch_progress(items: DataFrame, order: list[str], size: int, snapshot: DataFrame | None = None, fan: int = 1024) -> DataFrame:
+    """batch, items, failed, complete, source: the batches of `size` items in order, and which of them an earlier run has done.
+
+    items: the order columns, text, and failed (a boolean; null counts as failed).  snapshot (input_sha256, items, size, batch): one row of each batch that a run has finished, with what the run was bound to.  Only rows that
+    were bound to these items, their number and this size count (source: resumed); rows bound to anything else are refused, and their batches run again.
+    """
+    placed = positions(items, [], order, "item")
+    bound = item_binding(items, order, fan)
+    batches = placed.groupBy(F.floor(F.col("item") / size).alias("batch")).agg(F.count("*").alias("items"), F.count_if(F.coalesce(F.col("failed"), F.lit(True))).alias("failed"))
+    found = batches.withColumn("complete", F.col("failed") == 0)
+    if snapshot is None:
+        return found.withColumn("source", F.lit("run"))
+    # one row of binding
+    same = snapshot.join(F.broadcast(bound.select(F.col("input_sha256"), F.col("items"))), ["input_sha256", "items"]).where(F.col("size") == size)
+    done = same.select("batch", F.lit("resumed").alias("source")).distinct()
+    return found.join(done, "batch", "left").withColumn("source", F.coalesce("source", F.lit("run")))
+
+
+def item_binding(items: DataFrame, order: list[str], fan: int = 1024) -> DataFrame:
+    """One row: items, input_sha256 of all items' order columns and text, in order."""
+    tree = ordered_hashes(items.select(*order, "text"), [], order, F.sha2(_text(*map(F.col, order), F.col("text")), 256), fan)
+    return tree.agg(F.coalesce(F.max("n"), F.lit(0)).alias("items"), F.coalesce(F.max("hash"), F.lit("")).alias("input_sha256"))
+
+
+def example_reasons(candidates: DataFrame, targets: DataFrame, types: list[str], most: int = 512) -> DataFrame:
+    """example, reason: valid, or the first rule that an example's programs or target break.
+
+    candidates (example, idx, id, type, descriptor, relation: the descriptor's type), targets (example, idx, translation, rotation).  In turn: too_few (under two programs), too_many, index (null, negative or twice), type
+    (outside the list, or other than the descriptor's), id (not catalog_ and the first 16 hex digits of the descriptor's SHA-256), twin (an id or descriptor twice), target (an index that no program has),
+    translation (not three finite numbers), rotation (not nine finite ones, orthonormal and of determinant 1).  Examples without a target are `target`.
+    """
+    right = F.concat(F.lit("catalog_"), F.substring(F.sha2("descriptor", 256), 1, 16))
+    flags = candidates.groupBy("example").agg(
+        F.count("*").alias("n"), F.bool_or(F.col("idx").isNull() | (F.col("idx") < 0)).alias("bad_index"), F.count_distinct("idx").alias("indices"),
+        F.bool_or(~F.coalesce(F.col("type").isin(types) & (F.col("type") == F.col("relation")), F.lit(False))).alias("bad_type"), F.bool_or(~F.coalesce(F.col("id") == right, F.lit(False))).alias("bad_id"),
+        F.count_distinct("id").alias("ids"), F.count_distinct("descriptor").alias("descriptors"),
+    )
+    known = candidates.select("example", "idx").distinct().withColumn("known", F.lit(True))
+    goal = targets.join(known, ["example", "idx"], "left")
+    every = candidates.select("example").unionByName(targets.select("example")).distinct().join(flags, "example", "left").join(goal, "example", "left")
+    fine = lambda c, size: F.coalesce((F.size(c) == size) & F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+    r = [F.try_element_at("rotation", F.lit(i + 1)) for i in range(9)]
+    inner = lambda i, j: r[3 * i] * r[3 * j] + r[3 * i + 1] * r[3 * j + 1] + r[3 * i + 2] * r[3 * j + 2]
+    bent = F.lit(False)
+    for i in range(3):
+        for j in range(i, 3):
+            bent = bent | (F.abs(inner(i, j) - (1.0 if i == j else 0.0)) > 1e-6)
+    det = r[0] * (r[4] * r[8] - r[5] * r[7]) - r[1] * (r[3] * r[8] - r[5] * r[6]) + r[2] * (r[3] * r[7] - r[4] * r[6])
+    n = F.coalesce("n", F.lit(0))
+    reason = (
+        F.when(n < 2, "too_few").when(n > most, "too_many").when(F.col("bad_index") | (F.col("indices") < n), "index").when(F.col("bad_type"), "type").when(F.col("bad_id"), "id")
+        .when((F.col("ids") < n) | (F.col("descriptors") < n), "twin").when(F.col("known").isNull(), "target").when(~fine("translation", 3), "translation")
+        .when(~fine("rotation", 9) | bent | (F.abs(det - 1.0) > 1e-6), "rotation").otherwise("valid")
+    )
+    return every.select("example", reason.alias("reason"))

@@ -10,12 +10,16 @@ from matchloom.functions import text as X
 from matchloom.functions import vectors as V
 from matchloom.operators import geometry as G
 from matchloom.operators import sockets as K
+from matchloom.operators.ordering import positions
+from matchloom.operators.records import example_reasons
 from matchloom.sources import records as S
+from matchloom.sources.tables import written
 
 from . import bindings as B
 from . import sql as Q
 from .geometry import _BOX, _E, _PLACED, _SIDES, _boxes, _sixes, _vectors
 from .graphs import _ADJ, _edges
+from .hygiene import _ITEMS, _items
 from .registry import query
 from .scoring import _micro
 
@@ -171,11 +175,13 @@ def r08_validate_planner_response(spark, sf):
     return e.join(given, ["query", "edge"], "left").select("query", "edge", status.alias("status"))
 
 
-@query("""WITH b AS (SELECT conv_id, CAST((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 4 AS BIGINT) AS batch, turn % 6 <> 0 AS fine FROM conversations) SELECT conv_id, batch, count(*) AS items, count(*) FILTER (WHERE NOT fine) AS failed, bool_and(fine) AS complete FROM b GROUP BY ALL""")
+@query(f"""WITH {_ITEMS}, b AS (SELECT *, count(*) FILTER (WHERE failed) OVER (PARTITION BY item // 64) AS bad, count(*) OVER (PARTITION BY item // 64) AS size FROM i)
+  SELECT item // 64 AS batch, conv_id, turn, CASE WHEN failed THEN 'no_sentence' ELSE 'done' END AS status, size - bad AS batch_done, bad AS batch_failed FROM b""")
 def r07_isolate_bad_items(spark, sf):
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    rows = B.table(spark, sf, "conversations").select("conv_id", F.floor((F.row_number().over(order) - 1) / 4).alias("batch"), (F.col("turn") % 6 != 0).alias("fine"))
-    return rows.groupBy("conv_id", "batch").agg(F.count("*").alias("items"), F.count_if(~F.col("fine")).alias("failed"), F.bool_and("fine").alias("complete"))
+    """Every item of every batch: what fails has a reason of its own, and its batch keeps the others."""
+    placed = written(positions(_items(spark, sf), [], ["conv_id", "turn"], "item").withColumn("batch", F.floor(F.col("item") / 64)), "items")
+    counts = placed.groupBy("batch").agg(F.count_if(~F.col("failed")).alias("batch_done"), F.count_if("failed").alias("batch_failed"))
+    return placed.join(counts, "batch").select("batch", "conv_id", "turn", F.when(F.col("failed"), "no_sentence").otherwise("done").alias("status"), "batch_done", "batch_failed")
 
 
 @query(f"""WITH {Q.CAND}, x AS (SELECT query, query % 9 <> 0 AS given, query % 4 <> 0 AS s, (query + edge) % 5 <> 0 AS m FROM edge), q AS (SELECT query, bool_and(given AND s AND m) AS all_ FROM x GROUP BY query)
@@ -208,10 +214,28 @@ def v07_graph_check(spark, sf):
     return nodes.join(edges, "step", "left").select("step", "nodes", F.coalesce("edges", F.lit(0)).alias("edges"), status.alias("status"))
 
 
-@query(f"""WITH {Q.CAND}, s AS (SELECT query, role, count(*) AS n, count(DISTINCT candidate) AS ids, bool_or(candidate % 5 = 0) AS has FROM cand GROUP BY ALL) SELECT query, role, CASE WHEN n < 2 THEN 'too_few' WHEN ids < n THEN 'duplicate' WHEN NOT has THEN 'target' ELSE 'valid' END AS status FROM s""")
+_PROGRAM_TYPES = ["axial_insert", "planar_contact", "offset"]
+
+
+@query(f"""WITH {Q.CAND}, c AS (SELECT query, candidate, row_number() OVER (PARTITION BY query ORDER BY candidate) - 1 AS i, CASE WHEN query % 17 = 0 THEN role ELSE role || '/' || candidate END AS descriptor FROM cand), n AS (SELECT query, count(*) AS n, count(DISTINCT descriptor) AS d FROM c GROUP BY query)
+  SELECT query AS example, CASE WHEN n > 12 THEN 'too_many' WHEN query % 13 = 0 THEN 'index' WHEN query % 11 = 0 THEN 'type' WHEN query % 7 = 0 THEN 'id' WHEN d < n THEN 'twin' WHEN query % 5 = 0 THEN 'target' WHEN query % 19 = 0 THEN 'translation' WHEN query % 3 = 0 THEN 'rotation' ELSE 'valid' END AS reason FROM n""")
 def v08_example_check(spark, sf):
-    sets = B.candidates(spark, sf).groupBy("query", "role").agg(F.count("*").alias("n"), F.count_distinct("candidate").alias("ids"), F.bool_or(F.col("candidate") % 5 == 0).alias("has"))
-    return sets.select("query", "role", F.when(F.col("n") < 2, "too_few").when(F.col("ids") < F.col("n"), "duplicate").when(~F.col("has"), "target").otherwise("valid").alias("status"))
+    """Every request as an example of programs, one for each candidate; each rule is broken by some."""
+    q, place = F.col("query"), F.row_number().over(Window.partitionBy("query").orderBy("candidate")) - 1
+    rows = B.candidates(spark, sf).withColumn("idx", place).withColumn("descriptor", F.when(q % 17 == 0, F.col("role")).otherwise(F.concat_ws("/", "role", "candidate")))
+    kind = F.element_at(F.array(*map(F.lit, _PROGRAM_TYPES)), (F.col("idx") % 3 + 1).cast("int"))
+    digest = F.substring(F.sha2(F.when(q % 7 == 0, F.lit("other")).otherwise(F.col("descriptor")), 256), 1, 16)
+    programs = rows.select(
+        q.alias("example"), F.when(q % 13 == 0, 0).otherwise(F.col("idx")).alias("idx"), F.concat(F.lit("catalog_"), digest).alias("id"), kind.alias("type"),
+        F.when((q % 11 == 0) & (F.col("idx") == 0), "offset").otherwise(kind).alias("relation"), "descriptor",
+    )
+    last = rows.groupBy(q.alias("example")).agg(F.max("idx").alias("last"))
+    e = F.col("example")
+    turn = V.pose(e.cast("double"), F.lit(0.0), F.lit(0.0), F.lit(0.0))
+    rotation = F.array(*[turn[4 * i + j] * F.when(e % 3 == 0, 1.01).otherwise(1.0) for i in range(3) for j in range(3)])
+    shift = F.array(F.lit(1.0), F.lit(2.0), F.when(e % 19 == 0, float("nan")).otherwise(3.0))
+    targets = last.select("example", F.when(e % 5 == 0, F.col("last") + 1).otherwise(F.col("last")).alias("idx"), shift.alias("translation"), rotation.alias("rotation"))
+    return example_reasons(programs, targets, _PROGRAM_TYPES, most=12)
 
 
 @query("SELECT event_id, event_id % 8 <> 0 AS public FROM events")

@@ -10,12 +10,14 @@ from matchloom.operators import assignments as A
 from matchloom.operators import graphs as G
 from matchloom.operators import losses as L
 from matchloom.operators import ranking as R
+from matchloom.operators import records as K
+from matchloom.operators import schedules as D
 from matchloom.sources.tables import written
 
 from . import bindings as B
 from . import sql as S
 from .geometry import _E, _vectors
-from .matching import _ready
+from .matching import _best, _ready
 from .registry import query
 from .scoring import _SCORES, _micro, _scored_pairs, _targets, _unary
 
@@ -163,11 +165,35 @@ def s01_load_protocol(spark, sf):
     return read.select("query", "role", F.explode("rows").alias("row")).select("query", "role", "row.candidate", "row.volume")
 
 
-@query(f"WITH {S.CAND} SELECT query, count(*) AS candidates, sha256(string_agg(role || ':' || candidate, ',' ORDER BY role, candidate)) AS hash FROM cand GROUP BY query")
+@query(f"""WITH {S.ASSIGN}, top AS (SELECT * FROM ranking WHERE rank < 3), one AS (SELECT query, rank, unnest([0, 1, 2, 3, 4]) AS pos, unnest([p0, p1, p2, p3, p4]) AS candidate FROM top),
+  m AS (SELECT o.query, o.rank, e.edge, e.side, p.ordinal FROM endpoint e JOIN role r ON r.query = e.query AND r.role = e.role JOIN one o ON o.query = e.query AND o.pos = r.pos JOIN port p ON p.step = o.candidate AND (e.contract IS NULL OR p.contract = e.contract)),
+  x AS (SELECT a.query, a.rank, a.edge, a.ordinal AS a, b.ordinal AS b, row_number() OVER (PARTITION BY a.query, a.rank, a.edge ORDER BY a.ordinal, b.ordinal) - 1 AS place FROM m a JOIN m b ON a.query = b.query AND a.rank = b.rank AND a.edge = b.edge AND a.side = 'a' AND b.side = 'b'),
+  alt AS (SELECT query, rank, edge, string_agg('=' || place || '|=' || a || '|=' || b, ';' ORDER BY place) AS t FROM x WHERE place < 2 GROUP BY ALL),
+  prog AS (SELECT t.query, t.rank, string_agg('=' || e.edge || '|=' || ['fixed', 'revolute', 'prismatic'][(e.query + e.edge) % 3 + 1] || '(' || coalesce(a.t, '') || ')', ';' ORDER BY e.edge) AS t FROM top t JOIN edge e ON e.query = t.query LEFT JOIN alt a ON a.query = t.query AND a.rank = t.rank AND a.edge = e.edge GROUP BY ALL),
+  hyp AS (SELECT t.query, count(*) AS n, string_agg('=' || t.rank || '|=' || CAST(round(t.score * 1000000) AS BIGINT) || '|=' || t.identity || '[' || coalesce(p.t, '') || ']', ';' ORDER BY t.rank) AS t FROM top t LEFT JOIN prog p ON p.query = t.query AND p.rank = t.rank GROUP BY t.query),
+  led AS (SELECT q.query, CASE WHEN h.n IS NULL THEN 'no_candidate' ELSE 'prediction_ready' END AS status, coalesce(h.n, 0) AS hypotheses, sha256('=' || q.query || '|=' || CASE WHEN h.n IS NULL THEN 'no_candidate' ELSE 'prediction_ready' END || chr(10) || coalesce(h.t, '')) AS row_sha256 FROM (SELECT DISTINCT query FROM cand) q LEFT JOIN hyp h ON h.query = q.query),
+  pos AS (SELECT 0 AS k, query || ':' || row_sha256 AS t, row_number() OVER (ORDER BY query) - 1 AS pos FROM led), {S.tree_hashes('pos', 'k', 64)}
+  SELECT led.query, led.status, led.hypotheses, led.row_sha256, sha256('beam=3' || chr(10) || 'policy=minimum_port_ambiguity' || chr(10) || tree.n || chr(10) || tree.hash) AS payload_sha256, 0 AS faults FROM led, tree""")
 def s08_prediction_ledger(spark, sf):
-    rows = F.array_sort(F.collect_list(F.struct("role", "candidate")))
-    text = F.array_join(F.transform(rows, lambda x: F.concat(x["role"], F.lit(":"), x["candidate"].cast("string"))), ",")
-    return B.candidates(spark, sf).groupBy("query").agg(F.count("*").alias("candidates"), F.sha2(text, 256).alias("hash"))
+    """The ledger of every request: its three best assignments, their edges' programs, and of each edge the two first pairs of primitives; with the payload's hash and what its check finds."""
+    ports = written(B.ports(spark, sf), "ports")
+    top = written(A.ranked(_best(spark, sf), beam=3), "top-assignments")
+    hypotheses = top.select("query", "rank", F.round(F.col("score") * 1e6).cast("long").alias("score"), "identity")
+    edges = written(B.edges(spark, sf), "edges")
+    names = F.element_at(F.array(*map(F.lit, ["fixed", "revolute", "prismatic"])), ((F.col("query") + F.col("edge")) % 3 + 1).cast("int"))
+    programs = top.select("query", "rank").join(edges.select("query", "edge", names.alias("mobility")), "query")
+    roles = B.candidates(spark, sf).select("query", "pos", "role").distinct()
+    picked = top.select("query", "rank", F.posexplode("picks").alias("pos", "step")).join(roles, ["query", "pos"]).select("query", "rank", "role", "step")
+    own = ports.select("step", "ordinal", F.col("contract").alias("own"))
+    matches = B.endpoints(spark, sf, ports).join(picked, ["query", "role"]).join(own, "step").where("contract is null or contract = own")
+    side = lambda s: matches.where(F.col("side") == s).select("query", "rank", "edge", F.col("ordinal").alias(s))
+    order = Window.partitionBy("query", "rank", "edge").orderBy("a", "b")
+    pairs = side("a").join(side("b"), ["query", "rank", "edge"]).withColumn("place", F.row_number().over(order) - 1).where("place < 2")
+    ledger = written(K.prediction_ledger(B.candidates(spark, sf).select("query"), hypotheses, programs, pairs), "ledger")
+    payload = K.ledger_payload(ledger, {"policy": "minimum_port_ambiguity", "beam": "3"}, fan=64)
+    faults = K.ledger_faults(ledger).agg(F.count("*").cast("int").alias("faults"))
+    # one row each
+    return ledger.select("query", "status", F.size("hypotheses").cast("long").alias("hypotheses"), "row_sha256").crossJoin(F.broadcast(payload.select("payload_sha256"))).crossJoin(F.broadcast(faults))
 
 
 @query(f"""WITH {S.ASSIGN}, picked AS (SELECT query, rank, unnest([0, 1, 2, 3, 4]) AS pos, unnest([p0, p1, p2, p3, p4]) AS candidate FROM ranking WHERE rank < 25), seen AS (SELECT query, pos, candidate, min(rank) AS seen FROM picked WHERE candidate IS NOT NULL GROUP BY ALL),
@@ -253,10 +279,17 @@ def i10_independent_role_beam(spark, sf):
     return total.withColumn("t", F.row_number().over(order)).where("t = 1").select("query", "pos", "candidate", F.round(F.col("total").cast("double") / F.col("degree"), 4).alias("score"))
 
 
-@query("SELECT c_custkey AS query, sha256('271828:' || c_custkey) AS seed, sha256('query' || chr(0) || c_custkey) AS token FROM customer")
+_SLOTS = ", ".join(f"('{r}', {i}, '{f}')" for (r, _, _, _), families in zip(D.ROLES, D.LARGE_FAMILIES, strict=True) for i, f in enumerate(families))
+
+
+@query(f"""WITH slot(role, slot, family) AS (VALUES {_SLOTS}), q AS (SELECT c_custkey AS query, substr(sha256('271828:query:' || c_custkey), 1, 16) AS seed FROM customer),
+  r AS (SELECT q.query, q.seed, s.role, string_agg(s.family, ',' ORDER BY sha256(q.seed || ':' || s.role || ':' || s.slot), s.slot) AS families FROM q, slot s GROUP BY ALL),
+  t AS (SELECT query, seed, string_agg(role || '=' || families, ';' ORDER BY role) AS roles FROM r GROUP BY query, seed)
+  SELECT query, seed, roles, 'proc_' || substr(sha256(seed || '|' || roles), 1, 20) AS query_id FROM t""")
 def d01_schedule(spark, sf):
-    key = F.col("c_custkey").cast("string")
-    return B.table(spark, sf, "customer").select(F.col("c_custkey").alias("query"), F.sha2(F.concat(F.lit("271828:"), key), 256).alias("seed"), F.sha2(F.concat_ws("\x00", F.lit("query"), key), 256).alias("token"))
+    """A generated request for every customer: eight families at each role, in the order of their draws."""
+    out = D.schedule_ids(D.schedule(B.table(spark, sf, "customer").select(F.col("c_custkey").alias("query")), 271828, large=True))
+    return out.withColumn("roles", F.array_join(F.transform("roles", lambda r: F.concat(r["role"], F.lit("="), F.array_join(r["families"], ","))), ";"))
 
 
 @query("""WITH s AS (SELECT event_type, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS chamfer FROM events)

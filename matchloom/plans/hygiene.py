@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from matchloom.functions import ports as P
 from matchloom.functions import text as X
-from matchloom.operators.ordering import ordered_hashes
+from matchloom.operators.ordering import ordered_hashes, positions
+from matchloom.operators.records import batch_progress, item_binding
 from matchloom.sources import records as S
+from matchloom.sources.tables import written
 
 from . import bindings as B
 from . import sql as Q
@@ -119,11 +121,26 @@ def s07_cache_accounting(spark, sf):
     return S.accounting(docs.select("sha"), docs.where("doc_id % 3 = 0").select("sha"), docs.where("doc_id % 5 = 0").select("sha"))
 
 
-@query("""WITH n AS (SELECT conv_id, turn, CAST((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 3 AS BIGINT) AS batch FROM conversations) SELECT conv_id, batch, count(*) AS items, min(turn) AS first FROM n GROUP BY ALL""")
+_ITEMS = f"""i AS (SELECT conv_id, turn, '=' || conv_id || '|=' || turn || '|' || coalesce('=' || text, '~') AS text, contains(text, '.') IS NOT TRUE AS failed, row_number() OVER (ORDER BY conv_id, turn) - 1 AS item FROM conversations),
+  p AS (SELECT 0 AS k, sha256(text) AS t, item AS pos FROM i), {Q.tree_hashes('p', 'k', 64)}"""
+
+
+def _items(spark, sf):
+    """Turns of conversations as items; one without the end of a sentence fails."""
+    return B.table(spark, sf, "conversations").select("conv_id", "turn", "text", (~F.coalesce(F.contains("text", F.lit(".")), F.lit(False))).alias("failed"))
+
+
+@query(f"""WITH {_ITEMS} SELECT item // 64 AS batch, count(*) AS items, count(*) FILTER (WHERE failed) AS failed, count(*) FILTER (WHERE failed) = 0 AS complete, CASE WHEN item // 64 % 3 = 0 THEN 'resumed' ELSE 'run' END AS source, max(hash) AS input_sha256 FROM i, tree GROUP BY item // 64""")
 def s10_batch_progress(spark, sf):
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    batches = B.table(spark, sf, "conversations").withColumn("batch", F.floor((F.row_number().over(order) - 1) / 3))
-    return batches.groupBy("conv_id", "batch").agg(F.count("*").alias("items"), F.min("turn").alias("first"))
+    """All turns in batches of 64; an earlier run has finished every third, and one bound to other items every third after these, which does not count."""
+    items = _items(spark, sf)
+    order = ["conv_id", "turn"]
+    bound = written(item_binding(items, order, fan=64), "binding")
+    batches = written(batch_progress(items, order, 64), "batches").select("batch")
+    mine, other = bound.select("input_sha256", "items", F.lit(64).alias("size")), bound.select(F.sha2("input_sha256", 256).alias("input_sha256"), "items", F.lit(64).alias("size"))
+    # the binding is one row
+    snapshot = batches.where("batch % 3 = 0").crossJoin(F.broadcast(mine)).unionByName(batches.where("batch % 3 = 1").crossJoin(F.broadcast(other)))
+    return batch_progress(items, order, 64, snapshot, fan=64).crossJoin(F.broadcast(bound.select("input_sha256")))
 
 
 @query(f"""WITH {Q.CAND}, r AS (SELECT DISTINCT query, role FROM cand), s AS (SELECT query, role FROM r WHERE query % 7 <> 0 UNION SELECT query, role || 'x' FROM r WHERE query % 11 = 0)

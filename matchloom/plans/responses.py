@@ -11,13 +11,14 @@ from matchloom.operators import assignments as A
 from matchloom.operators import graphs as G
 
 from matchloom.operators import requests as R
+from matchloom.operators import symmetries as Y
 from matchloom.operators.assemblies import aligned
 from matchloom.operators.records import face_bindings
 from matchloom.sources.tables import written
 
 from . import bindings as B
 from . import sql as S
-from .geometry import _NEXT, _PLACED, _placed
+from .geometry import _PLACED, _placed
 from .graphs import _FACE, _faces
 from .matching import _best
 from .registry import query
@@ -82,17 +83,26 @@ def j25_anchor_align(spark, sf):
     return back.groupBy("query").agg(F.count("*").alias("parts"), F.when(F.max("status") != "aligned", F.max("status")).when(fits, "aligned").otherwise("off").alias("status"))
 
 
-@query(f"""WITH {_NEXT}, w AS (SELECT event_id, sqrt((v2 - v) ** 2 + (y2 - y) ** 2) AS d, abs(v2 - v) - 360 * floor(abs(v2 - v) / 360) AS a FROM n WHERE v2 IS NOT NULL), x AS (SELECT event_id, d, CASE WHEN a > 180 THEN 360 - a ELSE a END AS a FROM w)
-  SELECT event_id, round(d, 4) + 0.0 AS distance, round(least(a, 180 - a), 3) + 0.0 AS degrees FROM x""")
+@query("""WITH n AS (SELECT user_id, event_type, value AS v, event_id % 17 AS y, lead(value) OVER w AS v2, lead(event_id) OVER w % 17 AS y2, lead(event_type) OVER w AS t2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+  m AS (SELECT *, t2 = event_type AS fits, CASE event_type WHEN 'click' THEN [0, 90, 180, 270] WHEN 'purchase' THEN [0, 120, 240] WHEN 'view' THEN [0, 180] ELSE [0] END AS turns FROM n WHERE v2 IS NOT NULL),
+  e AS (SELECT user_id, fits, sqrt((v2 - v) ** 2 + (y2 - y) ** 2) AS d, list_min(list_transform(turns, lambda f: least((v2 - v + f) - 360 * floor((v2 - v + f) / 360), 360 - ((v2 - v + f) - 360 * floor((v2 - v + f) / 360))))) AS a FROM m)
+  SELECT user_id AS query, count(*) AS parts, count(*) FILTER (WHERE fits) AS matching, round(avg(d) FILTER (WHERE fits), 4) + 0.0 AS translation_pct, round(avg(a) FILTER (WHERE fits), 3) + 0.0 AS rotation_deg FROM e GROUP BY user_id""")
 def j26_pose_errors(spark, sf):
-    """Distance, and the angle that is least over a part's symmetries: itself and half a turn about z."""
+    """Each event's pose held against the next one's, where both are of one type; types turn by their symmetries: quarter and third turns about z, half turns about z and x."""
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     pose = V.pose(F.col("value"), F.col("value"), (F.col("event_id") % 17).cast("double"), F.lit(0.0))
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    both = B.table(spark, sf, "events").withColumn("p", pose).withColumn("q", F.lead("p").over(order)).where("q is not null").withColumn("half", V.pose(F.lit(180.0), F.lit(0.0), F.lit(0.0), F.lit(0.0)))
-    turned = both.withColumn("t", V.multiplied(F.col("q"), F.col("half")))
-    distance = F.sqrt(sum(((F.col("p")[i] - F.col("q")[i]) ** 2 for i in (3, 7, 11)), F.lit(0.0)))
-    angle = F.degrees(F.least(V.rotation_angle(F.col("p"), F.col("q")), V.rotation_angle(F.col("p"), F.col("t"))))
-    return turned.select("event_id", (F.round(distance, 4) + 0.0).alias("distance"), (F.round(angle, 3) + 0.0).alias("degrees"))
+    rows = written(B.table(spark, sf, "events").select(F.col("user_id").alias("query"), place.alias("role"), F.col("event_type").alias("part"), pose.alias("pose")), "poses")
+    predicted = rows.withColumn("role", F.col("role") - 1)
+    reference = rows.join(predicted.select("query", "role"), ["query", "role"], "left_semi")
+    turn = lambda degrees: V.pose(F.lit(float(degrees)), *[F.lit(0.0)] * 3)
+    flat = lambda p: F.array(*[p[4 * i + j] for i in range(3) for j in range(3)])
+    over = F.array(*map(F.lit, [1.0, 0.0, 0.0, 0.0, -1.0, 0.0, 0.0, 0.0, -1.0]))
+    given = [("click", flat(turn(90))), ("purchase", flat(turn(120))), ("view", flat(turn(180))), ("view", over)]
+    types = rows.select("part").distinct()
+    generators = types.select("part", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), r.alias("rotation")) for n, r in given])).alias("g")).where("part = g.n").select("part", "g.rotation")
+    errors = Y.pose_errors(predicted, reference, Y.closed_symmetries(generators))
+    out = Y.pose_error_means(errors, reference, reference.select("query").distinct().withColumn("diagonal", F.lit(100.0)))
+    return out.select("query", "parts", "matching", (F.round("translation_pct", 4) + 0.0).alias("translation_pct"), (F.round("rotation_deg", 3) + 0.0).alias("rotation_deg"))
 
 
 @query(f"""WITH f AS (SELECT DISTINCT label AS part, vec_id AS face FROM embeddings WHERE vec_id >= 0), p AS (SELECT part, face || ':' || sha256(part || '/' || face) AS t, row_number() OVER (PARTITION BY part ORDER BY face) - 1 AS pos FROM f), {S.tree_hashes('p', 'part', 64)}
