@@ -5,9 +5,9 @@ share of `least` asks for.  Their negative border are the phrases that are not p
 others).  One pass over all texts counts proposed phrases and border alike, exactly.  A border phrase that turns out frequent is a failure: longer phrases over it
 were not counted.  So failures join the proposed ones, and a further pass counts what newly comes into reach, until no pass finds failures that could grow.
 
-What is proposed is known to the tasks by a Bloom filter.  It may take a phrase for proposed that is not; then what grows from it is
-counted too, and as every pass asks the same filter, no phrase is missed and none is counted twice.  Only phrases found frequent are
-spelled out, in a last pass.  Phrases are keyed by 62 bits of hash and two of length.
+What is proposed, and each pass's failures, are known to the tasks by a Bloom filter each.  It may take a phrase for proposed that is not; then what grows from it is
+counted too, and as every pass asks the same filters, no phrase is missed and none is counted twice.  Only phrases found frequent are
+spelled out, from the sample, and those that it lacks from the other texts.  Phrases are keyed by 62 bits of hash and two of length.
 """
 
 from __future__ import annotations
@@ -49,21 +49,23 @@ class Phrases:
             self.keys.append(key & ~np.uint64(3) | np.uint64(k - 1))
             self.whole.append(piece[:m] == piece[k - 1 : k - 1 + m])
 
-    def within(self, bits: np.ndarray | None) -> list[np.ndarray]:
-        """For each length which runs are in reach: single words, and runs whose both parts of one word less are in the filter."""
-        out = [self.whole[0] if bits is not None else np.zeros(len(self.names), bool)]
-        for k in range(1, LONGEST):
-            if bits is None:
-                out.append(np.zeros(len(self.whole[k]), bool))
+    def reached(self, filters: list[np.ndarray] | None) -> list[np.ndarray]:
+        """For each length the places of the runs in reach: single words, and runs whose both parts of one word less are in one of the filters.
+
+        Of several filters the last is new, and only runs that are in reach by it are given.  Without filters, all runs.
+        """
+        if filters is None:
+            return [np.flatnonzero(w) for w in self.whole]
+        *old, new = filters
+        out = [np.flatnonzero(self.whole[0][: 0 if old else None])]
+        for keys, whole in zip(self.keys, self.whole[1:], strict=False):
+            fresh = passes(keys, new)
+            if not old:
+                out.append(np.flatnonzero(whole & fresh[:-1] & fresh[1:]) if len(whole) else np.zeros(0, np.int64))
                 continue
-            # the shorter runs of a whole run are whole
-            at = np.flatnonzero(self.whole[k])
-            inside = np.zeros(len(self.keys[k - 1]), bool)
-            asked = np.unique(np.concatenate([at, at + 1]))
-            inside[asked] = passes(self.keys[k - 1][asked], bits)
-            reach = np.zeros(len(self.whole[k]), bool)
-            reach[at] = inside[at] & inside[at + 1]
-            out.append(reach)
+            at = np.flatnonzero(whole & (fresh[:-1] | fresh[1:])) if len(whole) else np.zeros(0, np.int64)
+            a, b = accepted(keys[at], old), accepted(keys[at + 1], old)
+            out.append(at[(a | fresh[at]) & (b | fresh[at + 1]) & ~(a & b)])
         return out
 
 
@@ -75,6 +77,13 @@ def passes(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return out
 
 
+def accepted(keys: np.ndarray, filters: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros(len(keys), bool)
+    for bits in filters:
+        out |= passes(keys, bits)
+    return out
+
+
 def _bits(batches: Iterator[pa.RecordBatch], size: int, block: int) -> Iterator[pa.RecordBatch]:
     """The filter's words of 64 bits that a task's keys touch, a block of keys at a time."""
     mask = np.uint64((1 << size) - 1)
@@ -87,18 +96,19 @@ def _bits(batches: Iterator[pa.RecordBatch], size: int, block: int) -> Iterator[
             yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(value.view(np.int64))], names=["cell", "bits"])
 
 
-def key_filter(keys: DataFrame, into: np.ndarray | None = None, most: int = MOST_BITS) -> np.ndarray:
-    """A Bloom filter over the keys, added to `into`; 2^LEAST_BITS to 2^most bits, whatever the input."""
-    size = int(len(into) * 64).bit_length() - 1 if into is not None else min(most, max(LEAST_BITS, (BITS_EACH * keys.count()).bit_length()))
+def key_filter(keys: DataFrame, most: int = MOST_BITS) -> np.ndarray:
+    """A Bloom filter over the keys, of 2^LEAST_BITS to 2^most bits, whatever the input."""
+    size = min(most, max(LEAST_BITS, (BITS_EACH * keys.count()).bit_length()))
     cells = keys.select("key").mapInArrow(partial(_bits, size=size, block=1 << 16), schema("cell long, bits long")).groupBy("cell").agg(F.bit_or("bits").alias("bits"))
     got = cells.toArrow()
-    bits = np.zeros((1 << size) // 64, np.uint64) if into is None else into.copy()
-    bits[got.column("cell").to_numpy()] |= got.column("bits").to_numpy().view(np.uint64)
+    bits = np.zeros((1 << size) // 64, np.uint64)
+    bits[got.column("cell").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
     return bits
 
 
-def _counted(batches: Iterator[pa.RecordBatch], before, now) -> Iterator[pa.RecordBatch]:
-    """key, n of the runs in reach of the filter `now` but not of `before`; without `now`, of all runs."""
+def _counted(batches: Iterator[pa.RecordBatch], filters) -> Iterator[pa.RecordBatch]:
+    """key, n of the runs in reach of the filters; without any, of all runs."""
+    filters = filters and [f.value for f in filters]
     held, size = [], 0
 
     def rows() -> pa.RecordBatch:
@@ -107,12 +117,8 @@ def _counted(batches: Iterator[pa.RecordBatch], before, now) -> Iterator[pa.Reco
 
     for batch in slices(batches, "text"):
         found = Phrases(batch)
-        if now is None:
-            reach = found.whole
-        else:
-            reach = [a & ~b for a, b in zip(found.within(now.value), found.within(before and before.value), strict=True)]
-        for key, some in zip(found.keys, reach, strict=True):
-            held.append(key[some])
+        for key, at in zip(found.keys, found.reached(filters), strict=True):
+            held.append(key[at])
             size += len(held[-1])
         if size > HELD:
             yield rows()
@@ -121,9 +127,10 @@ def _counted(batches: Iterator[pa.RecordBatch], before, now) -> Iterator[pa.Reco
         yield rows()
 
 
-def _new(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:
+def _new(batches: Iterator[pa.RecordBatch], filters) -> Iterator[pa.RecordBatch]:
+    filters = [f.value for f in filters]
     for batch in batches:
-        yield batch.filter(pa.array(~passes(batch.column("key").to_numpy().view(np.uint64), bits.value)))
+        yield batch.filter(pa.array(~accepted(batch.column("key").to_numpy().view(np.uint64), filters)))
 
 
 def _spelled(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
@@ -158,33 +165,38 @@ def _spelled(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
     yield pa.RecordBatch.from_arrays([pa.nulls(len(totals), pa.int64()), pa.array(list(totals), pa.string()), pa.nulls(len(totals), pa.string()), pa.array(list(totals.values()), pa.int64())], schema=kinds)
 
 
-def frequent_phrases(docs: DataFrame, least: int, share: int, sample_least: int, most_bits: int = MOST_BITS) -> tuple[DataFrame, DataFrame]:
-    """lang, text -> (lang, phrase, k, f: all phrases of 1 to LONGEST words that stand `least` times or more; lang, n: all words)."""
-    spark = docs.sparkSession
-    count, kind = partial(_counted, before=None, now=None), schema("key long, n long")
-    sample = docs.where(F.col("part") == 0).mapInArrow(count, kind).groupBy("key").agg(F.sum("n").alias("n"))
-    proposed = written(sample.where((F.col("n") >= sample_least) & (F.col("key").bitwiseAND(3) < LONGEST - 1)).select("key"), "proposed-phrases")
-    bits, before, found = key_filter(proposed, most=most_bits), None, []
+def frequent_phrases(docs: DataFrame, least: int, sample_least: int, most_bits: int = MOST_BITS) -> tuple[DataFrame, DataFrame]:
+    """lang, text, part (0: sampled) -> (lang, phrase, k, f: all phrases of 1 to LONGEST words that stand `least` times or more; lang, n: all words)."""
+    spark, kind = docs.sparkSession, schema("key long, n long")
+    count = lambda rows, filters: rows.mapInArrow(partial(_counted, filters=filters), kind).groupBy("key").agg(F.sum("n").alias("n"))
+    grows = F.col("key").bitwiseAND(3) < LONGEST - 1
+    sample = docs.where("part = 0")
+    proposed = written(count(sample, None).where((F.col("n") >= sample_least) & grows).select("key"), "proposed-phrases")
+    filters, found = [spark.sparkContext.broadcast(key_filter(proposed, most_bits))], []
     while True:
-        shared = spark.sparkContext.broadcast(bits)
-        counts = docs.mapInArrow(partial(_counted, before=before, now=shared), kind).groupBy("key").agg(F.sum("n").alias("n"))
-        found.append(written(counts.where(F.col("n") >= least), "phrase-counts"))
-        failures = found[-1].where(F.col("key").bitwiseAND(3) < LONGEST - 1).mapInArrow(partial(_new, bits=shared), kind)
-        failures = written(failures, "border-failures")
+        found.append(written(count(docs, list(filters)).where(F.col("n") >= least), "phrase-counts"))
+        failures = written(found[-1].where(grows).mapInArrow(partial(_new, filters=list(filters)), kind), "border-failures")
         if failures.isEmpty():
             break
-        before, bits = shared, key_filter(failures, into=bits)
+        filters.append(spark.sparkContext.broadcast(key_filter(failures, most_bits)))
     frequent = found[0]
     for x in found[1:]:
         frequent = frequent.unionByName(x)
-    named = spark.sparkContext.broadcast(key_filter(frequent, most=most_bits))
-    spelled = written(docs.mapInArrow(partial(_spelled, shared=named), schema("key long, lang string, phrase string, n long")), "spelled-phrases")
-    one = spelled.where("key is not null").groupBy("key").agg(F.min(F.struct("lang", "phrase")).alias("s"))
+
+    def spelled(rows: DataFrame, keys: DataFrame) -> DataFrame:
+        shared = spark.sparkContext.broadcast(key_filter(keys, most_bits))
+        return written(rows.mapInArrow(partial(_spelled, shared=shared), schema("key long, lang string, phrase string, n long")), "spelled-phrases")
+
+    # most phrases stand in the sample; only what it lacks is looked for in the other texts
+    first = spelled(sample, frequent)
+    rest = spelled(docs.where("part <> 0"), written(frequent.join(first.select("key").distinct(), "key", "left_anti"), "unspelled-phrases"))
+    both = first.unionByName(rest)
+    one = both.where("key is not null").groupBy("key").agg(F.min(F.struct("lang", "phrase")).alias("s"))
     phrases = frequent.join(one, "key").select("s.lang", "s.phrase", (F.col("key").bitwiseAND(3) + 1).cast("int").alias("k"), F.col("n").alias("f"))
-    return written(phrases, "frequent-phrases"), spelled.where("key is null").groupBy("lang").agg(F.sum("n").alias("n"))
+    return written(phrases, "frequent-phrases"), both.where("key is null").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
-def collocations(docs: DataFrame, least: int = 30, top: int = 2000, share: int = 4, sample_least: int | None = None, most_bits: int = MOST_BITS) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 30, top: int = 2000, share: int = 8, sample_least: int | None = None, most_bits: int = MOST_BITS) -> DataFrame:
     """Documents -> lang, rank, phrase, a, l, r, n, score: each language's `top` phrases of 2 to 4 words.
 
     Texts are lowered (A-Z), cut at [.,;:!?] and the line ends 0x0A-0x0D into pieces, and these into words at space and tab.  A phrase counts wherever
@@ -200,7 +212,7 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, share: int =
     """
     part = F.pmod(F.xxhash64("doc_id"), F.lit(share)).alias("part")
     source = docs.select(F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), part)
-    phrases, words = frequent_phrases(source, least, share, sample_least or max(2, int(0.4 * least / share)), most_bits)
+    phrases, words = frequent_phrases(source, least, sample_least or max(2, int(0.4 * least / share)), most_bits)
     several = phrases.where("k > 1")
     cut = several.select("lang", "phrase", F.col("f").alias("a"), F.split("phrase", " ").alias("w"), "k").withColumn("j", F.explode(F.sequence(F.lit(1), F.col("k") - 1)))
     cut = cut.withColumn("left", F.array_join(F.expr("slice(w, 1, j)"), " ")).withColumn("right", F.array_join(F.expr("slice(w, j + 1, k - j)"), " "))

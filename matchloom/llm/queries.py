@@ -119,11 +119,14 @@ t AS (SELECT doc_id, count(*) AS n_words, CAST(sum(gone) AS BIGINT) AS n_removed
 SELECT d.doc_id, coalesce(t.n_words, 0) AS n_words, coalesce(t.n_removed, 0) AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256 FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id""",
     "op12_phrase_collocations": f"""
 WITH p AS (SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
-w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+w AS (SELECT row_number() OVER () AS id, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
 total AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
 k AS (SELECT unnest([1, 2, 3, 4]) AS k),
-g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM w, k WHERE len(ws) >= k),
-f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY lang, k, phrase HAVING count(*) >= 30),
+x AS (SELECT id, lang, unnest(ws) AS a, unnest(range(len(ws))) AS i FROM w),
+y AS (SELECT lang, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c, lead(a, 3) OVER o AS d FROM x WINDOW o AS (PARTITION BY id ORDER BY i)),
+g AS (SELECT lang, 1 AS k, a AS phrase FROM y UNION ALL SELECT lang, 2, a || ' ' || b FROM y WHERE b IS NOT NULL UNION ALL SELECT lang, 3, a || ' ' || b || ' ' || c FROM y WHERE c IS NOT NULL
+  UNION ALL SELECT lang, 4, a || ' ' || b || ' ' || c || ' ' || d FROM y WHERE d IS NOT NULL),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY lang, k, phrase HAVING count(*) >= 30),
 c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
 cut AS (SELECT c.lang, c.phrase, c.a, j.k AS j, x.a AS l, y.a AS r, CAST(2000000 * c.a::HUGEINT // (x.a + y.a) AS BIGINT) AS score FROM c JOIN k j ON j.k < c.k
   JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:j.k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[j.k + 1:], ' ')),
