@@ -16,7 +16,8 @@ Pairs with enough collisions are confirmed on the full shingle sets.  At similar
 Copies are one class from the start.  Inside a posting list not all pairs are made:
 first each list's members are compared with its most central member.  Pairs inside one
 component cannot change the result.  What members of different components differ in from
-their common centre then tells which of them may still be linked (_differing_alike).
+their common centre then tells which of them may still be linked (_difference_posts): again with the nearest of each list first, then
+between the components that are left (_differing_alike).
 So nothing is lost, and a large group of near copies does not make all its pairs.
 """
 
@@ -27,7 +28,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -133,39 +134,78 @@ def _apart(members: DataFrame, sets: DataFrame, block: int = 64) -> DataFrame:
     return whole.select("a", "rep", "label", "n_shingles", F.concat(F.array_except("x", "y"), F.array_except("y", "x")).alias("apart"))
 
 
-def _differing_alike(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Members (a: the centre, rep, label, n_shingles) -> rep, a: members of different components that may be linked.
+def _need(n: Column, apart: Column, percent: int) -> Column:
+    """How many differences from their centre two sets of n shingles together, which differ from it in `apart` together, must share to be linked; one at least."""
+    p, q = 100 + percent, 100 - percent
+    return F.greatest(F.lit(1), F.ceil((apart * p - q * n) / (2 * p)))
+
+
+def _difference_posts(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members (a: the centre, rep, label, n_shingles) posted under the differences from their centre that members of other components share.
 
     Let A and B be what two members x and y differ in from one centre.  x and y differ in |A| + |B| - 2 |A & B| shingles,
     and are linked if that is at most q / (100 + p) of |x| + |y|, for p percent and q = 100 - p.  If A and B have nothing in
     common, then both are linked with the centre and are one component by now.  So links between components show in common differences: at least
-    half of |A| + |B| - q / (100 + p) * (|x| + |y|), and one.  Such sets share one of their rarest differences.
+    half of |A| + |B| - q / (100 + p) * (|x| + |y|), and one.
 
-    Among the members that share a difference, the component with the most of them is met by the others alone: its own members are not
-    paired with each other.
+    Differences are in one order, rare ones first.  At the first that two members share, no more than what is `behind` it can be shared.  A member is posted under a difference
+    only if what is behind it there is enough for some partner in that list: the bound takes the list's least difference and its largest set.  So what all members of
+    a family differ in alike from their centre, its own words above all, is posted by none of them as long as it alone does not link them.
     """
-    p, q = 100 + percent, 100 - percent
     # written, as an array that is exploded beside its size would be made anew for each of its elements
     each = written(_apart(members, sets), "differences").select("a", "rep", "label", "n_shingles", F.size("apart").alias("n_apart"), F.explode("apart").alias("shingle"))
-    by_label = each.groupBy("a", "shingle", "label").agg(F.count("*").alias("n"))
-    found = by_label.groupBy("a", "shingle").agg(F.sum("n").alias("df"), F.max_by("label", F.struct("n", "label")).alias("lead"), F.count("*").alias("labels")).where("labels > 1")
-    shared = each.join(found.drop("labels"), ["a", "shingle"])
+    found = each.groupBy("a", "shingle").agg(
+        F.count("*").alias("df"), F.min("label").alias("x"), F.max("label").alias("y"), F.min("n_apart").alias("low"), F.max("n_shingles").alias("high")
+    ).where("x < y").drop("x", "y")
+    shared = each.join(found, ["a", "shingle"])
     of_member = Window.partitionBy("a", "rep")
-    # the least that any partner must have in common; a partner's set has at most |x| * 100 / percent shingles
-    need = lambda n, apart: F.greatest(F.lit(1), F.ceil((apart * p - q * n) / (2 * p)))
-    least = need(F.col("n_shingles") + F.col("n_shingles") * 100 / percent, F.col("n_apart") + 1)
-    posts = written(
-        shared.withColumn("n_shared", F.count("*").over(of_member)).where(F.col("n_shared") >= least)
-        .withColumn("place", F.row_number().over(of_member.orderBy("df", "shingle"))).where(F.col("place") <= F.col("n_shared") - least + 1)
-        .select("a", "shingle", "rep", "label", "n_shingles", "n_apart", (F.col("label") == F.col("lead")).alias("leads"), (F.col("n_shared") - F.col("place") + 1).alias("behind")),
-        "shared",
-    )
-    other = posts.where("not leads").select("a", "shingle", *[F.col(c).alias(f"{c}_b") for c in ("rep", "label", "n_shingles", "n_apart", "behind")])
-    # at the first difference that two members share, no more than what is behind it can be shared
-    enough = F.least("behind", "behind_b") >= need(F.col("n_shingles") + F.col("n_shingles_b"), F.col("n_apart") + F.col("n_apart_b"))
-    near = F.least("n_shingles", "n_shingles_b") * 100 >= F.greatest("n_shingles", "n_shingles_b") * percent
+    behind = F.count("*").over(of_member) - F.row_number().over(of_member.orderBy("df", "shingle")) + 1
+    largest = F.least(F.col("high").cast("double"), F.col("n_shingles") * 100 / percent)
+    enough = F.col("behind") >= _need(F.col("n_shingles") + largest, F.col("n_apart") + F.col("low"), percent)
+    return written(shared.withColumn("behind", behind).where(enough).select("a", "shingle", "rep", "label", "n_shingles", "n_apart", "behind"), "shared")
+
+
+def _relabelled(posts: DataFrame, label: DataFrame) -> DataFrame:
+    """Posts with the labels of new components, of the lists that hold more than one."""
+    known = label.select(F.col("id").alias("rep"), "component")
+    rows = posts.join(known, "rep", "left").withColumn("label", F.coalesce("component", "label")).drop("component")
+    mixed = rows.groupBy("a", "shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("a", "shingle")
+    return rows.join(mixed, ["a", "shingle"], "left_semi")
+
+
+def _near(n: str, m: str, percent: int) -> Column:
+    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+
+
+def _with_nearest(posts: DataFrame, percent: int) -> DataFrame:
+    """rep, a: the members of a list beside the one of it that is nearest to their centre, where their components differ."""
+    heads = posts.groupBy("a", "shingle").agg(F.min(F.struct("n_apart", "rep", "label", "n_shingles")).alias("h"))
+    rows = posts.join(heads, ["a", "shingle"]).withColumn("n_head", F.col("h.n_shingles"))
+    enough = F.col("behind") >= _need(F.col("n_shingles") + F.col("n_head"), F.col("n_apart") + F.col("h.n_apart"), percent)
+    return rows.where((F.col("label") != F.col("h.label")) & enough & _near("n_shingles", "n_head", percent)).select("rep", F.col("h.rep").alias("a"))
+
+
+def _differing_alike(posts: DataFrame, percent: int) -> DataFrame:
+    """Posts of differences -> rep, a: members of different components that may be linked.
+
+    A list's members are first held against each other by classes of like numbers of differences: only classes of which some members could share enough are joined.
+    Among the members of a list, the component with the most of them is met by the others alone: its own members are not
+    paired with each other.
+    """
+    by_label = posts.groupBy("a", "shingle", "label").agg(F.count("*").alias("n"))
+    leads = by_label.groupBy("a", "shingle").agg(F.max_by("label", F.struct("n", "label")).alias("lead"))
+    rows = posts.join(leads, ["a", "shingle"]).withColumn("leads", F.col("label") == F.col("lead")).drop("lead")
+    # a quarter of an octave each
+    rows = written(rows.withColumn("kind", F.floor(4 * F.log2(F.greatest("n_apart", F.lit(1)))).cast("int")), "differing")
+    kinds = rows.groupBy("a", "shingle", "kind").agg(F.min("n_apart").alias("low"), F.max("n_shingles").alias("high"), F.max("behind").alias("behind"), F.min("label").alias("x"), F.max("label").alias("y"))
+    other_kinds = kinds.select("a", "shingle", *[F.col(c).alias(f"{c}_b") for c in ("kind", "low", "high", "behind", "x", "y")])
+    able = F.least("behind", "behind_b") >= _need(F.col("high") + F.col("high_b"), F.col("low") + F.col("low_b"), percent)
+    both = kinds.join(other_kinds, ["a", "shingle"]).where(able & ((F.col("x") != F.col("y_b")) | (F.col("y") != F.col("x_b")))).select("a", "shingle", "kind", "kind_b")
+    other = rows.where("not leads").select("a", "shingle", *[F.col(c).alias(f"{c}_b") for c in ("kind", "rep", "label", "n_shingles", "n_apart", "behind")])
+    enough = F.least("behind", "behind_b") >= _need(F.col("n_shingles") + F.col("n_shingles_b"), F.col("n_apart") + F.col("n_apart_b"), percent)
     once = F.col("leads") | (F.col("label") < F.col("label_b"))
-    return posts.join(other, ["a", "shingle"]).where((F.col("label") != F.col("label_b")) & once & near & enough).select("rep", F.col("rep_b").alias("a"))
+    met = rows.join(both, ["a", "shingle", "kind"]).join(other, ["a", "shingle", "kind_b"])
+    return met.where((F.col("label") != F.col("label_b")) & once & _near("n_shingles", "n_shingles_b", percent) & enough).select("rep", F.col("rep_b").alias("a"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = 64, match: int | None = None) -> DataFrame:
@@ -214,9 +254,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     usable = written(_usable(apart, sets), "usable").where(F.col("usable") * 100 >= F.col("n_shingles") * percent)
     left = _still_apart(posts.join(usable.select("rep"), "rep", "left_semi"), label)
     members = left.join(heads.select("token", "a"), "token").where("rep <> a").select("a", "rep", "label", "n_shingles").distinct()
-    pairs = _pairs(_differing_alike(members, sets, percent))
-    known = label.select(F.col("id").alias("a"), F.col("component").alias("b"))
-    label = written(components(known.unionByName(_confirmed(pairs, reps, sets, match, percent))), "components")
+    alike = _difference_posts(members, sets, percent)
+    for pairing in (_with_nearest, _differing_alike):
+        alike = _relabelled(alike, label)
+        known = label.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        label = written(components(known.unionByName(_confirmed(_pairs(pairing(alike, percent)), reps, sets, match, percent))), "components")
 
     # every row finds its class by the key of its set, and the class its component
     of_class = reps.join(label, reps.rep == label.id, "left").select("key1", "key2", "n_shingles", F.coalesce("component", "rep").alias("found"))

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 import string
 import zlib
@@ -70,6 +71,31 @@ def test_near_duplicates_of_a_hot_group(spark):
     assert got == brute.near_duplicates(rows, 3, 85)
 
 
+@pytest.mark.parametrize("own", ["apart", "shared", "nested"])
+def test_near_duplicates_of_a_template(spark, own):
+    """Pages of one template below the bound of the centre, whose own words are all different, from few, or those of one before with one more."""
+    rng, rows = random.Random(own), []
+    for i in range(400):
+        words = {
+            "apart": [f"o{i}_{j}" for j in range(11)],
+            "shared": [f"p{rng.randrange(4)}_{j}" for j in range(5)] + [f"o{i % 50}_{j}" for j in range(7)] + [f"q{rng.randrange(60)}" for _ in range(2)],
+            "nested": [f"n{i // 8}_{j}" for j in range(4 + i % 8)],
+        }[own]
+        rows.append((i, " ".join([f"c{j}" for j in range(40)] + words + [f"c{j}" for j in range(40, 91)])))
+    got = by_id(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85))
+    assert got == brute.near_duplicates(rows, 3, 85)
+
+
+def test_near_duplicates_of_a_large_template(spark):
+    """5,000 pages of 91 common and 11 own words link with nothing, and make no pairs."""
+    rows = spark.range(5000).select(
+        F.col("id").alias("doc_id"),
+        F.concat_ws(" ", *[F.lit(f"c{j}") for j in range(40)], *[F.concat(F.lit("o"), "id", F.lit(f"_{j}")) for j in range(11)], *[F.lit(f"c{j}") for j in range(40, 91)]).alias("text"),
+    )
+    got = near_duplicates(rows, 3, 85).agg(F.count("*"), F.count_if("kept")).first()
+    assert tuple(got) == (5000, 5000)
+
+
 def test_near_duplicates_of_repeated_ids(spark):
     """Of rows under one doc_id the least text counts, whatever the order of rows."""
     base = " ".join(f"w{i}" for i in range(80))
