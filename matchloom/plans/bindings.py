@@ -46,16 +46,17 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
     found = table(spark, sf, "orders").select(
         F.col("o_custkey").alias("query"), F.col("o_orderpriority").alias("role"), F.col("o_orderkey").alias("candidate"), F.col("o_totalprice").cast("double").alias("volume")
     )
-    wide = found.withColumn("n", F.count("*").over(Window.partitionBy("query", "role"))).where("n > 1").drop("n")
+    # all windows below are over parts of a query
+    wide = found.repartition("query").withColumn("n", F.count("*").over(Window.partitionBy("query", "role"))).where("n > 1").drop("n")
     place = F.dense_rank().over(Window.partitionBy("query").orderBy("role")) - 1
     placed = wide.withColumn("pos", place)
     return placed.withColumn("n_roles", F.max("pos").over(Window.partitionBy("query")) + 1).where("n_roles > 1")
 
 
-def edges(spark: SparkSession, sf: str) -> DataFrame:
+def edges(spark: SparkSession, sf: str, found: DataFrame | None = None) -> DataFrame:
     """query, edge, pos_a, pos_b, role_a, role_b, status: neighbouring roles of a query are joined, and its first and last if there are three or more;
-    every tenth query states no contracts."""
-    roles = candidates(spark, sf).select("query", "pos", "role", "n_roles").distinct()
+    every tenth query states no contracts.  found: the candidates, where they are at hand."""
+    roles = (candidates(spark, sf) if found is None else found).select("query", "pos", "role", "n_roles").distinct()
     order = Window.partitionBy("query").orderBy("pos")
     first = F.first("role").over(order)
     nxt = roles.withColumn("role_b", F.lead("role").over(order)).withColumn("first", first)
@@ -64,12 +65,13 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
     return chain.unionByName(ring).withColumn("status", F.when(F.col("query") % 10 == 0, "unknown").otherwise("specified"))
 
 
-def endpoints(spark: SparkSession, sf: str, found: DataFrame) -> DataFrame:
-    """query, edge, side, role, contract; found: the described ports.  The contract is that of the first primitive of the role's target, null if unstated."""
+def endpoints(spark: SparkSession, sf: str, found: DataFrame, cands: DataFrame | None = None) -> DataFrame:
+    """query, edge, side, role, contract; found: the described ports, cands: the candidates, where they are at hand.  The contract is that of the first primitive of the role's target, null if unstated."""
     has = found.select(F.col("step").alias("candidate")).distinct()
-    target = candidates(spark, sf).join(has, "candidate", "left_semi").groupBy("query", "role").agg(F.max("candidate").alias("step"))
+    cands = candidates(spark, sf) if cands is None else cands
+    target = cands.join(has, "candidate", "left_semi").groupBy("query", "role").agg(F.max("candidate").alias("step"))
     wanted = target.join(found.where("ordinal = 0").select("step", "contract"), "step").select("query", "role", "contract")
-    e = edges(spark, sf)
+    e = edges(spark, sf, cands)
     sides = e.select("query", "edge", "status", F.lit("a").alias("side"), F.col("role_a").alias("role")).unionByName(
         e.select("query", "edge", "status", F.lit("b").alias("side"), F.col("role_b").alias("role"))
     )

@@ -153,28 +153,12 @@ def k05_flange_planes(spark, sf):
     return K.flange_planes(planes, d.where("face % 3 = 1").withColumnRenamed("a", "axis")).withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH {Q.CAND} SELECT status, count(*) AS edges, count(DISTINCT query) AS queries FROM edge GROUP BY status")
-def r04_planner_benchmark(spark, sf):
-    return B.edges(spark, sf).groupBy("status").agg(F.count("*").alias("edges"), F.count_distinct("query").alias("queries"))
-
-
 @query("SELECT conv_id, turn, NOT (turn % 5 = 0) AS allowed FROM conversations")
 def r05_request_payload_guard(spark, sf):
     text = F.concat("text", F.when(F.col("turn") % 5 == 0, " step-sha256 of it").otherwise(""))
     return B.table(spark, sf, "conversations").select("conv_id", "turn", (~X.names_identity(text)).alias("allowed"))
 
 
-@query(f"""WITH {Q.CAND}, r AS (SELECT query, edge, CASE WHEN query % 13 = 0 THEN 'welded' ELSE 'fixed' END AS mobility, CASE WHEN query % 17 = 0 THEN role_a || '?' ELSE role_a END AS a, role_a FROM edge WHERE query % 9 <> 0)
-  SELECT e.query, e.edge, CASE WHEN r.query IS NULL THEN 'missing' WHEN r.a <> r.role_a THEN 'role' WHEN r.mobility <> 'fixed' THEN 'mobility' ELSE 'valid' END AS status FROM edge e LEFT JOIN r ON r.query = e.query AND r.edge = e.edge""")
-def r08_validate_planner_response(spark, sf):
-    e = B.edges(spark, sf)
-    given = e.where("query % 9 <> 0").select(
-        "query", "edge", F.when(F.col("query") % 17 == 0, F.concat("role_a", F.lit("?"))).otherwise(F.col("role_a")).alias("a"), F.when(F.col("query") % 13 == 0, "welded").otherwise("fixed").alias("mobility")
-    )
-    status = F.when(F.col("a").isNull(), "missing").when(F.col("a") != F.col("role_a"), "role").when(~F.col("mobility").isin(P.MOBILITIES), "mobility").otherwise("valid")
-    return e.join(given, ["query", "edge"], "left").select("query", "edge", status.alias("status"))
-
-
 @query(f"""WITH {_ITEMS}, b AS (SELECT *, count(*) FILTER (WHERE failed) OVER (PARTITION BY item // 64) AS bad, count(*) OVER (PARTITION BY item // 64) AS size FROM i)
   SELECT item // 64 AS batch, conv_id, turn, CASE WHEN failed THEN 'no_sentence' ELSE 'done' END AS status, size - bad AS batch_done, bad AS batch_failed FROM b""")
 def r07_isolate_bad_items(spark, sf):
@@ -184,26 +168,6 @@ def r07_isolate_bad_items(spark, sf):
     return placed.join(counts, "batch").select("batch", "conv_id", "turn", F.when(F.col("failed"), "no_sentence").otherwise("done").alias("status"), "batch_done", "batch_failed")
 
 
-@query(f"""WITH {Q.CAND}, x AS (SELECT query, query % 9 <> 0 AS given, query % 4 <> 0 AS s, (query + edge) % 5 <> 0 AS m FROM edge), q AS (SELECT query, bool_and(given AND s AND m) AS all_ FROM x GROUP BY query)
-  SELECT count(*) AS edges, round(avg(CASE WHEN given AND s THEN 1.0 ELSE 0.0 END), 6) AS status_rate, round(avg(CASE WHEN given AND m THEN 1.0 ELSE 0.0 END), 6) AS mobility_rate, round(avg(CASE WHEN given AND s AND m THEN 1.0 ELSE 0.0 END), 6) AS full_rate, (SELECT round(avg(CASE WHEN all_ THEN 1.0 ELSE 0.0 END), 6) FROM q) AS query_rate FROM x""")
-def r10_evaluate_planner(spark, sf):
-    e = B.edges(spark, sf).select("query", "edge", F.lit("specified").alias("status"), F.lit("fixed").alias("mobility"))
-    got = e.where("query % 9 <> 0").select("query", "edge", F.when(F.col("query") % 4 != 0, "specified").otherwise("unknown").alias("s"), F.when((F.col("query") + F.col("edge")) % 5 != 0, "fixed").otherwise("ball").alias("m"))
-    both = e.join(got, ["query", "edge"], "left").select("query", F.coalesce(F.col("s") == F.col("status"), F.lit(False)).alias("s"), F.coalesce(F.col("m") == F.col("mobility"), F.lit(False)).alias("m"))
-    rate = lambda c: F.round(F.avg(c.cast("double")), 6)
-    each = both.groupBy("query").agg(F.bool_and(F.col("s") & F.col("m")).alias("all"))
-    out = both.agg(F.count("*").alias("edges"), rate(F.col("s")).alias("status_rate"), rate(F.col("m")).alias("mobility_rate"), rate(F.col("s") & F.col("m")).alias("full_rate"))
-    return out.crossJoin(each.agg(rate(F.col("all")).alias("query_rate")))  # one row beside one row
-
-
-@query(f"""WITH {Q.CAND}, t AS (SELECT DISTINCT query FROM cand) SELECT query, CASE WHEN query % 9 = 0 THEN 'missing' WHEN query % 5 = 0 THEN 'collision' ELSE 'executable' END AS status, query % 9 <> 0 AND query % 5 <> 0 AS executable FROM t""")
-def e07_evaluate_method(spark, sf):
-    targets = B.candidates(spark, sf).select("query").distinct()
-    manifests = targets.where("query % 9 <> 0").withColumn("collisions", F.when(F.col("query") % 5 == 0, 2).otherwise(0))
-    status = F.when(F.col("collisions").isNull(), "missing").when(F.col("collisions") > 0, "collision").otherwise("executable")
-    return targets.join(manifests, "query", "left").select("query", status.alias("status"), (status == "executable").alias("executable"))
-
-
 @query(f"""WITH {_ADJ}, p AS (SELECT step, a, CASE WHEN step % 29 = 0 THEN a ELSE b END AS b FROM adj), n AS (SELECT step, count(*) AS nodes FROM prim GROUP BY step), e AS (SELECT step, count(*) AS edges, bool_and(a < b) AS ordered FROM p GROUP BY step)
   SELECT n.step, n.nodes, coalesce(e.edges, 0) AS edges, CASE WHEN n.nodes > 6 THEN 'budget' WHEN NOT coalesce(e.ordered, true) THEN 'endpoints' ELSE 'valid' END AS status FROM n LEFT JOIN e ON e.step = n.step""")
 def v07_graph_check(spark, sf):

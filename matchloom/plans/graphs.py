@@ -302,13 +302,6 @@ def e08_geometry_summary(spark, sf):
     )
 
 
-@query("""SELECT status, count(*) AS n FROM (SELECT CASE WHEN event_id % 7 = 0 THEN 'no_anchor' WHEN event_type = 'error' THEN 'unsupported_joint' WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) < 5 THEN 'offset' ELSE 'accepted' END AS status FROM events) x GROUP BY 1""")
-def r14_replay_joints(spark, sf):
-    k = F.from_json("props", "k bigint")["k"]
-    status = F.coalesce(F.when(F.col("event_id") % 7 == 0, "no_anchor"), F.when(F.col("event_type") == "error", "unsupported_joint"), F.when(k < 5, "offset"), F.lit("accepted"))
-    return B.table(spark, sf, "events").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
-
-
 @query("""WITH h AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS slot, sha256(array_to_string(['=' || doc_id, '=' || source], chr(31))) AS hash FROM documents WHERE source < 'src15') SELECT doc_id, CAST(slot AS INTEGER) AS slot, hash FROM h""")
 def v10_authority_projection(spark, sf):
     rows = B.table(spark, sf, "documents").where("source < 'src15'")

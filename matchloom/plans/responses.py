@@ -24,15 +24,6 @@ from .matching import _best
 from .registry import query
 
 
-@query(f"""WITH {S.CAND}, p AS (SELECT query, edge, CASE WHEN query % 13 = 0 THEN 'maybe' ELSE status END AS s, CASE WHEN query % 17 = 0 THEN 'welded' ELSE 'fixed' END AS m FROM edge)
-  SELECT query, edge, CASE WHEN s NOT IN ('specified', 'unknown') THEN 'status' WHEN m <> 'fixed' THEN 'mobility' ELSE 'ok' END AS reason, CASE WHEN s IN ('specified', 'unknown') AND m = 'fixed' THEN m END AS mobility FROM p""")
-def r02_target_connections(spark, sf):
-    s = F.when(F.col("query") % 13 == 0, "maybe").otherwise(F.col("status"))
-    m = F.when(F.col("query") % 17 == 0, "welded").otherwise("fixed")
-    reason = F.when(~s.isin("specified", "unknown"), "status").when(~m.isin(MOBILITIES), "mobility").otherwise("ok")
-    return B.edges(spark, sf).select("query", "edge", reason.alias("reason"), F.when(reason == "ok", m).alias("mobility"))
-
-
 @query(f"""WITH {S.CAND}, q AS (SELECT query, max(n_roles) AS n FROM role GROUP BY query) SELECT query, CASE WHEN query % 9 = 0 THEN 'coverage' WHEN query % 7 = 0 THEN 'roles' WHEN query % 13 = 0 AND NOT (query % 6 = 0 AND n = 2) THEN 'mobility' WHEN query % 6 = 0 AND n > 1 THEN 'connectivity' ELSE 'valid' END AS reason FROM q""")
 def r06_validate_graph_response(spark, sf):
     roles = B.candidates(spark, sf).select("query", "pos", "role").distinct()
@@ -42,24 +33,6 @@ def r06_validate_graph_response(spark, sf):
     return R.graph_response_reasons(roles.select("query", "role"), said_roles, said, MOBILITIES)
 
 
-@query(f"""WITH {S.REQ} SELECT CASE WHEN contract IS NULL THEN 'unknown' WHEN query % 9 = 0 THEN 'missing' ELSE 'predicted' END AS status, count(*) AS sides, count(DISTINCT query) AS queries FROM endpoint GROUP BY 1""")
-def r13_planner_conditioned_protocol(spark, sf):
-    ends = B.endpoints(spark, sf, B.ports(spark, sf))
-    predicted = ends.where("query % 9 <> 0").select("query", "edge", "side", F.col("contract").alias("predicted"))
-    joined = ends.join(predicted, ["query", "edge", "side"], "left")
-    status = F.when(F.col("contract").isNull(), "unknown").when(F.col("predicted").isNull(), "missing").otherwise("predicted")
-    return joined.groupBy(status.alias("status")).agg(F.count("*").alias("sides"), F.count_distinct("query").alias("queries"))
-
-
-@query(f"""WITH {S.CAND}, e AS (SELECT query, bool_and((query + edge) % 5 <> 0) AS program FROM edge GROUP BY query) SELECT query, query % 3 <> 0 AS parts, program, query % 7 = 0 AS collides, query % 3 <> 0 AND program AND query % 7 <> 0 AS executable FROM e""")
-def e06_program_verdict(spark, sf):
-    want = B.edges(spark, sf).select("query", "edge", F.lit("fixed").alias("w"))
-    got = want.select("query", "edge", F.when((F.col("query") + F.col("edge")) % 5 != 0, "fixed").otherwise("ball").alias("g"))
-    program = want.join(got, ["query", "edge"], "full_outer").groupBy("query").agg(F.bool_and(F.coalesce(F.col("w") == F.col("g"), F.lit(False))).alias("program"))
-    out = program.withColumns({"parts": F.col("query") % 3 != 0, "collides": F.col("query") % 7 == 0})
-    return out.select("query", "parts", "program", "collides", (F.col("parts") & F.col("program") & ~F.col("collides")).alias("executable"))
-
-
 @query("""SELECT source, count(*) AS rows, count(*) FILTER (WHERE doc_id % 37 = 0) AS missing, count(*) FILTER (WHERE doc_id % 37 <> 0 AND doc_id % 31 = 0) AS differing, count(*) FILTER (WHERE doc_id % 37 = 0 OR doc_id % 31 = 0) = 0 AS verified FROM documents GROUP BY source""")
 def j28_semantic_commitments(spark, sf):
     place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
