@@ -77,3 +77,15 @@ def case_token(*parts: Column) -> Column:
 def row_hash(*fields: Column) -> Column:
     """SHA-256 of a row's fields in a canonical text; null and empty differ."""
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), f.cast("string")), F.lit("~")) for f in fields]), 256)
+
+
+def scope_fault(text: Column, flags: list[str], forbidden: list[str]) -> Column:
+    """Why a public JSON payload is not public: not_json, flag (one of the flags at its top is not false), field (a forbidden key at any depth); null if it is."""
+    value = F.try_parse_json(text)
+    shape = F.schema_of_variant(value)
+    fault = F.when(value.isNull(), "not_json")
+    for name in flags:
+        fault = fault.when(~F.coalesce(F.try_variant_get(value, f"$.{name}", "boolean") == F.lit(False), F.lit(False)), "flag")
+    # the shape of a value names every key that it holds, those of objects in arrays too
+    names = "|".join(forbidden)
+    return fault.when(shape.rlike(f"[<, ]`?({names})`?: "), "field")

@@ -139,3 +139,16 @@ def surface_samples(triangles: DataFrame, count: int, seed: str) -> DataFrame:
     u, v = F.sqrt(uniform(F.lit(seed), "part", "sample", F.lit("u"))), uniform(F.lit(seed), "part", "sample", F.lit("v"))
     point = F.array(*[(1 - u) * F.col("v0")[i] + u * (1 - v) * F.col("v1")[i] + u * v * F.col("v2")[i] for i in AXES])
     return picked.select("part", "sample", "idx", point.alias("point"))
+
+
+def axial_offsets(pairs: DataFrame, keys: list[str], gap: float = 1e-6, same: float = 1e-9) -> DataFrame:
+    """keys, turn, offset: where a part may come to rest along an axis: as it lies, just before the other one, just behind it.
+
+    pairs: keys, lo_a, hi_a, lo_b, hi_b (boxes in one frame), axis (any length but 0).  Boxes are projected by their corners; an offset within `same` of one before it is left out.
+    """
+    unit = F.transform("axis", lambda x: F.try_divide(x, F.sqrt(F.aggregate("axis", F.lit(0.0), lambda s, y: s + y * y))))
+    corners = lambda lo, hi: F.array(*[sum((F.col((lo, hi)[(k >> i) & 1])[i] * F.col("_unit")[i] for i in (1, 2)), F.col((lo, hi)[k & 1])[0] * F.col("_unit")[0]) for k in range(8)])
+    rows = pairs.withColumn("_unit", unit).withColumns({"_a": corners("lo_a", "hi_a"), "_b": corners("lo_b", "hi_b")})
+    offsets = F.array(F.lit(0.0), F.array_min("_a") - F.array_max("_b") - gap, F.array_max("_a") - F.array_min("_b") + gap)
+    distinct = F.aggregate(offsets, F.array().cast("array<double>"), lambda kept, x: F.when(F.exists(kept, lambda y: F.abs(x - y) <= same), kept).otherwise(F.concat(kept, F.array(x))))
+    return rows.select(*keys, F.posexplode(distinct).alias("turn", "offset"))

@@ -9,14 +9,16 @@ from matchloom.functions.ports import SIZE_TOLERANCE, adjacent_key, contract_key
 
 from .graphs import neighbour_shares
 
+LEAST_SHARE = 0.24
 CONTRACT = ["kind", "geometry_type", "size_class", "adjacent", "symmetry"]
 
 
-def described_ports(primitives: DataFrame, edges: DataFrame, types: list[str]) -> DataFrame:
+def described_ports(primitives: DataFrame, edges: DataFrame | None, types: list[str]) -> DataFrame:
     """Primitives with size_class, adjacent, symmetry and contract, the key of all five fields.
 
     The peers of a primitive are those of its step and type; smaller and larger ones are counted by range frames over their measures, which read no
-    more than the peers in order.  adjacent: the first two of `types` that make up a quarter or so of its neighbours by edges (step, a, b, feature).
+    more than the peers in order.  adjacent: the first two of `types` that make up a quarter or so of its neighbours by edges (step, a, b, feature), or without
+    edges of the primitives' `near`, an array of their types.
     """
     of = Window.partitionBy("step", "geometry_type")
     frame = "count(*) over (partition by step, geometry_type order by measure range between {0})"
@@ -25,8 +27,14 @@ def described_ports(primitives: DataFrame, edges: DataFrame, types: list[str]) -
     larger = F.expr(frame.format(f"{tolerance} following and unbounded following"))
     counted = primitives.withColumns({"_peers": F.count("*").over(of), "_smaller": smaller, "_larger": larger})
     found = counted.withColumn("size_class", size_class(F.col("_peers"), F.col("_smaller"), F.col("_larger"))).withColumn("symmetry", symmetry_class(F.col("members")))
-    near = neighbour_shares(primitives, edges, types).select("step", "ordinal", adjacent_key(F.col("adjacent")).alias("adjacent"))
-    full = found.drop("_peers", "_smaller", "_larger").join(near, ["step", "ordinal"])
+    found = found.drop("_peers", "_smaller", "_larger")
+    if edges is None:
+        like = lambda t: F.size(F.filter("near", lambda x: x == t))
+        often = F.filter(F.array(*[F.when(like(t) >= LEAST_SHARE * F.size("near"), F.lit(t)) for t in types]), lambda x: x.isNotNull())
+        full = found.withColumn("adjacent", adjacent_key(F.when(F.size("near") > 0, F.slice(often, 1, 2)).otherwise(F.slice(often, 1, 0)))).drop("near")
+    else:
+        near = neighbour_shares(primitives, edges, types, LEAST_SHARE).select("step", "ordinal", adjacent_key(F.col("adjacent")).alias("adjacent"))
+        full = found.join(near, ["step", "ordinal"])
     return full.withColumn("contract", contract_key(*map(F.col, CONTRACT)))
 
 

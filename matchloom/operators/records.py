@@ -123,3 +123,50 @@ def example_reasons(candidates: DataFrame, targets: DataFrame, types: list[str],
         .when(~fine("rotation", 9) | bent | (F.abs(det - 1.0) > 1e-6), "rotation").otherwise("valid")
     )
     return every.select("example", reason.alias("reason"))
+
+
+def semantic_commitments(rows: DataFrame, committed: DataFrame, cases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(case, split, rows, missing, extra, differing, verified; split, cases, rows: totals of verified cases).
+
+    rows (case, place, id, sha) are what a library holds, committed (case, place, id, sha) what was committed to, place by place, cases (case, split, row_count: as declared).  missing: rows without a commitment, extra: the other way round,
+    differing: another hash or id at one place.  A case is verified if all three are 0 and it has as many rows as declared.
+    """
+    left = rows.select("case", "place", "id", "sha")
+    right = committed.select("case", "place", F.col("id").alias("c_id"), F.col("sha").alias("c_sha"))
+    both = left.join(right, ["case", "place"], "full_outer")
+    off = F.col("sha").isNotNull() & F.col("c_sha").isNotNull() & ((F.col("sha") != F.col("c_sha")) | ~F.col("id").eqNullSafe(F.col("c_id")))
+    each = both.groupBy("case").agg(F.count("sha").alias("rows"), F.count_if(F.col("c_sha").isNull()).alias("missing"), F.count_if(F.col("sha").isNull()).alias("extra"), F.count_if(off).alias("differing"))
+    out = cases.join(each, "case", "left").select("case", "split", "row_count", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("rows", "missing", "extra", "differing")])
+    out = out.withColumn("verified", (F.col("missing") + F.col("extra") + F.col("differing") == 0) & (F.col("rows") == F.col("row_count"))).drop("row_count")
+    return out, out.where("verified").groupBy("split").agg(F.count("*").alias("cases"), F.sum("rows").alias("rows"))
+
+
+def catalog_candidates(examples: DataFrame, catalog: DataFrame, most: int = 512) -> DataFrame:
+    """Every example with every entry of the catalog; a catalog of more than `most` entries is refused."""
+    if catalog.limit(most + 1).count() > most:
+        raise ValueError(f"a catalog has {most} entries at most")
+    return examples.crossJoin(F.broadcast(catalog))
+
+
+def authority_projection(rows: DataFrame, assigned: DataFrame, digest: Column, splits: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(split, slot, case, ordinal, hash; split, rows, sha256) of the rows (case, ordinal and what the digest reads) assigned (case, split) to one of the splits: no other row comes out.
+
+    Slots count from 0 in the order of case and ordinal within a split.  The receipt has the ordered tree of a split's `slot:hash` lines.
+    """
+    own = rows.join(assigned.where(F.col("split").isin(splits)).select("case", "split"), "case").select("split", "case", "ordinal", digest.alias("hash"))
+    placed = positions(own, ["split"], ["case", "ordinal", "hash"], "slot")
+    tree = ordered_hashes(placed.select("split", "slot", "hash"), ["split"], ["slot"], F.concat_ws(":", "slot", "hash"))
+    return placed.select("split", "slot", "case", "ordinal", "hash"), tree.select("split", F.col("n").alias("rows"), F.col("hash").alias("sha256"))
+
+
+def projection_faults(projection: DataFrame, receipts: DataFrame, splits: list[str]) -> DataFrame:
+    """split, fault of a projection that is read back: held_out (a split that must not be there), gap (slots that do not count from 0), twice (a case and ordinal again), receipt (other rows or hashes)."""
+    each = projection.groupBy("split").agg(F.count("*").alias("n"), F.min("slot").alias("low"), F.max("slot").alias("high"), F.count_distinct("slot").alias("slots"), F.count_distinct("case", "ordinal").alias("rows"))
+    tree = ordered_hashes(projection.select("split", "slot", "hash"), ["split"], ["slot"], F.concat_ws(":", "slot", "hash")).select("split", "hash")
+    both = each.join(tree, "split").join(receipts.select("split", F.col("rows").alias("said"), "sha256"), "split", "full_outer")
+    gap = (F.col("low") != 0) | (F.col("high") != F.col("n") - 1) | (F.col("slots") != F.col("n"))
+    fault = (
+        F.when(~F.col("split").isin(splits), "held_out").when(gap, "gap").when(F.col("rows") < F.col("n"), "twice")
+        .when(~(F.col("n").eqNullSafe(F.col("said")) & F.col("hash").eqNullSafe(F.col("sha256"))), "receipt")
+    )
+    return both.select("split", fault.alias("fault")).where("fault is not null")

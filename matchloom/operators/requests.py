@@ -108,3 +108,23 @@ def two_pass(requests: DataFrame, graph: DataFrame, parsed: DataFrame, sentences
     )
     out = requests.select("query").join(edges, "query", "left")
     return out.withColumn("status", F.when(F.col("edge_id").isNull(), "error").otherwise("compiled"))
+
+
+def endpoint_samples(labels: DataFrame, parts: DataFrame, primitives: DataFrame, features: list[str]) -> DataFrame:
+    """query, edge, side, step, target, primitives of every labelled side of an edge: the primitive table of the part that stands there, and the label's place in it.
+
+    labels (query, edge, side, target), parts (query, edge, side, step), primitives (step, ordinal and features).  primitives: an array of ordinal and features, in order.  A side
+    without a part, without primitives, or with a target outside its table is left out.
+    """
+    tables = primitives.groupBy("step").agg(F.array_sort(F.collect_list(F.struct("ordinal", *features))).alias("primitives"))
+    rows = labels.join(parts, ["query", "edge", "side"]).join(tables, "step")
+    return rows.where((F.col("target") >= 0) & (F.col("target") < F.size("primitives"))).select("query", "edge", "side", "step", "target", "primitives")
+
+
+def supervision_summary(labels: DataFrame) -> DataFrame:
+    """One row of labels (query, edge, side, status): queries, endpoints, edges, mapped_edges (both sides mapped), statuses (their counts by name)."""
+    each = labels.groupBy("query", "edge").agg((F.count_if((F.col("side") == "a") & F.startswith("status", F.lit("mapped"))) * F.count_if((F.col("side") == "b") & F.startswith("status", F.lit("mapped"))) > 0).alias("mapped"))
+    counts = labels.groupBy("status").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("statuses"))
+    totals = labels.agg(F.count_distinct("query").alias("queries"), F.count("*").alias("endpoints"))
+    # one row beside one row
+    return totals.crossJoin(each.agg(F.count("*").alias("edges"), F.count_if("mapped").alias("mapped_edges"))).crossJoin(counts)

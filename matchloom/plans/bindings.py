@@ -38,7 +38,14 @@ def adjacency(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ports(spark: SparkSession, sf: str) -> DataFrame:
-    return described_ports(primitives(spark, sf), adjacency(spark, sf), GEOMETRY)
+    """The described ports; a primitive's neighbours are those of adjacency, here by the window that orders its step."""
+    of_step = Window.partitionBy("step").orderBy("ordinal")
+    full = of_step.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    kind, last = F.col("geometry_type"), F.max("ordinal").over(full)
+    ring = F.when(F.col("last") >= 2, F.when(F.col("ordinal") == 0, F.col("last_type")).when(F.col("ordinal") == F.col("last"), F.col("first_type")))
+    rows = primitives(spark, sf).withColumns({"before": F.lag(kind).over(of_step), "after": F.lead(kind).over(of_step), "last": last, "first_type": F.first(kind).over(full), "last_type": F.last(kind).over(full)})
+    near = F.filter(F.array("before", "after", ring), lambda x: x.isNotNull())
+    return described_ports(rows.withColumn("near", near).drop("before", "after", "last", "first_type", "last_type"), None, GEOMETRY)
 
 
 def candidates(spark: SparkSession, sf: str) -> DataFrame:

@@ -9,6 +9,7 @@ from matchloom.functions import ports as P
 from matchloom.functions import text as X
 from matchloom.functions import vectors as V
 from matchloom.operators import geometry as G
+from matchloom.operators import requests as R
 from matchloom.operators import sockets as K
 from matchloom.operators.ordering import positions
 from matchloom.operators.records import example_reasons
@@ -68,15 +69,21 @@ def w17_decode_mobility(spark, sf):
     return best.select("query", "edge", F.coalesce(F.when(F.col("query") % 3 == 0, "fixed"), "best").alias("mobility"))
 
 
-@query(f"""WITH {Q.REQ}, t AS (SELECT e.query, e.edge, 'a' AS side, t.step FROM edge e JOIN target t ON t.query = e.query AND t.role = e.role_a UNION ALL SELECT e.query, e.edge, 'b', t.step FROM edge e JOIN target t ON t.query = e.query AND t.role = e.role_b)
-  SELECT t.query, t.edge, t.side, n.n AS primitives, t.query % 4 AS target FROM t JOIN n_all n ON n.step = t.step WHERE t.query % 4 < n.n""")
+@query(f"""WITH {Q.REQ}, t AS (SELECT e.query, e.edge, 'a' AS side, t.step FROM edge e JOIN target t ON t.query = e.query AND t.role = e.role_a UNION ALL SELECT e.query, e.edge, 'b', t.step FROM edge e JOIN target t ON t.query = e.query AND t.role = e.role_b),
+  tab AS (SELECT step, count(*) AS n, sha256(string_agg(ordinal || ':' || kind || ':' || geometry_type || ':' || members, ',' ORDER BY ordinal)) AS h FROM prim GROUP BY step)
+  SELECT t.query, t.edge, t.side, t.step, t.query % 4 AS target, tab.n AS primitives, tab.h AS hash FROM t JOIN tab ON tab.step = t.step WHERE t.query % 4 < tab.n""")
 def j14_endpoint_samples(spark, sf):
-    count = B.primitives(spark, sf).groupBy("step").agg(F.count("*").alias("primitives"))
-    target = B.candidates(spark, sf).join(count.select(F.col("step").alias("candidate")), "candidate", "left_semi").groupBy("query", "role").agg(F.max("candidate").alias("step"))
-    e = B.edges(spark, sf)
-    sides = e.select("query", "edge", F.lit("a").alias("side"), F.col("role_a").alias("role")).unionByName(e.select("query", "edge", F.lit("b").alias("side"), F.col("role_b").alias("role")))
-    joined = sides.join(target, ["query", "role"]).join(count, "step").withColumn("target", F.col("query") % 4)
-    return joined.where(F.col("target").between(0, F.col("primitives") - 1)).select("query", "edge", "side", "primitives", "target")
+    """The primitive tables of the parts at both ends of every edge, with the label's place; some labels lie outside."""
+    prim = written(B.primitives(spark, sf), "primitives")
+    cands = written(B.candidates(spark, sf), "candidates")
+    target = cands.join(prim.select(F.col("step").alias("candidate")).distinct(), "candidate", "left_semi").groupBy("query", "role").agg(F.max("candidate").alias("step"))
+    e = B.edges(spark, sf, cands)
+    side = lambda s: e.select("query", "edge", F.lit(s).alias("side"), F.col(f"role_{s}").alias("role"))
+    parts = side("a").unionByName(side("b")).join(target, ["query", "role"]).select("query", "edge", "side", "step")
+    labels = side("a").unionByName(side("b")).select("query", "edge", "side", (F.col("query") % 4).alias("target"))
+    found = R.endpoint_samples(labels, parts, prim, ["kind", "geometry_type", "members"])
+    text = F.array_join(F.transform("primitives", lambda p: F.concat_ws(":", p["ordinal"], p["kind"], p["geometry_type"], p["members"])), ",")
+    return found.select("query", "edge", "side", "step", "target", F.size("primitives").cast("long").alias("primitives"), F.sha2(text, 256).alias("hash"))
 
 
 def _frame_pairs(spark, sf):
@@ -111,11 +118,16 @@ def j16_pose_candidates(spark, sf):
     return step.select("edge", "l", "r", "flip", "yaw", (F.round(F.col("p")[0], 4) + 0.0).alias("r00"), (F.round(F.col("p")[3], 3) + 0.0).alias("x"))
 
 
-@query(f"""WITH {_BOX}, n AS (SELECT *, lead(id) OVER (PARTITION BY label ORDER BY id) AS nxt FROM box) SELECT a.id, round(a.hi[1] - b.lo[1], 6) + 0.0 AS up, round(a.lo[1] - b.hi[1], 6) + 0.0 AS down FROM n a JOIN box b ON b.id = a.nxt""")
+@query(f"""WITH {_BOX}, n AS (SELECT *, lead(id) OVER (PARTITION BY label ORDER BY id) AS nxt FROM box), d AS (SELECT a.id, a.lo AS al, a.hi AS ah, b.lo AS bl, b.hi AS bh, [CAST(a.id % 3 AS DOUBLE) - 1, CAST(a.id % 5 AS DOUBLE), 1.0] AS x FROM n a JOIN box b ON b.id = a.nxt),
+  u AS (SELECT *, sqrt(x[1] ** 2 + x[2] ** 2 + x[3] ** 2) AS s FROM d), c AS (SELECT *, [x[i] / s for i in [1, 2, 3]] AS k FROM u), p AS (SELECT id, list_sum([least(al[i] * k[i], ah[i] * k[i]) for i in [1, 2, 3]]) AS a0, list_sum([greatest(al[i] * k[i], ah[i] * k[i]) for i in [1, 2, 3]]) AS a1,
+    list_sum([least(bl[i] * k[i], bh[i] * k[i]) for i in [1, 2, 3]]) AS b0, list_sum([greatest(bl[i] * k[i], bh[i] * k[i]) for i in [1, 2, 3]]) AS b1 FROM c)
+  SELECT id, turn, round(o, 6) + 0.0 AS "offset" FROM (SELECT id, unnest([0, 1, 2]) AS turn, unnest([0.0, a0 - b1 - 1e-6, a1 - b0 + 1e-6]) AS o FROM p) z""")
 def j17_axial_offsets(spark, sf):
+    """Where the next box of a label may come to rest along an axis of its own."""
     order = Window.partitionBy("assembly").orderBy("id")
     both = _boxes(spark, sf).withColumn("lo_b", F.lead("lo").over(order)).withColumn("hi_b", F.lead("hi").over(order)).where("lo_b is not null")
-    return both.select("id", (F.round(F.col("hi")[0] - F.col("lo_b")[0], 6) + 0.0).alias("up"), (F.round(F.col("lo")[0] - F.col("hi_b")[0], 6) + 0.0).alias("down"))
+    axis = F.array((F.col("id") % 3).cast("double") - 1, (F.col("id") % 5).cast("double"), F.lit(1.0))
+    return G.axial_offsets(both.withColumnsRenamed({"lo": "lo_a", "hi": "hi_a"}).withColumn("axis", axis), ["id"]).select("id", "turn", (F.round("offset", 6) + 0.0).alias("offset"))
 
 
 @query(f"""WITH {_BOX}, s AS (SELECT id, label, lo, hi, (hi[1] - lo[1]) * (hi[2] - lo[2]) * (hi[3] - lo[3]) AS vol FROM box), p AS (SELECT a.id AS a, b.id AS b, {_SIDES} AS v, least(a.vol, b.vol) AS small FROM s a JOIN s b ON a.label = b.label AND a.id < b.id WHERE {_SIDES} > 1e-7)
@@ -202,10 +214,15 @@ def v08_example_check(spark, sf):
     return example_reasons(programs, targets, _PROGRAM_TYPES, most=12)
 
 
-@query("SELECT event_id, event_id % 8 <> 0 AS public FROM events")
+@query("""SELECT event_id, CASE WHEN event_id % 40 = 7 THEN 'not_json' WHEN event_id % 9 = 0 THEN 'flag' WHEN event_id % 8 = 0 THEN 'field' ELSE 'public' END AS scope FROM events""")
 def v13_scope_guard(spark, sf):
-    props = F.when(F.col("event_id") % 8 == 0, '{"k": 1, "target": true}').otherwise(F.col("props"))
-    return B.table(spark, sf, "events").select("event_id", (~F.array_contains(F.json_object_keys(props), "target")).alias("public"))
+    """Payloads round the events' properties: some are broken, open private targets, or carry a target deep inside."""
+    e = F.col("event_id")
+    inner = F.when(e % 8 == 0, '[{"a": 1}, {"b": {"target": 2}}]').otherwise('[{"a": 1, "targets": 3}]')
+    flag = F.when(e % 9 == 0, F.when(e % 2 == 0, "true").otherwise("null")).otherwise("false")
+    text = F.concat(F.lit('{"private_targets_opened": '), flag, F.lit(', "props": '), "props", F.lit(', "rows": '), inner, F.when(e % 40 == 7, "").otherwise("}"))
+    fault = X.scope_fault(text, ["private_targets_opened"], ["target", "target_candidate"])
+    return B.table(spark, sf, "events").select("event_id", F.coalesce(fault, F.lit("public")).alias("scope"))
 
 
 @query(f"""WITH {Q.CAND}, t AS (SELECT query, role, max(candidate) AS target FROM cand GROUP BY ALL) SELECT c.query, c.role, count(*) AS candidates, count(*) FILTER (WHERE c.candidate = t.target) AS targets, max(['fixed', 'revolute', 'prismatic', 'cylindrical'][c.pos % 4 + 1]) AS mobility FROM cand c JOIN t ON t.query = c.query AND t.role = c.role GROUP BY c.query, c.role""")

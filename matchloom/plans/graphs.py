@@ -11,8 +11,11 @@ from matchloom.operators import graphs as G
 from matchloom.operators import losses as L
 from matchloom.operators import ranking as R
 from matchloom.operators import records as K
+from matchloom.operators import requests as Q
 from matchloom.operators import schedules as D
-from matchloom.sources.tables import written
+from matchloom.operators import sockets as Z
+from matchloom.sources.records import catalog, load_protocol
+from matchloom.sources.tables import shared_folder, written
 
 from . import bindings as B
 from . import sql as S
@@ -102,10 +105,14 @@ def g15_orbit_pool(spark, sf):
     return G.pooled(members).withColumn("mean", F.round("mean", 6) + 0.0)
 
 
-@query(f"WITH {S.CAND} SELECT count(*) * 2 AS endpoints, count(*) FILTER (WHERE query % 7 <> 0) AS mapped, count(*) FILTER (WHERE query % 7 = 0) AS partial FROM edge")
+@query(f"""WITH {S.CAND}, l AS (SELECT query, edge, unnest(['a', 'b']) AS side FROM edge), s AS (SELECT *, CASE WHEN query % 7 = 0 AND side = 'b' THEN 'unmapped' WHEN (query + edge) % 5 = 0 THEN 'mapped_type_differs' ELSE 'mapped_type_consistent' END AS status FROM l)
+  SELECT count(DISTINCT query) AS queries, count(*) AS endpoints, count(*) // 2 AS edges, (SELECT count(*) FROM edge WHERE query % 7 <> 0) AS mapped_edges, count(*) FILTER (WHERE status = 'mapped_type_consistent') AS consistent, count(*) FILTER (WHERE status = 'mapped_type_differs') AS differs, count(*) FILTER (WHERE status = 'unmapped') AS unmapped FROM s""")
 def g17_supervision_summary(spark, sf):
-    e = B.edges(spark, sf)
-    return e.agg((F.count("*") * 2).alias("endpoints"), F.count_if(F.col("query") % 7 != 0).alias("mapped"), F.count_if(F.col("query") % 7 == 0).alias("partial"))
+    sides = B.edges(spark, sf).select("query", "edge", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("side"))
+    status = F.when((F.col("query") % 7 == 0) & (F.col("side") == "b"), "unmapped").when((F.col("query") + F.col("edge")) % 5 == 0, "mapped_type_differs").otherwise("mapped_type_consistent")
+    out = Q.supervision_summary(sides.withColumn("status", status))
+    at = lambda n: F.coalesce(F.try_element_at("statuses", F.lit(n)), F.lit(0))
+    return out.select("queries", "endpoints", "edges", "mapped_edges", at("mapped_type_consistent").alias("consistent"), at("mapped_type_differs").alias("differs"), at("unmapped").alias("unmapped"))
 
 
 def _refine_sql(rounds: int) -> str:
@@ -147,22 +154,42 @@ def w14_socket_names(spark, sf):
     return G.named_sockets(kept.select("part", "face", "kind", F.round(F.log1p("area"), 9).alias("score"))).select("part", "face", "name")
 
 
-@query(f"WITH {_FACE}, d AS (SELECT *, row_number() OVER (PARTITION BY part, surface_type, CAST(round_even(c[1] / 0.1, 0) AS BIGINT), CAST(round_even(radius / 0.05, 0) AS BIGINT) ORDER BY area DESC, face) AS t FROM face) SELECT part, face FROM d WHERE t = 1")
+@query(f"""WITH {_FACE}, box AS (SELECT part, [(min(c[1] - h[1]) + max(c[1] + h[1])) / 2, (min(c[2] - h[2]) + max(c[2] + h[2])) / 2, (min(c[3] - h[3]) + max(c[3] + h[3])) / 2] AS mid, sqrt(greatest(max(c[1] + h[1]) - min(c[1] - h[1]), 1e-6) ** 2 + greatest(max(c[2] + h[2]) - min(c[2] - h[2]), 1e-6) ** 2 + greatest(max(c[3] + h[3]) - min(c[3] - h[3]), 1e-6) ** 2) AS reach FROM face GROUP BY part),
+  d0 AS (SELECT f.part, f.face, f.surface_type AS kind, f.c, f.radius, f.area, b.mid, b.reach, [e[4], e[5], e[6]] AS v, sqrt(e[4] ** 2 + e[5] ** 2 + e[6] ** 2) AS s FROM face f JOIN box b ON b.part = f.part JOIN v ON v.vec_id = f.face),
+  d1 AS (SELECT *, [x / s FOR x IN v] AS u, list_position([abs(x) FOR x IN v], list_max([abs(x) FOR x IN v])) AS top FROM d0), d2 AS (SELECT *, CASE WHEN v[top] < 0 THEN [-x FOR x IN u] ELSE u END AS w, [c[1] - mid[1], c[2] - mid[2], c[3] - mid[3]] AS o, greatest(0.05, reach * 0.08) AS step FROM d1),
+  d3 AS (SELECT *, list_dot_product(o, w) AS al, [CAST(round_even(x / 0.4, 0) AS BIGINT) FOR x IN w] AS dir FROM d2),
+  d4 AS (SELECT part, face, area, kind, dir, CAST(round_even(al / step, 0) AS BIGINT) AS off, CASE WHEN kind <> 'plane' THEN CAST(round_even(sqrt((o[1] - al * w[1]) ** 2 + (o[2] - al * w[2]) ** 2 + (o[3] - al * w[3]) ** 2) / step, 0) AS BIGINT) ELSE 0 END AS rad, CASE WHEN kind <> 'plane' THEN CAST(round_even(radius / greatest(0.05, radius * 0.06), 0) AS BIGINT) ELSE -1 END AS width FROM d3)
+  SELECT part, face, first FROM (SELECT part, face, row_number() OVER (PARTITION BY part, kind, dir, off, rad, width ORDER BY area DESC, face) AS t, min(face) OVER (PARTITION BY part, kind, dir, off, rad, width) AS first FROM d4) z WHERE t = 1""")
 def k04_cluster_dedup(spark, sf):
-    from matchloom.functions.vectors import quantised
-
-    order = Window.partitionBy("part", "surface_type", quantised(F.col("center")[0], 0.1), quantised(F.col("radius"), 0.05)).orderBy(F.desc("area"), "face")
-    return _faces(spark, sf).withColumn("t", F.row_number().over(order)).where("t = 1").select("part", "face")
+    """The largest face of each cluster of kind, direction, place along it and off it, and radius; planes lie by their normal, the others by their axis."""
+    faces = _faces(spark, sf).join(_vectors(spark, sf).select(F.col("vec_id").alias("face"), F.slice("e", 4, 3).alias("v")), "face")
+    frame = G.frames(faces)
+    middle = F.array(*[(F.col(f"lo{i}") + F.col(f"hi{i}")) / 2 for i in range(3)])
+    unit = F.transform("v", lambda x: x / F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, y: s + y * y)))
+    flat = F.col("surface_type") == "plane"
+    rows = faces.join(frame.select("part", middle.alias("middle"), "diagonal"), "part").select(
+        "part", F.col("surface_type").alias("kind"), "face", F.col("face").alias("turn"), F.col("center").alias("origin"), F.when(~flat, unit).alias("axis"), F.when(flat, unit).alias("normal"),
+        F.when(~flat, F.col("radius")).alias("radius"), F.col("area").alias("score"), "middle", "diagonal",
+    )
+    rules = Z.ExtractionRules(direction_step=0.4, likeness=Z.Likeness(origin=0.05, radius=0.05))
+    return Z.cluster_best(rows, rules).select("part", "face", F.col("turn").alias("first"))
 
 
-@query(f"WITH {S.CAND} SELECT query, role, candidate, volume FROM cand")
+@query(f"""WITH {S.CAND} SELECT 'query' AS name, query, count(*) AS place, CAST(max(n_roles) AS VARCHAR) AS value FROM role GROUP BY query UNION ALL SELECT 'role', query, pos, role FROM role
+  UNION ALL SELECT 'candidate', query, row_number() OVER (PARTITION BY query, role ORDER BY candidate) - 1, role || ':' || candidate FROM cand UNION ALL SELECT 'edge', query, row_number() OVER (PARTITION BY query ORDER BY edge) - 1, role_a || '-' || role_b || ':' || status FROM edge""")
 def s01_load_protocol(spark, sf):
-    """The nested document of each request, written as JSON text and read back with an explicit schema."""
-    sets = B.candidates(spark, sf).groupBy("query", "role").agg(F.sort_array(F.collect_list(F.struct("candidate", "volume"))).alias("rows"))
-    document = sets.groupBy("query").agg(F.to_json(F.struct(F.map_from_entries(F.sort_array(F.collect_list(F.struct("role", "rows")))).alias("candidate_sets"))).alias("text"))
-    kind = "candidate_sets map<string, array<struct<candidate: bigint, volume: double>>>"
-    read = document.select("query", F.explode(F.from_json("text", kind)["candidate_sets"]).alias("role", "rows"))
-    return read.select("query", "role", F.explode("rows").alias("row")).select("query", "role", "row.candidate", "row.volume")
+    """Documents of all requests, written as JSON files and read back with an explicit schema as four flat tables."""
+    cands = written(B.candidates(spark, sf), "candidates")
+    sets = cands.groupBy("query", "role").agg(F.sort_array(F.collect_list("candidate")).alias("ids"))
+    roles = cands.groupBy("query").agg(F.transform(F.array_sort(F.collect_set(F.struct("pos", "role"))), lambda x: x["role"]).alias("roles"))
+    edges = B.edges(spark, sf, cands).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("edge", "role_a", "role_b", "status"))).alias("functional_edges"))
+    documents = roles.join(sets.groupBy("query").agg(F.map_from_entries(F.collect_list(F.struct("role", "ids"))).alias("candidate_sets")), "query").join(edges, "query", "left")
+    folder = shared_folder(spark, "requests")
+    documents.write.json(folder)
+    tables = load_protocol(spark, folder)
+    pick = {"query": ("n_roles", F.col("n_roles").cast("string")), "role": ("pos", F.col("role")), "candidate": ("pos", F.concat_ws(":", "role", "candidate")), "edge": ("pos", F.concat(F.concat_ws("-", "role_a", "role_b"), F.lit(":"), F.col("status")))}
+    parts = [tables[n].select(F.lit(n).alias("name"), "query", F.col(place).cast("long").alias("place"), value.alias("value")) for n, (place, value) in pick.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 @query(f"""WITH {S.ASSIGN}, top AS (SELECT * FROM ranking WHERE rank < 3), one AS (SELECT query, rank, unnest([0, 1, 2, 3, 4]) AS pos, unnest([p0, p1, p2, p3, p4]) AS candidate FROM top),
@@ -207,11 +234,13 @@ def j08_contract_dispatch(spark, sf):
     return A.ranked(A.best_assignments(R.place_costs(ready, places))).select("query", "rank", "identity")
 
 
-@query(f"WITH {S.CAND}, c AS (SELECT unnest(['fixed', 'revolute', 'prismatic']) AS entry) SELECT query, edge, c.entry FROM edge, c")
+@query(f"""WITH {S.CAND}, d AS (SELECT DISTINCT l_returnflag || '|' || l_linestatus || '|' || l_linenumber AS descriptor FROM lineitem), c AS (SELECT row_number() OVER (ORDER BY sha256(descriptor)) - 1 AS idx, substr(sha256(descriptor), 1, 16) AS id, descriptor FROM d)
+  SELECT e.query, e.edge, e.role_a AS endpoint_a, e.role_b AS endpoint_b, c.idx, c.id, c.descriptor FROM edge e, c""")
 def j31_catalog_candidates(spark, sf):
-    # three fixed entries
-    entries = F.explode(F.array(*map(F.lit, ["fixed", "revolute", "prismatic"]))).alias("entry")
-    return B.edges(spark, sf).select("query", "edge", entries)
+    """Every edge with every entry of the catalog that the lines' flags, states and numbers make up."""
+    known = catalog(B.table(spark, sf, "lineitem").select(F.concat_ws("|", "l_returnflag", "l_linestatus", "l_linenumber").alias("descriptor")))
+    edges = B.edges(spark, sf).select("query", "edge", F.col("role_a").alias("endpoint_a"), F.col("role_b").alias("endpoint_b"))
+    return K.catalog_candidates(edges, known)
 
 
 _LOSS_PARTS = {"mobility": ["fixed", "revolute", "prismatic", "ball"], "support": ["axial", "planar", "mixed"]}
@@ -302,8 +331,10 @@ def e08_geometry_summary(spark, sf):
     )
 
 
-@query("""WITH h AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS slot, sha256(array_to_string(['=' || doc_id, '=' || source], chr(31))) AS hash FROM documents WHERE source < 'src15') SELECT doc_id, CAST(slot AS INTEGER) AS slot, hash FROM h""")
+@query("""WITH s AS (SELECT doc_id, source, CASE WHEN source < 'src13' THEN 'train' WHEN source < 'src16' THEN 'dev' ELSE 'test' END AS split FROM documents), h AS (SELECT split, source, doc_id, row_number() OVER (PARTITION BY split ORDER BY source, doc_id) - 1 AS slot, sha256(array_to_string(['=' || doc_id, '=' || source], chr(31))) AS hash FROM s WHERE split <> 'test')
+  SELECT split, slot, source AS "case", doc_id AS ordinal, hash FROM h""")
 def v10_authority_projection(spark, sf):
-    rows = B.table(spark, sf, "documents").where("source < 'src15'")
-    slot = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return rows.select("doc_id", slot.alias("slot"), row_hash(F.col("doc_id"), F.col("source")).alias("hash"))
+    """Rows of the train and dev sources by slot; those of the test sources never come out."""
+    docs = B.table(spark, sf, "documents").select(F.col("source").alias("case"), F.col("doc_id").alias("ordinal"))
+    split = F.when(F.col("case") < "src13", "train").when(F.col("case") < "src16", "dev").otherwise("test")
+    return K.authority_projection(docs, docs.select("case").distinct().withColumn("split", split), row_hash(F.col("ordinal"), F.col("case")), ["train", "dev"])[0]

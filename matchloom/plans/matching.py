@@ -46,9 +46,10 @@ def p05_project_contract(spark, sf):
 def p06_contract_matches(spark, sf):
     found = B.ports(spark, sf)
     fields = O.CONTRACT
-    asked = found.where("ordinal = 0").select("step", *[F.col(c).alias(f"want_{c}") for c in fields])
+    of_step = Window.partitionBy("step")
+    asked = found.withColumns({f"want_{c}": F.max(F.when(F.col("ordinal") == 0, F.col(c))).over(of_step) for c in fields})
     same = lambda n: F.count_if(F.forall(F.array(*[F.col(c).eqNullSafe(F.col(f"want_{c}")) for c in fields[:n]]), lambda x: x))
-    return found.join(asked, "step").groupBy("step").agg(*[same(n).alias(f"fields_{n}") for n in range(1, 6)])
+    return asked.groupBy("step").agg(*[same(n).alias(f"fields_{n}") for n in range(1, 6)])
 
 
 @query(f"""WITH {S.PORT} SELECT step, ordinal, CASE WHEN size_class <> 'only' THEN size_class || ' ' ELSE '' END || geometry_type || ' ' || kind
@@ -131,22 +132,28 @@ def j01_port_candidate_mask(spark, sf):
     return _counts(spark, sf).select("query", "edge", "side", "candidate", (F.col("n") > 0).alias("mask"))
 
 
-def _counts(spark, sf):
-    ports = written(B.ports(spark, sf), "ports")
-    return O.match_counts(B.candidates(spark, sf), B.endpoints(spark, sf, ports), ports)
+def _candidates(spark, sf):
+    return written(B.candidates(spark, sf), "candidates")
 
 
-def _ready(spark, sf):
+def _counts(spark, sf, cands=None):
+    cands = _candidates(spark, sf) if cands is None else cands
+    ports = written(B.ports(spark, sf).select("step", "ordinal", "contract"), "ports")
+    return O.match_counts(cands, B.endpoints(spark, sf, ports, cands), ports)
+
+
+def _ready(spark, sf, cands=None):
     """The candidates that may stand at their roles, once worked out for all that a query does with them."""
-    return written(A.endpoint_costs(B.candidates(spark, sf), _counts(spark, sf)), "ready")
+    cands = _candidates(spark, sf) if cands is None else cands
+    return written(A.endpoint_costs(cands, _counts(spark, sf, cands)), "ready")
 
 
 def _assignments(spark, sf):
     return A.feasible_assignments(_ready(spark, sf))
 
 
-def _best(spark, sf):
-    return A.best_assignments(_ready(spark, sf))
+def _best(spark, sf, cands=None):
+    return A.best_assignments(_ready(spark, sf, cands))
 
 
 @query(f"WITH {S.REQ}, a AS (SELECT DISTINCT step FROM prim) SELECT c.query, c.role, c.candidate, a.step IS NOT NULL AS available FROM cand c LEFT JOIN a ON a.step = c.candidate")
@@ -174,7 +181,8 @@ _PICKED = """picked AS (SELECT query, rank, score, unnest([0, 1, 2, 3, 4]) AS po
   p AS (SELECT p.query, p.rank, p.score, p.pos, p.candidate, r.role FROM picked p JOIN role r ON r.query = p.query AND r.pos = p.pos)
   SELECT q.query, CASE WHEN p.rank IS NULL THEN 'no_candidate' ELSE 'predicted' END AS status, CAST(p.rank AS INTEGER) AS rank, p.pos, p.role, p.candidate, round(p.score, 6) + 0.0 AS score FROM q LEFT JOIN p ON p.query = q.query""")
 def j06_symbolic_predictions(spark, sf):
-    out = A.predictions(B.candidates(spark, sf), A.ranked(_best(spark, sf)))
+    cands = _candidates(spark, sf)
+    out = A.predictions(cands, A.ranked(_best(spark, sf, cands)))
     return out.withColumn("score", F.col("score") + 0.0)
 
 
@@ -191,7 +199,8 @@ def w09_rank_policies(spark, sf):
   SELECT c.query, c.role, c.candidate, CAST(row_number() OVER (PARTITION BY c.query, c.role ORDER BY s.seen IS NULL, s.seen, c.candidate) - 1 AS INTEGER) AS place
   FROM cand c LEFT JOIN seen s ON s.query = c.query AND s.pos = c.pos AND s.candidate = c.candidate""")
 def w10_role_rankings_from_beam(spark, sf):
-    return R.role_rankings(B.candidates(spark, sf), A.ranked(_best(spark, sf))).drop("pos")
+    cands = _candidates(spark, sf)
+    return R.role_rankings(cands, A.ranked(_best(spark, sf, cands))).drop("pos")
 
 
 _PLACED = "place AS (SELECT query, pos, candidate, row_number() OVER (PARTITION BY query, role ORDER BY volume DESC, candidate) - 1 AS place FROM cand)"
@@ -217,7 +226,8 @@ def j07_external_rank_predictions(spark, sf):
     round(avg(raw), 6) AS raw_mean, median(raw) AS raw_median, quantile_disc(raw, 0.9) AS raw_p90, max(raw) AS raw_max,
     round(avg(feasible), 6) AS feasible_mean, median(feasible) AS feasible_median, quantile_disc(feasible, 0.9) AS feasible_p90, max(feasible) AS feasible_max FROM e""")
 def j09_ambiguity_audit(spark, sf):
-    return A.ambiguity_audit(B.candidates(spark, sf), _ready(spark, sf))
+    cands = _candidates(spark, sf)
+    return A.ambiguity_audit(cands, _ready(spark, sf, cands))
 
 
 @query(f"""WITH {S.CAND}, r AS (SELECT query, role, candidate FROM cand WHERE candidate % 7 <> 0 UNION ALL SELECT query, role, candidate FROM cand WHERE candidate % 11 = 0 UNION ALL SELECT query, role, -candidate FROM cand WHERE candidate % 13 = 0),
@@ -256,7 +266,8 @@ def g10_candidate_summary(spark, sf):
 @query(f"""WITH {S.ASSIGN}, q AS (SELECT DISTINCT query FROM cand) SELECT CASE WHEN a.query IS NULL THEN 'no_candidate' ELSE 'predicted' END AS status, count(*) AS n
   FROM q LEFT JOIN (SELECT DISTINCT query FROM assigned) a ON a.query = q.query GROUP BY 1""")
 def g11_status_counts(spark, sf):
-    found = A.feasible_counts(B.candidates(spark, sf), _ready(spark, sf))
+    cands = _candidates(spark, sf)
+    found = A.feasible_counts(cands, _ready(spark, sf, cands))
     return found.groupBy(F.when(F.col("feasible") > 0, "predicted").otherwise("no_candidate").alias("status")).agg(F.count("*").alias("n"))
 
 

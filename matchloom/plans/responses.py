@@ -13,7 +13,8 @@ from matchloom.operators import graphs as G
 from matchloom.operators import requests as R
 from matchloom.operators import symmetries as Y
 from matchloom.operators.assemblies import aligned
-from matchloom.operators.records import face_bindings
+from matchloom.operators.ordering import positions
+from matchloom.operators.records import face_bindings, semantic_commitments
 from matchloom.sources.tables import written
 
 from . import bindings as B
@@ -33,14 +34,18 @@ def r06_validate_graph_response(spark, sf):
     return R.graph_response_reasons(roles.select("query", "role"), said_roles, said, MOBILITIES)
 
 
-@query("""SELECT source, count(*) AS rows, count(*) FILTER (WHERE doc_id % 37 = 0) AS missing, count(*) FILTER (WHERE doc_id % 37 <> 0 AND doc_id % 31 = 0) AS differing, count(*) FILTER (WHERE doc_id % 37 = 0 OR doc_id % 31 = 0) = 0 AS verified FROM documents GROUP BY source""")
+@query("""WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place FROM documents), x AS (SELECT source, count(*) AS rows, count(*) FILTER (WHERE doc_id % 37 = 0) AS missing, count(*) FILTER (WHERE doc_id % 37 <> 0 AND (doc_id % 31 = 0 OR doc_id % 29 = 0)) AS differing FROM r GROUP BY source)
+  SELECT source AS "case", CASE WHEN source < 'src13' THEN 'train' ELSE 'dev' END AS split, rows, missing, CASE WHEN rows % 5 = 0 THEN 1 ELSE 0 END AS extra, differing, missing + differing = 0 AND rows % 5 <> 0 AND rows % 7 <> 0 AS verified FROM x""")
 def j28_semantic_commitments(spark, sf):
-    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    rows = B.table(spark, sf, "documents").select("source", "doc_id", place.alias("place"), F.sha2("text", 256).alias("sha"))
-    declared = rows.where("doc_id % 37 <> 0").select("source", "place", F.when(F.col("doc_id") % 31 == 0, "other").otherwise(F.col("sha")).alias("declared"))
-    both = rows.join(declared, ["source", "place"], "full_outer")
-    out = both.groupBy("source").agg(F.count("sha").alias("rows"), F.count_if(F.col("declared").isNull()).alias("missing"), F.count_if(F.col("sha") != F.col("declared")).alias("differing"))
-    return out.withColumn("verified", (F.col("missing") == 0) & (F.col("differing") == 0))
+    """Rows of every source against commitments of which some are lacking, have another hash or id, or are one too many; some sources declare another number."""
+    docs = B.table(spark, sf, "documents").select(F.col("source").alias("case"), "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    rows = written(positions(docs, ["case"], ["doc_id"], "place").withColumnRenamed("doc_id", "id"), "library-rows")
+    i = F.col("id")
+    committed = rows.where("id % 37 <> 0").select("case", "place", F.when(i % 29 == 0, -1).otherwise(i).alias("id"), F.when(i % 31 == 0, "other").otherwise(F.col("sha")).alias("sha"))
+    n = rows.groupBy("case").agg(F.count("*").alias("n"))
+    more = n.where("n % 5 = 0").select("case", F.col("n").alias("place"), F.lit(0).cast("long").alias("id"), F.lit("more").alias("sha"))
+    cases = n.select("case", F.when(F.col("case") < "src13", "train").otherwise("dev").alias("split"), F.when(F.col("n") % 7 == 0, F.col("n") + 1).otherwise(F.col("n")).alias("row_count"))
+    return semantic_commitments(rows, committed.unionByName(more), cases)[0]
 
 
 @query(f"""WITH {_PLACED} SELECT user_id * 1000000 + pos // 5 AS query, count(*) AS parts, CASE WHEN max(user_id) % 7 = 0 AND count(*) > 1 THEN 'role_domain' ELSE 'aligned' END AS status FROM pl GROUP BY 1""")

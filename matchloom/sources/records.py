@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions.text import is_sha256
@@ -99,3 +99,25 @@ def tree_hash(rows: DataFrame, digest) -> DataFrame:
     buckets = rows.select(digest.alias("h")).groupBy(F.substring("h", 1, 3).alias("b")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"])
     return buckets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sha2(F.array_join(ordered, ""), 256).alias("sha256"))
+
+
+REQUEST = (
+    "query bigint, roles array<string>, candidate_sets map<string, array<bigint>>, "
+    "functional_edges array<struct<edge: int, role_a: string, role_b: string, status: string>>"
+)
+
+
+def load_protocol(spark: SparkSession, folder: str, schema: str = REQUEST) -> dict[str, DataFrame]:
+    """Nested request documents (JSON, one a line) -> four flat tables: query (query, n_roles), role (query, pos, role), candidate (query, role, pos, candidate), edge (query, pos, edge, role_a, role_b, status).
+
+    Candidate sets are a map whose keys differ from request to request, so it is read with an explicit schema.  A document that does not fit it has null fields and no rows but its own.
+    """
+    documents = spark.read.schema(schema).json(folder)
+    edges = documents.select("query", F.posexplode("functional_edges").alias("pos", "e")).select("query", "pos", "e.*")
+    sets = documents.select("query", F.explode("candidate_sets").alias("role", "ids"))
+    return {
+        "query": documents.select("query", F.coalesce(F.size("roles"), F.lit(0)).alias("n_roles")),
+        "role": documents.select("query", F.posexplode("roles").alias("pos", "role")),
+        "candidate": sets.select("query", "role", F.posexplode("ids").alias("pos", "candidate")),
+        "edge": edges,
+    }
