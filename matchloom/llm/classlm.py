@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import ids_and_texts, literal_array, partitions, schema, written
+from .tables import drop, ids_and_texts, literal_array, partitions, recorded, schema, written
 from .text import Words, lists, mix, slices
 
 END = np.uint64(0x5851F42D4C957F2D)
@@ -276,23 +276,30 @@ def _looked_up(texts: pd.DataFrame, words: pd.DataFrame) -> tuple[np.ndarray, np
     return n[places], cls[places], first
 
 
-def _classed(texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-    """The chunk's texts with the classes of their words, a byte each."""
+def _number(classes: int) -> np.dtype:
+    """How a class is stored: a byte each up to 256 of them, two up to 65,536."""
+    if classes > 1 << 16:
+        raise ValueError("there may be 65,536 classes at most")
+    return np.dtype("u1" if classes <= 256 else "<u2")
+
+
+def _classed(texts: pd.DataFrame, words: pd.DataFrame, kind: np.dtype) -> pd.DataFrame:
+    """The chunk's texts with the classes of their words, in the bytes of `kind`."""
     n, cls, first = _looked_up(texts, words)
     sums = [np.add.reduceat(x, first[:-1]) if len(texts) else x for x in (n > 0, np.log10(n + 1.0))]
-    raw = cls.astype(np.uint8).tobytes()
+    raw, each = cls.astype(kind).tobytes(), kind.itemsize
     return pd.DataFrame({
         "doc_id": texts["doc_id"].astype("int64"), "n_tokens": np.diff(first), "n_known": sums[0].astype(np.int64), "sum_word": sums[1],
-        "classes": [raw[a:b] for a, b in zip(first, first[1:], strict=False)],
+        "classes": [raw[each * a : each * b] for a, b in zip(first, first[1:], strict=False)],
     })
 
 
-def _steps(batch: pa.RecordBatch, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _steps(batch: pa.RecordBatch, end: int, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Class before and class of every word, and where texts begin; every text has its end at least."""
     column = batch.column("classes").cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    cls = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].astype(np.int64)
-    first = (offsets - offsets[0])[:-1]
+    cls = np.frombuffer(memoryview(column.buffers()[2])[offsets[0] : offsets[-1]], kind).astype(np.int64)
+    first = ((offsets - offsets[0]) // kind.itemsize)[:-1]
     before = np.roll(cls, 1)
     before[first] = end
     return before, cls, first
@@ -303,7 +310,7 @@ def _moves(batches: Iterator[pa.RecordBatch], classes: int, end: int) -> Iterato
     total = np.zeros(classes * classes, np.int64)
     for batch in batches:
         for part in slices([batch], "classes"):
-            before, cls, _ = _steps(part, end)
+            before, cls, _ = _steps(part, end, _number(classes))
             total += np.bincount(before * classes + cls, minlength=classes * classes)
     found = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["move", "n"])
@@ -314,7 +321,7 @@ def _weighed(batches: Iterator[pa.RecordBatch], weight: np.ndarray, end: int) ->
     names = ["doc_id", "n_tokens", "n_known", "sum_word"]
     for batch in batches:
         for part in slices([batch], "classes"):
-            before, cls, first = _steps(part, end)
+            before, cls, first = _steps(part, end, _number(len(weight)))
             yield pa.RecordBatch.from_arrays([*map(part.column, names), pa.array(np.add.reduceat(weight[before, cls], first))], names=[*names, "sum_class"])
 
 
@@ -326,7 +333,7 @@ def class_scores(
     Words are lowered in A-Z; a text's end is one more token.  Documents for which held_out
     is true are scored but not learned from.  base_score: the sum of log10((c + 1) /
     (N + V + 1)) over unigrams; score: the class model's log10 probability of the text.
-    classes: by default the cube root of the number of distinct words, within 16 to 256.
+    classes: by default the cube root of the number of distinct words, within 16 to 256; no more than heads, tails and the end make up.
 
     Null and empty texts are an end alone.  Rows repeated under one doc_id are each
     counted and scored; rows with a null doc_id are left out; other columns are not read; an empty table gives no rows.
@@ -359,21 +366,28 @@ def class_scores(
     near = np.unique(exchange_clusters(pairs, min(NEAR, classes)), return_inverse=True)[1]
     found = train.mapInArrow(partial(_contexts, heads=top, tails=tails, near=near), schema("name long, code int, n long")).repartition(partitions(spark), "name")
     found = found.groupBy("name", "code").agg(F.sum("n").alias("n")).groupBy("name").agg(F.collect_list(F.struct("code", "n")).alias("found"))
-    vectors = written(found.join(counts.where(F.col("n") >= least).select("name", "tail"), "name"), "contexts")
+    with recorded(contexts := []):
+        vectors = written(found.join(counts.where(F.col("n") >= least).select("name", "tail"), "name"), "contexts")
     spread = np.eye(classes)[cls]
     placed = word_classes(vectors, np.eye(int(near.max()) + 1)[near].T @ pairs @ spread, of_tail)
     kept = F.broadcast(spark.createDataFrame(list(zip(top.view(np.int64).tolist(), cls[: len(top)].tolist(), strict=True)), "name long, head int"))
     by_tail = literal_array(of_tail.tolist(), "int")[F.col("tail")]
     words = counts.join(placed, "name", "left").join(kept, "name", "left").select("name", "n", F.coalesce("head", "class", by_tail).alias("class"))
     words = written(words, "words")
+    for path in contexts:
+        drop(spark, path)
 
-    rows = written(source.mapInArrow(partial(_chunked, tails=tails), schema("chunk long, doc_id long, words array<int>, names array<long>, tails array<int>")), "chunks")
+    with recorded(chunks := []):
+        rows = written(source.mapInArrow(partial(_chunked, tails=tails), schema("chunk long, doc_id long, words array<int>, names array<long>, tails array<int>")), "chunks")
     asked = rows.where("doc_id is null").select("chunk", F.posexplode(F.arrays_zip("names", "tails")).alias("place", "x")).select("chunk", "place", F.col("x.names").alias("name"), F.col("x.tails").alias("tail"))
     known = asked.join(words, "name", "left").select(F.col("chunk").alias("of_chunk"), "place", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("class", by_tail).alias("class"))
     # only the answers travel with the texts, and only once
     texts = rows.where("doc_id is not null").select("chunk", "doc_id", "words")
-    classed = texts.groupBy("chunk").cogroup(known.groupBy("of_chunk")).applyInPandas(_classed, schema("doc_id long, n_tokens long, n_known long, sum_word double, classes binary"))
+    classed = texts.groupBy("chunk").cogroup(known.groupBy("of_chunk")).applyInPandas(partial(_classed, kind=_number(classes)), schema("doc_id long, n_tokens long, n_known long, sum_word double, classes binary"))
     classed = written(classed, "classed")
+    # what only led here is not kept beside it
+    for path in chunks:
+        drop(spark, path)
     moved = classed.where(f"not ({held_out})").select("classes").mapInArrow(partial(_moves, classes=classes, end=end), schema("move long, n long"))
     moved = moved.groupBy("move").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     moves = np.zeros(classes * classes)
