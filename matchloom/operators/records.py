@@ -170,3 +170,29 @@ def projection_faults(projection: DataFrame, receipts: DataFrame, splits: list[s
         .when(~(F.col("n").eqNullSafe(F.col("said")) & F.col("hash").eqNullSafe(F.col("sha256"))), "receipt")
     )
     return both.select("split", fault.alias("fault")).where("fault is not null")
+
+
+def model_view_payload(graphs: DataFrame, examples: DataFrame, programs: DataFrame, targets: DataFrame, types: list[str], most: int = 512, fan: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """(example, reason, text; one row: graphs, examples, refused, sha256) of what a model may see: graph views and examples, with nothing of where they come from.
+
+    graphs (graph, view: a hash of its canonical nodes and edges), examples (example, graph_a, graph_b), programs and targets as example_reasons takes them.  An example's text has its
+    two views, its programs in the order of their index, and its target's index, translation and rotation, to twelve digits.  An example that breaks a rule, or names a graph that is not there (graph), is
+    refused and has no text.  The payload's hash is over the ordered trees of `graph:view` and of the texts, so it does not depend on the order in which anything is given.
+    """
+    view = lambda side: graphs.select(F.col("graph").alias(f"graph_{side}"), F.col("view").alias(f"view_{side}"))
+    listed = programs.groupBy("example").agg(F.array_sort(F.collect_list(F.struct("idx", "id", "type", "descriptor"))).alias("p"))
+    number = lambda x: F.format_number(F.round(x, 12) + 0.0, 12)
+    numbers = lambda c: F.array_join(F.transform(c, number), ",")
+    goal = targets.select("example", F.concat_ws("|", "idx", numbers("translation"), numbers("rotation")).alias("goal"))
+    rows = examples.join(example_reasons(programs, targets, types, most), "example", "left").join(listed, "example", "left").join(goal, "example", "left")
+    rows = rows.join(view("a"), "graph_a", "left").join(view("b"), "graph_b", "left")
+    gone = F.col("view_a").isNull() | F.col("view_b").isNull()
+    reason = F.when(F.coalesce("reason", F.lit("too_few")) != "valid", F.coalesce("reason", F.lit("too_few"))).when(gone, "graph").otherwise("valid")
+    body = F.array_join(F.transform("p", lambda p: F.concat_ws(":", p["idx"], p["id"], p["type"], p["descriptor"])), ";")
+    rows = rows.withColumn("reason", reason).withColumn("text", F.when(F.col("reason") == "valid", F.concat_ws("/", "view_a", "view_b", body, "goal"))).select("example", "reason", "text")
+    count = lambda df: df.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.coalesce(F.max("hash"), F.lit("")).alias("h"))
+    g = count(ordered_hashes(graphs, [], ["graph"], F.concat_ws(":", "graph", "view"), fan)).select(F.col("n").alias("graphs"), F.col("h").alias("g"))
+    e = count(ordered_hashes(rows.where("text is not null"), [], ["example"], F.col("text"), fan)).select(F.col("n").alias("examples"), F.col("h").alias("e"))
+    refused = rows.agg(F.count_if(F.col("text").isNull()).alias("refused"))
+    # one row beside one row
+    return rows, g.crossJoin(e).crossJoin(refused).select("graphs", "examples", "refused", F.sha2(F.concat_ws("\n", "graphs", "g", "examples", "e"), 256).alias("sha256"))

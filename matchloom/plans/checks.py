@@ -9,10 +9,11 @@ from matchloom.functions import ports as P
 from matchloom.functions import text as X
 from matchloom.functions import vectors as V
 from matchloom.operators import geometry as G
+from matchloom.operators import graphs as H
 from matchloom.operators import requests as R
 from matchloom.operators import sockets as K
 from matchloom.operators.ordering import positions
-from matchloom.operators.records import example_reasons
+from matchloom.operators.records import example_reasons, model_view_payload
 from matchloom.sources import records as S
 from matchloom.sources.tables import written
 
@@ -193,10 +194,8 @@ def v07_graph_check(spark, sf):
 _PROGRAM_TYPES = ["axial_insert", "planar_contact", "offset"]
 
 
-@query(f"""WITH {Q.CAND}, c AS (SELECT query, candidate, row_number() OVER (PARTITION BY query ORDER BY candidate) - 1 AS i, CASE WHEN query % 17 = 0 THEN role ELSE role || '/' || candidate END AS descriptor FROM cand), n AS (SELECT query, count(*) AS n, count(DISTINCT descriptor) AS d FROM c GROUP BY query)
-  SELECT query AS example, CASE WHEN n > 12 THEN 'too_many' WHEN query % 13 = 0 THEN 'index' WHEN query % 11 = 0 THEN 'type' WHEN query % 7 = 0 THEN 'id' WHEN d < n THEN 'twin' WHEN query % 5 = 0 THEN 'target' WHEN query % 19 = 0 THEN 'translation' WHEN query % 3 = 0 THEN 'rotation' ELSE 'valid' END AS reason FROM n""")
-def v08_example_check(spark, sf):
-    """Every request as an example of programs, one for each candidate; each rule is broken by some."""
+def _examples(spark, sf):
+    """Every request as an example of programs, one for each candidate, and its target; each rule is broken by some."""
     q, place = F.col("query"), F.row_number().over(Window.partitionBy("query").orderBy("candidate")) - 1
     rows = B.candidates(spark, sf).withColumn("idx", place).withColumn("descriptor", F.when(q % 17 == 0, F.col("role")).otherwise(F.concat_ws("/", "role", "candidate")))
     kind = F.element_at(F.array(*map(F.lit, _PROGRAM_TYPES)), (F.col("idx") % 3 + 1).cast("int"))
@@ -211,7 +210,33 @@ def v08_example_check(spark, sf):
     rotation = F.array(*[turn[4 * i + j] * F.when(e % 3 == 0, 1.01).otherwise(1.0) for i in range(3) for j in range(3)])
     shift = F.array(F.lit(1.0), F.lit(2.0), F.when(e % 19 == 0, float("nan")).otherwise(3.0))
     targets = last.select("example", F.when(e % 5 == 0, F.col("last") + 1).otherwise(F.col("last")).alias("idx"), shift.alias("translation"), rotation.alias("rotation"))
-    return example_reasons(programs, targets, _PROGRAM_TYPES, most=12)
+    return programs, targets
+
+
+@query(f"""WITH {Q.CAND}, c AS (SELECT query, candidate, row_number() OVER (PARTITION BY query ORDER BY candidate) - 1 AS i, CASE WHEN query % 17 = 0 THEN role ELSE role || '/' || candidate END AS descriptor FROM cand), n AS (SELECT query, count(*) AS n, count(DISTINCT descriptor) AS d FROM c GROUP BY query)
+  SELECT query AS example, CASE WHEN n > 12 THEN 'too_many' WHEN query % 13 = 0 THEN 'index' WHEN query % 11 = 0 THEN 'type' WHEN query % 7 = 0 THEN 'id' WHEN d < n THEN 'twin' WHEN query % 5 = 0 THEN 'target' WHEN query % 19 = 0 THEN 'translation' WHEN query % 3 = 0 THEN 'rotation' ELSE 'valid' END AS reason FROM n""")
+def v08_example_check(spark, sf):
+    return example_reasons(*_examples(spark, sf), _PROGRAM_TYPES, most=12)
+
+
+@query(f"""WITH {Q.ADJ}, {Q.CAND}, n AS (SELECT step, string_agg(kind || ':' || geometry_type, ',' ORDER BY ordinal) AS t FROM prim GROUP BY step), g AS (SELECT step, string_agg(least(a, b) || '-' || greatest(a, b) || '-' || feature, ',' ORDER BY least(a, b), greatest(a, b), feature) AS t FROM adj GROUP BY step),
+  w AS (SELECT n.step AS graph, sha256(n.t || '|' || coalesce(g.t, '')) AS view FROM n LEFT JOIN g USING (step)), gp AS (SELECT 0 AS k, graph || ':' || view AS t, row_number() OVER (ORDER BY graph) - 1 AS pos FROM w), {Q.tree_hashes('gp', 'k', 64, 'gt')},
+  c AS (SELECT query, candidate, row_number() OVER (PARTITION BY query ORDER BY candidate) - 1 AS i, role || '/' || candidate AS descriptor FROM cand), m AS (SELECT query, count(*) AS n, min(candidate) AS a, max(candidate) AS b, max(i) AS last,
+    string_agg(i || ':catalog_' || substr(sha256(descriptor), 1, 16) || ':' || {_PROGRAM_TYPES}[i % 3 + 1] || ':' || descriptor, ';' ORDER BY i) AS p FROM c GROUP BY query),
+  r AS (SELECT m.*, CASE WHEN n > 12 THEN 'too_many' WHEN query % 13 = 0 THEN 'index' WHEN query % 11 = 0 THEN 'type' WHEN query % 7 = 0 THEN 'id' WHEN query % 17 = 0 THEN 'twin' WHEN query % 5 = 0 THEN 'target' WHEN query % 19 = 0 THEN 'translation' WHEN query % 3 = 0 THEN 'rotation' WHEN x.view IS NULL OR y.view IS NULL THEN 'graph' ELSE 'valid' END AS reason,
+    x.view || '/' || y.view || '/' || p AS head FROM m LEFT JOIN w x ON x.graph = m.a LEFT JOIN w y ON y.graph = m.b)
+  SELECT r.query AS example, r.reason, CASE WHEN r.reason = 'valid' THEN sha256(r.head) END AS head, gt.n AS graphs, (SELECT count(*) FROM r WHERE reason = 'valid') AS examples, true AS rebuilt FROM r, gt""")
+def v11_view_payload(spark, sf):
+    """The views of all steps and the examples of all requests between the parts of their first and last candidates; built again from rows in another order, the payload is the same."""
+    programs, targets = (written(x, "examples") for x in _examples(spark, sf))
+    views = written(H.model_views(B.primitives(spark, sf), B.adjacency(spark, sf), F.concat_ws(":", "kind", "geometry_type")).select(F.col("step").alias("graph"), "view"), "views")
+    ends = B.candidates(spark, sf).groupBy(F.col("query").alias("example")).agg(F.min("candidate").alias("graph_a"), F.max("candidate").alias("graph_b"))
+    rows, payload = model_view_payload(views, ends, programs, targets, _PROGRAM_TYPES, 12, 64)
+    mixed = lambda df: df.repartition(3, F.rand(7))
+    again = model_view_payload(mixed(views), mixed(ends), mixed(programs), mixed(targets), _PROGRAM_TYPES, 12, 64)[1].select(F.col("sha256").alias("other"))
+    # what the target adds behind the last slash of the programs is compared by the rebuilt payload
+    parts = F.split("text", r"/(?=[^/]*$)")
+    return rows.crossJoin(F.broadcast(payload)).crossJoin(F.broadcast(again)).select("example", "reason", F.sha2(F.get(parts, F.lit(0)), 256).alias("head"), "graphs", "examples", (F.col("sha256") == F.col("other")).alias("rebuilt"))
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 40 = 7 THEN 'not_json' WHEN event_id % 9 = 0 THEN 'flag' WHEN event_id % 8 = 0 THEN 'field' ELSE 'public' END AS scope FROM events""")
