@@ -266,6 +266,25 @@ def test_example_reasons(spark):
     assert got == want
 
 
+def test_model_view_payload(spark):
+    same = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
+    graphs = spark.createDataFrame([(1, "v1"), (2, "v2")], "graph int, view string")
+    examples = spark.createDataFrame([("x", 1, 2), ("y", 1, 3), ("z", 1, 2)], "example string, graph_a int, graph_b int")
+    programs = spark.createDataFrame([(e, i, "catalog_" + sha(f"d{i}")[:16], "a", f"d{i}", "a") for e in "xyz" for i in (1, 0) if (e, i) != ("z", 1)], "example string, idx int, id string, type string, descriptor string, relation string")
+    targets = spark.createDataFrame([(e, 0, [0.0, -0.0, 0.5], same) for e in "xyz"], "example string, idx int, translation array<double>, rotation array<double>")
+    out, payload = K.model_view_payload(graphs, examples, programs, targets, ["a"])
+    got = {r.example: r for r in out.collect()}
+    assert {e: r.reason for e, r in got.items()} == {"x": "valid", "y": "graph", "z": "too_few"}
+    ids = [f"{i}:catalog_{sha(f'd{i}')[:16]}:a:d{i}" for i in (0, 1)]
+    number = lambda v: ",".join(f"{x + 0.0:.12f}" for x in v)
+    assert got["x"].text == f"v1/v2/{ids[0]};{ids[1]}/0|{number([0.0, 0.0, 0.5])}|{number(same)}"
+    one = payload.first()
+    assert (one.graphs, one.examples, one.refused, one.sha256) == (2, 1, 2, sha(f"2\n{sha('1:v1' + chr(10) + '2:v2')}\n1\n{sha(got['x'].text)}"))
+    turned = graphs.orderBy(F.desc("graph"))
+    assert K.model_view_payload(turned, examples, programs.orderBy("idx"), targets, ["a"])[1].first() == one
+    assert K.model_view_payload(turned.withColumn("view", F.upper("view")), examples, programs, targets, ["a"])[1].first() != one
+
+
 def test_commitments_and_projection(spark):
     lib = spark.createDataFrame([("a", 0, 1, "x"), ("a", 1, 2, "y"), ("b", 0, 3, "z"), ("c", 0, 4, "w")], "case string, place int, id int, sha string")
     said = spark.createDataFrame([("a", 0, 1, "x"), ("a", 1, 2, "y"), ("b", 0, 9, "z"), ("c", 1, 4, "w")], "case string, place int, id int, sha string")
