@@ -6,6 +6,7 @@ in the order of a priority queue over the tree's open branches, the best inner p
 with a branch's centre first.  How many leaves it visits is widened until the recall
 of `trial` queries against brute force over all rows reaches `recall`.
 
+A query's queue is run once, and its visits are written by round.
 Leaves are cut into parts of about `chunk` rows, so a leaf with a third of all rows is many
 tasks' work.  Visits go in rounds, each four times as wide as all before it: a query carries the
 score of its k-th best row so far, and a part answers with nothing below that.  So a query's
@@ -25,8 +26,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import literal_array, schema, written
+from .text import lists
 
 _FOUND = "query_id long, vec_id long, score double"
+_ROUTED_AT = 1_000_000
 
 
 class Tree:
@@ -103,21 +106,38 @@ def _assigned(batches: Iterator[pa.RecordBatch], tree: Tree) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(leaf)], names=["vec_id", "v", "leaf"])
 
 
-def _routed(batches: Iterator[pa.RecordBatch], tree: Tree, rows: np.ndarray, parts: np.ndarray, most: int, need: int, start: int, stop: int) -> Iterator[pa.RecordBatch]:
-    """Each query with the leaves' parts at places start to stop of its visits."""
+def _round_edges(parts: int) -> list[int]:
+    """Where rounds begin and end among `parts` places: one part first, then each round four times as wide as all before it."""
+    edges = [0, 1]
+    while edges[-1] < parts:
+        edges.append(4 * edges[-1])
+    return edges
+
+
+def _routed(batches: Iterator[pa.RecordBatch], tree: Tree, rows: np.ndarray, parts: np.ndarray, most: int, need: int, edges: list[int]) -> Iterator[pa.RecordBatch]:
+    """Each query's visits, worked out once: a row for each round with the leaves and their parts in it."""
     for batch in batches:
-        if batch.num_rows:
-            leaves, part, row = [], [], []
-            for i, q in enumerate(_matrix(batch.column("v"))):
-                seen = np.array(tree.visits(q, most, rows, need), np.int64)
-                n = parts[seen]
-                leaf = np.repeat(seen, n)[start:stop]
-                leaves.append(leaf)
-                part.append((np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))[start:stop])
-                row.append(np.full(len(leaf), i))
-            at = pa.array(np.concatenate(row), pa.int64())
-            columns = [batch.column(c).take(at) for c in ("vec_id", "v", "floor")]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.concatenate(x), pa.int64()) for x in (leaves, part))], names=["query_id", "q", "floor", "leaf", "part"])
+        held: list[tuple] = []
+        size = 0
+        for query, v in zip(batch.column("vec_id").to_pylist(), _matrix(batch.column("v")), strict=False):
+            seen = np.array(tree.visits(v, most, rows, need), np.int64)
+            n = parts[seen]
+            leaf = np.repeat(seen, n)
+            part = np.arange(len(leaf)) - np.repeat(np.cumsum(n) - n, n)
+            held += [(query, turn, leaf[a:b], part[a:b]) for turn, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if a < len(leaf)]
+            size += len(leaf)
+            if size > _ROUTED_AT:
+                yield _route_rows(held)
+                held, size = [], 0
+        if held:
+            yield _route_rows(held)
+
+
+def _route_rows(held: list[tuple]) -> pa.RecordBatch:
+    query, turn, leaves, parts = zip(*held, strict=True)
+    places = np.concatenate([[0], np.cumsum([len(x) for x in leaves])])
+    listed = [lists(np.concatenate(x), places, pa.int32()) for x in (leaves, parts)]
+    return pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(turn, pa.int32()), *listed], names=["query_id", "round", "leaves", "parts"])
 
 
 def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, floor: np.ndarray | None = None) -> pd.DataFrame:
@@ -221,21 +241,24 @@ def nearest(
 
     in_part = literal_array(in_parts.tolist(), "long")[F.col("leaf").cast("int")]
     chunked = placed.withColumn("part", F.pmod(F.xxhash64("vec_id"), in_part))
-    found, start, stop = None, 0, 1
-    while found is None or start < in_parts.sum():
+    # the queue is run once for each query; a round reads its own folder of what it gave
+    edges = _round_edges(int(in_parts.sum()))
+    route = partial(_routed, tree=tree, rows=in_leaf, parts=in_parts, most=most, need=k + 1, edges=edges)
+    routes = written(asked.mapInArrow(route, schema("query_id long, round int, leaves array<int>, parts array<int>")), "visits", by=["round"])
+    rounds = (routes.agg(F.max("round")).first()[0] or 0) + 1
+    found = None
+    for turn in range(rounds):
+        queries = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
         if found is None:
-            queries = asked.withColumn("floor", F.lit(None).cast("double"))
+            queries = queries.withColumn("floor", F.lit(None).cast("double"))
         else:
-            floor = found.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
-            queries = asked.join(floor, asked.vec_id == floor.query_id, "left").select("vec_id", "v", "floor")
-        route = partial(_routed, tree=tree, rows=in_leaf, parts=in_parts, most=most, need=k + 1, start=start, stop=stop)
-        visits = queries.mapInArrow(route, schema("query_id long, q array<double>, floor double, leaf long, part long"))
-        if found is not None and start >= most and visits.isEmpty():
-            break
+            queries = queries.join(found.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor")), "query_id", "left")
+        # one row of a query meets its vector, and only then becomes its visits
+        visits = routes.where(F.col("round") == turn).join(queries, "query_id").select("query_id", "q", "floor", F.explode(F.arrays_zip("leaves", "parts")).alias("x"))
+        visits = visits.select("query_id", "q", "floor", F.col("x.leaves").cast("long").alias("leaf"), F.col("x.parts").cast("long").alias("part"))
         answers = _searched_parts(visits, chunked, k, chunk)
         known = answers if found is None else answers.unionByName(found.drop("rank"))
         found = written(_top(known, k), "found")
-        start, stop = stop, 4 * stop
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
