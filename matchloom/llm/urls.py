@@ -5,7 +5,8 @@ the executors.  The labelled URLs are those that a rule decides.
 
 Suffix statistics count sites (the last two labels of a host), not pages: how often the labelled sites under a host's
 last label are blocked, without the page's own site, so that one large site, or the rule that
-names it, does not speak for all others under its ending.
+names it, does not speak for all others under its ending.  A suffix or a site may hold a third of all pages: where it holds
+more than a 256th of what is joined, its rows are dealt to salts.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = ["url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "dash_ratio", "entropy", "parameters", "values", "secure", "suffix_rate", "suffix_sites"]
 
 Rule = tuple[str, str, str]
+SHARE, SALTS = 256, 64
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -64,19 +66,36 @@ def lexical_features(pages: DataFrame) -> DataFrame:
     })
 
 
+def met(rows: DataFrame, table: DataFrame, keys: list[str], size: str, spread: Column) -> DataFrame:
+    """rows joined to the one row of table that has their keys; `size` says how many of the rows it has, `spread` is a hash that tells the rows apart.
+
+    Keys with more than a SHARE-th of all rows, of which there are fewer than SHARE, are known to every task; their rows go to SALTS salts,
+    and the table's row to each of them.
+    """
+    total = table.agg(F.sum(size)).first()[0] or 0
+    heavy = F.col(size) > total / SHARE
+    names = [f"_heavy_{c}" for c in keys]
+    known = F.broadcast(table.where(heavy).select(*[F.col(c).alias(n) for c, n in zip(keys, names, strict=True)], F.lit(SALTS).alias("_salts")))
+    same = [F.col(c) == F.col(n) for c, n in zip(keys, names, strict=True)]
+    dealt = rows.join(known, same, "left").withColumn("_salt", F.pmod(spread, F.coalesce("_salts", F.lit(1))).cast("int")).drop(*names, "_salts")
+    copied = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(heavy, SALTS - 1).otherwise(0))))
+    return dealt.join(copied, [*keys, "_salt"]).drop("_salt")
+
+
 def suffix_statistics(rows: DataFrame, lean: float = 10.0) -> DataFrame:
     """Rows (suffix, site, block: 1, 0 or null) with suffix_rate and suffix_sites.
 
     suffix_rate: the mean over the other labelled sites under the suffix of how often they are blocked, with `lean` sites at the
     mean of all labelled sites added; suffix_sites: the log of how many sites are under the suffix.
     """
-    sites = rows.groupBy("suffix", "site").agg(F.avg("block").alias("own"))
+    sites = written(rows.groupBy("suffix", "site").agg(F.avg("block").alias("own"), F.count("*").alias("pages")), "sites")
     mean = sites.agg(F.avg("own")).first()[0] or 0.0
     suffixes = sites.groupBy("suffix").agg(F.coalesce(F.sum("own"), F.lit(0.0)).alias("blocked"), F.count("own").alias("labelled"), F.count("*").alias("sites"))
-    known = rows.join(suffixes, "suffix").join(sites.select("suffix", "site", "own"), ["suffix", "site"])
+    of_sites = met(sites, suffixes, ["suffix"], "sites", F.xxhash64("site"))
+    known = met(rows, of_sites, ["suffix", "site"], "pages", F.xxhash64(*rows.columns))
     others = F.col("labelled") - F.when(F.col("own").isNull(), 0).otherwise(1)
     rate = (F.col("blocked") - F.coalesce("own", F.lit(0.0)) + lean * mean) / (others + lean)
-    return known.withColumns({"suffix_rate": rate, "suffix_sites": F.log("sites").cast("double")}).drop("blocked", "sites", "labelled", "own")
+    return known.withColumns({"suffix_rate": rate, "suffix_sites": F.log("sites").cast("double")}).drop("blocked", "sites", "labelled", "own", "pages")
 
 
 def url_verdicts(pages: DataFrame, rules: list[Rule], trees: int = 10, depth: int = 4, seed: int = 1) -> DataFrame:

@@ -258,6 +258,13 @@ def test_importance_is_a_gumbel_top_k(spark):
         keys = sorted((r.key for r in got), reverse=True)
         k = sum(r.kept for r in got)
         assert k == (keep or k) and all(r.kept == (r.key >= keys[k - 1]) for r in got)
+        if keep is None:
+            # k comes from the weights alone: the documents expected above the bound of least expected error
+            weight = np.array([r.log_weight for r in got])
+            sign = np.array([0 if r.doc_id % 3 else 1 if r.doc_id % 4 == 0 else -5 for r in got])
+            grid = np.arange(weight.min() - 4, weight.max() + 4, 0.02)
+            above = [-np.expm1(-np.exp(weight - b)) for b in grid]
+            assert abs(k - above[int(np.argmax([(sign * (1 - p)).sum() for p in above]))].sum()) < 3
     draws = {}
     for r in got:
         draws.setdefault(r.doc_id, set()).add(round(r.key - r.log_weight, 9))
@@ -595,6 +602,25 @@ def test_suffix_statistics_leave_the_own_site_out(spark):
     assert got["d.net", 1.0].suffix_sites == 0 and got["a.com", 1.0].suffix_sites == pytest.approx(math.log(3))
 
 
+def test_suffix_statistics_of_a_hot_suffix_and_a_hot_site(spark):
+    """A suffix with most sites and a site with a third of all pages are dealt to salts; every page keeps its one row."""
+    rows = [("com", f"s{i}.com", float(i % 3 == 0) if i % 2 else None) for i in range(700)] + [("com", "big.com", 1.0)] * 900
+    rows += [(f"t{i % 300}", f"x{i}.t{i % 300}", float(i % 2)) for i in range(600)]
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, suffix string, site string, block double")
+    got = sorted(suffix_statistics(table).collect(), key=lambda r: r.page_id)
+    own = {site: block for _, site, block in rows}
+    under: dict[str, list] = {}
+    for suffix, site in {r[:2] for r in rows}:
+        under.setdefault(suffix, []).append(own[site])
+    known = [b for b in own.values() if b is not None]
+    mean = sum(known) / len(known)
+    assert [r.page_id for r in got] == list(range(len(rows)))
+    for r in got:
+        others = [b for b in under[r.suffix] if b is not None]
+        rest, n = sum(others) - (r.block or 0.0), len(others) - (r.block is not None)
+        assert r.suffix_rate == pytest.approx((rest + 10 * mean) / (n + 10)) and r.suffix_sites == pytest.approx(math.log(len(under[r.suffix])))
+
+
 @pytest.mark.parametrize("name", sorted(Q.QUERIES))
 def test_queries_run(spark, name):
     df = Q.QUERIES[name](spark, "/root/testdata/sf0.001")
