@@ -114,9 +114,9 @@ def importance(docs: DataFrame, labels: DataFrame, keep: int | None = None, samp
     """Documents -> doc_id, n_tokens, log_weight, key, kept.
 
     keep: how many documents the Gumbel top-k takes (more, if keys tie).  Without it k is
-    calibrated: as many as have a key no lower than the bound with the least error expected of all
-    labelled rows' draws, where a clean row lost counts as `cost` low or toxic rows kept.  With no labelled
-    good row, or none of the others, everything is kept.
+    calibrated, from the weights alone: as many as are expected to have a key no lower than the bound with the least error expected
+    of all labelled rows' draws, where a clean row lost counts as `cost` low or toxic rows kept; the draw then takes the k largest
+    keys.  With no labelled good row, or none of the others, everything is kept.
 
     A null or empty text has log weight 0; long texts are taken whole, in slices.  Rows repeated under one doc_id share the
     draw; rows with a null doc_id are left out; other columns are not read; an empty table gives no rows.
@@ -145,7 +145,8 @@ def importance(docs: DataFrame, labels: DataFrame, keep: int | None = None, samp
     if keep is None:
         rows = keyed.join(known, "doc_id").select(F.col("log_weight").alias("value"), (~(F.col("low") | F.col("toxic"))).alias("good"))
         bound = _bound(counted_labels(rows, 100), cost) if odds else None
-        keep = None if bound is None else keyed.where(F.col("key") >= bound).count()
+        # as many as are expected above the bound over all draws, whatever this draw gives
+        keep = None if bound is None else round(keyed.agg(F.sum(-F.expm1(-F.exp(F.col("log_weight") - F.lit(bound))))).first()[0] or 0.0)
     # the Gumbel top-k: everything down to the k-th largest key
     bound = None if keep is None else float("inf") if keep < 1 else kth_largest(keyed, "key", keep)
     return keyed.withColumn("kept", F.lit(True) if bound is None else F.col("key") >= F.lit(bound))
