@@ -236,11 +236,39 @@ def word_classes(vectors: DataFrame, counts: np.ndarray, of_tail: np.ndarray, ro
     return vectors.mapInArrow(partial(_chosen, table=table), schema("name long, class int"))
 
 
+def _packed(places: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """The places of each text, seven bits a byte, the low ones first, with the eighth bit where more follow."""
+    size = 1 + sum((places >= 1 << bits).astype(np.int64) for bits in (7, 14, 21, 28))
+    stop = np.cumsum(size)
+    out = np.empty(int(stop[-1]) if len(stop) else 0, np.uint8)
+    for i in range(5):
+        has = size > i
+        out[(stop - size)[has] + i] = (places[has] >> 7 * i) & 127 | np.where(size[has] > i + 1, 128, 0)
+    raw, edge = out.tobytes(), np.concatenate([[0], stop])[first]
+    return [raw[a:b] for a, b in zip(edge, edge[1:], strict=False)]
+
+
+def _unpacked(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the texts, and where texts begin, one more than texts."""
+    data = np.frombuffer(b"".join(packed), np.uint8)
+    ends = np.flatnonzero(data < 128)
+    start = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+    size, places = ends - start + 1, np.zeros(len(ends), np.int64)
+    for i in range(int(size.max(initial=0))):
+        has = size > i
+        places[has] |= (data[start[has] + i] & 127).astype(np.int64) << 7 * i
+    edges = np.concatenate([[0], np.cumsum([len(x) for x in packed])]).astype(np.int64)
+    return places, np.searchsorted(ends, edges)
+
+
 def _chunked(batches: Iterator[pa.RecordBatch], tails: int) -> Iterator[pa.RecordBatch]:
-    """Rows of texts with the places of their words in the chunk's list, and for each chunk of texts that list: distinct names and tails."""
+    """Rows of texts with the packed places of their words in the chunk's list, and for each chunk of texts that list: distinct names and tails.
+
+    A slice's commonest new words come first in the list, as small places take fewer bytes.
+    """
     part, chunk, held = TaskContext.get().partitionId(), 0, 0
     names_of = ["chunk", "doc_id", "words", "names", "tails"]
-    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
     seen: dict[int, int] = {}
     listed: list[np.ndarray] = []
 
@@ -253,13 +281,15 @@ def _chunked(batches: Iterator[pa.RecordBatch], tails: int) -> Iterator[pa.Recor
 
     for batch in slices(batches, "text"):
         names, tail, first = _tokens(batch, tails)
-        every, at, place = np.unique(names, return_index=True, return_inverse=True)
+        every, at, place, times = np.unique(names, return_index=True, return_inverse=True, return_counts=True)
         known = len(seen)
-        local = np.fromiter((seen.setdefault(x, len(seen)) for x in every.tolist()), np.int64, len(every))
-        listed.append(tail[at][local >= known])
+        common = np.argsort(-times, kind="stable")
+        local = np.empty(len(every), np.int64)
+        local[common] = np.fromiter((seen.setdefault(x, len(seen)) for x in every[common].tolist()), np.int64, len(every))
+        listed.append(tail[at[common]][local[common] >= known])
         held += len(names)
         n = batch.num_rows
-        yield row([np.full(n, part << 32 | chunk), batch.column("doc_id"), lists(local[place], first, pa.int32()), [None] * n, [None] * n])
+        yield row([np.full(n, part << 32 | chunk), batch.column("doc_id"), _packed(local[place], first), [None] * n, [None] * n])
         if held > CHUNK_WORDS:
             yield names_row()
             chunk, held, seen, listed = chunk + 1, 0, {}, []
@@ -269,8 +299,7 @@ def _chunked(batches: Iterator[pa.RecordBatch], tails: int) -> Iterator[pa.Recor
 
 def _looked_up(texts: pd.DataFrame, words: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Counts and classes of all words of the texts, and where texts begin, one more than texts."""
-    first = np.concatenate([[0], np.cumsum(texts["words"].map(len).to_numpy())]).astype(np.int64)
-    places = np.concatenate([*texts["words"], np.zeros(0, np.int32)]).astype(np.int64)
+    places, first = _unpacked(texts["words"].tolist())
     n, cls = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
     n[words["place"]], cls[words["place"]] = words["n"], words["class"]
     return n[places], cls[places], first
@@ -378,7 +407,7 @@ def class_scores(
         drop(spark, path)
 
     with recorded(chunks := []):
-        rows = written(source.mapInArrow(partial(_chunked, tails=tails), schema("chunk long, doc_id long, words array<int>, names array<long>, tails array<int>")), "chunks")
+        rows = written(source.mapInArrow(partial(_chunked, tails=tails), schema("chunk long, doc_id long, words binary, names array<long>, tails array<int>")), "chunks")
     asked = rows.where("doc_id is null").select("chunk", F.posexplode(F.arrays_zip("names", "tails")).alias("place", "x")).select("chunk", "place", F.col("x.names").alias("name"), F.col("x.tails").alias("tail"))
     known = asked.join(words, "name", "left").select(F.col("chunk").alias("of_chunk"), "place", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("class", by_tail).alias("class"))
     # only the answers travel with the texts, and only once

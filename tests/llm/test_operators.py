@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from matchloom.llm import queries as Q
-from matchloom.llm.classlm import END, _classed, _number, _steps, class_scores, exchange_clusters, word_classes
+from matchloom.llm.classlm import END, _classed, _number, _packed, _steps, _unpacked, class_scores, exchange_clusters, word_classes
 from matchloom.llm.importance import good_documents, importance, kth_largest
 from matchloom.llm.mixing import fitted_rates, mixed, mixture
 from matchloom.llm.neardup import near_duplicates, one_of_each
@@ -378,16 +378,27 @@ def test_class_scores_against_brute_force(spark):
     assert sum(all(w in units for w in x) for x in seqs.values()) > 60
 
 
+def test_packed_places():
+    rng = np.random.default_rng(5)
+    for sizes in ([], [1], [3, 1, 2000, 1]):
+        first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        places = rng.integers(0, 1 << rng.integers(1, 31, first[-1]))
+        places[:5] = [0, 127, 128, (1 << 14) - 1, 1 << 28][: len(places)]
+        got, begins = _unpacked(_packed(places, first))
+        assert got.tolist() == places.tolist() and begins.tolist() == first.tolist()
+
+
 @pytest.mark.parametrize("classes", [200, 256, 257, 700])
 def test_many_classes_keep_their_numbers(classes):
     """Classes above 255 take two bytes each, and come back as they went in."""
     kind = _number(classes)
-    texts = pd.DataFrame({"doc_id": [1, 2, 3], "words": [np.array([0, 1, 2]), np.array([2]), np.array([1, 0])]})
+    places = [[0, 1, 2], [2], [1, 0]]
+    texts = pd.DataFrame({"doc_id": [1, 2, 3], "words": _packed(np.concatenate(places), np.array([0, 3, 4, 6]))})
     words = pd.DataFrame({"place": [0, 1, 2], "n": [1, 0, 5], "class": [classes - 1, 0, classes // 2]})
     out = pa.RecordBatch.from_pandas(_classed(texts, words, kind))
     for batch in (out, out.slice(1)):
         before, cls, first = _steps(batch, 3, kind)
-        want = [w for row in texts["words"][-batch.num_rows :] for w in words["class"].to_numpy()[row]]
+        want = [w for row in places[-batch.num_rows :] for w in words["class"].to_numpy()[row]]
         assert cls.tolist() == want and before[first].tolist() == [3] * batch.num_rows
     with pytest.raises(ValueError):
         _number(1 << 17)
