@@ -65,7 +65,9 @@ _DIGIT = "(instr('0123456789abcdef', substr(d, {}, 1)) - 1)"
   s AS (SELECT conv_id, turn, CAST(({_DIGIT.format(7)} * 16 + {_DIGIT.format(8)}) % 128 AS INTEGER) AS slot, CAST(sum(CASE WHEN {_DIGIT.format(10)} % 2 = 1 THEN 1 ELSE -1 END) AS DOUBLE) AS v FROM h GROUP BY ALL)
   SELECT conv_id, turn, slot, round(v / greatest(sqrt(sum(v * v) OVER (PARTITION BY conv_id, turn)), 1), 6) + 0.0 AS value FROM s""")
 def p17_hashed_text_features(spark, sf):
-    tokens = B.table(spark, sf, "conversations").select("conv_id", "turn", F.explode(X.feature_tokens(F.col("text"))).alias("token"))
+    # a small file of long texts would be read by one task
+    texts = B.table(spark, sf, "conversations").select("conv_id", "turn", "text").repartition("conv_id", "turn", F.xxhash64("text"))
+    tokens = texts.select("conv_id", "turn", F.explode(X.feature_tokens(F.col("text"))).alias("token"))
     slot, sign = X.feature_slot(F.col("token"))
     sums = tokens.groupBy("conv_id", "turn", slot.alias("slot")).agg(F.sum(sign).alias("v"))
     norm = F.greatest(F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("conv_id", "turn"))), F.lit(1.0))

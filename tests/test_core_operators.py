@@ -19,6 +19,15 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
 
 
+def test_feature_tokens_of_short_and_very_long_texts(spark):
+    tokens = lambda text: one(spark, X.feature_tokens(F.lit(text).cast("string")))
+    assert tokens(None) is None and tokens("") == [] and tokens("A!b") == ["w:a", "w:b", "c3:a_b"]
+    assert tokens("Ab, cd") == ["w:ab", "w:cd", "c3:ab_", "c3:b_c", "c3:_cd"]
+    # 900,000 characters: a line worked out for each triple would take hours
+    long = spark.range(1).select(F.repeat(F.lit("word 12345 "), 90_000).alias("t"))
+    assert long.select(F.size(X.feature_tokens(F.col("t"))).alias("n")).first().n == 2 * 90_000 + 11 * 90_000 - 1 - 2
+
+
 def test_size_classes_with_ties_within_the_tolerance(spark):
     def classes(values):
         kind = "step int, ordinal int, kind string, geometry_type string, measure double, members int"
