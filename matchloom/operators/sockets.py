@@ -105,8 +105,9 @@ def guide_slots(planes: DataFrame, parts: DataFrame, rules: SlotRules = SlotRule
     mean = F.zip_with("extents_a", "extents_b", lambda x, y: (x + y) / 2)
     rows = pairs.withColumns({"gap": F.abs(dot(apart, F.col("normal_a"))), "least": least, "mean": mean})
     rows = rows.where(F.col("gap") > F.col("least")).withColumn("sides", F.reverse(F.array_sort(F.filter("mean", lambda x: x > F.col("least") * 0.5)))).where(F.size("sides") >= 2)
-    short = F.col("sides")[1]
-    rows = rows.withColumn("aspect", F.col("sides")[0] / short).where(F.col("aspect").between(rules.least_aspect, rules.most_aspect) & (F.col("gap") <= short * 1.5))
+    # null where there is none: the filters around may be worked out in any order
+    short = F.get("sides", F.lit(1))
+    rows = rows.withColumn("aspect", F.get("sides", F.lit(0)) / short).where(F.col("aspect").between(rules.least_aspect, rules.most_aspect) & (F.col("gap") <= short * 1.5))
     unit = lambda i: F.array(*[F.lit(1.0 if j == i else 0.0) for j in range(3)])
     along = lambda v: F.abs(dot(v, F.col("normal_a"))) > 0.9
     widest = F.array_position("mean", F.array_max("mean"))

@@ -189,6 +189,17 @@ def test_guide_slots_and_suppression_and_world_sockets(spark):
     assert rows(S.world_sockets(bound, instances)) == [(7, 3, [5.0, 9.0, 0.0], [0.0, 1.0, 0.0], None, 4.0), (8, 3, [5.0, 9.0, 0.0], [0.0, 1.0, 0.0], None, 2.0)]
 
 
+def test_guide_slots_of_planes_with_one_side(spark):
+    plane = lambda part, face, y, extents: (part, face, 10.0 - face, [0.0, 0.0, y], Z, extents)
+    thin, wide = [0.2, 0.001, 0.001], [0.4, 0.2, 0.001]
+    planes = spark.createDataFrame(
+        [plane(1, 0, 0.0, thin), plane(1, 1, 0.1, thin), plane(2, 0, 0.0, wide), plane(2, 1, 0.1, wide)],
+        "part int, face int, area double, center array<double>, normal array<double>, extents array<double>",
+    )
+    parts = spark.createDataFrame([(1, 0.5), (2, 0.5)], "part int, diagonal double")
+    assert rows(S.guide_slots(planes, parts, S.SlotRules(parallel=0.8, gap=0.01, least_aspect=1.2)).select("part", "a", "b", F.round("aspect", 6))) == [(2, 0, 1, 2.0)]
+
+
 # graphs
 
 
