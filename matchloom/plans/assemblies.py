@@ -80,6 +80,8 @@ _ROWS = f"""{_PLACED}, rw AS (SELECT user_id * 1000000 + pos // 5 AS query, CAST
 
 _TREE = [(1, 0), (2, 0), (3, 1), (4, 1)]
 _BOTH, _ONE = "(0, 1.0), (1, -1.0)", "(0, 1.0)"
+# an edge's two poses are one option if they are equal at 12 digits
+_DISTINCT = "(o.o = 0 OR round(r.dx, 12) <> 0 OR round(r.dy, 12) <> 0)"
 
 
 def _moved(p: int, s: str = "o.s", r: str = "r", of: str = "s") -> tuple[str, str]:
@@ -98,15 +100,16 @@ def _placed_sql(name: str, which: str, order: tuple, options: str, prune: bool)
     seen = [0]
     for i, (k, p) in enumerate(order, 1):
         x, y = _moved(p or 0)
-        t, more, edge = f"s.t{p} + r.v", "", k
+        t, more, edge, distinct = f"s.t{p} + r.v", "", k, _DISTINCT
         if p is None:
             fit_x, fit_y = "a.dx + CASE WHEN s.user_id % 2 = 0 THEN 0 ELSE 1e-3 END + cos(radians(a.v)) * r.dx - sin(radians(a.v)) * r.dy", "a.dy + sin(radians(a.v)) * r.dx + cos(radians(a.v)) * r.dy"
             x, y, t, edge = f"CASE o.o WHEN 0 THEN 1000.0 ELSE {fit_x} END", f"CASE o.o WHEN 0 THEN 0.0 ELSE {fit_y} END", "CASE o.o WHEN 0 THEN 0.0 ELSE a.v + r.v END", 9
             more = "JOIN rw a ON a.query = s.query AND a.role = 1"
+            distinct = f"(o.o = 0 OR round({fit_x}, 12) <> 1000 OR round({fit_y}, 12) <> 0 OR round(cos(radians(a.v + r.v)), 12) <> 1 OR round(sin(radians(a.v + r.v)), 12) <> 0)"
         shared = lambda j, k=k: " * ".join(f"greatest(0, least({a}{j} + b{a}{j}, {a}{k} + b{a}{k}) - greatest({a}{j} - b{a}{j}, {a}{k} - b{a}{k}))" for a in "xy")
         bad = " OR ".join(f"2 * {shared(j)} > 1e-7" for j in seen) if prune else "false"
         out.append(f"""{name}g{i} AS (SELECT s.*, o.o AS o{edge}, {t} AS t{k}, {x} AS x{k}, {y} AS y{k}, abs(cos(radians({t}))) * r.h + abs(sin(radians({t}))) AS bx{k}, abs(sin(radians({t}))) * r.h + abs(cos(radians({t}))) AS by{k}
-    FROM {name}{i - 1} s JOIN rw r ON r.query = s.query AND r.role = {k} {more}, (VALUES {options}) o(o, s)),
+    FROM {name}{i - 1} s JOIN rw r ON r.query = s.query AND r.role = {k} {more}, (VALUES {options}) o(o, s) WHERE {distinct}),
   {name}f{i} AS (SELECT *, {bad} AS bad FROM {name}g{i}), {name}{i} AS (SELECT * EXCLUDE bad FROM {name}f{i} WHERE NOT bad UNION ALL BY NAME SELECT * FROM {name}{i - 1} WHERE n <= {k})""")
         seen.append(k)
     return ", ".join(out)
@@ -118,7 +121,7 @@ _PICK = "[o1, o2, o3, o4, NULL, NULL, NULL, NULL, o9]"
 _DONE = f"""{_ROWS}, ready AS (SELECT * FROM verdict WHERE status = 'complete' AND NOT ring), rings AS (SELECT * FROM verdict WHERE status = 'complete' AND ring),
   {_placed_sql('c', 'ready', tuple(_TREE), _BOTH, True)}, {_placed_sql('d', 'rings', ((1, 0), (2, 0), (4, None), (3, 1)), _BOTH, True)},
   e AS (SELECT c.query, c.o1, c.o2, c.o3, c.o9, o.o AS o4, NOT (sqrt(({_CLOSE_X} - c.x4) ** 2 + ({_CLOSE_Y} - c.y4) ** 2) <= 1e-5 AND 1 - cos(radians(c.t1 + r.v - c.t4)) <= 5e-13) AS bad
-    FROM d4 c JOIN rw r ON r.query = c.query AND r.role = 4, (VALUES {_BOTH}) o(o, s)),
+    FROM d4 c JOIN rw r ON r.query = c.query AND r.role = 4, (VALUES {_BOTH}) o(o, s) WHERE {_DISTINCT}),
   fin AS (SELECT query, o1, o2, o3, o4, o9 FROM e WHERE NOT bad UNION ALL BY NAME SELECT query, o1, o2, o3, o4 FROM c4),
   best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY o1, o2, o9, o3, o4) AS t FROM fin) x WHERE t = 1),
   tried AS (SELECT query, count(*) AS n, count(*) FILTER (WHERE bad) AS hit, 0 AS open FROM ({' UNION ALL '.join(f'SELECT query, bad FROM {c}f{i}' for c in 'cd' for i in range(1, 5))}) z GROUP BY query
