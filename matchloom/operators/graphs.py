@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.sources.tables import written
@@ -13,6 +13,43 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("step", "a", "b", "feature").unionByName(edges.select("step", F.col("b").alias("a"), F.col("a").alias("b"), "feature"))
 
 
+# steps of up to so many nodes and edges are walked as arrays of one row
+ROW_NODES, ROW_EDGES = 64, 256
+
+
+def _gathered(rows: DataFrame, value: Column, most: int, name: str) -> DataFrame:
+    """step, `name`: its sorted values, and n_`name`, their number; a step of more than `most` has none of them."""
+    counted = rows.withColumn("_n", F.count("*").over(Window.partitionBy("step")))
+    return counted.groupBy("step").agg(F.max("_n").alias(f"n_{name}"), F.array_sort(F.collect_list(F.when(F.col("_n") <= most, value))).alias(name))
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _packed(nodes: DataFrame, edges: DataFrame, data: Column) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(step, nodes: array of ordinal and data in order, near: for each node an array of feature and place of its neighbours), and the nodes and edges of steps
+    that are too large for a row, or None."""
+    kind = dict(edges.dtypes)
+    a = _gathered(nodes, F.struct("ordinal", data.alias("data")), ROW_NODES, "nodes")
+    b = _gathered(edges, F.struct("a", "b", "feature"), ROW_EDGES, "edges")
+    both = a.join(b, "step", "left")
+    small = (F.col("n_nodes") <= ROW_NODES) & (F.coalesce("n_edges", F.lit(0)) <= ROW_EDGES)
+    links = F.coalesce("edges", F.array().cast(f"array<struct<a:{kind['a']},b:{kind['b']},feature:{kind['feature']}>>"))
+    place = lambda of: F.array_position(F.transform("nodes", lambda x: x["ordinal"]), of).cast("int") - 1
+    way = lambda x, y: F.transform(links, lambda e: F.struct(place(e[x]).alias("of"), e["feature"].alias("feature"), place(e[y]).alias("at")))
+    ways = F.concat(way("a", "b"), way("b", "a"))
+    near = lambda ws: F.transform("nodes", lambda n, i: F.transform(F.filter(ws, lambda w: (w["of"] == i) & (w["at"] >= 0)), lambda w: F.struct(w["feature"].alias("feature"), w["at"].alias("at"))))
+    # near is written too: a projection of it would be worked out again wherever a body names it
+    both = written(both.select("step", small.alias("small"), "nodes", F.when(small, _let(ways, near)).alias("near")), "packed")
+    rows = both.where("small").select("step", "nodes", "near")
+    large = both.where("not small").select("step")
+    if large.isEmpty():
+        return rows, None, None
+    return rows, nodes.join(large, "step", "left_semi"), edges.join(large, "step", "left_semi")
+
+
 def neighbour_shares(nodes: DataFrame, edges: DataFrame, types: list[str], least: float = 0.24) -> DataFrame:
     """step, ordinal, shares by type among the neighbours, adjacent: the first two types, in order, with a share of at least `least`."""
     near = both_ways(edges).select("step", F.col("a").alias("ordinal"), F.col("b")).join(nodes.select("step", F.col("ordinal").alias("b"), "geometry_type"), ["step", "b"])
@@ -44,7 +81,25 @@ def two_owner_edges(owners: DataFrame) -> DataFrame:
 
 
 def refined(nodes: DataFrame, edges: DataFrame, rounds: int = 3) -> DataFrame:
-    """step, ordinal, colour after rounds of colour refinement over (edge feature, neighbour colour)."""
+    """step, ordinal, colour after rounds of colour refinement over (edge feature, neighbour colour).
+
+    Steps that fit a row are refined as arrays, so their rows move once; those of larger ones meet by joins.
+    """
+    rows, more_nodes, more_edges = _packed(nodes, edges, F.sha2("label", 256))
+
+    def step(colours, _):
+        seen = lambda ns: F.array_join(F.array_sort(F.transform(ns, lambda x: F.concat_ws(":", x["feature"], F.get(colours, x["at"])))), ",")
+        return F.transform(colours, lambda c, i: F.sha2(F.concat_ws("|", c, seen(F.get("near", i))), 256))
+
+    colours = F.transform("nodes", lambda x: x["data"])
+    if rounds:
+        colours = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), colours, step)
+    each = F.arrays_zip(F.transform("nodes", lambda x: x["ordinal"]).alias("ordinal"), colours.alias("colour"))
+    out = rows.select("step", F.inline(each))
+    return out if more_nodes is None else out.unionByName(_refined_by_joins(more_nodes, more_edges, rounds))
+
+
+def _refined_by_joins(nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
     colour = nodes.select("step", "ordinal", F.sha2("label", 256).alias("colour"))
     links = both_ways(edges)
     for _ in range(rounds):
@@ -130,8 +185,29 @@ def face_order(nodes: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
     """step, ordinal, colour, place: nodes in the order of their refined colours, ties by ordinal.
 
     Colours are ranks of the key, then of the key with the sorted (feature, colour) of the neighbours, until a round changes none, or
-    after as many rounds as a step has nodes, as ranks may go on to change places.
+    after as many rounds as a step has nodes, as ranks may go on to change places.  Steps that fit a row are ordered as arrays, so their
+    rows move once; those of larger ones meet by joins.
     """
+    rows, more_nodes, more_edges = _packed(nodes, edges.where("a <> b"), F.struct(*key))
+
+    def ranks(values):
+        return _let(values, lambda vs: _let(F.array_sort(F.array_distinct(vs)), lambda order: F.transform(vs, lambda v: F.array_position(order, v).cast("int") - 1)))
+
+    def step(state, _):
+        seen = lambda ns: F.array_sort(F.transform(ns, lambda x: F.struct(x["feature"].alias("feature"), F.get(state["c"], x["at"]).alias("c"))))
+        new = ranks(F.transform("nodes", lambda n, i: F.struct(n["data"].alias("key"), seen(F.get("near", i)).alias("seen"))))
+        return F.when(state["done"], state).otherwise(_let(new, lambda c: F.struct(c.alias("c"), (c == state["c"]).alias("done"))))
+
+    start = F.struct(ranks(F.transform("nodes", lambda n: n["data"])).alias("c"), F.lit(False).alias("done"))
+    colours = F.aggregate(F.sequence(F.lit(1), F.size("nodes")), start, step)["c"]
+    turns = F.transform("colours", lambda c, i: F.struct(c.alias("c"), i.alias("i")))
+    places = _let(turns, lambda ts: _let(F.array_sort(ts), lambda order: F.transform(ts, lambda t: F.array_position(order, t).cast("int") - 1)))
+    each = F.arrays_zip(F.transform("nodes", lambda n: n["ordinal"]).alias("ordinal"), F.col("colours").alias("colour"), places.alias("place"))
+    out = rows.withColumn("colours", colours).select("step", F.inline(each))
+    return out if more_nodes is None else out.unionByName(_face_order_by_joins(more_nodes, more_edges, key))
+
+
+def _face_order_by_joins(nodes: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
     of_step = Window.partitionBy("step")
     colour = written(nodes.select("step", "ordinal", *key, (F.dense_rank().over(of_step.orderBy(*key)) - 1).alias("colour"), F.count("*").over(of_step).alias("n")), "colours")
     links = both_ways(edges.where("a <> b"))
@@ -163,16 +239,47 @@ def hops(edges: DataFrame, centres: DataFrame) -> DataFrame:
         found = written(found.unionByName(frontier), "hops")
 
 
+def _shells(edges: DataFrame, centres: DataFrame) -> DataFrame:
+    """step, hop, f, e: the nodes at each number of hops from a step's centres, and the edges between them and nodes as near or nearer; a step that fits a row is walked as
+    arrays, the hops of larger ones meet by joins."""
+    kind = dict(edges.dtypes)
+    b = _gathered(edges, F.struct("a", "b"), ROW_EDGES, "edges")
+    a = _gathered(centres.select("step", "ordinal").distinct(), F.col("ordinal"), ROW_NODES, "centres")
+    both = written(a.join(b, "step", "left").withColumn("edges", F.coalesce("edges", F.array().cast(f"array<struct<a:{kind['a']},b:{kind['b']}>>"))), "packed")
+    small = (F.col("n_centres") <= ROW_NODES) & (F.coalesce("n_edges", F.lit(0)) <= ROW_EDGES)
+
+    def step(state, _):
+        ends = lambda last, x, y: F.transform(F.filter("edges", lambda e: F.array_contains(last, e[x])), lambda e: e[y])
+        grown = lambda last: F.when(F.size(last) == 0, state).otherwise(F.concat(state, F.array(F.array_except(F.concat(ends(last, "a", "b"), ends(last, "b", "a")), F.flatten(state)))))
+        return _let(F.element_at(state, -1), grown)
+
+    shells = F.filter(F.aggregate(F.sequence(F.lit(0), F.size("edges")), F.array("centres"), step), lambda s: F.size(s) > 0)
+
+    def row(shell, hop):
+        inside = lambda so_far: F.size(F.filter("edges", lambda e: (e["a"] != e["b"]) & (F.array_contains(shell, e["a"]) | F.array_contains(shell, e["b"])) & F.array_contains(so_far, e["a"]) & F.array_contains(so_far, e["b"])))
+        return F.struct(hop.alias("hop"), F.size(shell).cast("long").alias("f"), _let(F.flatten(F.slice("shells", 1, hop + 1)), inside).cast("long").alias("e"))
+
+    out = both.where(small).select("step", "edges", shells.alias("shells")).select("step", F.inline(F.transform("shells", row)))
+    large = both.where(~small).select("step")
+    if large.isEmpty():
+        return out
+    return out.unionByName(_shells_by_joins(edges.join(large, "step", "left_semi"), centres.join(large, "step", "left_semi")))
+
+
+def _shells_by_joins(edges: DataFrame, centres: DataFrame) -> DataFrame:
+    at = written(hops(edges, centres), "hops")
+    end = lambda c: at.select("step", F.col("ordinal").alias(c), F.col("hop").alias(f"hop_{c}"))
+    inner = edges.where("a <> b").join(end("a"), ["step", "a"]).join(end("b"), ["step", "b"]).groupBy("step", F.greatest("hop_a", "hop_b").alias("hop")).agg(F.count("*").alias("e"))
+    return at.groupBy("step", "hop").agg(F.count("*").alias("f")).join(inner, ["step", "hop"], "left").withColumn("e", F.coalesce("e", F.lit(0)))
+
+
 def endpoint_shells(edges: DataFrame, centres: DataFrame, most_hops: int = 4, most_faces: int = 1024, most_edges: int = 4096) -> DataFrame:
     """One ledger row of each step: how much of what its centres reach is taken, shell by whole shell, while hops, faces and edges keep to the bounds.
 
     step, faces, edges (of the component), taken_faces, taken_edges, radius, complete, reason, omitted_frontier, omitted_faces.  reason: none, max_hop_radius,
     face_or_edge_budget, or one_hop_budget where even the first hop does not fit, and nothing is taken.
     """
-    at = written(hops(edges, centres), "hops")
-    end = lambda c: at.select("step", F.col("ordinal").alias(c), F.col("hop").alias(f"hop_{c}"))
-    inner = edges.where("a <> b").join(end("a"), ["step", "a"]).join(end("b"), ["step", "b"]).groupBy("step", F.greatest("hop_a", "hop_b").alias("hop")).agg(F.count("*").alias("e"))
-    shells = at.groupBy("step", "hop").agg(F.count("*").alias("f")).join(inner, ["step", "hop"], "left").withColumn("e", F.coalesce("e", F.lit(0)))
+    shells = _shells(edges, centres)
     so_far = Window.partitionBy("step").orderBy("hop").rowsBetween(Window.unboundedPreceding, 0)
     shells = shells.withColumn("cf", F.sum("f").over(so_far)).withColumn("ce", F.sum("e").over(so_far))
     small = (F.col("cf") <= most_faces) & (F.col("ce") <= most_edges)

@@ -203,6 +203,25 @@ def test_guide_slots_of_planes_with_one_side(spark):
 # graphs
 
 
+def test_steps_in_a_row_and_by_joins_are_alike(spark, monkeypatch):
+    rng = random.Random(4)
+    nodes = spark.createDataFrame([(s, i, rng.choice("pqr"), rng.choice("xy")) for s in range(12) for i in range(s + 1)], "step int, ordinal int, kind string, label string")
+    # loops, repeated edges and steps without any
+    links = [(s, rng.randint(0, s), rng.randint(0, s), rng.randint(0, 1)) for s in range(11) for _ in range(rng.randint(0, 2 * s))]
+    edges = spark.createDataFrame(links, "step int, a int, b int, feature int")
+    first = nodes.where("ordinal = 0").select("step", "ordinal")
+
+    def found():
+        shells = graphs.endpoint_shells(edges, first, most_hops=2, most_faces=5, most_edges=6)
+        return [rows(x) for x in (graphs.face_order(nodes, edges, ["kind"]), graphs.refined(nodes, edges), shells)]
+
+    whole = found()
+    assert [len(x) for x in whole] == [78, 78, 12]
+    monkeypatch.setattr(graphs, "ROW_NODES", 4)
+    monkeypatch.setattr(graphs, "ROW_EDGES", 3)
+    assert found() == whole
+
+
 def test_face_order_shells_and_intrinsic_graph(spark):
     nodes = spark.createDataFrame([(1, i, "p" if i else "c") for i in range(5)], "step int, ordinal int, kind string")
     edges = spark.createDataFrame([(1, a, a + 1, 1) for a in range(4)], "step int, a int, b int, feature int")
