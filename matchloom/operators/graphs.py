@@ -299,11 +299,17 @@ def endpoint_shells(edges: DataFrame, centres: DataFrame, most_hops: int = 4, mo
     )
 
 
-def model_views(nodes: DataFrame, edges: DataFrame, signature) -> DataFrame:
-    """step, nodes, edges, view: a hash of a part's nodes by ordinal and of its edges, ends in order, sorted with their features; like edges stay apart."""
-    each = nodes.groupBy("step").agg(F.count("*").alias("nodes"), F.array_sort(F.collect_list(F.struct("ordinal", signature.alias("s")))).alias("n"))
-    rows = edges.select("step", F.least("a", "b").alias("source"), F.greatest("a", "b").alias("target"), "feature").groupBy("step").agg(F.count("*").alias("edges"), F.array_sort(F.collect_list(F.struct("source", "target", "feature"))).alias("e"))
-    both = each.join(rows, "step", "left")
+def model_views(nodes: DataFrame, edges: DataFrame | None, signature) -> DataFrame:
+    """step, nodes, edges, view: a hash of a part's nodes by ordinal and of its edges, ends in order, sorted with their features; like edges stay apart.
+    Without edges the nodes have `links`, an array of a, b and feature, and an edge stands at one of them: so the nodes are read once."""
+    listed = [F.count("*").alias("nodes"), F.array_sort(F.collect_list(F.struct("ordinal", signature.alias("s")))).alias("n")]
+    if edges is None:
+        both = nodes.groupBy("step").agg(*listed, F.flatten(F.collect_list("links")).alias("e"))
+        ends = F.transform("e", lambda x: F.struct(F.least(x["a"], x["b"]).alias("source"), F.greatest(x["a"], x["b"]).alias("target"), x["feature"].alias("feature")))
+        both = both.select("step", "nodes", "n", F.size("e").cast("long").alias("edges"), F.array_sort(ends).alias("e"))
+    else:
+        rows = edges.select("step", F.least("a", "b").alias("source"), F.greatest("a", "b").alias("target"), "feature").groupBy("step").agg(F.count("*").alias("edges"), F.array_sort(F.collect_list(F.struct("source", "target", "feature"))).alias("e"))
+        both = nodes.groupBy("step").agg(*listed).join(rows, "step", "left")
     text = lambda c, f: F.array_join(F.transform(c, f), ",")
     parts = F.concat_ws("|", text("n", lambda x: x["s"]), F.coalesce(text("e", lambda x: F.concat_ws("-", x["source"], x["target"], x["feature"])), F.lit("")))
     return both.select("step", "nodes", F.coalesce("edges", F.lit(0)).alias("edges"), F.sha2(parts, 256).alias("view"))

@@ -20,15 +20,18 @@ def _ranged(rows: DataFrame, keys: list[str], order: list, weight: Column) -> tu
     return cut, totals.withColumn("_before", before)
 
 
-def positions(rows: DataFrame, keys: list[str], order: list, name: str = "position") -> DataFrame:
-    """The rows with their place from 0 in the order of their group; equal rows may stand in either order.  Order columns rise, nulls first."""
-    # equal rows are spread over ranges too
+def positions(rows: DataFrame, keys: list[str], order: list, name: str = "position", few: bool = False) -> DataFrame:
+    """The rows with their place from 0 in the order of their group; equal rows may stand in either order.  Order columns rise, nulls first.
+    few: the groups are so few that a row for each of them and each range can go to all tasks."""
+    # equal rows are spread over ranges too; a range is numbered as it is sorted, the low bits of the number are a row's place in it
     marked = rows.withColumn("_turn", F.monotonically_increasing_id())
-    cut, totals = _ranged(marked, keys, [*order, "_turn"], F.lit(1))
-    within = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order, "_turn")) - 1
-    ends = totals.select(*[F.col(k).alias(f"_of_{k}") for k in [*keys, "_range"]], "_before")
-    joined = cut.join(ends, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in [*keys, "_range"]]).select(*cut.columns, "_before")
-    return joined.withColumn(name, (within + F.col("_before")).cast("long")).drop("_range", "_turn", "_before")
+    ranges = marked.repartitionByRange(*keys, *order, "_turn").sortWithinPartitions(*keys, *order, "_turn").drop("_turn")
+    cut = written(ranges.withColumn("_range", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "ranges")
+    ends = cut.groupBy(*keys, "_range").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_n")
+    ends = ends.select(*[F.col(k).alias(f"_of_{k}") for k in [*keys, "_range"]], (before - F.col("_first")).alias("_less"))
+    joined = cut.join(F.broadcast(ends) if few else ends, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in [*keys, "_range"]])
+    return joined.withColumn(name, (F.col("_at") + F.col("_less")).cast("long")).select(*rows.columns, name)
 
 
 def order_statistics(values: DataFrame, keys: list[str], value: str, wanted: DataFrame) -> DataFrame:
@@ -71,10 +74,10 @@ def ordered_hashes(rows: DataFrame, keys: list[str], order: list, text: Column,
     A group of more than `fan` rows is hashed as an ordered tree: blocks of `fan` rows in a row, then blocks of `fan` of their hashes, until one is left.  So a group of up to `fan`
     rows has the hash of its plain list, and no task and no row holds more than a block.  Without keys all rows are one group, and no rows give no hash.
     """
-    if not keys:
-        one = ordered_hashes(rows.withColumn("_all", F.lit(0)), ["_all"], order, text, fan, name)
-        return one.drop("_all")
-    level = positions(rows.select(*keys, *order, text.alias("_text")), keys, order).select(*keys, "position", "_text", F.lit(1).cast("long").alias("_n"))
+    few = not keys
+    if few:
+        rows, keys = rows.withColumn("_all", F.lit(0)), ["_all"]
+    level = positions(rows.select(*keys, *order, text.alias("_text")), keys, order, few=few).select(*keys, "position", "_text", F.lit(1).cast("long").alias("_n"))
     whole = None
     while True:
         block = level.groupBy(*keys, F.floor(F.col("position") / fan).alias("block"))
@@ -85,5 +88,5 @@ def ordered_hashes(rows: DataFrame, keys: list[str], order: list, text: Column,
         done = level.join(several, same, "left_anti")
         whole = done if whole is None else whole.unionByName(done)
         if several.isEmpty():
-            return whole.select(*keys, F.col("_n").alias("n"), F.col("_text").alias(name))
+            return whole.select(*([] if few else keys), F.col("_n").alias("n"), F.col("_text").alias(name))
         level = level.join(several, same, "left_semi")

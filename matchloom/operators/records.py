@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.sources.tables import written
+
 from .ordering import ordered_hashes, positions
 
 
@@ -179,17 +181,19 @@ def model_view_payload(graphs: DataFrame, examples: DataFrame, programs: DataFra
     two views, its programs in the order of their index, and its target's index, translation and rotation, to twelve digits.  An example that breaks a rule, or names a graph that is not there (graph), is
     refused and has no text.  The payload's hash is over the ordered trees of `graph:view` and of the texts, so it does not depend on the order in which anything is given.
     """
-    view = lambda side: graphs.select(F.col("graph").alias(f"graph_{side}"), F.col("view").alias(f"view_{side}"))
+    # both ends meet the views in one join, and what follows reads the finished rows
+    ends = examples.select("example", F.explode(F.array(*[F.struct(F.lit(x).alias("side"), F.col(f"graph_{x}").alias("graph")) for x in "ab"])).alias("end")).select("example", "end.*")
+    seen = ends.join(graphs.select("graph", "view"), "graph", "left").groupBy("example").agg(*[F.max(F.when(F.col("side") == x, F.col("view"))).alias(f"view_{x}") for x in "ab"])
     listed = programs.groupBy("example").agg(F.array_sort(F.collect_list(F.struct("idx", "id", "type", "descriptor"))).alias("p"))
     number = lambda x: F.format_number(F.round(x, 12) + 0.0, 12)
     numbers = lambda c: F.array_join(F.transform(c, number), ",")
     goal = targets.select("example", F.concat_ws("|", "idx", numbers("translation"), numbers("rotation")).alias("goal"))
-    rows = examples.join(example_reasons(programs, targets, types, most), "example", "left").join(listed, "example", "left").join(goal, "example", "left")
-    rows = rows.join(view("a"), "graph_a", "left").join(view("b"), "graph_b", "left")
+    rows = seen.join(example_reasons(programs, targets, types, most), "example", "left").join(listed, "example", "left").join(goal, "example", "left")
     gone = F.col("view_a").isNull() | F.col("view_b").isNull()
     reason = F.when(F.coalesce("reason", F.lit("too_few")) != "valid", F.coalesce("reason", F.lit("too_few"))).when(gone, "graph").otherwise("valid")
     body = F.array_join(F.transform("p", lambda p: F.concat_ws(":", p["idx"], p["id"], p["type"], p["descriptor"])), ";")
-    rows = rows.withColumn("reason", reason).withColumn("text", F.when(F.col("reason") == "valid", F.concat_ws("/", "view_a", "view_b", body, "goal"))).select("example", "reason", "text")
+    rows = rows.withColumn("reason", reason).withColumn("text", F.when(F.col("reason") == "valid", F.concat_ws("/", "view_a", "view_b", body, "goal")))
+    rows = written(rows.select("example", "reason", "text"), "payload-rows")
     count = lambda df: df.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.coalesce(F.max("hash"), F.lit("")).alias("h"))
     g = count(ordered_hashes(graphs, [], ["graph"], F.concat_ws(":", "graph", "view"), fan)).select(F.col("n").alias("graphs"), F.col("h").alias("g"))
     e = count(ordered_hashes(rows.where("text is not null"), [], ["example"], F.col("text"), fan)).select(F.col("n").alias("examples"), F.col("h").alias("e"))
