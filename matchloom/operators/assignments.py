@@ -9,14 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.sources.tables import written
+from matchloom.sources.tables import tasks_for, written
 
 
 def endpoint_costs(candidates: DataFrame, counts: DataFrame) -> DataFrame:
     """query, pos, n_roles, candidate, cost of candidates with a match (counts: query, edge, side, role, candidate, n) at every edge of their role:
     the sum of the logs of the match counts.  A role without edges takes all of its candidates at no cost."""
-    ends = counts.groupBy("query", "role", "candidate").agg(F.min("n").alias("least"), F.sum(F.log(F.greatest("n", F.lit(1)))).alias("cost"))
-    found = candidates.select("query", "role", "pos", "n_roles", "candidate").join(ends, ["query", "role", "candidate"], "left")
+    tasks, keys = tasks_for(candidates), ["query", "role", "candidate"]
+    ends = counts.repartition(tasks, *keys).groupBy(*keys).agg(F.min("n").alias("least"), F.sum(F.log(F.greatest("n", F.lit(1)))).alias("cost"))
+    found = candidates.select("query", "role", "pos", "n_roles", "candidate").repartition(tasks, *keys).join(ends, keys, "left")
     return found.where("least is null or least > 0").select("query", "pos", "n_roles", "candidate", F.coalesce("cost", F.lit(0.0)).alias("cost"))
 
 
@@ -24,6 +25,12 @@ def _most_roles(ready: DataFrame) -> int:
     return ready.agg(F.max("n_roles")).first()[0] or 0
 
 
+def _by_query(ready: DataFrame) -> DataFrame:
+    """The rows as a table, dealt by query to as many tasks as their number asks for: roles meet, and choices are ranked, where they lie."""
+    ready = written(ready, "ready")
+    return ready.repartition(tasks_for(ready), "query")
+
+
 def _named(picked: DataFrame) -> DataFrame:
     text = F.concat(F.lit('["'), F.array_join(F.transform("picks", lambda x: x.cast("string")), '","'), F.lit('"]'))
     return picked.select("query", "picks", (-F.col("cost")).alias("score"), F.sha2(text, 256).alias("identity"))
@@ -43,7 +50,7 @@ def feasible_assignments(ready: DataFrame) -> DataFrame:
 
     score is minus the sum of the costs; identity a hash of the picks.  This is the full product; best_assignments finds the first without it.
     """
-    ready = written(ready, "ready")
+    ready = _by_query(ready)
     picked = ready.where("pos = 0").select("query", "n_roles", F.array("candidate").alias("picks"), "cost")
     for pos in range(1, _most_roles(ready)):
         picked = _grown(picked, ready, pos)
@@ -55,7 +62,7 @@ def best_assignments(ready: DataFrame, beam: int = 25, tie: float = 1e-8) -> Dat
 
     Costs add up role by role, so a choice of the first roles that `beam` others undercut by more than `tie` cannot lead to one of them.
     """
-    ready = written(ready, "ready")
+    ready = _by_query(ready)
     place = F.row_number().over(Window.partitionBy("query").orderBy("cost"))
     picked = ready.where("pos = 0").select("query", "n_roles", F.array("candidate").alias("picks"), "cost")
     for pos in range(1, _most_roles(ready) + 1):

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from matchloom.functions.ports import SIZE_TOLERANCE, adjacent_key, contract_key, size_class, symmetry_class
 
+from matchloom.sources.tables import tasks_for
+
 from .graphs import neighbour_shares
 
 LEAST_SHARE = 0.24
@@ -54,17 +56,25 @@ def selected_port(ports: DataFrame, kind: str, geometry: str, size: str) -> Data
     )
 
 
+def contract_counts(ports: DataFrame) -> DataFrame:
+    """step, n_all, of (its contracts, each with its number n), stated (the contract of its first primitive): one row of each step, made where its ports are."""
+    each = ports.groupBy("step", "contract").agg(F.count("*").alias("n"), F.min("ordinal").alias("least"))
+    first = F.max(F.when(F.col("least") == 0, F.col("contract"))).alias("stated")
+    return each.groupBy("step").agg(F.sum("n").alias("n_all"), F.collect_list(F.struct("contract", "n")).alias("of"), first)
+
+
 def match_counts(candidates: DataFrame, endpoints: DataFrame, ports: DataFrame) -> DataFrame:
-    """query, edge, side, role, candidate, n: how many of a candidate's primitives meet an endpoint's contract.
+    """query, edge, side, role, candidate, n: how many of a candidate's primitives meet an endpoint's contract.  ports: the described ports or, where they are at hand, their contract_counts.
 
     Without a contract every primitive does.  A candidate without primitives has n = 0.
     """
-    asked = endpoints.join(candidates.select("query", "role", "candidate"), ["query", "role"])
-    by_contract = ports.groupBy("step", "contract").agg(F.count("*").alias("n_of"))
-    every = ports.groupBy("step").agg(F.count("*").alias("n_all"))
-    exact = asked.join(by_contract.withColumnRenamed("step", "candidate"), ["candidate", "contract"], "left")
-    full = exact.join(every.withColumnRenamed("step", "candidate"), "candidate", "left")
-    n = F.coalesce(F.when(F.col("contract").isNull(), F.col("n_all")).otherwise(F.col("n_of")), F.lit(0))
+    counted = ports if "of" in ports.columns else contract_counts(ports)
+    tasks = tasks_for(candidates)
+    dealt = lambda df, *keys: df.repartition(tasks, *keys)
+    asked = dealt(endpoints, "query", "role").join(dealt(candidates.select("query", "role", "candidate"), "query", "role"), ["query", "role"])
+    full = dealt(asked, "candidate").join(dealt(counted.select(F.col("step").alias("candidate"), "n_all", "of"), "candidate"), "candidate", "left")
+    n_of = F.get(F.filter("of", lambda x: x["contract"] == F.col("contract")), 0)["n"]
+    n = F.coalesce(F.when(F.col("contract").isNull(), F.col("n_all")).otherwise(n_of), F.lit(0))
     return full.select("query", "edge", "side", "role", "candidate", n.alias("n"))
 
 

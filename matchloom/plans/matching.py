@@ -138,8 +138,9 @@ def _candidates(spark, sf):
 
 def _counts(spark, sf, cands=None):
     cands = _candidates(spark, sf) if cands is None else cands
-    ports = written(B.ports(spark, sf).select("step", "ordinal", "contract"), "ports")
-    return O.match_counts(cands, B.endpoints(spark, sf, ports, cands), ports)
+    counted = written(O.contract_counts(B.ports(spark, sf)), "contracts")
+    first = counted.select("step", F.lit(0).alias("ordinal"), F.col("stated").alias("contract"))
+    return O.match_counts(cands, B.endpoints(spark, sf, first, cands), counted)
 
 
 def _ready(spark, sf, cands=None):

@@ -19,6 +19,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def tasks_for(rows: DataFrame, share: int = 250_000) -> int:
+    """As many tasks as give each `share` of the rows, which should be a table: what a task sorts or joins does not grow with it."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // share))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: what loops grow is planned once, and a lost executor loses none of it."""
     path = shared_folder(df.sparkSession, name)

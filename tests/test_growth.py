@@ -2,8 +2,10 @@
 
 import __spark_entry__ as entry
 from matchloom.operators import graphs as G
+from matchloom.operators import ports as P
 from matchloom.operators.ordering import positions
 from matchloom.operators.records import model_view_payload
+from matchloom.sources.tables import tasks_for
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -47,3 +49,20 @@ def test_positions_with_and_without_few_groups(spark):
 
 def test_frames_of_a_six_move_once(spark):
     assert _plan(entry.queries()["j16_pose_candidates"](spark, SF)).count("Exchange") == 1
+
+
+def test_contracts_of_a_step_are_one_row(spark):
+    found = spark.createDataFrame([(1, 0, "x"), (1, 1, "y"), (1, 2, "x"), (2, 0, "y")], "step long, ordinal int, contract string")
+    counted = P.contract_counts(found)
+    rows = {r.step: (r.n_all, sorted(map(tuple, r["of"])), r.stated) for r in counted.collect()}
+    assert rows == {1: (3, [("x", 2), ("y", 1)], "x"), 2: (1, [("y", 1)], "y")}
+    cands = spark.createDataFrame([(9, "a", 1), (9, "a", 2), (9, "a", 3)], "query long, role string, candidate long")
+    for contract, want in (("x", [2, 0, 0]), ("y", [1, 1, 0]), (None, [3, 1, 0])):
+        ends = spark.createDataFrame([(9, 0, "a", "a", contract)], "query long, edge int, side string, role string, contract string")
+        for ports in (found, counted):
+            assert [r.n for r in P.match_counts(cands, ends, ports).orderBy("candidate").collect()] == want
+
+
+def test_tasks_grow_with_rows(spark):
+    rows = spark.range(100)
+    assert tasks_for(rows) == spark.sparkContext.defaultParallelism and tasks_for(rows, 5) == 20
