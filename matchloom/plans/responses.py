@@ -9,19 +9,18 @@ from matchloom.functions import vectors as V
 from matchloom.functions.ports import MOBILITIES
 from matchloom.operators import assignments as A
 from matchloom.operators import graphs as G
-
+from matchloom.operators import ports as O
 from matchloom.operators import requests as R
 from matchloom.operators import symmetries as Y
 from matchloom.operators.assemblies import aligned
 from matchloom.operators.ordering import positions
 from matchloom.operators.records import face_bindings, semantic_commitments
-from matchloom.sources.tables import written
+from matchloom.sources.tables import tasks_for, written
 
 from . import bindings as B
 from . import sql as S
 from .geometry import _PLACED, _placed
 from .graphs import _FACE, _faces
-from .matching import _best
 from .registry import query
 
 
@@ -98,12 +97,21 @@ def v12_face_binding_hash(spark, sf):
   SELECT query, edge, a, b, CAST(rank AS INTEGER) AS rank FROM x WHERE rank < 3""")
 def w08_hypothesis_alternatives(spark, sf):
     """For the first assignment of each query: an edge's pairs of matching primitives, the least features first."""
-    first = A.ranked(_best(spark, sf), beam=1).select("query", F.posexplode("picks").alias("pos", "candidate"))
-    roles = B.candidates(spark, sf).select("query", "pos", "role").distinct()
+    cands = written(B.candidates(spark, sf), "candidates")
+    ports = written(B.ports(spark, sf).select("step", "ordinal", "kind", "size", "contract"), "ports")
+    counted = written(O.contract_counts(ports.repartition(tasks_for(ports, 500_000), "step")), "contracts")
+    ends = written(B.endpoints(spark, sf, counted.select("step", F.lit(0).alias("ordinal"), F.col("stated").alias("contract")), cands), "endpoints")
+    ready = A.endpoint_costs(cands, O.match_counts(cands, ends, counted))
+    first = A.ranked(A.best_assignments(ready), beam=1).select("query", F.posexplode("picks").alias("pos", "candidate"))
+    roles = cands.select("query", "pos", "role").distinct()
     picked = first.join(roles, ["query", "pos"]).select("query", "role", F.col("candidate").alias("step"))
-    ports = written(B.ports(spark, sf), "ports")
     found = ports.select("step", "ordinal", "kind", F.round("size", 6).alias("size"), F.col("contract").alias("own"))
-    matches = B.endpoints(spark, sf, ports).join(picked, ["query", "role"]).join(found, "step").where("contract is null or contract = own")
+    asked = ends.join(picked, ["query", "role"])
+    tasks = tasks_for(ports, 500_000)
+    matches = asked.repartition(tasks, "step").join(found.repartition(tasks, "step"), "step").where("contract is null or contract = own")
+    # the first three pairs have no primitive behind the third of its side
+    near = Window.partitionBy("query", "edge", "side").orderBy("kind", "size", "ordinal")
+    matches = written(matches.withColumn("place", F.row_number().over(near)).where("place <= 3"), "matches")
     side = lambda s: matches.where(F.col("side") == s).select("query", "edge", *[F.col(c).alias(f"{c}_{s}") for c in ("ordinal", "kind", "size")])
     order = Window.partitionBy("query", "edge").orderBy("kind_a", "size_a", "ordinal_a", "kind_b", "size_b", "ordinal_b")
     pairs = side("a").join(side("b"), ["query", "edge"]).withColumn("rank", F.row_number().over(order) - 1).where("rank < 3")
