@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchloom.sources.tables import written
+
 
 def beam_decode(unary: DataFrame, pairs: DataFrame, beam: int = 25) -> DataFrame:
     """query, n_roles, picks, score: role by role, keeping the best `beam` partial picks of each query.
@@ -17,6 +19,8 @@ def beam_decode(unary: DataFrame, pairs: DataFrame, beam: int = 25) -> DataFrame
         "query", "edge", F.least("pos_a", "pos_b").alias("early"), F.greatest("pos_a", "pos_b").alias("pos"),
         F.when(late, F.col("b")).otherwise(F.col("a")).alias("first"), F.when(late, F.col("a")).otherwise(F.col("b")).alias("next"), F.col("score").alias("p"),
     )
+    # each role reads them again
+    unary, closed = written(unary, "unary"), written(closed, "pairs")
     edges = closed.groupBy("query", "pos").agg(F.count_distinct("edge").alias("edges"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "picks")
     keep = lambda df: df.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= beam).drop("turn")

@@ -10,7 +10,7 @@ from matchloom.operators import assemblies as A
 from matchloom.operators import decoding as D
 from matchloom.operators import evaluation as E
 from matchloom.operators import planner as P
-from matchloom.sources.tables import written
+from matchloom.sources.tables import tasks_for, written
 
 from . import bindings as B
 from . import sql as S
@@ -192,14 +192,17 @@ _BEAM = _beam_sql()
 def e01_strict_metrics(spark, sf):
     """The decoder's first beam at every grain, beside the best of each role and of each edge by themselves."""
     order = Window.partitionBy("query").orderBy(F.desc("score"), "picks")
-    beams = written(D.beam_decode(_unary(spark, sf), _joined_pairs(spark, sf)).withColumn("rank", F.row_number().over(order) - 1).select("query", "rank", "picks"), "beams")
-    edges, targets = written(B.edges(spark, sf), "edges"), written(_targets(spark, sf), "targets")
+    cands = written(B.candidates(spark, sf), "candidates")
+    cands = cands.repartition(tasks_for(cands), "query")
+    unary, scored = written(_unary(spark, sf, cands), "unary"), written(_scored_pairs(spark, sf, cands), "pairs")
+    beams = written(D.beam_decode(unary, _joined_pairs(spark, sf, cands, scored)).withColumn("rank", F.row_number().over(order) - 1).select("query", "rank", "picks"), "beams")
+    edges, targets = written(B.edges(spark, sf, cands), "edges"), written(_targets(spark, sf, cands), "targets")
     q, n = F.col("query"), F.col("query") + F.col("edge")
     programs = edges.select("query", "edge", (n % 4).alias("mobility"), (q % 5).alias("support"), F.lit(0).alias("a"), F.col("edge").alias("b"))
     said = programs.where("query % 9 <> 0").withColumns({"mobility": F.when(n % 6 == 0, -1).otherwise(F.col("mobility")), "support": F.when(q % 7 == 0, -1).otherwise(F.col("support")), "a": F.when(n % 4 == 0, 1).otherwise(0)})
-    alone = _unary(spark, sf).groupBy("query", "pos").agg(F.max_by("candidate", F.struct("score", -F.col("candidate"))).alias("candidate"))
+    alone = unary.groupBy("query", "pos").agg(F.max_by("candidate", F.struct("score", -F.col("candidate"))).alias("candidate"))
     best = Window.partitionBy("query", "pos").orderBy(F.desc("score"), "a", "b")
-    pairs = _scored_pairs(spark, sf).withColumn("t", F.row_number().over(best)).where("t = 1").select("query", (F.col("pos") - 1).alias("edge"), "a", "b")
+    pairs = scored.withColumn("t", F.row_number().over(best)).where("t = 1").select("query", (F.col("pos") - 1).alias("edge"), "a", "b")
     # the closing edge of a ring has no pair of its own
     pairs = pairs.join(edges.where("pos_b = pos_a + 1").select("query", "edge"), ["query", "edge"])
     out = E.strict_metrics(beams, targets, edges, programs, said, alone, pairs)

@@ -19,29 +19,31 @@ def _micro(*parts):
     return F.conv(F.substring(F.sha2(F.concat_ws(":", *parts), 256), 1, 5), 16, 10).cast("long")
 
 
-def _unary(spark, sf):
-    return B.candidates(spark, sf).select("query", "pos", "n_roles", "candidate", _micro("query", "role", "candidate").alias("score"))
+def _unary(spark, sf, cands=None):
+    """cands: the candidates, where they are at hand; so below."""
+    return (B.candidates(spark, sf) if cands is None else cands).select("query", "pos", "n_roles", "candidate", _micro("query", "role", "candidate").alias("score"))
 
 
-def _scored_pairs(spark, sf):
-    c = B.candidates(spark, sf)
+def _scored_pairs(spark, sf, cands=None):
+    c = B.candidates(spark, sf) if cands is None else cands
     a = c.select("query", (F.col("pos") + 1).alias("pos"), F.col("candidate").alias("a"))
     b = c.select("query", "pos", F.col("candidate").alias("b"))
     return a.join(b, ["query", "pos"]).select("query", "pos", "a", "b", _micro("query", "pos", "a", "b").alias("score"))
 
 
-def _joined_pairs(spark, sf):
+def _joined_pairs(spark, sf, cands=None, near=None):
     """Pairs of all edges (query, edge, pos_a, pos_b, a, b, score): the neighbours', and those of the first and last role."""
-    near = _scored_pairs(spark, sf).select("query", F.col("pos").alias("edge"), (F.col("pos") - 1).alias("pos_a"), F.col("pos").alias("pos_b"), "a", "b", "score")
-    c = B.candidates(spark, sf)
+    near = _scored_pairs(spark, sf, cands) if near is None else near
+    near = near.select("query", F.col("pos").alias("edge"), (F.col("pos") - 1).alias("pos_a"), F.col("pos").alias("pos_b"), "a", "b", "score")
+    c = B.candidates(spark, sf) if cands is None else cands
     first = c.where("pos = 0").select("query", F.col("candidate").alias("a"))
     last = c.where("pos = n_roles - 1 and pos >= 2").select("query", "pos", F.col("candidate").alias("b"))
     ring = last.join(first, "query").select("query", F.lit(0).alias("edge"), F.col("pos").alias("pos_a"), F.lit(0).alias("pos_b"), F.col("b").alias("a"), F.col("a").alias("b"), _micro("query", F.lit(0), "a", "b").alias("score"))
     return near.unionByName(ring)
 
 
-def _targets(spark, sf):
-    return B.candidates(spark, sf).groupBy("query", "pos").agg(F.max("candidate").alias("candidate"))
+def _targets(spark, sf, cands=None):
+    return (B.candidates(spark, sf) if cands is None else cands).groupBy("query", "pos").agg(F.max("candidate").alias("candidate"))
 
 
 _SCORES = S.CAND + f""",
