@@ -18,16 +18,16 @@ CONTRACT = ["kind", "geometry_type", "size_class", "adjacent", "symmetry"]
 def described_ports(primitives: DataFrame, edges: DataFrame | None, types: list[str]) -> DataFrame:
     """Primitives with size_class, adjacent, symmetry and contract, the key of all five fields.
 
-    The peers of a primitive are those of its step and type; smaller and larger ones are counted by range frames over their measures, which read no
-    more than the peers in order.  adjacent: the first two of `types` that make up a quarter or so of its neighbours by edges (step, a, b, feature), or without
+    The peers of a primitive are those of its step and type; they, the smaller and the larger ones are counted by range frames over their measures, which
+    read no more than the peers in one order.  adjacent: the first two of `types` that make up a quarter or so of its neighbours by edges (step, a, b, feature), or without
     edges of the primitives' `near`, an array of their types.
     """
-    of = Window.partitionBy("step", "geometry_type")
     frame = "count(*) over (partition by step, geometry_type order by measure range between {0})"
     tolerance = f"{SIZE_TOLERANCE!r}D"
     smaller = F.expr(frame.format(f"unbounded preceding and {tolerance} preceding"))
     larger = F.expr(frame.format(f"{tolerance} following and unbounded following"))
-    counted = primitives.withColumns({"_peers": F.count("*").over(of), "_smaller": smaller, "_larger": larger})
+    peers = F.expr(frame.format("unbounded preceding and unbounded following"))
+    counted = primitives.withColumns({"_peers": peers, "_smaller": smaller, "_larger": larger})
     found = counted.withColumn("size_class", size_class(F.col("_peers"), F.col("_smaller"), F.col("_larger"))).withColumn("symmetry", symmetry_class(F.col("members")))
     found = found.drop("_peers", "_smaller", "_larger")
     if edges is None:

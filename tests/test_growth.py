@@ -66,3 +66,8 @@ def test_contracts_of_a_step_are_one_row(spark):
 def test_tasks_grow_with_rows(spark):
     rows = spark.range(100)
     assert tasks_for(rows) == spark.sparkContext.defaultParallelism and tasks_for(rows, 5) == 20
+
+
+def test_ports_sort_a_line_twice(spark):
+    plan = _plan(entry.queries()["w01_describe_ports"](spark, SF))
+    assert (plan.count("Sort ["), plan.count("Exchange")) == (2, 1)
