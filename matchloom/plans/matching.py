@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -48,8 +51,9 @@ def p06_contract_matches(spark, sf):
     fields = O.CONTRACT
     of_step = Window.partitionBy("step")
     asked = found.withColumns({f"want_{c}": F.max(F.when(F.col("ordinal") == 0, F.col(c))).over(of_step) for c in fields})
-    same = lambda n: F.count_if(F.forall(F.array(*[F.col(c).eqNullSafe(F.col(f"want_{c}")) for c in fields[:n]]), lambda x: x))
-    return asked.groupBy("step").agg(*[same(n).alias(f"fields_{n}") for n in range(1, 6)])
+    # counted by the window too, as an aggregate would hold all steps of a task
+    same = lambda n: F.count_if(reduce(and_, [F.col(c).eqNullSafe(F.col(f"want_{c}")) for c in fields[:n]])).over(of_step)
+    return asked.withColumns({f"fields_{n}": same(n) for n in range(1, 6)}).where("ordinal = 0").select("step", *[f"fields_{n}" for n in range(1, 6)])
 
 
 @query(f"""WITH {S.PORT} SELECT step, ordinal, CASE WHEN size_class <> 'only' THEN size_class || ' ' ELSE '' END || geometry_type || ' ' || kind

@@ -71,3 +71,8 @@ def test_tasks_grow_with_rows(spark):
 def test_ports_sort_a_line_twice(spark):
     plan = _plan(entry.queries()["w01_describe_ports"](spark, SF))
     assert (plan.count("Sort ["), plan.count("Exchange")) == (2, 1)
+
+
+def test_matches_are_counted_where_a_step_lies(spark):
+    plan = _plan(entry.queries()["p06_contract_matches"](spark, SF))
+    assert (plan.count("Sort ["), plan.count("Exchange"), plan.count("HashAggregate")) == (2, 1, 0)
