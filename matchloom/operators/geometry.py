@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import mul
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,23 +14,43 @@ from matchloom.sources.tables import written
 AXES = range(3)
 
 
-def box_overlaps(boxes: DataFrame, cell: float, least: float = 1e-7) -> DataFrame:
-    """assembly, a, b, volume of all pairs of boxes (assembly, id, lo, hi) that overlap by more than `least`; touching is not overlap.
+def box_overlaps(boxes: DataFrame, cell: float, least: float = 1e-7, block: int = 2_000, share: int = 50_000_000) -> DataFrame:
+    """assembly, a, b, volume, small (the volume of the smaller one) of all pairs of boxes (assembly, id, lo, hi) that overlap by more than `least`, 0 or more; touching is not overlap.
 
-    Boxes are posted under the grid cells that they reach, so a pair is looked at only in shared cells, and given
-    in the first of them alone.
+    Boxes are posted under the grid cells that they reach, each with the axes along which it begins there.  A pair is looked at once, in the cell where along each axis one of
+    the two begins.  The boxes of a cell that begin alike are dealt into blocks of `block` or so, and each two blocks that have such pairs meet by themselves: a task
+    holds two blocks at a time, and a full cell is spread over as many tasks as give each `share` pairs.
     """
-    cells = [F.transform(F.sequence(F.floor(F.col("lo")[i] / cell), F.floor(F.col("hi")[i] / cell)), lambda x: x) for i in AXES]
-    posted = boxes.select("assembly", "id", "lo", "hi", F.explode(cells[0]).alias("x"), *[c.alias(f"c{i}") for i, c in enumerate(cells)])
-    posted = posted.select("*", F.explode("c1").alias("y")).select("*", F.explode("c2").alias("z"))
-    a = posted.select("assembly", "x", "y", "z", F.col("id").alias("a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"), *[F.col(f"c{i}")[0].alias(f"first_a{i}") for i in AXES])
-    b = posted.select("assembly", "x", "y", "z", F.col("id").alias("b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), *[F.col(f"c{i}")[0].alias(f"first_b{i}") for i in AXES])
-    first = (F.col("a") < F.col("b"))
-    for i, c in enumerate("xyz"):
-        first = first & (F.col(c) == F.greatest(f"first_a{i}", f"first_b{i}"))
-    side = lambda i: F.greatest(F.lit(0.0), F.least(F.col("hi_a")[i], F.col("hi_b")[i]) - F.greatest(F.col("lo_a")[i], F.col("lo_b")[i]))
-    found = a.join(b, ["assembly", "x", "y", "z"]).where(first).withColumn("volume", side(0) * side(1) * side(2))
-    return found.where(F.col("volume") > least).select("assembly", "a", "b", "volume")
+    posted = boxes.select("assembly", "id", *[F.col(c)[i].alias(f"{c}{i}") for c in ("lo", "hi") for i in AXES])
+    for i in AXES:
+        reached = F.sequence(F.floor(F.col(f"lo{i}") / cell), F.floor(F.col(f"hi{i}") / cell))
+        posted = posted.select("*", F.posexplode(reached).alias(f"at{i}", f"c{i}"))
+    begins = sum(F.when(F.col(f"at{i}") == 0, 1 << i).otherwise(0) for i in AXES)
+    posted = posted.withColumn("begins", begins).drop(*[f"at{i}" for i in AXES])
+    where = ["assembly", *[f"c{i}" for i in AXES]]
+    alike = posted.groupBy(*where, "begins").agg(F.count("*").alias("n"))
+    cells = alike.groupBy(*where).agg(F.sum("n").alias("n"), F.collect_list(F.struct("begins", F.ceil(F.col("n") / block).cast("int").alias("blocks"))).alias("of"))
+    cells = written(cells, "cells")
+    pairs = cells.agg(F.sum(F.col("n").cast("double") * F.col("n") / 2)).first()[0]
+    tasks = max(boxes.sparkSession.sparkContext.defaultParallelism, math.ceil((pairs or 0) / share))
+    # a block is named by its number and how its boxes begin
+    name = lambda k, begins: k * 8 + begins
+    mine = F.get(F.filter("of", lambda x: x["begins"] == F.col("begins")), 0)["blocks"]
+    met = F.filter("of", lambda x: x["begins"].bitwiseOR(F.col("begins")) == 7)
+    met = F.flatten(F.transform(met, lambda x: F.transform(F.sequence(F.lit(0), x["blocks"] - 1), lambda k: name(k, x["begins"]))))
+    dealt = posted.join(cells.drop("n"), where).withColumns({"block": name(F.pmod(F.xxhash64("id"), mine).cast("int"), F.col("begins")), "met": met})
+    dealt = written(dealt.drop("begins", "of"), "dealt")
+    sides = ["id", *[f"{c}{i}" for c in ("lo", "hi") for i in AXES]]
+    key = [*where, "block_l", "block_r"]
+    left = dealt.select(*where, F.col("block").alias("block_l"), F.explode(F.filter("met", lambda x: x >= F.col("block"))).alias("block_r"), *[F.col(c).alias(f"{c}_l") for c in sides])
+    right = dealt.select(*where, F.explode(F.filter("met", lambda x: x <= F.col("block"))).alias("block_l"), F.col("block").alias("block_r"), *[F.col(c).alias(f"{c}_r") for c in sides])
+    side = [F.least(f"hi{i}_l", f"hi{i}_r") - F.greatest(f"lo{i}_l", f"lo{i}_r") for i in AXES]
+    volume = side[0] * side[1] * side[2]
+    size = lambda c: reduce(mul, [F.col(f"hi{i}_{c}") - F.col(f"lo{i}_{c}") for i in AXES])
+    once = (F.col("id_l") < F.col("id_r")) | ((F.col("block_l") < F.col("block_r")) & (F.col("id_l") > F.col("id_r")))
+    found = left.repartition(tasks, *key).join(right.repartition(tasks, *key), key)
+    found = found.where((side[0] > 0) & (side[1] > 0) & (side[2] > 0) & once & (volume > least))
+    return found.select("assembly", F.least("id_l", "id_r").alias("a"), F.greatest("id_l", "id_r").alias("b"), volume.alias("volume"), F.least(size("l"), size("r")).alias("small"))
 
 
 def box_iou(a_lo, a_hi, b_lo, b_hi):

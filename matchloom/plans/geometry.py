@@ -109,7 +109,7 @@ _SIDES = " * ".join(f"greatest(0, least(a.hi[{i}], b.hi[{i}]) - greatest(a.lo[{i
 
 @query(f"WITH {_BOX} SELECT a.label AS assembly, a.id AS a, b.id AS b, round({_SIDES}, 8) + 0.0 AS volume FROM box a JOIN box b ON a.label = b.label AND a.id < b.id WHERE {_SIDES} > 1e-7")
 def j18_aabb_collisions(spark, sf):
-    return G.box_overlaps(_boxes(spark, sf), cell=0.25).withColumn("volume", F.round("volume", 8) + 0.0)
+    return G.box_overlaps(_boxes(spark, sf), cell=0.25).select("assembly", "a", "b", V.rounded(F.col("volume"), 8).alias("volume"))
 
 
 @query(f"""WITH {_BOX}, n AS (SELECT *, lead(id) OVER (PARTITION BY label ORDER BY id) AS nxt FROM box), p AS (SELECT a.id, {_SIDES} AS s, (a.hi[1] - a.lo[1]) * (a.hi[2] - a.lo[2]) * (a.hi[3] - a.lo[3]) AS va, (b.hi[1] - b.lo[1]) * (b.hi[2] - b.lo[2]) * (b.hi[3] - b.lo[3]) AS vb FROM n a JOIN box b ON b.id = a.nxt)

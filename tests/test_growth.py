@@ -1,6 +1,10 @@
 """What a query moves: steps that were worked out or dealt more often than they need."""
 
+import random
+
 import __spark_entry__ as entry
+from matchloom.functions import vectors as V
+from matchloom.operators import geometry
 from matchloom.operators import graphs as G
 from matchloom.operators import ports as P
 from matchloom.operators.ordering import positions
@@ -76,3 +80,29 @@ def test_ports_sort_a_line_twice(spark):
 def test_matches_are_counted_where_a_step_lies(spark):
     plan = _plan(entry.queries()["p06_contract_matches"](spark, SF))
     assert (plan.count("Sort ["), plan.count("Exchange"), plan.count("HashAggregate")) == (2, 1, 0)
+
+
+def test_boxes_of_a_full_cell_are_spread(spark):
+    at = random.Random(1)
+    # in eighths, so that boxes touch; all of 1 and most of 2 lie in one cell
+    corner = lambda wide: [at.randrange(-wide, wide) / 8 for _ in range(3)]
+    rows = [(k, i, lo, [x + at.randrange(0, 6) / 8 for x in lo]) for k, wide in ((1, 4), (2, 20)) for i in range(60) for lo in [corner(wide)]]
+    rows = [(k, i, [abs(x) for x in lo] if k == 1 else lo, [abs(x) + 0.25 for x in lo] if k == 1 else hi) for k, i, lo, hi in rows]
+    boxes = spark.createDataFrame(rows, "assembly int, id int, lo array<double>, hi array<double>")
+    want = {}
+    for k, a, lo, hi in rows:
+        for other, b, low, high in rows:
+            sides = [min(x, y) - max(u, v) for x, y, u, v in zip(hi, high, lo, low)]
+            if k == other and a < b and min(sides) > 0:
+                size = lambda u, v: (v[0] - u[0]) * (v[1] - u[1]) * (v[2] - u[2])
+                want[k, a, b] = (sides[0] * sides[1] * sides[2], min(size(lo, hi), size(low, high)))
+    for cell in (0.3, 1.0):
+        found = geometry.box_overlaps(boxes, cell, block=10, share=100).withColumn("task", F.spark_partition_id()).collect()
+        assert len(found) == len(want) and {(r.assembly, r.a, r.b): (r.volume, r.small) for r in found} == want
+    assert len({r.task for r in found if r.assembly == 1}) > 4
+
+
+def test_rounded(spark):
+    values = [0.0, 1.25e-7, 0.123456785, 0.5, 2.000000004999, 999999.1, 1e6, 123456789.123456789, 1e20]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", V.rounded(F.col("v"), 8).alias("r")).collect()
+    assert [r.r for r in rows] == [0.0, 1.3e-7, 0.12345679, 0.5, 2.0, 999999.1, 1e6, 123456789.12345679, 1e20]
