@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.sources.tables import written
+from matchloom.sources.tables import shuffled, written
 
 PARTS = ["unary", "pair", "mobility", "support", "interface", "proposal"]
 #: What each part's mean counts for; margins are structured.
@@ -23,7 +23,8 @@ def cross_entropy(scores: DataFrame, targets: DataFrame) -> DataFrame:
     bad = F.max((F.isnan("score") | (F.abs("score") == float("inf")) | F.col("score").isNull()).cast("int")).over(of)
     shifted = open_.withColumn("top", F.max("score").over(of)).withColumn("bad", bad)
     norm = shifted.groupBy("query", "unit").agg((F.log(F.sum(F.exp(F.col("score") - F.col("top")))) + F.max("top")).alias("norm"), F.max("bad").alias("bad"))
-    goal = targets.select("query", "unit", "choice").join(open_.select("query", "unit", "choice", "score"), ["query", "unit", "choice"], "left").join(norm, ["query", "unit"], "left")
+    goal = shuffled(targets.select("query", "unit", "choice")).join(open_.select("query", "unit", "choice", "score"), ["query", "unit", "choice"], "left")
+    goal = shuffled(goal).join(norm, ["query", "unit"], "left")
     reason = F.when(F.col("bad") == 1, "not_finite").when(F.col("score").isNull(), "target_unavailable").otherwise("scored")
     return goal.select("query", "unit", F.when(reason == "scored", F.col("norm") - F.col("score")).alias("loss"), reason.alias("reason"))
 
@@ -58,7 +59,7 @@ def linker_loss(parts: dict[str, tuple[DataFrame, DataFrame]], margins: DataFram
     found = written(found.where("roles > 0"), "loss-parts")
     if given_mobility is not None:
         stated = given_mobility.select("query").distinct().withColumn("stated", F.lit(True))
-        found = found.join(stated, "query", "left").withColumn("mobility", F.when(F.col("stated"), 0.0).otherwise(F.col("mobility")))
+        found = shuffled(found).join(stated, "query", "left").withColumn("mobility", F.when(F.col("stated"), 0.0).otherwise(F.col("mobility")))
     fine = F.col("reason").isNull()
     value = sum((F.col(n) * weigh[n] for n in names[1:]), F.col(names[0]) * weigh[names[0]])
     return found.select("query", *[F.when(fine, F.col(n)).alias(n) for n in names], F.when(fine, value).alias("loss"), F.coalesce("reason", F.lit("scored")).alias("status"))

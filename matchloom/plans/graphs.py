@@ -15,7 +15,7 @@ from matchloom.operators import requests as Q
 from matchloom.operators import schedules as D
 from matchloom.operators import sockets as Z
 from matchloom.sources.records import catalog, load_protocol
-from matchloom.sources.tables import shared_folder, written
+from matchloom.sources.tables import shared_folder, shuffled, written
 
 from . import bindings as B
 from . import sql as S
@@ -274,8 +274,9 @@ def _named_sql(name: str) -> str:
     CASE WHEN fine THEN round(unary + pair + mobility + support + 0.5 * interface + 0.5 * proposal + 0.25 * structured, 5) END AS loss FROM every""")
 def e03_linker_loss(spark, sf):
     """All parts of the loss by query, over score tables of roles, edges, names and choices; some targets are masked, and some lie outside the proposals."""
-    scored, goal = written(_unary(spark, sf), "unary-scores"), written(_targets(spark, sf), "targets")
-    edges = written(B.edges(spark, sf).select("query", F.col("edge").alias("unit")), "edge-units")
+    cands = written(B.candidates(spark, sf), "candidates")
+    scored, goal = written(_unary(spark, sf, cands), "unary-scores"), written(_targets(spark, sf, cands), "targets")
+    edges = written(B.edges(spark, sf, cands).select("query", F.col("edge").alias("unit")), "edge-units")
     mark = (F.col("query") + F.col("pos")) % 3 != 0
     unary = scored.select("query", F.col("pos").alias("unit"), F.col("candidate").alias("choice"), (F.col("score") / 1e5).alias("score"), (mark | (F.col("candidate") % 5 != 0)).alias("available"))
     a, b = goal.select("query", (F.col("pos") + 1).alias("pos"), F.col("candidate").alias("a")), goal.select("query", "pos", F.col("candidate").alias("b"))
@@ -287,13 +288,13 @@ def e03_linker_loss(spark, sf):
 
     parts = {
         "unary": (unary, goal.select("query", F.col("pos").alias("unit"), F.col("candidate").alias("choice"))),
-        "pair": (both(_scored_pairs(spark, sf)).withColumn("score", F.col("score") / 1e5), both(a.join(b, ["query", "pos"]))),
+        "pair": (both(_scored_pairs(spark, sf, cands)).withColumn("score", F.col("score") / 1e5), both(shuffled(a).join(b, ["query", "pos"]))),
         "mobility": named("mobility", 4, 4, edges), "support": named("support", 3, 3, edges),
         "interface": named("interface", 6, 8, edges.where("query % 3 <> 0")), "proposal": named("proposal", 4, 5, edges),
     }
-    right = goal.join(scored, ["query", "pos", "candidate"]).select("query", "pos", "candidate", (F.col("score") / 1e5).alias("positive"))
-    wrong = scored.join(goal.withColumnRenamed("candidate", "goal"), ["query", "pos"]).where("candidate <> goal").groupBy("query", "pos").agg((F.max("score") / 1e5).alias("negative"))
-    out = L.linker_loss(parts, right.join(wrong, ["query", "pos"]), goal.where("query % 4 = 0").select("query"))
+    right = shuffled(goal).join(scored, ["query", "pos", "candidate"]).select("query", "pos", "candidate", (F.col("score") / 1e5).alias("positive"))
+    wrong = shuffled(scored).join(goal.withColumnRenamed("candidate", "goal"), ["query", "pos"]).where("candidate <> goal").groupBy("query", "pos").agg((F.max("score") / 1e5).alias("negative"))
+    out = L.linker_loss(parts, shuffled(right).join(wrong, ["query", "pos"]), goal.where("query % 4 = 0").select("query"))
     return out.select("query", "status", *[(F.round(c, 5) + 0.0).alias(c) for c in [*L.PARTS, "structured", "loss"]])
 
 

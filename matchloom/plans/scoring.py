@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from matchloom.functions.ports import MOBILITIES
 from matchloom.operators import decoding as D
 from matchloom.operators import requests as R
+from matchloom.sources.tables import shuffled
 
 from . import bindings as B
 from . import sql as S
@@ -28,7 +29,7 @@ def _scored_pairs(spark, sf, cands=None):
     c = B.candidates(spark, sf) if cands is None else cands
     a = c.select("query", (F.col("pos") + 1).alias("pos"), F.col("candidate").alias("a"))
     b = c.select("query", "pos", F.col("candidate").alias("b"))
-    return a.join(b, ["query", "pos"]).select("query", "pos", "a", "b", _micro("query", "pos", "a", "b").alias("score"))
+    return shuffled(a).join(b, ["query", "pos"]).select("query", "pos", "a", "b", _micro("query", "pos", "a", "b").alias("score"))
 
 
 def _joined_pairs(spark, sf, cands=None, near=None):

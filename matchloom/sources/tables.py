@@ -24,6 +24,14 @@ def tasks_for(rows: DataFrame, share: int = 250_000) -> int:
     return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // share))
 
 
+def shuffled(rows: DataFrame) -> DataFrame:
+    """A side of a join whose sides both grow with the input: joined by a shuffle.
+
+    Spark takes a table to be as large as its compressed files, though its rows may fill fifty times that, and sends one that seems small whole through the driver.
+    """
+    return rows.hint("merge")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: what loops grow is planned once, and a lost executor loses none of it."""
     path = shared_folder(df.sparkSession, name)

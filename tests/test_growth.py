@@ -10,6 +10,7 @@ from matchloom.operators import ports as P
 from matchloom.operators.ordering import positions
 from matchloom.operators.records import model_view_payload
 from matchloom.sources.tables import tasks_for
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -106,3 +107,16 @@ def test_rounded(spark):
     values = [0.0, 1.25e-7, 0.123456785, 0.5, 2.000000004999, 999999.1, 1e6, 123456789.123456789, 1e20]
     rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", V.rounded(F.col("v"), 8).alias("r")).collect()
     assert [r.r for r in rows] == [0.0, 1.3e-7, 0.12345679, 0.5, 2.0, 999999.1, 1e6, 123456789.12345679, 1e20]
+
+
+def _plans(query, spark, monkeypatch):
+    """Of all tables that a query writes and of what it returns."""
+    plans, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: (plans.append(_plan(self._df)), write(self, *a, **k)))
+    last = _plan(entry.queries()[query](spark, SF))
+    return [*plans, last]
+
+
+def test_losses_join_by_shuffles(spark, monkeypatch):
+    plans = _plans("e03_linker_loss", spark, monkeypatch)
+    assert len(plans) > 4 and not [p for p in plans if "BroadcastHashJoin" in p]
