@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.sources.tables import shuffled
+
 VARIANTS = 6
 FIELDS = ["kind", "geometry_type", "size_class", "adjacent", "symmetry"]
 
@@ -67,7 +69,7 @@ def evaluated_planner(targets: DataFrame, predictions: DataFrame) -> tuple[DataF
     targets and predictions (query, edge, status, mobility, port_a, port_b: contract keys, five fields with | between).  Edges without a prediction are wrong in everything.
     """
     got = predictions.select("query", "edge", *[F.col(c).alias(f"g_{c}") for c in ("status", "mobility", "port_a", "port_b")])
-    both = targets.select("query", "edge", "status", "mobility", "port_a", "port_b").join(got, ["query", "edge"], "left")
+    both = shuffled(targets.select("query", "edge", "status", "mobility", "port_a", "port_b")).join(got, ["query", "edge"], "left")
     same = lambda c: F.coalesce(F.col(c) == F.col(f"g_{c}"), F.lit(False))
     open_ = F.col("status") != "specified"
     rows = both.withColumns({"s": same("status"), "m": same("mobility"), "p": same("port_a") & same("port_b"), "open": open_})
@@ -92,7 +94,8 @@ def planner_conditioned(edges: DataFrame, inputs: DataFrame, predictions: DataFr
     if mode not in ("canonical", "natural"):
         raise ValueError(f"mode is canonical or natural: {mode}")
     said = predictions.select("query", "edge", F.col("status").alias("given"), "port_a", "port_b", F.col("mobility").alias("said"))
-    rows = edges.select("query", "edge", "role_a", "role_b").join(said, ["query", "edge"], "left").join(inputs.select("query", "edge", F.col("instruction").alias("natural")), ["query", "edge"], "left")
+    rows = shuffled(edges.select("query", "edge", "role_a", "role_b")).join(said, ["query", "edge"], "left")
+    rows = shuffled(rows).join(inputs.select("query", "edge", F.col("instruction").alias("natural")), ["query", "edge"], "left")
     full = F.coalesce(F.col("given") == "specified", F.lit(False))
     known = F.coalesce(F.col("said").isin(mobilities), F.lit(False))
     rows = rows.withColumns({"status": F.when(full, "specified").otherwise("unknown"), "port_a": F.when(full, F.col("port_a")), "port_b": F.when(full, F.col("port_b")), "mobility": F.when(known, F.col("said")).otherwise("unknown")})

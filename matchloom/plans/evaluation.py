@@ -10,7 +10,7 @@ from matchloom.operators import assemblies as A
 from matchloom.operators import decoding as D
 from matchloom.operators import evaluation as E
 from matchloom.operators import planner as P
-from matchloom.sources.tables import tasks_for, written
+from matchloom.sources.tables import shuffled, tasks_for, written
 
 from . import bindings as B
 from . import sql as S
@@ -34,7 +34,7 @@ def _edges(spark, sf):
     side = lambda s: F.max(F.when(F.col("side") == s, F.col("contract"))).alias(f"port_{s}")
     both = ends.groupBy("query", "edge").agg(side("a"), side("b"))
     name = F.element_at(F.array(*map(F.lit, MOBILITIES)), ((F.col("query") + F.col("edge")) % 7 + 1).cast("int"))
-    rows = edges.join(both, ["query", "edge"]).select("query", "edge", "role_a", "role_b", "status", "port_a", "port_b", name.alias("mobility"))
+    rows = shuffled(edges).join(both, ["query", "edge"]).select("query", "edge", "role_a", "role_b", "status", "port_a", "port_b", name.alias("mobility"))
     return written(rows.withColumn("instruction", F.concat(F.lit("Join "), "role_a", F.lit(" and "), "role_b", F.lit("."))), "edge-ports")
 
 
@@ -60,7 +60,7 @@ def _texts():
 def r04_planner_benchmark(spark, sf):
     """The planner's inputs beside its targets, which it does not get."""
     inputs, targets = P.planner_benchmark(_edges(spark, sf), "train", _texts())
-    return inputs.select("query", "edge", "instruction").join(targets, ["query", "edge"]).select("query", "edge", "instruction", "status", "port_a", "mobility", "variant")
+    return shuffled(inputs.select("query", "edge", "instruction")).join(targets, ["query", "edge"]).select("query", "edge", "instruction", "status", "port_a", "mobility", "variant")
 
 
 @query(f"""WITH {S.REQ}, {_EDGE} SELECT query, edge, CASE WHEN query % 9 = 0 THEN 'missing' WHEN query % 19 = 0 THEN 'twice' WHEN query % 17 = 0 THEN 'role' WHEN query % 16 = 0 THEN 'status' WHEN query % 13 = 0 AND status = 'specified' OR (status = 'specified') <> (port_a IS NOT NULL AND port_b IS NOT NULL) THEN 'port'

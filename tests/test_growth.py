@@ -120,3 +120,10 @@ def _plans(query, spark, monkeypatch):
 def test_losses_join_by_shuffles(spark, monkeypatch):
     plans = _plans("e03_linker_loss", spark, monkeypatch)
     assert len(plans) > 4 and not [p for p in plans if "BroadcastHashJoin" in p]
+
+
+def test_planned_edges_join_by_shuffles(spark, monkeypatch):
+    for query in ("r10_evaluate_planner", "r04_planner_benchmark", "r13_planner_conditioned_protocol"):
+        plans = _plans(query, spark, monkeypatch)
+        monkeypatch.undo()
+        assert len(plans) > 3 and not [p for p in plans if "BroadcastHashJoin" in p]
