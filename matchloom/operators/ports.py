@@ -57,8 +57,9 @@ def selected_port(ports: DataFrame, kind: str, geometry: str, size: str) -> Data
 
 
 def contract_counts(ports: DataFrame) -> DataFrame:
-    """step, n_all, of (its contracts, each with its number n), stated (the contract of its first primitive): one row of each step, made where its ports are."""
-    each = ports.groupBy("step", "contract").agg(F.count("*").alias("n"), F.min("ordinal").alias("least"))
+    """step, n_all, of (its contracts, each with its number n), stated (the contract of its first primitive, null where ports have no ordinal): one row of each step, made where its ports are."""
+    place = F.col("ordinal") if "ordinal" in ports.columns else F.lit(None).cast("int")
+    each = ports.groupBy("step", "contract").agg(F.count("*").alias("n"), F.min(place).alias("least"))
     first = F.max(F.when(F.col("least") == 0, F.col("contract"))).alias("stated")
     return each.groupBy("step").agg(F.sum("n").alias("n_all"), F.collect_list(F.struct("contract", "n")).alias("of"), first)
 
